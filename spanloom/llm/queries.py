@@ -1,9 +1,12 @@
 """The registered queries of this package: (spark, sf_dir) -> DataFrame, and SQL where it can say the same."""
 
-from spanloom.llm import ann
+from spanloom.llm import ann, mixing
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
+    "op2_mix": mixing.op2_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mix": mixing.OP2_SQL,
+}
