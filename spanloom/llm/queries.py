@@ -1,10 +1,11 @@
 """The registered queries of this package: (spark, sf_dir) -> DataFrame, and SQL where it can say the same."""
 
-from spanloom.llm import ann, mixing
+from spanloom.llm import ann, mixing, pii
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
     "op2_mix": mixing.op2_mix,
+    "op3_pii": pii.op3_pii,
 }
 
 ORACLES: dict[str, str] = {
