@@ -1,11 +1,12 @@
 """The registered queries of this package: (spark, sf_dir) -> DataFrame, and SQL where it can say the same."""
 
-from spanloom.llm import ann, mixing, pii
+from spanloom.llm import ann, mixing, pii, rules
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
     "op2_mix": mixing.op2_mix,
     "op3_pii": pii.op3_pii,
+    "op7_rules": rules.op7_rules,
 }
 
 ORACLES: dict[str, str] = {
