@@ -1,11 +1,12 @@
 """The registered queries of this package: (spark, sf_dir) -> DataFrame, and SQL where it can say the same."""
 
-from spanloom.llm import ann, mixing, pii, quality, rules
+from spanloom.llm import ann, mixing, neardup, pii, quality, rules
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
     "op2_mix": mixing.op2_mix,
     "op3_pii": pii.op3_pii,
+    "op4_neardup": neardup.op4_neardup,
     "op5_quality": quality.op5_quality,
     "op7_rules": rules.op7_rules,
 }
