@@ -1,6 +1,6 @@
 """The registered queries of this package: (spark, sf_dir) -> DataFrame, and SQL where it can say the same."""
 
-from spanloom.llm import ann, mixing, neardup, pii, quality, rules
+from spanloom.llm import ann, bpe, mixing, neardup, pii, quality, rules
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_neardup": neardup.op4_neardup,
     "op5_quality": quality.op5_quality,
     "op7_rules": rules.op7_rules,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
