@@ -1,6 +1,6 @@
 """The registered queries of this package: (spark, sf_dir) -> DataFrame, and SQL where it can say the same."""
 
-from spanloom.llm import ann, bpe, mixing, neardup, pii, quality, rules, urls, warc
+from spanloom.llm import ann, bpe, licenses, mixing, neardup, pii, quality, rules, urls, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_warc": warc.op6_warc,
     "op7_rules": rules.op7_rules,
+    "op8_licenses": licenses.op8_licenses,
     "op9_urls": urls.op9_urls,
     "op10_bpe": bpe.op10_bpe,
 }
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_mix": mixing.OP2_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op8_licenses": licenses.op8_licenses,
     "op9_urls": urls.OP9_SQL,
 }
