@@ -1,6 +1,8 @@
-"""Registered queries over the driver tables and their SQL equivalents."""
+"""All registered queries of the trace library."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from spanloom.plans import timeline  # noqa: F401
+from spanloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
