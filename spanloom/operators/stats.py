@@ -28,7 +28,7 @@ def span_stats(spans: DataFrame, by: tuple[str, ...], window: tuple[int, int] |
     whole. Rows without time in the window are dropped. Totals come from the groups."""
     lo, hi = window or (None, None)
     d = overlaps(spans, lo, hi).withColumn("ns", clipped(lo, hi)).filter("ns > 0")
-    more = [F.sum("bytes").alias("bytes")] if "bytes" in spans.columns else []
+    more = [F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")] if "bytes" in spans.columns else []
     if histogram:
         edges = (0, *BOUNDS, None)
         inside = lambda a, b: (F.col("ns") >= a) & ((F.col("ns") < b) if b is not None else F.lit(True))

@@ -16,7 +16,7 @@ CLIP = f"least(end_ns, {HI}) - greatest(start_ns, {LO})"
 MEASURES = """CAST(count(*) AS BIGINT) AS n, CAST(sum({c}) AS BIGINT) AS total, CAST(round_even(avg({c}), 0) AS BIGINT) AS mean, min({c}) AS least, max({c}) AS most,
     quantile_disc({c}, 0.5) AS p50, quantile_disc({c}, 0.95) AS p95, quantile_disc({c}, 0.99) AS p99"""
 NS = MEASURES.format(c="ns")
-BYTES = "CAST(sum(bytes) AS BIGINT) AS bytes, sum(bytes) / sum(ns) AS gbps, sum(ns) / (SELECT sum(ns) FROM d) AS share"
+BYTES = "CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, coalesce(sum(bytes), 0) / sum(ns) AS gbps, sum(ns) / (SELECT sum(ns) FROM d) AS share"
 D = "WITH d AS (SELECT *, end_ns - start_ns AS ns FROM spans WHERE end_ns > start_ns)"
 
 

@@ -85,7 +85,7 @@ SQL = {
     "contexts": "SELECT DISTINCT device_id, context_id, process_id FROM spans",
     "launches": """SELECT event_id AS row_id, 'api_' || event_type || '_v' || CAST(k % 3 AS VARCHAR) AS name, (user_id % 2) * 16777216 + user_id % 4 AS global_tid, user_id % 2 AS process_id,
         event_id AS correlation_id, us * 1000 - 2000 AS start_ns, us * 1000 - 1000 AS end_ns FROM ev""",
-    "ranges": """SELECT start_ns // 1000000000 * 100 + (global_tid % 16777216 + 4 * (global_tid // 16777216)) * 2 + w AS range_id, global_tid, CAST(0 AS BIGINT) AS domain_id, name, 59 AS event_type, start_ns, start_ns + width * CAST(1000000 AS BIGINT)000 AS end_ns
+    "ranges": """SELECT start_ns // 1000000000 * 100 + (global_tid % 16777216 + 4 * (global_tid // 16777216)) * 2 + w AS range_id, global_tid, CAST(0 AS BIGINT) AS domain_id, name, 59 AS event_type, start_ns, start_ns + width * CAST(1000000000 AS BIGINT) AS end_ns
         FROM (SELECT DISTINCT (user_id % 2) * 16777216 + user_id % 4 AS global_tid, (us - us % (width * CAST(1000000 AS BIGINT))) * 1000 AS start_ns, name, width, w
               FROM ev, (VALUES ('day', 86400, 0), ('shift', 21600, 1)) AS x(name, width, w))""",
     "point_samples": """SELECT user_id % 4 AS type_id, event_type || CASE WHEN event_type = 'purchase' THEN ' [Requests]' ELSE ' [Throughput %]' END AS metric, us * 1000 AS ts_ns, value, event_id AS row_id FROM ev""",
