@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.plans import attribution, timeline  # noqa: F401
+from spanloom.plans import attribution, metrics, timeline  # noqa: F401
 from spanloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
