@@ -101,6 +101,8 @@ NEEDS = {"ev": (), "spans": ("ev",), "contexts": ("ev", "spans"), "launches": ("
 def with_tables(names: str, sql: str) -> str:
     """``sql`` after the common table expressions it needs; it may begin with further ones."""
     need = dict.fromkeys(x for n in names.split() for x in (*NEEDS[n], n))
-    head = "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in need)
-    sql = sql.strip()
+    tables = ", ".join(f"{n} AS ({SQL[n]})" for n in need)
+    head, sql = f"WITH {tables}", sql.strip()
+    if "{TABLES}" in sql:
+        return sql.replace("{TABLES}", tables)
     return f"{head}, {sql[5:]}" if sql.startswith("WITH ") else f"{head} {sql}"
