@@ -7,13 +7,15 @@ all but its ``match - 1`` most frequent pairs (prefix filter with one order, rar
 frequent passages fill the part left out. Candidates that collide often enough in the full
 signatures are confirmed on full shingle sets.
 
-Posting lists are merged in rounds. Each round takes pivots from every list, expected once,
-twice, four times, ... as many, by hash, until every member has been a pivot; members are
-joined with pivots, links are confirmed and components grown. Before a round, lists that lie
-in one component are skipped, and in other lists the members of the component that is most
-common there are skipped as members (they stay pivots). So a large group of near copies
-costs rows in proportion to its size, no list is ever paired with itself whole, and still
-every pair of a list that isn't in one component already has been compared.
+Posting lists are merged in rounds. The first joins every list with one pivot, its member of
+smallest hash; links are confirmed and components grown. Later rounds skip lists that lie in
+one component, and skip as members those of the component that is most common in a list (they
+stay pivots). Short lists are then done; long ones meet their next pivots by hash, eight times
+as many each round, until every member has been one or the list is in one component. Pairs
+are left out when what either shares with all others together is too little for the
+similarity, which is exact: a copy that was edited too much to be linked meets nobody. So a large
+group of near copies costs rows in proportion to its size, and still every pair of a list that
+isn't in one component already has been compared.
 
 With 48 coordinates and 28 matches a pair at similarity 0.85 exactly is missed with
 probability 2e-6, and less above.
@@ -90,7 +92,7 @@ def _shingles(width: int):
         for p in parts:
             raw = [shingle_hashes(t, width).tobytes() for t in p["text"]]
             right = [hashlib.blake2b(r, digest_size=16).digest() == c for r, c in zip(raw, p["cls"], strict=True)]
-            yield pd.DataFrame({"cls": p["cls"], "h": raw})[right]
+            yield pd.DataFrame({"c": p["c"], "h": raw})[right]
 
     return make
 
@@ -122,86 +124,111 @@ def _common(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(x, y, strict=True)], dtype="int32")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _as_longs(x: pd.Series) -> pd.Series:
+    return x.map(lambda b: np.frombuffer(b, dtype=np.int64))
+
+
 def _grow(links: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Components (cls, comp) of the links, starting from ``comps``: smallest label among
+    """Components (c, comp) of the links and of ``comps``: the smallest label among
     neighbours, then the label's own label, until nothing changes."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if comps is not None:  # a component that was known is a star around its label
-        known = comps.filter(F.col("cls") != F.col("comp"))
-        both = both.union(known.select("cls", "comp")).union(known.select("comp", "cls"))
-    both = stage(both.distinct(), "links")
-    label = stage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("cls"), F.least("a", "b").alias("comp")), "labels")
+        known = comps.filter(F.col("c") != F.col("comp"))
+        both = both.union(known.select("c", "comp")).union(known.select("comp", "c"))
+    both = stage(both, "links")
+    label = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("c"), F.least("a", "b").alias("comp"))
+    label = stage(label, "labels")
     while True:
-        near = stage(both.join(label.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.min("comp").alias("near")), "near")
-        low = stage(label.join(near.withColumnRenamed("a", "cls"), "cls").select("cls", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")), "low")
-        hop = low.select(F.col("cls").alias("comp"), F.col("comp").alias("next"))
-        nxt = stage(low.join(hop, "comp").select("cls", "was", F.least("comp", "next").alias("comp")), "labels")
-        label = nxt.select("cls", "comp")
-        if nxt.filter(F.col("was") != F.col("comp")).isEmpty():
+        near = both.join(label.withColumnRenamed("c", "b"), "b").select(F.col("a").alias("c"), "comp", F.lit(None).cast("long").alias("was"))
+        low = stage(near.union(label.select("c", "comp", F.col("comp").alias("was"))).groupBy("c").agg(F.min("comp").alias("comp"), F.max("was").alias("was")), "low")
+        if low.filter(F.col("was") != F.col("comp")).isEmpty():
             return label
+        hop = low.select(F.col("c").alias("comp"), F.col("comp").alias("next"))
+        label = stage(low.select("c", "comp").join(hop, "comp").select("c", F.least("comp", "next").alias("comp")), "labels")
 
 
-def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, coords: int = 48, match: int = 28) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept."""
+def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, coords: int = 48, match: int = 28, whole: int = 32, pivots: int = 64) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept. Lists of at most
+    ``whole`` members are compared pair by pair in the second round; longer ones against
+    ``pivots`` pivots, then eight times as many, and so on."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = stage(texts.mapInPandas(_sets(width, coords), "id long, n int, cls binary, sig binary"), "sets")
     named = sets.filter(F.col("id").isNotNull() & F.col("cls").isNotNull())
-    classes = stage(named.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = named.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = stage(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
-    tokens = stage(classes.select("cls", F.explode(_tokens(coords)("sig")).alias("token")), "tokens")
+    tokens = classes.select("c", F.explode(_tokens(coords)("sig")).alias("token"))
     shared = stage(tokens.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > 1), "shared")
-    own = tokens.join(shared, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))  # ``coords`` at most
+    own = tokens.join(shared, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))  # ``coords`` at most
     rarest = F.slice("own", F.lit(1), F.greatest(F.size("own") - (match - 1), F.lit(0)))
-    posts = own.select("cls", F.explode(rarest).alias("x")).select("cls", "x.df", "x.token")
-    draw = F.pmod(F.xxhash64("cls", F.lit(23)), F.lit(2**40)) / F.lit(float(2**40)) * F.col("df")
-    posts = stage(posts.withColumn("draw", draw), "posts")
+    posts = own.select("c", F.explode(rarest).alias("x")).select("c", "x.df", "x.token")
+    posts = stage(posts.withColumn("draw", F.xxhash64("c", F.lit(23))), "posts")
 
-    busy = posts.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
-    chosen = texts.join(busy.select(F.col("rep").alias("id"), "cls"), "id").select("cls", "text")
-    full = chosen.mapInPandas(_shingles(width), "cls binary, h binary").groupBy("cls").agg(F.first("h").alias("h"))
-    full = stage(full, "shingles")
-    sigs = classes.select("cls", "n", "sig")
+    busy = posts.select("c").distinct().join(classes.select("c", "cls", "rep"), "c")
+    chosen = texts.join(busy.select(F.col("rep").alias("id"), "c", "cls"), "id").select("c", "cls", "text")
+    full = stage(chosen.mapInPandas(_shingles(width), "c long, h binary").groupBy("c").agg(F.first("h").alias("h")), "shingles")
+    sigs = classes.select("c", "n", "sig")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that collide and then overlap enough."""
-        of = lambda d, side: d.select(*[F.col(c).alias(side if c == "cls" else f"{c}_{side}") for c in d.columns])
+        of = lambda d, side: d.select(*[F.col(k).alias(side if k == "c" else f"{k}_{side}") for k in d.columns])
         p = pairs.join(of(sigs, "a"), "a").join(of(sigs, "b"), "b").filter(_collisions("sig_a", "sig_b") >= match)
         p = stage(p.select("a", "b", "n_a", "n_b"), "pairs")
         p = p.join(of(full, "a"), "a").join(of(full, "b"), "b").withColumn("both", _common("h_a", "h_b"))
         return stage(p.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), "confirmed")
 
-    largest = posts.agg(F.max("df")).first()[0] or 0
-    comps: DataFrame | None = None
-    lo, width_now, open_posts = 0, 1, posts.withColumn("comp", F.col("cls"))
-    while lo < largest:
-        pivots = stage(open_posts.filter((F.col("draw") >= lo) & (F.col("draw") < lo + width_now)).select("token", F.col("cls").alias("b"), F.col("comp").alias("comp_b")), "pivots")
-        members = open_posts if lo == 0 else open_posts.filter(~F.col("common"))
-        met = members.select("token", F.col("cls").alias("a"), "comp").join(pivots, "token").filter((F.col("comp") != F.col("comp_b")) & (F.col("a") != F.col("b")))
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = confirmed(stage(met, "met"))
-        if comps is not None or not links.isEmpty():
-            comps = comps if links.isEmpty() else stage(_grow(links, comps), "comps")
-        lo, width_now = lo + width_now, width_now * 2
-        if lo >= largest:
-            break
-        labelled = posts if comps is None else posts.join(comps, "cls", "left")
-        labelled = labelled.withColumn("comp", F.coalesce("comp", "cls")) if comps is not None else posts.withColumn("comp", F.col("cls"))
-        labelled = stage(labelled.filter(F.col("df") > lo), "labelled")
-        held = labelled.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        lists = held.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "comp")).alias("top")).filter(F.col("kinds") > 1)
-        lists = stage(lists.select("token", F.col("top.comp").alias("top")), "lists")
-        open_posts = stage(labelled.join(lists, "token").withColumn("common", F.col("comp") == F.col("top")).drop("top"), "open")
-        if open_posts.isEmpty():
+    def ordered(met: DataFrame) -> DataFrame:
+        return stage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+
+    def able(some: DataFrame) -> DataFrame:
+        """Of classes that may still be compared with each other, n and ``most``, the shingles
+        that any of the others has too; those that can't reach the similarity are left out."""
+        own = some.join(full, "c").select("c", F.explode(_as_longs("h")).alias("s"))
+        own = stage(own, "own_shingles")
+        met = own.groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") > 1).select("s")
+        most = own.join(stage(met, "met_shingles"), "s").groupBy("c").agg(F.count("*").alias("most"))
+        both = most.join(classes.select("c", "n"), "c").filter(100 * F.col("most") >= percent * F.col("n"))
+        return stage(both, "bounds")
+
+    # first round: every list against its member of smallest hash, which lists of one group share
+    first = posts.groupBy("token").agg(F.min(F.struct("draw", "c")).alias("m")).select("token", F.col("m.c").alias("b"))
+    met = ordered(posts.select("token", F.col("c").alias("a")).join(stage(first, "pivots"), "token").filter("a != b"))
+    links = confirmed(met)
+    comps = None if links.isEmpty() else _grow(links, None)
+
+    lo, step, bounds = 0, pivots, None
+    while True:
+        labelled = posts.withColumn("comp", F.col("c")) if comps is None else posts.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        labelled = labelled.filter(F.col("df") > (0 if lo == 0 else max(lo, whole)))
+        labelled = stage(labelled if bounds is None else labelled.join(bounds, "c"), "labelled")
+        lists = labelled.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "comp")).alias("top"))
+        lists = stage(lists.filter(F.col("kinds") > 1).select("token", F.col("top.comp").alias("top")), "lists")
+        if lists.isEmpty():
             break
-
-    reps = classes.select("cls", "rep")
+        open_posts = labelled.join(lists, "token").withColumn("common", F.col("comp") == F.col("top")).drop("top")
+        if bounds is None:
+            open_posts = stage(open_posts, "open")
+            bounds = able(open_posts.select("c").distinct())
+            open_posts = open_posts.join(bounds, "c")
+        open_posts = stage(open_posts, "able")
+        share = F.pmod(F.col("draw"), F.lit(2**40)) / F.lit(float(2**40)) * F.col("df")
+        now = (F.col("df") <= whole) | ((share >= lo) & (share < lo + step))
+        pivot = open_posts.filter(now).select("token", F.col("c").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"))
+        member = open_posts.filter(~F.col("common")).select("token", F.col("c").alias("a"), "comp", "n", "most")
+        near = (100 + percent) * F.least("most", "most_b") >= percent * (F.col("n") + F.col("n_b"))
+        links = confirmed(ordered(member.join(stage(pivot, "pivots"), "token").filter((F.col("comp") != F.col("comp_b")) & near)))
+        if not links.isEmpty():
+            comps = _grow(links, comps)
+        lo, step = lo + step, step * 8
+
+    reps = classes.select("cls", "c", "rep")
     if comps is None:
-        final = reps.withColumnRenamed("rep", "component_id")
+        final = reps.select("cls", F.col("rep").alias("component_id"))
     else:
-        joined = stage(reps.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "final")
+        joined = stage(reps.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c")), "final")
         final = joined.join(joined.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("cls", "component_id")
-    final = stage(final, "components")
-    out = sets.select("id", "n", "cls").join(final, "cls", "left")
+    out = sets.select("id", "n", "cls").join(stage(final, "components"), "cls", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias("id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
