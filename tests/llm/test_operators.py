@@ -1,0 +1,340 @@
+"""The ten operators and the pipeline against brute force, exact round trips and held-out rows."""
+
+import hashlib
+import random
+import re
+import tempfile
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spanloom.llm import ann, bpe, licenses, mixing, neardup, pii, quality, rules, urls, warc
+
+DATA = "/root/testdata/sf0.001"
+ODD = [None, "", " \n\t ", "a", "a b", "a b c", "A b C a B c", "x y z\nx y z\n\n", "é 😀 字\x1c a\x85b", "w " * 30_000, "r s t u v " * 4000, "a b c", "a b c"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, long, tied and repeated texts, a null id, a null source, a clashing column."""
+    rows = [(i, t, "s" if i % 2 else None, 1, "x") for i, t in enumerate(ODD)] + [(None, "no id here", "s", 2, "x"), (0, "again", None, 3, "x"), (5, "a b c", "s", 3, "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, size long, score string").withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+# -- 1 ----------------------------------------------------------------------------------------
+
+
+def test_ann_recall_and_exact_scores(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = ann.nearest(e, F.col("id") % 20 == 0).collect()
+    rows = e.collect()
+    x, ids = np.array([r["embedding"] for r in rows], dtype=np.float64), np.array([r["vec_id"] for r in rows])
+    at = {v: i for i, v in enumerate(ids)}
+    found = 0
+    for q in {r["query_id"] for r in got}:
+        s = x @ x[at[q]]
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 21))
+        assert all(abs(r["score"] - s[at[r["vec_id"]]]) < 1e-12 for r in mine)
+        s[at[q]] = -9
+        found += len({r["vec_id"] for r in mine} & set(ids[np.argsort(-s)[:20]]))
+    assert found / len(got) >= 0.9
+
+
+def test_ann_odd_vectors_and_ties(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, []), (20, [0.5, 1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("id") % 20 == 0).collect())
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 1, 0.5), (20, 3, 2, 0.5)]
+    assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+# -- 2 ----------------------------------------------------------------------------------------
+
+
+def test_mix_meets_targets_within_one_document(docs):
+    rows = mixing.mix(docs).select("source", "doc_id", "__mix.*").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["source"], []).append(r)
+    assert len(rows) == docs.count()
+    for rs in by.values():
+        taken = sum(r["copies"] * r["size"] for r in rs)
+        assert abs(taken - rs[0]["target"]) <= max(r["size"] for r in rs)
+        assert all(r["copies"] <= 3 and r["source_size"] == sum(x["size"] for x in rs) for r in rs)
+    assert abs(sum(rs[0]["target"] for rs in by.values()) - sum(r["size"] for r in rows)) < 1e-6 * len(rows)
+    assert mixing.emit(docs).count() == sum(r["copies"] for r in rows)
+
+
+def test_mix_caps_and_odd_rows(spark, odd):
+    sizes = spark.createDataFrame([("0a", 10), ("0b", 1000), ("0c", 0)], "key string, source_size long")
+    t = {r["key"]: r["target"] for r in mixing.targets(sizes).collect()}
+    assert t == {"0a": 30.0, "0b": 980.0, "0c": 0.0}
+    got = mixing.mix(odd).collect()
+    assert len(got) == odd.count() and {r["__mix"]["size"] for r in got if r["text"] is None} == {0}
+    assert mixing.mix(odd.limit(0)).count() == 0
+
+
+# -- 3 ----------------------------------------------------------------------------------------
+
+
+def base(t):
+    t, out = t or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(x) <= 255 for x in m.group().split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m.group() if c.isdigit()][::-1]
+        if 14 <= len(d) <= 19 and sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 10 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_pii_base_spans(spark, odd):
+    r = random.Random(3)
+    texts = ODD + ["a@b.c_d@e.f x@y a@b@c.d", "1.2.3.4.5.6.7.8 999.1.2.3.4", "4111 1111 1111 1111-4111111111111111 5", "x" * 5000 + "@" + "a." * 3000 + "b", "9" * 30000, "1." * 9000]
+    for chars, n in (("0123456789..@@ab+- ()_%é😀\n", 300), ("0123456789 -", 200), ("0125.", 200)):
+        texts += ["".join(r.choice(chars) for _ in range(r.randint(0, 60))) for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: [tuple(s) for s in x["__base"]] for x in pii.detect(df, keep=["doc_id"]).collect()}
+    assert got == {i: base(t) for i, t in enumerate(texts)}
+    assert pii.detect(odd).count() == odd.count() and pii.detect(odd.limit(0)).count() == 0
+
+
+def test_pii_learns_from_context(spark):
+    rows = [(i, f"please contact me at user{i}@mail.example.com today {i}") for i in range(8)] + [(90, "please contact me at #user-12345 today"), (91, "costs about 12345 today")]
+    got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(x) for x in got[90]["__spans"]] == [(21, 0, 32)] or "user-12345" in rows[8][1][slice(*[got[90]["__spans"][0][k] for k in ("s", "e")])]
+    assert got[91]["__spans"] == [] and got[0]["__spans"] == got[0]["__base"]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[0] == "please contact me at <email> today 0" and clean[91] == rows[9][1]
+
+
+# -- 4 ----------------------------------------------------------------------------------------
+
+
+def shingles(t, k=3):
+    w = (t or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def groups(rows, k=3, percent=85):
+    sets, root = {i: shingles(t, k) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids:
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_near_duplicates_match_all_pairs(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    rows = []
+    for _ in range(12):
+        text = [word() for _ in range(r.choice([2, 5, 40, 150]))]
+        for _ in range(12):
+            copy = list(text)
+            for _ in range(r.choice([0, 0, 1, 2, 4, 9])):
+                copy[r.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    got = neardup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["id"]: (x["n_shingles"], x["component_id"]) for x in got} == groups(rows)
+    assert all(x["kept"] == (x["id"] == x["component_id"]) for x in got)
+
+
+def test_near_duplicates_odd_rows(odd):
+    got = neardup.components(odd).collect()
+    assert len(got) == odd.count() and {(x["n_shingles"], x["component_id"], x["kept"]) for x in got if x["id"] == 2} == {(0, 2, True)}
+    assert {x["component_id"] for x in got if x["id"] in (5, 11, 12)} == {5} and [x["kept"] for x in got if x["id"] is None] == [True]
+    assert neardup.components(odd.limit(0)).count() == 0
+    assert sorted(r["doc_id"] for r in neardup.deduplicated(odd.filter("doc_id is not null")).collect()) == sorted({x["id"] for x in got if x["kept"] and x["id"] is not None})
+
+
+# -- 5 ----------------------------------------------------------------------------------------
+
+
+def test_quality_is_right_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    s = quality.op5_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").collect()
+    assert sum(r["predicted"] == r["quality"] for r in s) / len(s) > 0.95 and all(0 <= r["score"] <= 1 for r in s)
+
+
+def test_quality_odd_rows_and_labels(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["__score"] for r in quality.classify(odd, none).collect()} == {0.5}
+    some = spark.createDataFrame([(i, i % 2, 0) for i in range(13)] + [(None, 1, 0), (1, None, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(odd, some).collect()
+    assert len(got) == odd.count() and all(0 <= r["__score"] <= 1 for r in got)
+    assert quality.classify(odd.limit(0), some).count() == 0
+
+
+# -- 6 ----------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark):
+    long = "é" * 60
+    rows = [(4, "u", long), (3, "u", long), (5, None, None), (6, "u\r\nx", "short"), (7, "u", "short"), (None, "u", long), (3, "v", long), (9, "u", "z" * 5000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    index = warc.write(df, "file://" + tempfile.mkdtemp(prefix="spark-warc-"), frame_bytes=600)
+    got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"], len(r["payload"] or b"")) for r in warc.read(index).collect())
+    assert got == sorted([("4", "revisit", 3, 0), ("3", "response", None, 120), ("5", "response", None, 0), ("6", "response", None, 5), ("7", "response", None, 5), ("None", "revisit", 3, 0), ("3", "response", None, 120), ("9", "response", None, 5000)])
+    for b, frames in {r["bundle"]: r for r in index.collect()}.items():
+        table = warc.read_seek_table(b)
+        assert sum(c for c, _ in table[: frames["frame"]]) == frames["frame_at"] and table[frames["frame"]][0] == frames["frame_size"]
+    assert warc.write(df.limit(0), "file://" + tempfile.mkdtemp(prefix="spark-warc-")).count() == 0
+
+
+# -- 7 ----------------------------------------------------------------------------------------
+
+
+def counts(t):
+    t = t or ""
+    w = re.findall("[^\x20\x09-\x0d]+", t)
+    at, seen, dup = {}, set(), 0
+    for i in range(len(w) - 2):
+        at.setdefault(tuple(w[i : i + 3]), []).append(i)
+    covered = {p + k for v in at.values() if len(v) > 1 for p in v for k in range(3)}
+    for line in t.split("\n"):
+        if re.search("[^\x20\x09-\x0d]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+def test_rule_statistics(odd, docs):
+    d = odd.select("doc_id", "text").union(docs.select("doc_id", "text"))
+    for r in rules.statistics(d).collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counts(r["text"])
+
+
+def test_rules_learn_a_conjunction(spark, odd):
+    r = random.Random(1)
+    rows = []
+    for _ in range(900):
+        x, y = r.random(), r.random()
+        rows.append((x > 0.6 and y > 0.5, r.randrange(3), (x, y) + (0.0,) * (len(rules.STATS) - 2)))
+    ddl = "bad boolean, fold int, stats struct<" + ",".join(f"{s}:double" for s in rules.STATS) + ">"
+    df = spark.createDataFrame(rows, ddl)
+    learned = rules.learn(df)
+    right = df.filter(learned.verdict() != F.col("bad")).count()
+    assert right / len(rows) > 0.95 and "and" in str(learned)
+    none = rules.learn(rules.labelled_rows(rules.statistics(odd), spark.createDataFrame([], "doc_id long, quality int")))
+    assert str(none) == "\nelse keep"
+
+
+# -- 8 ----------------------------------------------------------------------------------------
+
+
+def test_licenses(spark, odd, docs):
+    more = ["released UNDER the (MIT) license", "x " * 70 + "This work is licensed under the GNU General Public License version 4", "licensed under the apache license version"]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate([*more, *ODD])], "doc_id long, text string"))
+    clean = lambda t: [w for w in re.sub(r"[\W_]+", " ", (t or "").lower()).split(" ") if w]
+    want = set()
+    for r in d.collect():
+        w = clean(r["text"])
+        s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        for name, text in licenses.NOTICES.items():
+            t = clean(text)
+            ts = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+            if len(ts & s) >= 0.8 * len(ts):
+                want.add((r["doc_id"], name))
+    got = {(r["id"], r["name"]) for r in licenses.scan(d, licenses.notices(spark)).collect()}
+    assert got == want and (10_000, "MIT") in got
+    assert licenses.scan(odd.limit(0), licenses.notices(spark)).count() == 0
+
+
+# -- 9 ----------------------------------------------------------------------------------------
+
+
+def test_url_lists_as_of_the_fetch(spark):
+    e = [("domain", "bad.com", "add", 10), ("domain", "bad.com", "remove", 20), ("domain", "bad.com", "add", 15), ("url", "x.org/a?b=1", "add", 0), ("prefix", "y.net/p", "add", 5), ("domain", None, "add", 1), ("domain", "z.com", "remove", 3), ("domain", "z.com", "add", 3)]
+    c = [(1, "http://a.bad.com/q", 9), (2, "http://A.BAD.com:80/q", 10), (3, "https://bad.com", 19), (4, "https://bad.com", 20), (5, "http://www.x.org/a?b=1#f", 1), (6, "http://x.org/a", 1), (7, "http://y.net/p/q?r", 6), (8, "http://y.net/pq", 6), (9, None, 6), (10, "http://bad.com", None), (11, "nonsense", 6), (12, "http://z.com", 4), (3, "https://bad.com", 19)]
+    got = urls.listed(spark.createDataFrame(c, "page_id long, url string, fetched_at long"), spark.createDataFrame(e, "kind string, value string, action string, at long"))
+    assert sorted((r["page_id"], r["blocked"]) for r in got.collect()) == sorted([(1, False), (2, True), (3, True), (4, False), (5, True), (6, False), (7, True), (8, False), (9, False), (10, False), (11, False), (12, True), (3, True)])
+
+
+# -- 10 ---------------------------------------------------------------------------------------
+
+
+def test_bpe_matches_the_library_and_decodes(spark, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ref, v, r = Tokenizer.from_file(path), bpe.vocabulary(path), random.Random(1)
+    letters = ["a", "e", "th", "er", "é", " ", "  ", "\n", "'", "s", "re", "1", "23", "!", "😀", "<|endoftext|>", "字", "\t", "."]
+    texts = [t or "" for t in ODD] + [" " * 50000 + "x", "a" * 70000, "'" * 20000 + "s're", "é" * 20000 + "1", "the" * 20000, "a<|endoftext|>b", "a" * 65530 + "'re x", "\U00013460a1\U00032350"]
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(500)] + ["".join(r.choice(letters[:6]) for _ in range(50000))]
+    for t in texts:
+        want = ref.encode(t, add_special_tokens=False).ids
+        assert [int(x) for part in bpe.encoded(v, t) for x in part.split(",")] == want
+    df = spark.createDataFrame(list(enumerate(texts[:60])), "doc_id long, text string")
+    back = bpe.decode(bpe.encode(df, keep=["doc_id", "text"])).collect()
+    assert all(x["decoded"] == x["text"] for x in back)
+    one = {x["doc_id"]: x for x in bpe.digest(df).collect()}[13]
+    ids = ref.encode(texts[13], add_special_tokens=False).ids
+    assert (one["n_tokens"], one["ids_sha256"], one["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[13].encode()).hexdigest())
+    assert bpe.digest(odd).count() == odd.count()
+
+
+def test_lookahead_bounds_the_context():
+    assert bpe.lookahead([(b"a", b"b"), (b"ab", b"c")]) == 2
+    assert bpe.lookahead([(b"ab", b"c")]) is None
+    v = bpe.vocabulary(bpe.default_path())
+    r = random.Random(9)
+    for _ in range(60):
+        t = "".join(r.choice(["a", "b", "th", "he", "in", "er"]) for _ in range(600)).encode()
+        cut = len(t) - r.randrange(1, 200)
+        ends = lambda ids: set(np.cumsum([v.sizes[i] for i in ids]).tolist())
+        assert {e for e in ends(v.merge(t)) if e <= cut - v.ahead} == {e for e in ends(v.merge(t[:cut])) if e <= cut - v.ahead}
+
+
+# -- pipeline -----------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, tmp_path, odd):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    now = docs
+    for name, step in p.STAGES:
+        before, now = now, step(spark, now, DATA)
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        if name != p.STAGES[-1][0]:
+            assert now.columns == list(docs.columns)
+        if name == "quality":
+            labels = spark.read.parquet(f"{DATA}/labels.parquet")
+            assert before.join(labels.filter("quality = 1"), "doc_id").join(now, "doc_id", "left_anti").count() <= 3
+        if name == "near-duplicates":
+            want = {i for i, (_, g) in groups([(r["doc_id"], r["text"]) for r in before.collect()], 5, 80).items() if i == g}
+            assert {r["doc_id"] for r in now.collect()} == want
+        if name == "personal data":
+            assert not any(base(r["text"]) for r in now.collect())
+    assert now.count() and now.filter("n_tokens <> size(ids)").count() == 0
+    odd.write.parquet(str(tmp_path / "odd"))
+    now = spark.read.parquet(str(tmp_path / "odd"))
+    for name, step in p.STAGES:
+        now = step(spark, now, DATA)
+    assert now.count() >= 0
