@@ -18,6 +18,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_mix": mixing.OP2_SQL,
     "op6_warc": warc.OP6_SQL,
-    "op8_licenses": licenses.op8_licenses,
     "op9_urls": urls.OP9_SQL,
 }
