@@ -7,15 +7,16 @@ all but its ``match - 1`` most frequent pairs (prefix filter with one order, rar
 frequent passages fill the part left out. Candidates that collide often enough in the full
 signatures are confirmed on full shingle sets.
 
-Posting lists are merged in rounds. The first joins every list with one pivot, its member of
-smallest hash; links are confirmed and components grown. Later rounds skip lists that lie in
-one component, and skip as members those of the component that is most common in a list (they
-stay pivots). Short lists are then done; long ones meet their next pivots by hash, eight times
-as many each round, until every member has been one or the list is in one component. Pairs
-are left out when what either shares with all others together is too little for the
-similarity, which is exact: a copy that was edited too much to be linked meets nobody. So a large
-group of near copies costs rows in proportion to its size, and still every pair of a list that
-isn't in one component already has been compared.
+Posting lists are merged in two rounds. The first joins every list with one pivot, its member
+of smallest hash; links are confirmed and components grown. Lists that lie in one component
+are then skipped. Members of the others post themselves again, under their rarest shingles:
+of two similar classes each has one among the first few of its order that the other has too,
+at places that leave room for the overlap needed (prefix and position filter, both exact).
+Lists in one component are skipped again, and in the rest the members of the commonest
+component meet only members of others. So a large group of near copies costs rows in
+proportion to its size, a copy edited too much to be linked meets nobody, and no link between
+components is lost. Before that, ``stars`` times, each list meets ``pivots`` members only of
+its commonest component and as many others, which joins most fragments of a group.
 
 With 48 coordinates and 28 matches a pair at similarity 0.85 exactly is missed with
 probability 2e-6, and less above.
@@ -35,6 +36,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,10 +150,8 @@ def _grow(links: DataFrame, comps: DataFrame | None) -> DataFrame:
         label = stage(low.select("c", "comp").join(hop, "comp").select("c", F.least("comp", "next").alias("comp")), "labels")
 
 
-def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, coords: int = 48, match: int = 28, whole: int = 32, pivots: int = 64) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept. Lists of at most
-    ``whole`` members are compared pair by pair in the second round; longer ones against
-    ``pivots`` pivots, then eight times as many, and so on."""
+def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, coords: int = 48, match: int = 28, stars: int = 2, pivots: int = 16) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = stage(texts.mapInPandas(_sets(width, coords), "id long, n int, cls binary, sig binary"), "sets")
     named = sets.filter(F.col("id").isNotNull() & F.col("cls").isNotNull())
@@ -181,15 +181,22 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     def ordered(met: DataFrame) -> DataFrame:
         return stage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
 
-    def able(some: DataFrame) -> DataFrame:
-        """Of classes that may still be compared with each other, n and ``most``, the shingles
-        that any of the others has too; those that can't reach the similarity are left out."""
-        own = some.join(full, "c").select("c", F.explode(_as_longs("h")).alias("s"))
-        own = stage(own, "own_shingles")
-        met = own.groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") > 1).select("s")
-        most = own.join(stage(met, "met_shingles"), "s").groupBy("c").agg(F.count("*").alias("most"))
-        both = most.join(classes.select("c", "n"), "c").filter(100 * F.col("most") >= percent * F.col("n"))
-        return stage(both, "bounds")
+    def prefixes(some: DataFrame) -> DataFrame:
+        """Of classes (c, comp), the shingles by which a similar one has to be met, with their
+        place in the class's order, rarest first: s, c, comp, n, i."""
+        own = stage(some.join(full, "c").select("c", F.explode(_as_longs("h")).alias("s")), "own_shingles")
+        met = stage(own.groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") > 1), "met_shingles")
+        per = own.join(met, "s").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("met"))
+        per = per.join(some, "c").join(classes.select("c", "n"), "c").withColumn("alone", F.col("n") - F.size("met"))
+        room = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - F.col("alone")
+        per = per.filter(room > 0).select("c", "comp", "n", "alone", F.posexplode(F.slice("met", F.lit(1), room.cast("int"))).alias("at", "m"))
+        return per.select(F.col("m.s").alias("s"), "c", "comp", "n", (F.col("at") + F.col("alone")).alias("i"))
+
+    def open_lists(posted: DataFrame, key: str) -> DataFrame:
+        """``posted`` in lists that span components; ``common``: in the commonest one there."""
+        lists = posted.groupBy(key, "comp").agg(F.count("*").alias("k")).groupBy(key).agg(F.count("*").alias("kinds"), F.max(F.struct("k", "comp")).alias("top"))
+        lists = stage(lists.filter(F.col("kinds") > 1).select(key, F.col("top.comp").alias("top")), "lists")
+        return stage(posted.join(lists, key).withColumn("common", F.col("comp") == F.col("top")).drop("top"), "open")
 
     # first round: every list against its member of smallest hash, which lists of one group share
     first = posts.groupBy("token").agg(F.min(F.struct("draw", "c")).alias("m")).select("token", F.col("m.c").alias("b"))
@@ -197,30 +204,26 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     links = confirmed(met)
     comps = None if links.isEmpty() else _grow(links, None)
 
-    lo, step, bounds = 0, pivots, None
-    while True:
-        labelled = posts.withColumn("comp", F.col("c")) if comps is None else posts.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        labelled = labelled.filter(F.col("df") > (0 if lo == 0 else max(lo, whole)))
-        labelled = stage(labelled if bounds is None else labelled.join(bounds, "c"), "labelled")
-        lists = labelled.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "comp")).alias("top"))
-        lists = stage(lists.filter(F.col("kinds") > 1).select("token", F.col("top.comp").alias("top")), "lists")
-        if lists.isEmpty():
-            break
-        open_posts = labelled.join(lists, "token").withColumn("common", F.col("comp") == F.col("top")).drop("top")
-        if bounds is None:
-            open_posts = stage(open_posts, "open")
-            bounds = able(open_posts.select("c").distinct())
-            open_posts = open_posts.join(bounds, "c")
-        open_posts = stage(open_posts, "able")
-        share = F.pmod(F.col("draw"), F.lit(2**40)) / F.lit(float(2**40)) * F.col("df")
-        now = (F.col("df") <= whole) | ((share >= lo) & (share < lo + step))
-        pivot = open_posts.filter(now).select("token", F.col("c").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"))
-        member = open_posts.filter(~F.col("common")).select("token", F.col("c").alias("a"), "comp", "n", "most")
-        near = (100 + percent) * F.least("most", "most_b") >= percent * (F.col("n") + F.col("n_b"))
-        links = confirmed(ordered(member.join(stage(pivot, "pivots"), "token").filter((F.col("comp") != F.col("comp_b")) & near)))
+    # second round: what is open is met by its rarest shingles
+    labelled = posts.withColumn("comp", F.col("c")) if comps is None else posts.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    left = open_lists(stage(labelled.select("token", "c", "comp"), "labelled"), "token").select("c", "comp").distinct()
+    left = open_lists(stage(prefixes(stage(left, "left")), "prefixes"), "s")
+    side = lambda d, x: d.select("s", F.col("c").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("comp", "n", "i")])
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    reach = (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") - F.col("i_a") >= need) & (F.col("n_b") - F.col("i_b") >= need)
+    for salt in range(stars + 1):
+        if salt < stars:  # lists against a few members of either side
+            draw = W.partitionBy("s", "common").orderBy(F.xxhash64("c", F.lit(salt)))
+            some = left.withColumn("r", F.row_number().over(draw)).filter(F.col("r") <= pivots)
+            met = side(left, "a").join(side(stage(some, "pivots"), "b"), "s")
+        else:  # then all that still lies in different components
+            met = side(left.filter(~F.col("common")), "a").join(side(left, "b"), "s")
+        links = confirmed(ordered(met.filter(reach)))
         if not links.isEmpty():
             comps = _grow(links, comps)
-        lo, step = lo + step, step * 8
+            if salt < stars:
+                now = left.drop("comp", "common").join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+                left = open_lists(stage(now, "relabelled"), "s")
 
     reps = classes.select("cls", "c", "rep")
     if comps is None:
