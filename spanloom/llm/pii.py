@@ -1,11 +1,11 @@
 """Operator 3 - personal data by bootstrapped contextual extraction, DataFrame functions only.
 
 Seeds are the base spans: email, ip, card and phone by fixed patterns and checks. The words
-around seeds are lexical patterns; patterns and the identifier-like tokens found in them form
+around seeds are lexical patterns; patterns and the runs of identifier-like tokens in them form
 a graph that Spark scores in rounds: a pattern's score is the mean score of its instances
 (shrunk by ``prior``), an unseen instance's score the best of its patterns, a seed's 1.
 Patterns that end above ``accept`` with ``support`` different seeds add the unseen tokens they
-surround, under the kind most of their seeds have.
+surround, under the kind most of their seeds have; how many digits a run has decides nothing.
 
 Only patterns with that support and an unseen instance enter the graph; others can add
 nothing. Texts are scanned once, in the JVM; the graph holds contexts, not texts.
@@ -34,8 +34,12 @@ IP = r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
 #: A maximal run of digits with single separators, if it has 14 to 19 digits.
 CARD = r"[0-9](?<![0-9][ -]?[0-9])(?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: A token that may be an identifier: it holds a digit or an at sign.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A token that may belong to an identifier: it holds a digit or an at sign, or is the bank's
+#: four letters in an account number written in groups.
+TOKEN = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+|(?<=(?<![^\x20\x09-\x0D])[A-Z]{2}[0-9]{2}[\x20\x09-\x0D])[A-Z]{4}(?=[\x20\x09-\x0D][0-9]))"
+#: What is cut from the start of a run of tokens: a label glued to a number, opening marks; the
+#: parenthesis of an area code stays.
+HEAD = r"^(?:\p{L}+[:=](?=[\"'(\[{<]*[0-9]))?(?:[\"'\[{<]|\((?![0-9]+\).*[\p{L}\p{N}]))*"
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
 SPAN = "array<struct<s:int,e:int,kind:int,value:string,left:string,right:string>>"
 #: Code points of context that are looked at on either side.
@@ -62,23 +66,32 @@ def _holds(kind: int, value: Column) -> Column:
 
 def _found(text: Column, pattern: str, kind: int) -> Column:
     """All matches with offsets and context. Splitting and extracting by one pattern give the
-    pieces between matches and the matches; their lengths add up to the offsets."""
+    pieces between matches and the matches; their lengths add up to the offsets. Contexts are
+    those of the whole text: the left one is carried along, the right one against the order."""
 
     def pieces_and_hits(both: Column) -> Column:
         pieces, hits = both["pieces"], both["hits"]
 
-        def step(acc: Column, i: Column) -> Column:
+        def back(acc: Column, i: Column) -> Column:
+            right = F.left(F.concat(F.element_at(pieces, i + 1), acc["head"]), F.lit(NEAR))
+            head = F.left(F.concat(F.element_at(hits, i), right), F.lit(NEAR))
+            return F.struct(head.alias("head"), F.concat(acc["out"], F.array(right)).alias("out"))
+
+        def step(rights: Column, acc: Column, i: Column) -> Column:
             piece, hit = F.element_at(pieces, i), F.element_at(hits, i)
             s = acc["pos"] + F.char_length(piece)
             e = s + F.char_length(hit)
-            one = F.struct(
-                s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"), hit.alias("value"),
-                F.right(piece, F.lit(NEAR)).alias("left"), F.left(F.element_at(pieces, i + 1), F.lit(NEAR)).alias("right"),
-            )
-            return F.struct(e.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
+            left = F.right(F.concat(acc["tail"], piece), F.lit(NEAR))
+            one = F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"), hit.alias("value"), left.alias("left"), F.element_at(rights, -i).alias("right"))
+            return F.struct(e.alias("pos"), F.right(F.concat(left, hit), F.lit(NEAR)).alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        def forth(rights: Column) -> Column:
+            start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
+            return F.aggregate(F.sequence(F.lit(1), F.size(hits)), start, lambda acc, i: step(rights, acc, i))["out"]
 
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
-        return F.when(F.size(hits) == 0, F.array().cast(SPAN)).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(hits)), start, step)["out"])
+        start = F.struct(F.lit("").alias("head"), F.array().cast("array<string>").alias("out"))
+        rights = F.aggregate(F.sequence(F.size(hits), F.lit(1), F.lit(-1)), start, back)["out"]
+        return F.when(F.size(hits) == 0, F.array().cast(SPAN)).otherwise(F.element_at(F.transform(F.array(rights), forth), 1))
 
     both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
     all_found = F.element_at(F.transform(F.array(both), pieces_and_hits), 1)
@@ -100,30 +113,54 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(by)
 
 
-def _tokens(text: Column, base: Column, digits: int) -> Column:
-    """Identifier-like tokens outside the base spans, without punctuation at their ends; they
-    hold an at sign or ``digits`` digits."""
+def _tokens(text: Column, base: Column) -> Column:
+    """Candidates: runs of identifier-like tokens with nothing but whitespace (``NEAR`` code
+    points at most) between them, outside the base spans, without punctuation at their ends.
+    Whitespace in their values is one space; the offsets are those of the text."""
 
-    def trim(x: Column) -> Column:
-        head = F.regexp_extract(x["value"], r"^[\"'(\[{<]*", 0)
-        body = F.regexp_extract(F.substring(x["value"], F.char_length(head) + 1, F.char_length(x["value"])), r"^.*[\p{L}\p{N}]", 0)
-        s = x["s"] + F.char_length(head)
-        return F.struct(s.alias("s"), F.lit(-1).alias("kind"), (s + F.char_length(body)).alias("e"), body.alias("value"), x["left"].alias("left"), x["right"].alias("right"))
-
-    def wanted(x: Column) -> Column:
-        enough = F.contains(x["value"], F.lit("@")) | (F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= digits)
-        return enough & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-
-    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(_found(text, TOKEN, -1), trim), wanted)).otherwise(F.slice(base, 1, 0))
+    def runs(tokens: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            x, before = F.element_at(tokens, i), F.element_at(tokens, F.greatest(i - 1, F.lit(1)))
+            bad = ~x["value"].rlike(r"[\p{L}\p{N}]") | F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+            gap = x["s"] - before["e"]
+            joins = (acc["first"] > 0) & (gap <= NEAR) & F.right(x["left"], gap).rlike(r"^[\x20\x09-\x0D]*$")
+            ends = (acc["first"] > 0) & (bad | ~joins)
+            run = F.struct(acc["first"].alias("a"), (i - 1).alias("b"))
+            first = F.when(bad, F.lit(0)).when(joins, acc["first"]).otherwise(i)
+            return F.struct(first.alias("first"), F.when(ends, F.concat(acc["out"], F.array(run))).otherwise(acc["out"]).alias("out"))
+
+        def last(acc: Column) -> Column:
+            run = F.struct(acc["first"].alias("a"), F.size(tokens).alias("b"))
+            return F.when(acc["first"] > 0, F.concat(acc["out"], F.array(run))).otherwise(acc["out"])
+
+        def trim(run: Column) -> Column:
+            a, b = F.element_at(tokens, run["a"]), F.element_at(tokens, run["b"])
+            whole = F.array_join(F.transform(F.slice(tokens, run["a"], run["b"] - run["a"] + 1), lambda x: x["value"]), " ")
+            head = F.regexp_extract(whole, HEAD, 0)
+            tail = F.regexp_extract(b["value"], r"[^\p{L}\p{N}]*$", 0)
+            n = F.char_length(head)
+            body = F.substring(whole, n + 1, F.char_length(whole) - n - F.char_length(tail))
+            left, right = F.right(F.concat(a["left"], head), F.lit(NEAR)), F.left(F.concat(tail, b["right"]), F.lit(NEAR))
+            return F.struct((a["s"] + n).alias("s"), F.lit(-1).alias("kind"), (b["e"] - F.char_length(tail)).alias("e"), body.alias("value"), left.alias("left"), right.alias("right"))
+
+        start = F.struct(F.lit(0).alias("first"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+        found = F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, last)
+        return F.when(F.size(tokens) == 0, F.slice(base, 1, 0)).otherwise(F.transform(found, trim))
+
+    found = F.element_at(F.transform(F.array(_found(text, TOKEN, -1)), runs), 1)
+    return F.when(text.rlike("[0-9@]"), found).otherwise(F.slice(base, 1, 0))
 
 
 def _patterns(x: str) -> Column:
-    """The two words before, and the word before with the word after; a pattern holds a letter."""
+    """The two words before, the word before with the word after, and the two words after; a
+    pattern holds a letter. Marks that open or close around the span are not its context."""
     clean = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[0-9]", "0"), SPACE), lambda w: w != "")
-    left, right = clean(F.col(f"{x}.left")), clean(F.col(f"{x}.right"))
+    left = clean(F.regexp_replace(F.col(f"{x}.left"), r"[\"'(\[{<]+$", ""))
+    right = clean(F.regexp_replace(F.col(f"{x}.right"), r"^[^\p{L}\p{N}\x20\x09-\x0D]+", ""))
     last, ahead = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2))
-    first = F.try_element_at(right, F.lit(1))
-    return F.filter(F.array(F.concat(ahead, F.lit(" "), last, F.lit(" _")), F.concat(last, F.lit(" _ "), first)), lambda p: p.rlike(r"\p{L}"))
+    first, second = F.try_element_at(right, F.lit(1)), F.try_element_at(right, F.lit(2))
+    three = F.array(F.concat(ahead, F.lit(" "), last, F.lit(" _")), F.concat(last, F.lit(" _ "), first), F.concat(F.lit("_ "), first, F.lit(" "), second))
+    return F.filter(three, lambda p: p.rlike(r"\p{L}"))
 
 
 def added_spans(rows: DataFrame, *, rounds: int = 3, support: int = 3, accept: float = 0.7, prior: float = 1.0) -> DataFrame:
@@ -152,14 +189,14 @@ def added_spans(rows: DataFrame, *, rounds: int = 3, support: int = 3, accept: f
     return hits.groupBy("uid").agg(F.collect_list(F.struct("s", (-F.col("m.k")).alias("kind"), "e")).alias("added"))
 
 
-def detect(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, digits: int = 5, **options) -> DataFrame:
+def detect(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
     """The columns ``keep`` (all, if None) of every row with ``base`` and ``spans``: arrays of
     (s, kind, e) ordered by start, then kind."""
     keep = docs.columns if keep is None else keep
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))
     rows = docs.select(F.struct(*keep).alias("row"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    rows = rows.withColumn("tokens", _tokens(F.col("text"), F.col("base"), digits)).drop("text")
+    rows = rows.withColumn("tokens", _tokens(F.col("text"), F.col("base"))).drop("text")
     rows = stage(rows.withColumn("uid", F.monotonically_increasing_id()), "pii_rows")
     added = added_spans(rows.select("uid", "base", "tokens"), **options)
     rows = rows.select("uid", "row", bare(F.col("base")).alias("base")).join(added, "uid", "left")

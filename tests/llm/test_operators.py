@@ -122,6 +122,23 @@ def test_pii_learns_from_context(spark):
     assert clean[0] == "please contact me at <email> today 0" and clean[91] == rows[9][1]
 
 
+def test_pii_learns_spaced_and_listed_identifiers(spark):
+    rows = [(i, f"please contact me at user{i}@mail.example.com today {i}") for i in range(8)]
+    want = {
+        20: ("for flat 7 contact me at (555) 123-4567 today", ["(555) 123-4567"]),
+        21: ("contact me at GB29 NWBK 6016 1331 9268 19 today", ["GB29 NWBK 6016 1331 9268 19"]),
+        22: ("contact me at DE89 3704 0044 0532 0130 01.", ["DE89 3704 0044 0532 0130 01"]),
+        23: ("you can contact me at 12-345, 67-890, (99-111) or not", ["12-345, 67-890, (99-111"]),
+        24: ("write a@b.cd and contact me at 1234 today", ["a@b.cd", "1234"]),
+        25: ("contact me at a@b.cd, 555 1234 today", ["a@b.cd"]),
+        26: ("costs 12345 today or 20 (555) 123-4567", []),
+        27: ("contact me at tel:5551234 today", []),
+    }
+    rows += [(i, t) for i, (t, _) in want.items()]
+    got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: [t[x["s"] : x["e"]] for x in got[i]["__spans"]] for i, (t, _) in want.items()} == {i: w for i, (_, w) in want.items()}
+
+
 # -- 4 ----------------------------------------------------------------------------------------
 
 
