@@ -86,22 +86,46 @@ def event_slice_stats(slices: DataFrame) -> DataFrame:
     return slices.groupBy("slice").agg(F.count("*").alias("instances"), F.sum("ns").alias("ns"), F.sum("children").alias("children"), F.sum("gpu_ns").alias("gpu_ns"), F.sum("comm_ns").alias("comm_ns"))
 
 
-def python_context(events: DataFrame, depth: int = 64) -> DataFrame:
-    """(row_id, python_path): names of the frames above an event, outermost first. Frames are
-    linked by their parent ids; ``depth`` levels are followed at most, which ends cycles."""
-    p = events.filter("type = 'python' and python_id is not null").select("trace", F.col("python_id").alias("pid_"), F.col("python_parent").alias("up"), "name", "row_id")
-    p = stage(p, "python_frames")
-    walk = p.select("trace", "row_id", F.col("up").alias("next"), F.array("name").alias("path"))
-    done = walk.filter("next is null")
-    walk = walk.filter("next is not null")
-    for _ in range(depth):
-        if walk.isEmpty():
-            break
-        up = p.select("trace", F.col("pid_").alias("next"), F.col("up"), F.col("name").alias("above"))
-        walk = stage(walk.join(up, ["trace", "next"], "left").select("trace", "row_id", F.col("up").alias("next"), F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat(F.array("above"), "path")).alias("path")), "python_walk")
-        done = done.unionByName(walk.filter("next is null"))
-        walk = walk.filter("next is not null")
-    return done.unionByName(walk).select("row_id", F.array_join("path", " > ").alias("python_path"))
+def _python_parents(events: DataFrame) -> DataFrame:
+    """(row_id, name, up): Python frames with the row of the frame above: by parent id within a
+    thread, else the event around it if that is a frame. Of frames that share an id the last counts."""
+    on = [c for c in ("pid", "tid") if c in events.columns]
+    p = events.filter("type = 'python'").select("trace", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in on], "row_id", "name", "python_id", "python_parent")
+    by_id = p.filter("python_id is not null").groupBy("trace", *on, F.col("python_id").alias("python_parent")).agg(F.max("row_id").alias("by_id"))
+    p = p.join(by_id, ["trace", *on, "python_parent"], "left").withColumn("by_id", F.when(F.col("by_id") != F.col("row_id"), F.col("by_id")))
+    if {"start_ns", "end_ns", "tid", "rank", "ph"} <= set(events.columns):
+        around = event_parents(events).join(events.filter("type = 'python'").select(F.col("row_id").alias("parent_id")), "parent_id", "left_semi")
+        p = p.join(around, "row_id", "left")
+    else:
+        p = p.withColumn("parent_id", F.lit(None).cast("long"))
+    return p.select("row_id", "name", F.coalesce("by_id", "parent_id").alias("up"))
+
+
+def python_context(events: DataFrame, depth: int | None = None) -> DataFrame:
+    """(row_id, python_path): names of the frames above a frame and itself, outermost first, and
+    the path of the innermost frame around other host events. Paths double in a round, so rounds
+    are few; a path ends where a frame would come again. ``depth`` cuts paths if it is given."""
+    p = _python_parents(events)
+    walk = stage(p.select("row_id", F.array(F.struct("row_id", "name")).alias("path"), F.col("up").alias("next")), "python_walk")
+    ids = lambda c: F.transform(c, lambda x: x["row_id"])
+    while not walk.filter("next is not null").isEmpty():
+        above = walk.select(F.col("row_id").alias("next"), F.col("path").alias("more"), F.col("next").alias("then"))
+        again = F.coalesce(F.arrays_overlap(ids("path"), ids("more")), F.lit(False))
+        known = F.transform("more", lambda x, i: F.when(F.array_contains(ids("path"), x["row_id"]), i))
+        more = F.when(again, F.slice("more", F.lit(1), F.array_min(known))).otherwise(F.col("more"))
+        longer = F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", more))
+        walk = stage(walk.join(above, "next", "left").select("row_id", longer.alias("path"), F.when(~again, F.col("then")).alias("next")), "python_walk")
+    path = F.col("path") if depth is None else F.slice("path", 1, depth + 1)
+    frames = walk.select("row_id", F.array_join(F.reverse(F.transform(path, lambda x: x["name"])), " > ").alias("python_path"))
+    if not {"start_ns", "end_ns", "pid", "tid"} <= set(events.columns):
+        return frames
+    on = ["trace", "pid", "tid"]
+    d = events.filter(F.col("type").isin(*CPU) & (F.col("end_ns") > F.col("start_ns"))).withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("pid", "tid")})
+    o = d.filter("type = 'python'").select(*on, F.col("row_id").alias("frame_id"), F.col("start_ns").alias("o_start"), F.col("end_ns").alias("o_end"))
+    i = d.filter("type <> 'python'").select(*on, "row_id", F.col("start_ns").alias("i_start"), F.col("end_ns").alias("i_end"))
+    met = contains_join(o, i, on).filter("o_start < i_start or o_end > i_end or frame_id < row_id")
+    near = met.groupBy("row_id").agg(F.max(F.struct("o_start", (-F.col("o_end")).alias("e"), "frame_id"))["frame_id"].alias("frame_id"))
+    return frames.unionByName(near.join(frames.withColumnRenamed("row_id", "frame_id"), "frame_id").select("row_id", "python_path"))
 
 
 def flow_edges(events: DataFrame) -> DataFrame:
@@ -138,20 +162,24 @@ def event_links(events: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def causal_chain(seeds: DataFrame, links: DataFrame, limit: int = 32) -> DataFrame:
+def causal_chain(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """(seed, row_id, direction, hops): what seeds (row_id) lead to over external, correlation
     and flow links, down from cause to effect and up from effect to cause. Only rows not seen
-    before go on, so cycles end; ``limit`` bounds the hops."""
+    before go on, so cycles end; chains are followed to their ends."""
     l_ = links.filter("kind in ('external', 'correlation', 'flow')")
     steps = stage(l_.select(F.lit("down").alias("direction"), F.col("from_row_id").alias("at"), F.col("to_row_id").alias("to")).union(l_.select(F.lit("up"), "to_row_id", "from_row_id")).distinct(), "causal_steps")
     front = seeds.select(F.col("row_id").alias("seed"), F.col("row_id"), F.explode(F.array(F.lit("up"), F.lit("down"))).alias("direction"), F.lit(0).alias("hops"))
     seen = front
-    for hop in range(1, limit + 1):
+    hop = 0
+    while True:
+        hop += 1
         nxt = front.withColumnRenamed("row_id", "at").join(steps, ["direction", "at"]).select("seed", F.col("to").alias("row_id"), "direction").distinct()
         front = stage(nxt.join(seen.select("seed", "row_id", "direction"), ["seed", "row_id", "direction"], "left_anti").withColumn("hops", F.lit(hop)), "causal_front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if hop % 16 == 0:  # keeps the plan short
+            seen = stage(seen, "causal_seen")
     return seen.filter("hops > 0")
 
 

@@ -80,6 +80,24 @@ def test_python_paths_end_on_cycles(spark, tmp_path):
     assert got[:3] == ["a", "a > b", "a > b > c"] and len(got) == 5
 
 
+def test_walks_follow_chains_to_their_ends(spark):
+    n = 90
+    links = spark.createDataFrame([(i, i + 1, "flow") for i in range(40)] + [(40, 38, "flow")], "from_row_id long, to_row_id long, kind string")
+    got = C.causal_chain(spark.createDataFrame([(0,)], "row_id long"), links).filter("direction = 'down'").collect()
+    assert sorted((r["row_id"], r["hops"]) for r in got) == [(i, i) for i in range(1, 41)]
+    frames = [("t", "python", i, i, i - 1 if i else None, f"f{i}") for i in range(n)]
+    p = spark.createDataFrame(frames, "trace string, type string, row_id long, python_id long, python_parent long, name string")
+    paths = {r["row_id"]: r["python_path"] for r in C.python_context(p).collect()}
+    assert paths == {i: " > ".join(f"f{j}" for j in range(i + 1)) for i in range(n)}
+
+
+def test_python_context_of_frames_without_ids_and_of_other_events(spark, tmp_path):
+    py = lambda n, t, d, **a: ev(n, "python_function", t, d, **a)
+    e = chrome(spark, tmp_path, [py("a", 0, 100), py("b", 10, 50, **{"Python id": 7}), py("c", 20, 5, **{"Python id": 8, "Python parent id": 7}), ev("aten::mm", "cpu_op", 30, 5), ev("late", "cpu_op", 70, 5), ev("out", "cpu_op", 200, 5)])
+    names = {r["row_id"]: r["name"] for r in e.collect()}
+    assert {names[r["row_id"]]: r["python_path"] for r in C.python_context(e).collect()} == {"a": "a", "b": "a > b", "c": "a > b > c", "aten::mm": "a > b", "late": "a"}
+
+
 def test_kernel_report(spark, tmp_path):
     src = {"file": "f.cu", "line": 3}
     launch = {
