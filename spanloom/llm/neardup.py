@@ -1,30 +1,33 @@
 """Operator 4 - near-duplicates by a signature-coordinate inverted join, confirmed exactly.
 
-Documents with equal shingle sets form a class; only classes are compared. A class posts
-itself under its MinHash coordinates (coordinate, value). Two classes are candidates if at
-least ``match`` of the ``coords`` coordinates agree, so it is enough to post a class under
-all but its ``match - 1`` most frequent pairs (prefix filter with one order, rarest first):
-frequent passages fill the part left out. Candidates that collide often enough in the full
-signatures are confirmed on full shingle sets.
-
-Posting lists are merged in two rounds. The first joins every list with one pivot, its member
-of smallest hash; links are confirmed and components grown. Lists that lie in one component
-are then skipped. Members of the others post themselves again, under their rarest shingles:
-of two similar classes each has one among the first few of its order that the other has too,
-at places that leave room for the overlap needed (prefix and position filter, both exact).
-Lists in one component are skipped again, and in the rest the members of the commonest
-component meet only members of others. So a large group of near copies costs rows in
-proportion to its size, a copy edited too much to be linked meets nobody, and no link between
-components is lost. Before that, ``stars`` times, each list meets ``pivots`` members only of
-its commonest component and as many others, which joins most fragments of a group.
+Documents with equal shingle sets form a class; only classes are compared. A class posts itself
+under its MinHash coordinates (coordinate, value). Two classes are candidates if at least
+``match`` of the ``coords`` coordinates agree. Values that no other class has can't agree, so a
+class with fewer than ``match`` shared ones posts nothing, and otherwise it is enough to post
+all but its ``match - 1`` most frequent pairs (prefix filter with one order, rarest first).
+
+Posting lists are merged by groups: all lists with the same first member (by a hash) are one
+group, so the many lists of one cluster are merged once. In a task a group's collisions are
+counted before any pair is made: after a third of the coordinates, pairs that can't reach
+``match`` any more are skipped, the rest are counted on. Candidates are confirmed on full
+shingle sets in the same task, and only a spanning forest of the confirmed links leaves it, at
+most one row per member.
+
+Groups of more than ``block`` classes are dealt to blocks. First every block is merged within
+itself, which joins most of a large group at a cost in proportion to its size; then, where
+several components are left, members outside the commonest one meet all blocks. Members of
+the commonest component never meet each other again. What stays of the cost of pairs is counted
+in numpy inside bounded tasks; no pair below the threshold is ever a row.
 
 With 48 coordinates and 28 matches a pair at similarity 0.85 exactly is missed with
 probability 2e-6, and less above.
 
 Defined cases: documents without words have no shingles and are alone; with fewer than
-``width`` words the whole sequence is the one shingle; rows without id are alone, with null
-component, and kept; rows that repeat an id are members of their own text's class. Empty
-tables give no rows. Shingles are compared as 64-bit hashes, classes as 128-bit digests.
+``width`` words the whole sequence is the one shingle; very long texts are taken whole (8 bytes
+a word in a task); rows without id are alone, with null component, and kept; rows that repeat
+an id are members of their own text's class. Empty tables give no rows; extra columns are
+ignored by ``components`` and kept by ``deduplicated``, whatever their names. Shingles are
+compared as 64-bit hashes, classes as 128-bit digests.
 """
 
 from __future__ import annotations
@@ -99,6 +102,15 @@ def _shingles(width: int):
     return make
 
 
+def _class_of(width: int):
+    @F.pandas_udf(T.BinaryType())
+    def cls(text: pd.Series) -> pd.Series:
+        raw = [shingle_hashes(t, width).tobytes() for t in text]
+        return pd.Series([hashlib.blake2b(r, digest_size=16).digest() if r else None for r in raw], dtype=object)
+
+    return cls
+
+
 def _tokens(coords: int):
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def tokens(sig: pd.Series) -> pd.Series:
@@ -108,27 +120,136 @@ def _tokens(coords: int):
     return tokens
 
 
-@F.pandas_udf(T.IntegerType())
-def _collisions(x: pd.Series, y: pd.Series) -> pd.Series:
-    a, b = (np.frombuffer(b"".join(s), dtype=np.uint32).reshape(len(s), -1) for s in (x, y))
-    return pd.Series((a == b).sum(axis=1).astype(np.int32))
-
-
-@F.pandas_udf(T.IntegerType())
-def _common(x: pd.Series, y: pd.Series) -> pd.Series:
-    def one(a: bytes, b: bytes) -> int:
-        p, q = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-        p, q = (p, q) if len(p) <= len(q) else (q, p)
-        at = np.searchsorted(q, p)
-        at[at == len(q)] = 0
-        return int((q[at] == p).sum())
-
-    return pd.Series([one(a, b) for a, b in zip(x, y, strict=True)], dtype="int32")
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _as_longs(x: pd.Series) -> pd.Series:
-    return x.map(lambda b: np.frombuffer(b, dtype=np.int64))
+def _whole_groups(parts: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``key``, in frames that hold whole groups."""
+    kept: list[pd.DataFrame] = []
+    for p in parts:
+        if not len(p):
+            continue
+        last = (p[key] == p[key].iloc[-1]).all(axis=1).to_numpy()
+        first = int(last.argmax())
+        if first:  # the frame's last group may go on
+            yield pd.concat([*kept, p.iloc[:first]], ignore_index=True)
+            kept = []
+        elif kept and (kept[0][key].iloc[-1] != p[key].iloc[0]).any():
+            yield pd.concat(kept, ignore_index=True)
+            kept = []
+        kept.append(p.iloc[first:])
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def _pairs_within(bounds: np.ndarray, at_once: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of all pairs inside runs [bounds[k], bounds[k + 1])."""
+    sizes = np.diff(bounds)
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        starts = bounds[:-1][sizes == size]
+        if size * (size - 1) // 2 <= at_once:
+            x, y = np.triu_indices(size, 1)
+            step = max(1, at_once // len(x))
+            for n in range(0, len(starts), step):
+                s = starts[n : n + step, None]
+                yield (s + x).ravel(), (s + y).ravel()
+        else:
+            step = max(1, at_once // size)
+            for s in starts.tolist():
+                for lo in range(0, size, step):
+                    x, y = np.meshgrid(np.arange(lo, min(size, lo + step)), np.arange(size), indexing="ij")
+                    yield s + x[x < y], s + y[x < y]
+
+
+def _pairs_between(a: np.ndarray, b: np.ndarray, at_once: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a place in ``a`` with one in ``b``."""
+    step = max(1, at_once // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        x, y = np.meshgrid(a[lo : lo + step], b, indexing="ij")
+        yield x.ravel(), y.ravel()
+
+
+def colliding(sigs: np.ndarray, i: np.ndarray, j: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of which at least ``match`` coordinates collide. Pairs that can't reach that
+    any more after a third of the coordinates are skipped."""
+    head = sigs.shape[1] // 3
+    n = (sigs[i, :head] == sigs[j, :head]).sum(axis=1)
+    alive = n + sigs.shape[1] - head >= match
+    i, j, n = i[alive], j[alive], n[alive]
+    enough = n + (sigs[i, head:] == sigs[j, head:]).sum(axis=1) >= match
+    return i[enough], j[enough]
+
+
+def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sorted sets. Many pairs of few sets are counted as
+    products of incidence matrices, over the values that two sets have at least."""
+    used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    if len(i) < 8 * len(used):
+        out = np.empty(len(i), dtype=np.int64)
+        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            p, q = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
+            at = np.searchsorted(q, p)
+            at[at == len(q)] = 0
+            out[k] = (q[at] == p).sum()
+        return out
+    x, y = place[: len(i)], place[len(i) :]
+    owner = np.repeat(np.arange(len(used)), [len(sets[u]) for u in used])
+    _, col, times = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    owner, col = owner[shared[col]], number[col[shared[col]]]
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    both = np.zeros((len(used), len(used)), dtype=np.float32)  # counts below 2**24 are exact
+    for lo in range(0, int(shared.sum()), 2048):
+        s, e = np.searchsorted(col, [lo, lo + 2048])
+        m = np.zeros((len(used), 2048), dtype=np.float32)
+        m[owner[s:e], col[s:e] - lo] = 1
+        both += m @ m.T
+    return both[x, y].astype(np.int64)
+
+
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest place in each place's component."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _linker(coords: int, match: int, percent: int, key: list[str]):
+    """Rows of groups (``key``, c, n, sig, h and, between blocks, comp and left) to links (a, b)
+    that span the components of each group's confirmed pairs."""
+
+    def link(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in _whole_groups(parts, key):
+            n, c = p["n"].to_numpy(np.int64), p["c"].to_numpy(np.int64)
+            sigs = np.frombuffer(b"".join(p["sig"]), dtype=np.uint32).reshape(-1, coords)
+            sets = [np.frombuffer(h, dtype=np.uint64) for h in p["h"]]
+            new = (p[key] != p[key].shift()).any(axis=1).to_numpy()
+            bounds = np.append(np.flatnonzero(new), len(p))
+            if "left" in p:
+                comp, left = p["comp"].to_numpy(np.int64), p["left"].to_numpy(bool)
+                every = (pair for s, e in zip(bounds[:-1], bounds[1:], strict=True) for pair in _pairs_between(s + np.flatnonzero(left[s:e]), s + np.flatnonzero(~left[s:e])))
+            else:
+                comp, every = c, _pairs_within(bounds)
+            a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for i, j in every:
+                apart = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
+                i, j = colliding(sigs, i[apart], j[apart], match)
+                if len(i):
+                    both = overlaps(sets, i, j)
+                    good = 100 * both >= percent * (n[i] + n[j] - both)
+                    a.append(i[good])
+                    b.append(j[good])
+            label = _forest(len(p), np.concatenate(a), np.concatenate(b))
+            moved = np.flatnonzero(label != np.arange(len(p)))
+            yield pd.DataFrame({"a": c[moved], "b": c[label[moved]]})
+
+    return link
 
 
 def _grow(links: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -150,80 +271,52 @@ def _grow(links: DataFrame, comps: DataFrame | None) -> DataFrame:
         label = stage(low.select("c", "comp").join(hop, "comp").select("c", F.least("comp", "next").alias("comp")), "labels")
 
 
-def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, coords: int = 48, match: int = 28, stars: int = 2, pivots: int = 16) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, coords: int, match: int, block: int) -> DataFrame:
+    """One row per row of ``docs``: id, n, cls, component_id."""
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sets = stage(texts.mapInPandas(_sets(width, coords), "id long, n int, cls binary, sig binary"), "sets")
     named = sets.filter(F.col("id").isNotNull() & F.col("cls").isNotNull())
     classes = named.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = stage(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
+    # posting lists: how many classes have a pair, and the first of them, which names the group
     tokens = classes.select("c", F.explode(_tokens(coords)("sig")).alias("token"))
-    shared = stage(tokens.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > 1), "shared")
-    own = tokens.join(shared, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))  # ``coords`` at most
-    rarest = F.slice("own", F.lit(1), F.greatest(F.size("own") - (match - 1), F.lit(0)))
-    posts = own.select("c", F.explode(rarest).alias("x")).select("c", "x.df", "x.token")
-    posts = stage(posts.withColumn("draw", F.xxhash64("c", F.lit(23))), "posts")
-
-    busy = posts.select("c").distinct().join(classes.select("c", "cls", "rep"), "c")
+    draw = F.struct(F.xxhash64("c", F.lit(23)), "c")
+    lists = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min(draw)["c"].alias("g")).filter(F.col("df") > 1)
+    own = tokens.join(stage(lists, "lists"), "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token", "g"))).alias("own"))  # ``coords`` at most
+    prefix = F.slice("own", F.lit(1), F.greatest(F.size("own") - (match - 1), F.lit(0)))
+    posts = own.select("c", F.explode(F.array_distinct(F.transform(prefix, lambda x: x["g"]))).alias("g"))
+    posts = stage(posts.join(classes.select("c", "n"), "c"), "posts")
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (4096 * block))).cast("int")
+    groups = stage(posts.groupBy("g").agg(F.count("*").alias("members"), blocks.alias("blocks")).filter(F.col("members") > 1), "groups")
+    members = posts.select("c", "g").join(groups, "g").withColumn("blk", F.pmod(F.xxhash64("c", F.lit(31)), F.col("blocks")).cast("int"))
+    members = stage(members.select("g", "c", "blk", "blocks"), "members")
+
+    busy = members.select("c").distinct().join(classes.select("c", "cls", "rep"), "c")
     chosen = texts.join(busy.select(F.col("rep").alias("id"), "c", "cls"), "id").select("c", "cls", "text")
-    full = stage(chosen.mapInPandas(_shingles(width), "c long, h binary").groupBy("c").agg(F.first("h").alias("h")), "shingles")
-    sigs = classes.select("c", "n", "sig")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that collide and then overlap enough."""
-        of = lambda d, side: d.select(*[F.col(k).alias(side if k == "c" else f"{k}_{side}") for k in d.columns])
-        p = pairs.join(of(sigs, "a"), "a").join(of(sigs, "b"), "b").filter(_collisions("sig_a", "sig_b") >= match)
-        p = stage(p.select("a", "b", "n_a", "n_b"), "pairs")
-        p = p.join(of(full, "a"), "a").join(of(full, "b"), "b").withColumn("both", _common("h_a", "h_b"))
-        return stage(p.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), "confirmed")
-
-    def ordered(met: DataFrame) -> DataFrame:
-        return stage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-
-    def prefixes(some: DataFrame) -> DataFrame:
-        """Of classes (c, comp), the shingles by which a similar one has to be met, with their
-        place in the class's order, rarest first: s, c, comp, n, i."""
-        own = stage(some.join(full, "c").select("c", F.explode(_as_longs("h")).alias("s")), "own_shingles")
-        met = stage(own.groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") > 1), "met_shingles")
-        per = own.join(met, "s").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("met"))
-        per = per.join(some, "c").join(classes.select("c", "n"), "c").withColumn("alone", F.col("n") - F.size("met"))
-        room = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - F.col("alone")
-        per = per.filter(room > 0).select("c", "comp", "n", "alone", F.posexplode(F.slice("met", F.lit(1), room.cast("int"))).alias("at", "m"))
-        return per.select(F.col("m.s").alias("s"), "c", "comp", "n", (F.col("at") + F.col("alone")).alias("i"))
-
-    def open_lists(posted: DataFrame, key: str) -> DataFrame:
-        """``posted`` in lists that span components; ``common``: in the commonest one there."""
-        lists = posted.groupBy(key, "comp").agg(F.count("*").alias("k")).groupBy(key).agg(F.count("*").alias("kinds"), F.max(F.struct("k", "comp")).alias("top"))
-        lists = stage(lists.filter(F.col("kinds") > 1).select(key, F.col("top.comp").alias("top")), "lists")
-        return stage(posted.join(lists, key).withColumn("common", F.col("comp") == F.col("top")).drop("top"), "open")
-
-    # first round: every list against its member of smallest hash, which lists of one group share
-    first = posts.groupBy("token").agg(F.min(F.struct("draw", "c")).alias("m")).select("token", F.col("m.c").alias("b"))
-    met = ordered(posts.select("token", F.col("c").alias("a")).join(stage(first, "pivots"), "token").filter("a != b"))
-    links = confirmed(met)
-    comps = None if links.isEmpty() else _grow(links, None)
+    full = chosen.mapInPandas(_shingles(width), "c long, h binary").groupBy("c").agg(F.first("h").alias("h"))
+    full = stage(full.join(classes.select("c", "n", "sig"), "c"), "shingles")
+
+    def linked(rows: DataFrame, key: list[str]) -> DataFrame:
+        dealt = rows.join(full, "c").repartition(*key).sortWithinPartitions(*key)
+        return stage(dealt.mapInPandas(_linker(coords, match, percent, key), "a long, b long"), "linked")
 
-    # second round: what is open is met by its rarest shingles
-    labelled = posts.withColumn("comp", F.col("c")) if comps is None else posts.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    left = open_lists(stage(labelled.select("token", "c", "comp"), "labelled"), "token").select("c", "comp").distinct()
-    left = open_lists(stage(prefixes(stage(left, "left")), "prefixes"), "s")
-    side = lambda d, x: d.select("s", F.col("c").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("comp", "n", "i")])
-    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    reach = (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") - F.col("i_a") >= need) & (F.col("n_b") - F.col("i_b") >= need)
-    for salt in range(stars + 1):
-        if salt < stars:  # lists against a few members of either side
-            draw = W.partitionBy("s", "common").orderBy(F.xxhash64("c", F.lit(salt)))
-            some = left.withColumn("r", F.row_number().over(draw)).filter(F.col("r") <= pivots)
-            met = side(left, "a").join(side(stage(some, "pivots"), "b"), "s")
-        else:  # then all that still lies in different components
-            met = side(left.filter(~F.col("common")), "a").join(side(left, "b"), "s")
-        links = confirmed(ordered(met.filter(reach)))
+    links = linked(members.select("g", "blk", "c"), ["g", "blk"])
+    comps = None if links.isEmpty() else _grow(links, None)
+    large = members.filter("blocks > 1")
+    if not large.isEmpty():
+        comp = F.col("c").alias("comp") if comps is None else F.coalesce("comp", "c").alias("comp")
+        large = stage((large if comps is None else large.join(comps, "c", "left")).select("g", "c", "blk", "blocks", comp), "large")
+        kinds = large.groupBy("g", "comp").agg(F.count("*").alias("k"))
+        kinds = kinds.groupBy("g").agg(F.max(F.struct("k", "comp"))["comp"].alias("top"), (F.sum("k") - F.max("k")).alias("rest")).filter("rest > 0")
+        open_ = stage(large.join(kinds.withColumn("lefts", F.ceil(F.col("rest") / block).cast("int")), "g"), "open")
+        to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        mine = F.pmod(F.xxhash64("c", F.lit(37)), F.col("lefts")).cast("int")
+        rest = open_.filter("comp <> top").select("g", mine.alias("x"), to("blocks").alias("y"), "c", "comp", F.lit(True).alias("left"))
+        every = open_.select("g", to("lefts").alias("x"), F.col("blk").alias("y"), "c", "comp", F.lit(False).alias("left"))
+        links = linked(rest.unionByName(every), ["g", "x", "y"])
         if not links.isEmpty():
             comps = _grow(links, comps)
-            if salt < stars:
-                now = left.drop("comp", "common").join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-                left = open_lists(stage(now, "relabelled"), "s")
 
     reps = classes.select("cls", "c", "rep")
     if comps is None:
@@ -232,15 +325,33 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         joined = stage(reps.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c")), "final")
         final = joined.join(joined.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("cls", "component_id")
     out = sets.select("id", "n", "cls").join(stage(final, "components"), "cls", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias("id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select("id", "n", "cls", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each group: the smallest id's. Rows without id stay."""
-    stay = components(docs, id_col=id_col, **options).filter("kept and id is not null").select(F.col("id").alias("__id")).distinct()
-    one = docs.filter(F.col(id_col).isNotNull()).join(stay, F.col(id_col).cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return one.union(docs.filter(F.col(id_col).isNull()))
+def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, coords: int = 48, match: int = 28, block: int = 1024) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept."""
+    kept = F.coalesce(F.col("component_id") == F.col("id"), F.lit(True))
+    return _classes(docs, id_col, text_col, width, percent, coords, match, block).select("id", F.col("n").cast("long").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, coords: int = 48, match: int = 28, block: int = 1024) -> DataFrame:
+    """``docs`` with one row of each group: the smallest id's. Rows without id stay. Of rows
+    that share an id and are copies one stays, the first by text and all other columns; if they
+    are no copies, each counts for its own group."""
+    found = _classes(docs, id_col, text_col, width, percent, coords, match, block).filter(F.col("id").isNotNull())
+    found = stage(found, "found")
+    many = found.groupBy("id").agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col("id").alias("__id"))
+    stay = found.filter("id = component_id").select(F.col("id").alias("__id"), F.col("cls").alias("__cls")).distinct()
+    of = lambda d: F.col(f"`{id_col}`").cast("long") == d["__id"]
+    one = stay.join(many, "__id", "left_anti")
+    single = docs.join(one, of(one), "left_semi")
+    doubt = docs.join(many, of(many), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    doubt = doubt.withColumns({"__id": F.col("__row")[id_col].cast("long"), "__text": F.col("__row")[text_col]}).withColumn("__cls", _class_of(width)("__text"))
+    here = [doubt["__id"] == stay["__id"], doubt["__cls"].eqNullSafe(stay["__cls"])]
+    order = W.partitionBy("__id", "__cls").orderBy(F.col("__text"), F.xxhash64(F.to_json("__row")))
+    doubt = doubt.join(stay, here, "left_semi").withColumn("__nth", F.row_number().over(order)).filter("__nth = 1")
+    doubt = doubt.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    return single.union(doubt).union(docs.filter(F.col(f"`{id_col}`").cast("long").isNull()))
 
 
 def op4_neardup(spark, sf_dir: str) -> DataFrame:
