@@ -30,6 +30,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -309,7 +310,8 @@ def encode(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None =
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         v = vocabulary(path or default_path())
-        return pd.Series([[int(x) for part in encoded(v, t or "") for x in part.split(",")] for t in texts])
+        one = lambda t: np.fromiter((int(x) for part in encoded(v, t or "") for x in part.split(",")), dtype=np.int32)  # noqa: E731  4 bytes a token
+        return pd.Series([one(t) for t in texts], dtype=object)
 
     return docs.select(*keep, ids(F.col(text_col)).alias("ids"))
 
