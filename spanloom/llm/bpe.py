@@ -15,7 +15,8 @@ boundary further than that from the end is final. This needs a list in which par
 before they are used and each token in one way only; for others a piece is held whole.
 
 Defined cases: null texts are empty; empty texts have no tokens, and the digest of an empty
-string. Repeated rows give repeated rows.
+string; very long texts stream through in chunks. Repeated rows give repeated rows, empty tables
+none. Columns of any name are kept, but one named as an output (``ids``, ``decoded``) is replaced.
 """
 
 from __future__ import annotations
@@ -32,11 +33,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-CHUNK, LONG, BLOCK, CACHE = 1 << 16, 1 << 13, 1 << 14, 300_000
+CHUNK, LONG, BLOCK, CACHE = 1 << 16, 1 << 13, 1 << 14, 150_000
+#: Texts that a task encodes before it hands their ids on.
+ROWS = 256
 #: Characters after which no later text changes a piece that ended before them.
 AHEAD = 4
 #: Above any rank.
@@ -306,14 +311,23 @@ def encode(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None =
     """Columns ``keep`` (all but the text, if None) and ``ids``. ``path`` has to name the
     vocabulary on every executor."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    keep = [c for c in keep if c != "ids"]
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
+    d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    shape = T.StructType([*d.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def ids(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path or default_path())
-        one = lambda t: np.fromiter((int(x) for part in encoded(v, t or "") for x in part.split(",")), dtype=np.int32)  # noqa: E731  4 bytes a token
-        return pd.Series([one(t) for t in texts], dtype=object)
+        for p in parts:
+            for at in range(0, p.num_rows, ROWS):  # a few texts and their ids at a time, whatever Spark's batches hold
+                some = p.slice(at, ROWS)
+                texts = some.column(some.num_columns - 1).to_pylist()
+                made = [np.fromiter((int(x) for part in encoded(v, t or "") for x in part.split(",")), dtype=np.int32) for t in texts]
+                ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], names=shape.names)
 
-    return docs.select(*keep, ids(F.col(text_col)).alias("ids"))
+    return d.mapInArrow(ids, shape)
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -335,7 +349,7 @@ def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
         v = vocabulary(path or default_path())
         return pd.DataFrame([digests(v, t or "") for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col), made(F.col(text_col)).alias("d")).select(id_col, "d.*")
+    return docs.select(F.col(f"`{id_col}`"), made(F.col(f"`{text_col}`")).alias("__d")).select(F.col(f"`{id_col}`"), "__d.*")
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
