@@ -77,6 +77,75 @@ def match_dims(column: str, want: str) -> Column:
     return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
 
 
-def is_additive(metric: str | Column) -> Column:
-    """Whether a counter may be summed over instances: shares, rates and extremes may not."""
-    return ~F.lower(metric).rlike(r"(\.(pct|ratio|avg|max|min|peak|per_[a-z_]+)(\b|$))|percent|ratio|rate|throughput|_pct\b|%")
+#: What a counter's name says of the unit it counts, first match first (fixed values).
+COUNTED = (
+    (r"^launch__block_dim_[xyz]$|^launch__occupancy_limit_(blocks|registers|shared_mem|warps)$", "block"), (r"^launch__registers_per_thread(_allocated)?$", "register_per_thread"),
+    (r"^launch__shared_mem_config_size$", "byte"), (r"^launch__shared_mem_per_block(_allocated|_driver|_dynamic|_static)?$", "byte_per_block"), (r"^launch__thread_count$", "thread"),
+    (r"pmsampler_(dropped|merged)_samples", "sample"), (r"replayer_passes|pcsamp_aggregated_passes", "pass"), (r"branch_targets|pcsamp_warps_issue_stalled_branch_resolving", "branches"),
+    (r"bytes|_byte$", "byte"), (r"sectors|_sector", "sector"), (r"requests|_request", "request"), (r"cycles|_cycle", "cycle"), (r"warps|_warp", "warp"), (r"__inst|^inst_|_inst_|_inst$", "inst"), (r"threads|_thread", "thread"),
+)
+#: Units of a rate by what it counts; a count that isn't listed has no unit as a rate (fixed values).
+A_SECOND = {"cycle": "hertz", "byte": "byte_per_second", "sector": "sector_per_second", "request": "request_per_second", "inst": "inst_per_second", "warp": "warp_per_second", "thread": "thread_per_second"}
+A_CYCLE = {"warp": "warp", "byte": "byte_per_cycle", "sector": "sector_per_cycle", "inst": "inst_per_cycle", "thread": "thread_per_cycle"}
+PERCENT, RATE, EXTREME = r"\.pct$|\.pct_|_pct$|_pct_", r"\.(per_second|per_cycle_active|per_cycle_elapsed|peak_sustained)$", r"\.(ratio|avg|max|min)$"
+
+
+def metric_unit(metric: str | Column) -> Column:
+    """The unit that a hardware counter's name implies; null where it implies none. Labels of
+    units before the counter proper (up to the first part that looks like one) don't count."""
+    whole = F.col(metric) if isinstance(metric, str) else metric
+    proper = F.regexp_extract(whole, r"(?:^|\.)((?:[^.]*__[^.]*|inst_[^.]*|thread_inst[^.]*|memory_[^.]*)(?:\..*)?)$", 1)
+    name = F.when(proper != "", proper).otherwise(whole)
+    rate = F.regexp_extract(name, RATE, 1)
+    stem = F.regexp_replace(name, RATE, "")
+    counted = F.coalesce(*[F.when(stem.rlike(p) & ~stem.startswith("device__attribute_"), u) for p, u in COUNTED])
+    of = lambda units, other=None: reduce(lambda c, kv: c.when(counted == kv[0], kv[1]), units.items(), F.when(F.lit(False), "")).otherwise(other)
+    sustained = of({k: v for k, v in A_CYCLE.items() if k != "thread"}, counted)
+    by_rate = F.when(rate == "per_second", of(A_SECOND)).when(rate.startswith("per_cycle"), of(A_CYCLE)).when(rate == "peak_sustained", sustained).otherwise(counted)
+    return F.when(name.rlike(PERCENT), "percent").when(name.rlike(r"__time_duration\.sum$|_interval_time$"), "nsecond").otherwise(by_rate)
+
+
+def is_additive(metric: str | Column, metric_type: str | Column | None = None, subtype: str | Column | None = None, rollup: str | Column | None = None) -> Column:
+    """Whether a counter may be summed over instances. What the report says of it comes first:
+    percentages, ratios and rates by type or subtype may not, a counter may if it rolls up as a
+    sum. Else its name decides: percentages, rates (a unit per something), ratios, means and
+    extremes may not."""
+    c = F.col(metric) if isinstance(metric, str) else metric
+    per = F.coalesce(metric_unit(c).contains("per_"), F.lit(False))
+    by_name = ~(c.rlike(PERCENT) | per | c.rlike(EXTREME))
+    if metric_type is None:
+        return by_name
+    kind, sub, how = (F.lower(F.col(x) if isinstance(x, str) else F.lit(None).cast("string") if x is None else x) for x in (metric_type, subtype, rollup))
+    told = F.when(sub.isin("pct", "ratio", "per_second"), False).when(kind.isin("ratio", "throughput"), False).when((kind == "counter") & how.isNotNull(), how == "sum")
+    return F.coalesce(told, by_name)
+
+
+#: Labels of coded columns (fixed values).
+COPY_KINDS = {1: "cudaMemcpyHostToDevice", 2: "cudaMemcpyDeviceToHost", 3: "cudaMemcpyHostToArray", 4: "cudaMemcpyArrayToHost", 8: "cudaMemcpyDeviceToDevice", None: "cudaMemcpy"}
+SYNC_TYPES = {1: "cudaEventSynchronize", 2: "cudaStreamWaitEvent", 3: "cudaStreamSynchronize", 4: "cudaDeviceSynchronize", None: "cudaSync"}
+GRAPH_EVENTS = {94: "graph_exec_creation", 95: "graph_creation", None: "graph_event_other"}
+OVERHEADS = {
+    0: "undefined", 1: "unknown", 2: "driver_compiler", 3: "cupti_buffer_flush", 4: "cupti_instrumentation", 5: "cupti_resource",
+    6: "runtime_module_loading", 7: "lazy_function_loading", 8: "command_buffer_full", None: "overhead_other",
+}
+
+
+def label(code: str | Column, names: dict) -> Column:
+    """The name of a code; the one under None for all others, null included."""
+    c = F.col(code) if isinstance(code, str) else code
+    return reduce(lambda a, kv: a.when(c == kv[0], kv[1]), [kv for kv in names.items() if kv[0] is not None], F.when(F.lit(False), "")).otherwise(names[None])
+
+
+def name_axis(axis: str, columns: list[str]) -> Column:
+    """The name by which kernels are grouped: ``short``, ``demangled``, ``mangled`` or ``none``.
+    Captures without mangled names are grouped by the demangled ones."""
+    if axis == "none":
+        return F.lit(None).cast("string")
+    if axis not in ("short", "demangled", "mangled"):
+        raise ValueError(f"unknown name axis {axis!r}")
+    return F.col("demangled_name" if axis == "mangled" and "mangled_name" not in columns else f"{axis}_name")
+
+
+def composite_key(*parts: str | Column) -> Column:
+    """Parts joined by ``|``; a null part is ``none``."""
+    return F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("none")) for p in parts])

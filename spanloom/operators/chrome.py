@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 from spanloom.functions.windows import overlaps
 from spanloom.operators.buckets import in_buckets
 from spanloom.operators.nesting import contains_join
+from spanloom.operators.ordered import with_ordinal, with_previous
 from spanloom.operators.stats import measures
 from spanloom.staging import stage
 
 GPU = ("kernel", "memcpy", "memset")
-CPU = ("cpu_op", "runtime", "driver", "annotation", "python")
+CALLS = ("runtime", "driver")
+
+
+def _gpu(column: str = "type") -> Column:
+    return F.col(column).isin(*GPU)
+
+
+def timed(events: DataFrame) -> DataFrame:
+    """Events proper: all but the markers of flows."""
+    return events.filter(~(F.coalesce(F.col("ph").isin("s", "t", "f"), F.lit(False)) & F.col("flow_id").isNotNull())) if "flow_id" in events.columns else events
 
 
 def filter_events(events: DataFrame, types: tuple[str, ...] = (), comm: bool = False, test: Column | None = None, window: tuple[int, int] | None = None) -> DataFrame:
@@ -25,17 +35,27 @@ def filter_events(events: DataFrame, types: tuple[str, ...] = (), comm: bool = F
 
 
 def event_stats(events: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Measures of durations per group; a null in an axis is ``none``."""
-    d = events.filter("ph = 'X'").withColumn("ns", F.col("end_ns") - F.col("start_ns"))
+    """Measures of durations per group; a null in an axis is ``none``. Axes are columns of the
+    events; ``with_axes`` adds those that other operators find."""
+    d = timed(events).withColumn("ns", F.col("end_ns") - F.col("start_ns"))
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c) for c in by]
     return d.groupBy(*keys).agg(*measures()).filter("n > 0")
 
 
+def with_axes(events: DataFrame) -> DataFrame:
+    """Events with the axes step (of the step around them, else their own), comm_kind,
+    python_context and python_path."""
+    steps = assign_steps(events).select("row_id", F.col("step_no").alias("__step"))
+    paths = python_context(events).select("row_id", F.col("python_path"), F.element_at(F.split("python_path", " > "), -1).alias("python_context"))
+    d = events.join(steps, "row_id", "left").join(paths, "row_id", "left")
+    return d.withColumns({"step": F.coalesce("__step", "step_no"), "comm_kind": F.col("collective")}).drop("__step")
+
+
 def event_buckets(events: DataFrame, width: int, anchor: int = 0) -> DataFrame:
     """Per bucket: n, time on CPU, on GPU, in communication."""
-    d = in_buckets(events.filter("ph = 'X'"), width, anchor)
+    d = in_buckets(timed(events), width, anchor)
     of = lambda test, name: F.sum(F.when(test, F.col("part_ns")).otherwise(0)).alias(name)
-    return d.groupBy("bucket_ns").agg(F.count("*").alias("n"), of(F.col("type").isin(*CPU), "cpu_ns"), of(F.col("type").isin(*GPU), "gpu_ns"), of(F.col("comm"), "comm_ns"))
+    return d.groupBy("bucket_ns").agg(F.count("*").alias("n"), of(~_gpu(), "cpu_ns"), of(F.col("type").isin(*GPU), "gpu_ns"), of(F.col("comm"), "comm_ns"))
 
 
 def smallest_enclosing(events: DataFrame, outer: DataFrame, on: tuple[str, ...], same_rank: bool = True) -> DataFrame:
@@ -50,11 +70,11 @@ def smallest_enclosing(events: DataFrame, outer: DataFrame, on: tuple[str, ...],
 
 
 def event_parents(events: DataFrame) -> DataFrame:
-    """(row_id, parent_id) of host events with time on one thread: the innermost event around
-    each that comes before it by start, then length, then id."""
-    d = events.filter(F.col("type").isin(*CPU) & (F.col("end_ns") > F.col("start_ns")) & (F.col("ph") == "X"))
-    on = ["trace", "r", "tid"]
-    d = d.withColumn("r", F.coalesce("rank", F.lit(-1)))
+    """(row_id, parent_id) of events with time that aren't device work, on one thread: the innermost
+    event around each that comes before it by start, then length, then id."""
+    d = timed(events).filter(~_gpu() & (F.col("end_ns") > F.col("start_ns")))
+    on = ["trace", "r", "t"]
+    d = d.withColumns({"r": F.coalesce("rank", F.lit(-1)), "t": F.coalesce(F.col("tid").cast("string"), F.lit(""))})
     o = d.select(*on, F.col("row_id").alias("parent_id"), F.col("start_ns").alias("o_start"), F.col("end_ns").alias("o_end"))
     met = contains_join(o, d.select(*on, "row_id", F.col("start_ns").alias("i_start"), F.col("end_ns").alias("i_end")), on)
     first = (F.col("o_start") < F.col("i_start")) | (F.col("o_end") > F.col("i_end")) | (F.col("parent_id") < F.col("row_id"))
@@ -63,27 +83,53 @@ def event_parents(events: DataFrame) -> DataFrame:
 
 
 def assign_steps(events: DataFrame) -> DataFrame:
-    """(row_id, step_id, step_no): the smallest step around each event of a compatible rank."""
-    steps = events.filter("step_no is not null")
-    found = smallest_enclosing(events.filter("step_no is null"), steps, ("trace",))
+    """(row_id, step_id, step_no): the smallest numbered step around each other event of a
+    compatible rank."""
+    steps = events.filter("type = 'step' and step_no is not null")
+    found = smallest_enclosing(timed(events).filter("type <> 'step'"), steps, ("trace",))
     return found.withColumnRenamed("outer_id", "step_id").join(steps.select(F.col("row_id").alias("step_id"), "step_no"), "step_id")
 
 
-def event_slices(events: DataFrame) -> DataFrame:
-    """Steps and annotations with the number of events inside and their GPU and communication
-    time; ranks have to agree where known."""
-    s = events.filter("type in ('step', 'annotation')")
-    o = s.select("trace", F.col("row_id").alias("slice_id"), F.col("name").alias("slice"), F.col("rank").alias("o_rank"), F.col("start_ns").alias("o_start"), F.col("end_ns").alias("o_end"))
-    i = events.filter("ph = 'X'").select("trace", "row_id", "rank", "type", "comm", F.col("start_ns").alias("i_start"), F.col("end_ns").alias("i_end"))
-    met = contains_join(o, i, ["trace"]).filter("slice_id <> row_id and (rank is null or o_rank is null or rank = o_rank)")
-    ns = F.col("i_end") - F.col("i_start")
-    g = met.groupBy("slice_id").agg(F.count("*").alias("children"), F.sum(F.when(F.col("type").isin(*GPU), ns).otherwise(0)).alias("gpu_ns"), F.sum(F.when(F.col("comm"), ns).otherwise(0)).alias("comm_ns"))
-    own = o.select("slice_id", "slice", (F.col("o_end") - F.col("o_start")).alias("ns"))
-    return own.join(g, "slice_id", "left").fillna(0, ["children", "gpu_ns", "comm_ns"])
-
-
-def event_slice_stats(slices: DataFrame) -> DataFrame:
-    return slices.groupBy("slice").agg(F.count("*").alias("instances"), F.sum("ns").alias("ns"), F.sum("children").alias("children"), F.sum("gpu_ns").alias("gpu_ns"), F.sum("comm_ns").alias("comm_ns"))
+def _in_scope(scope: dict[str, int]) -> Column:
+    test = F.lit(True)
+    for c, v in scope.items():
+        test = test & (F.col(c) == v)
+    return test
+
+
+def event_slices(events: DataFrame, *, window: tuple[int, int] | None = None, step: int | None = None, **scope: int) -> DataFrame:
+    """Steps and annotations with the number of their direct children, and the time of the device
+    work and communication inside them, cut to the window if there is one; ranks have to agree
+    where both are known. With a scope (``rank``, ``device``, ``stream``) a slice stays if it, or
+    an event inside it, lies in the scope and it isn't known to lie outside; only events in the
+    scope (and ``step``) add time."""
+    e = timed(events)
+    s = e.filter("type in ('step', 'annotation')")
+    s = s if window is None else overlaps(s, *window)
+    s = s if step is None else s.filter(F.col("step_no") == step)
+    for c, v in scope.items():
+        s = s.filter(F.col(c).isNull() | (F.col(c) == v))
+    o = s.select("trace", F.col("row_id").alias("slice_id"), F.col("name").alias("slice"), F.col("step_no").alias("slice_step"), F.col("rank").alias("o_rank"), F.col("start_ns").alias("o_start"), F.col("end_ns").alias("o_end"), _in_scope(scope).alias("direct"))
+    i = e.select("trace", "row_id", "type", "comm", "step_no", *{"rank", *scope}, F.col("start_ns").alias("i_start"), F.col("end_ns").alias("i_end"))
+    met = contains_join(o, i, ["trace"]).filter("slice_id <> row_id")
+    lo, hi = window or (None, None)
+    here = F.lit(True) if window is None else (F.col("i_start") < hi) & (F.col("i_end") > lo)
+    ns = (F.col("i_end") if hi is None else F.least("i_end", F.lit(hi))) - (F.col("i_start") if lo is None else F.greatest("i_start", F.lit(lo)))
+    agree = F.lit(True) if "rank" in scope else F.expr("rank is null or o_rank is null or rank = o_rank")
+    counts = agree & here & _in_scope(scope) & (F.lit(True) if step is None else F.col("step_no") == step) & (F.col("i_end") > F.col("i_start"))
+    of = lambda test, name: F.sum(F.when(F.coalesce(counts & test, F.lit(False)), ns).otherwise(0)).alias(name)
+    g = met.groupBy("slice_id").agg(of(_gpu(), "gpu_ns"), of(F.col("comm"), "comm_ns"), F.coalesce(F.bool_or(here & _in_scope(scope)), F.lit(False)).alias("inside"))
+    children = event_parents(events).groupBy(F.col("parent_id").alias("slice_id")).agg(F.count("*").alias("children"))
+    own = o.select("slice_id", "slice", "slice_step", (F.col("o_end") - F.col("o_start")).alias("ns"), "direct")
+    d = own.join(g, "slice_id", "left").join(children, "slice_id", "left").fillna(0, ["children", "gpu_ns", "comm_ns"])
+    d = d.filter(F.coalesce("direct", F.lit(False)) | F.coalesce("inside", F.lit(False))) if scope else d
+    return d.drop("direct", "inside")
+
+
+def event_slice_stats(slices: DataFrame, by: str = "slice") -> DataFrame:
+    """Per name, or per step (``slice_step``): instances and sums."""
+    key = F.coalesce(F.col(by).cast("string"), F.lit("none")).alias(by)
+    return slices.groupBy(key).agg(F.count("*").alias("instances"), F.sum("ns").alias("ns"), F.sum("children").alias("children"), F.sum("gpu_ns").alias("gpu_ns"), F.sum("comm_ns").alias("comm_ns"))
 
 
 def _python_parents(events: DataFrame) -> DataFrame:
@@ -103,8 +149,8 @@ def _python_parents(events: DataFrame) -> DataFrame:
 
 def python_context(events: DataFrame, depth: int | None = None) -> DataFrame:
     """(row_id, python_path): names of the frames above a frame and itself, outermost first, and
-    the path of the innermost frame around other host events. Paths double in a round, so rounds
-    are few; a path ends where a frame would come again. ``depth`` cuts paths if it is given."""
+    the path of the innermost frame around other events that aren't device work (an event that
+    starts in a frame and goes on past it ends the frame). Paths double in a round, so rounds are few; a path ends where a frame would come again. ``depth`` cuts paths if it is given."""
     p = _python_parents(events)
     walk = stage(p.select("row_id", F.array(F.struct("row_id", "name")).alias("path"), F.col("up").alias("next")), "python_walk")
     ids = lambda c: F.transform(c, lambda x: x["row_id"])
@@ -120,97 +166,188 @@ def python_context(events: DataFrame, depth: int | None = None) -> DataFrame:
     if not {"start_ns", "end_ns", "pid", "tid"} <= set(events.columns):
         return frames
     on = ["trace", "pid", "tid"]
-    d = events.filter(F.col("type").isin(*CPU) & (F.col("end_ns") > F.col("start_ns"))).withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("pid", "tid")})
+    d = timed(events).filter(~_gpu() & (F.col("end_ns") > F.col("start_ns"))).withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("pid", "tid")})
     o = d.filter("type = 'python'").select(*on, F.col("row_id").alias("frame_id"), F.col("start_ns").alias("o_start"), F.col("end_ns").alias("o_end"))
-    i = d.filter("type <> 'python'").select(*on, "row_id", F.col("start_ns").alias("i_start"), F.col("end_ns").alias("i_end"))
-    met = contains_join(o, i, on).filter("o_start < i_start or o_end > i_end or frame_id < row_id")
+    i = d.select(*on, "row_id", "type", F.col("start_ns").alias("i_start"), F.col("start_ns").alias("i_end"), F.col("end_ns").alias("ends"))
+    after = "o_start < i_start or o_end > ends or (o_end = ends and frame_id < row_id)"
+    met = stage(contains_join(o, i, on).filter(after), "python_met")
+    place = F.struct(F.col("i_start").alias("s"), (-F.col("ends")).alias("e"), F.col("row_id").alias("id"))
+    cut = met.filter("ends > o_end").groupBy("frame_id").agg(F.min(place).alias("cut"))  # an event that goes on past a frame ends it
+    met = met.filter("ends <= o_end and type <> 'python'").join(cut, "frame_id", "left").filter(F.col("cut").isNull() | (place < F.col("cut")))
     near = met.groupBy("row_id").agg(F.max(F.struct("o_start", (-F.col("o_end")).alias("e"), "frame_id"))["frame_id"].alias("frame_id"))
-    return frames.unionByName(near.join(frames.withColumnRenamed("row_id", "frame_id"), "frame_id").select("row_id", "python_path"))
+    frames = frames.join(d.select("row_id"), "row_id", "left_semi").unionByName(near.join(frames.withColumnRenamed("row_id", "frame_id"), "frame_id").select("row_id", "python_path"))
+    return frames
 
 
 def flow_edges(events: DataFrame) -> DataFrame:
     """(from_row_id, to_row_id) for consecutive markers of a flow, each bound to the smallest
-    event around it on its thread."""
+    event around it on its thread; markers without one are passed over."""
     m = events.filter("ph in ('s', 't', 'f') and flow_id is not null")
-    bound = smallest_enclosing(m, events.filter("ph = 'X'"), ("trace", "pid", "tid"), same_rank=False)
+    bound = smallest_enclosing(m, timed(events), ("trace", "pid", "tid"), same_rank=False)
     m = m.join(bound, "row_id")
-    before = F.lag("outer_id").over(W.partitionBy("trace", "flow_id").orderBy("start_ns", "row_id"))
+    before = F.lag("outer_id").over(W.partitionBy("trace", "flow_id").orderBy("start_ns", "ph", "row_id"))
     return m.select(before.alias("from_row_id"), F.col("outer_id").alias("to_row_id")).filter("from_row_id is not null and from_row_id <> to_row_id").distinct()
 
 
 def asof_launcher(events: DataFrame) -> DataFrame:
-    """(launcher, row_id): per GPU event and kind of launcher the latest call of its correlation
-    that started at or before it."""
-    gpu = events.filter(F.col("type").isin(*GPU) & F.col("correlation").isNotNull()).select("trace", "correlation", "row_id", F.col("start_ns").alias("t"))
-    calls = events.filter("type in ('runtime', 'driver') and correlation is not null").select("trace", "correlation", F.col("row_id").alias("launcher"), "type", "start_ns")
-    met = gpu.join(calls, ["trace", "correlation"]).filter("start_ns <= t")
-    return met.groupBy("row_id", "type").agg(F.max(F.struct("start_ns", "launcher"))["launcher"].alias("launcher")).select("launcher", "row_id")
+    """(launcher, row_id): per device event and kind of launcher the latest call of its correlation
+    that started at or before it. Ranks have to be equal, unless the correlation knows one at most."""
+    d = timed(events).filter(F.col("correlation").isNotNull() & (_gpu() | F.col("type").isin(*CALLS)))
+    on = ["trace", "correlation"]
+    ranks = d.groupBy(*on).agg(F.countDistinct("rank").alias("ranks"))
+    d = d.select(*on, "row_id", "type", "rank", "start_ns").join(ranks, on)
+    d = d.withColumn("r", F.when(F.col("ranks") > 1, F.coalesce("rank", F.lit(-1))).otherwise(F.lit(-2)))
+    upto = W.partitionBy(*on, "r").orderBy("start_ns", _gpu().cast("int"), "row_id")
+    last = [F.last(F.when(F.col("type") == t, F.col("row_id")), ignorenulls=True).over(upto) for t in CALLS]
+    return d.select("row_id", "type", F.array(*last).alias("by")).filter(_gpu()).select(F.explode("by").alias("launcher"), "row_id").filter("launcher is not null")
+
+
+def external_chain(events: DataFrame) -> DataFrame:
+    """(before, row_id): events of one external id in order of start, each with the one before it of
+    its rank. Where the id knows one rank, events without rank are linked with those before of it,
+    and those with the ones before that have none."""
+    d = timed(events).filter("external_id is not null").select("trace", "external_id", "rank", "row_id", "start_ns")
+    chain = with_previous(d, ("trace", "external_id", "rank"), ("start_ns", "row_id"), ("row_id",))
+    own = chain.select(F.col("previous.row_id").alias("before"), "row_id")
+    on = ["trace", "external_id"]
+    mixed = d.groupBy(*on).agg(F.countDistinct("rank").alias("ranks"), F.bool_or(F.col("rank").isNull()).alias("some_without")).filter("ranks = 1 and some_without")
+    order = W.partitionBy(*on).orderBy("start_ns", "row_id").rowsBetween(W.unboundedPreceding, -1)
+    last = lambda test: F.last(F.when(test, F.col("row_id")), ignorenulls=True).over(order)
+    none = F.col("rank").isNull()
+    other = d.join(mixed, on, "left_semi").select(F.when(none, last(~none)).otherwise(last(none)).alias("before"), "row_id")
+    return own.unionByName(other).filter("before is not null")
 
 
 def event_links(events: DataFrame) -> DataFrame:
-    """(from_row_id, to_row_id, kind) without repeats: nesting, step, external, correlation, flow."""
+    """(from_row_id, to_row_id, kind): nesting, step, external, correlation, flow. No kind repeats a
+    link, so nothing has to be made distinct over kinds."""
     link = lambda d, a, b, kind: d.select(F.col(a).alias("from_row_id"), F.col(b).alias("to_row_id"), F.lit(kind).alias("kind"))
-    order = W.partitionBy("trace", "external_id", "rank").orderBy("start_ns", "row_id")
-    chain = events.filter("external_id is not null").select(F.lag("row_id").over(order).alias("before"), "row_id").filter("before is not null")
     parts = [
-        link(event_parents(events), "parent_id", "row_id", "nesting"), link(assign_steps(events), "step_id", "row_id", "step"), link(chain, "before", "row_id", "external"),
+        link(event_parents(events), "parent_id", "row_id", "nesting"), link(assign_steps(events), "step_id", "row_id", "step"), link(external_chain(events), "before", "row_id", "external"),
         link(asof_launcher(events), "launcher", "row_id", "correlation"), link(flow_edges(events), "from_row_id", "to_row_id", "flow"),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
-
-
-def causal_chain(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """(seed, row_id, direction, hops): what seeds (row_id) lead to over external, correlation
-    and flow links, down from cause to effect and up from effect to cause. Only rows not seen
-    before go on, so cycles end; chains are followed to their ends."""
-    l_ = links.filter("kind in ('external', 'correlation', 'flow')")
-    steps = stage(l_.select(F.lit("down").alias("direction"), F.col("from_row_id").alias("at"), F.col("to_row_id").alias("to")).union(l_.select(F.lit("up"), "to_row_id", "from_row_id")).distinct(), "causal_steps")
-    front = seeds.select(F.col("row_id").alias("seed"), F.col("row_id"), F.explode(F.array(F.lit("up"), F.lit("down"))).alias("direction"), F.lit(0).alias("hops"))
-    seen = front
-    hop = 0
+    return out
+
+
+CAUSAL = ("external", "correlation", "flow")
+
+
+def causal_chain(seeds: DataFrame, events: DataFrame, links: DataFrame) -> DataFrame:
+    """(seed, row_id, direction, hops): what led to a seed and what it led to. Device work is
+    followed up, calls of the runtime and driver up and down, all else down. Correlations and
+    flows are followed along their direction (against it upwards). External ids are followed
+    forwards and not from device work, backwards not from it unless it is the seed, in order of
+    start, and never from or (downwards) to another host event that isn't a call: such a cause of
+    its own is where a walk ends. Device work ends a walk down. Calls that launch a found kernel
+    are told with it. Walks go on until nothing new is found, so cycles end and chains are whole."""
+    kind = F.when(_gpu(), "gpu").when(F.col("type").isin(*CALLS), "call").otherwise("root")
+    e = stage(timed(events).select("row_id", kind.alias("is"), "start_ns"), "causal_events")
+    side = lambda x: e.select(F.col("row_id").alias(x), F.col("is").alias(f"{x}_is"), F.col("start_ns").alias(f"{x}_start"))
+    l_ = links.filter(F.col("kind").isin(*CAUSAL))
+    steps = l_.select(F.lit("down").alias("direction"), F.col("from_row_id").alias("at"), F.col("to_row_id").alias("to"), "kind").unionByName(l_.select(F.lit("up").alias("direction"), F.col("to_row_id").alias("at"), F.col("from_row_id").alias("to"), "kind"))
+    steps = steps.join(side("at"), "at").join(side("to"), "to")
+    down, up = F.col("direction") == "down", F.col("direction") == "up"
+    in_order = (down & (F.col("to_start") >= F.col("at_start")) & (F.col("at_is") != "gpu")) | (up & (F.col("to_start") <= F.col("at_start")) & (F.col("at_is") != "root"))
+    steps = stage(steps.filter((F.col("kind") != "external") | in_order).select("direction", "at", "to", "kind", "at_is", "to_is").distinct(), "causal_steps")
+    at_seed, to_seed = F.col("at") == F.col("seed"), F.col("to") == F.col("seed")
+    follow = (F.col("kind") != "external") | ((down & (at_seed | (F.col("at_is") != "root")) & (to_seed | (F.col("to_is") != "root"))) | (up & (at_seed | (F.col("at_is") != "gpu"))))
+    goes_on = to_seed | (F.col("to_is") == "call") | (up & (F.col("to_is") == "gpu"))
+    ways = F.when(F.col("is") == "gpu", F.array(F.lit("up"))).when(F.col("is") == "call", F.array(F.lit("up"), F.lit("down"))).otherwise(F.array(F.lit("down")))
+    front = seeds.select("row_id").distinct().join(e, "row_id").select(F.col("row_id").alias("seed"), F.col("row_id").alias("at"), F.explode(ways).alias("direction"))
+    key = ["seed", "row_id", "direction"]
+    seen = stage(front.select("seed", F.col("at").alias("row_id"), "direction", F.lit(0).alias("hops")), "causal_seen")
+    calls = l_.filter("kind = 'correlation'").select(F.col("to_row_id").alias("to"), F.col("from_row_id").alias("caller")).join(e.filter("is = 'call'").select(F.col("row_id").alias("caller")), "caller", "left_semi")
+    hop, callers = 0, None
     while True:
         hop += 1
-        nxt = front.withColumnRenamed("row_id", "at").join(steps, ["direction", "at"]).select("seed", F.col("to").alias("row_id"), "direction").distinct()
-        front = stage(nxt.join(seen.select("seed", "row_id", "direction"), ["seed", "row_id", "direction"], "left_anti").withColumn("hops", F.lit(hop)), "causal_front")
-        if front.isEmpty():
+        nxt = stage(front.join(steps, ["direction", "at"]).filter(follow).select("seed", "to", "direction", "kind", "to_is", goes_on.alias("on")), "causal_next")
+        new = nxt.groupBy("seed", F.col("to").alias("row_id"), "direction").agg(F.bool_or("on").alias("on")).join(seen.select(*key), key, "left_anti")
+        new = stage(new.withColumn("hops", F.lit(hop)), "causal_new")
+        if new.isEmpty():
             break
-        seen = seen.unionByName(front)
+        also = nxt.filter("kind = 'correlation' and direction = 'down' and to_is = 'gpu'").join(calls, "to").select("seed", F.col("caller").alias("row_id"), "direction", F.lit(hop).alias("hops"))
+        callers = also if callers is None else callers.unionByName(also)
+        front = new.filter("on").select("seed", F.col("row_id").alias("at"), "direction")
+        seen = seen.unionByName(new.select(*key, "hops"))
         if hop % 16 == 0:  # keeps the plan short
-            seen = stage(seen, "causal_seen")
-    return seen.filter("hops > 0")
-
-
-def collectives(events: DataFrame, steps: DataFrame) -> DataFrame:
-    """One row per collective: rank, step, kind, ordinal, cpu and kernel event, times, confidence
-    (link by external id, ordinal, cpu-only, kernel-only); skew over ranks is null, as one
-    trace has one."""
-    e = events.filter("comm and collective is not null and ph = 'X'").join(steps.select("row_id", F.col("step_no").alias("step")), "row_id", "left")
-    key = ["trace", "rank", "step", "collective"]
-    e = e.withColumns({"rank": F.coalesce("rank", F.lit(-1)), "step": F.coalesce("step", F.lit(-1))})
-    order = W.partitionBy(*key).orderBy("start_ns", "row_id")
-    cpu = e.filter(F.col("type").isin("cpu_op", "annotation")).withColumn("ordinal", F.row_number().over(order) - 1)
-    gpu = e.filter(F.col("type") == "kernel")
-    per = W.partitionBy("trace", "rank", "external_id").orderBy("start_ns", "row_id")
-    one = lambda d: d.filter("external_id is not null").withColumn("nth", F.row_number().over(per))
-    linked = one(cpu).select("trace", "rank", "external_id", "nth", F.col("row_id").alias("cpu_id")).join(one(gpu).select("trace", "rank", "external_id", "nth", F.col("row_id").alias("gpu_id")), ["trace", "rank", "external_id", "nth"]).select("cpu_id", "gpu_id")
-    linked = stage(linked, "collective_links")
-    c = cpu.select(*key, "ordinal", F.col("row_id").alias("cpu_id"), "start_ns", "end_ns").join(linked, "cpu_id", "left")
-    free_cpu = c.filter("gpu_id is null").drop("gpu_id").withColumn("k", F.row_number().over(W.partitionBy(*key).orderBy("start_ns", "cpu_id")))
-    free_gpu = gpu.join(linked.select(F.col("gpu_id").alias("row_id")), "row_id", "left_anti").withColumn("k", F.row_number().over(order)).select(*key, "k", F.col("row_id").alias("gpu_id"), F.col("start_ns").alias("g_start"), F.col("end_ns").alias("g_end"))
-    rest = free_cpu.join(free_gpu, [*key, "k"], "full")
-    how = F.when(F.col("cpu_id").isNull(), "kernel-only").when(F.col("gpu_id").isNull(), "cpu-only").otherwise("ordinal")
-    rest = rest.select(*key, "ordinal", "cpu_id", "gpu_id", F.coalesce("start_ns", "g_start").alias("start_ns"), F.coalesce("end_ns", "g_end").alias("end_ns"), how.alias("confidence"))
-    out = c.filter("gpu_id is not null").select(*key, "ordinal", "cpu_id", "gpu_id", "start_ns", "end_ns", F.lit("link").alias("confidence")).unionByName(rest)
-    return out.withColumns({"skew_ns": F.lit(None).cast("long"), "slow_rank": F.lit(None).cast("long")})
+            seen, callers = stage(seen, "causal_seen"), stage(callers, "causal_callers")
+    found = seen if callers is None else seen.unionByName(callers)
+    return found.filter("row_id <> seed").groupBy(*key).agg(F.min("hops").alias("hops"))
+
+
+def _reached(primaries: DataFrame, links: DataFrame) -> DataFrame:
+    """(primary, row_id): what primaries lead to over causal links without passing others."""
+    steps = stage(links.filter(F.col("kind").isin(*CAUSAL)).select(F.col("from_row_id").alias("at"), F.col("to_row_id").alias("to")).distinct(), "reach_steps")
+    others = primaries.select(F.col("row_id").alias("to"))
+    steps = stage(steps.join(others, "to", "left_anti"), "reach_steps")
+    front = primaries.select(F.col("row_id").alias("primary"), F.col("row_id").alias("at"))
+    seen, hop = stage(front.select("primary", F.col("at").alias("row_id")), "reached"), 0
+    while True:
+        hop += 1
+        new = front.join(steps, "at").select("primary", F.col("to").alias("row_id")).distinct()
+        new = stage(new.join(seen, ["primary", "row_id"], "left_anti"), "reach_new")
+        if new.isEmpty():
+            return seen
+        front, seen = new.withColumnRenamed("row_id", "at"), seen.unionByName(new)
+        seen = stage(seen, "reached") if hop % 16 == 0 else seen
+
+
+def collectives(events: DataFrame, links: DataFrame) -> DataFrame:
+    """One row per collective: rank, step, collective, ordinal, cpu_id, kernel_ids, start_ns, end_ns,
+    confidence. Communication on the host (operators and events of no other kind) is numbered by
+    start within (rank, step, kind). Its kernels are the device events of the same key that it
+    leads to over external, correlation and flow links (``link``); without any, the device event of
+    the same number (``ordinal``), else none (``cpu-only``). Device events that no row has are rows of
+    their own (``kernel-only``), numbered on. Rank and step -1 are unknown ones. Skew over ranks and
+    the slowest rank are null: ranks are not matched."""
+    steps = assign_steps(events).select("row_id", F.col("step_no").alias("__step"))
+    e = timed(events).filter("comm").join(steps, "row_id", "left")
+    key = ["rank", "step", "collective"]
+    e = e.withColumns({"rank": F.coalesce("rank", F.lit(-1)), "step": F.coalesce("__step", "step_no", F.lit(-1)), "collective": F.coalesce("collective", F.lit("unknown"))})
+    e = stage(e.select(*key, "row_id", "type", "start_ns", "end_ns"), "comm_events")
+    order = ("start_ns", "row_id")
+    cpu = stage(with_ordinal(e.filter("type in ('comm', 'cpu_op')"), tuple(key), order, "ordinal"), "comm_primaries")
+    gpu = stage(with_ordinal(e.filter(_gpu()), tuple(key), order, "nth"), "comm_kernels")
+    kernels = gpu.select(*key, F.col("row_id").alias("kernel_id"), "nth", F.col("start_ns").alias("k_start"), F.col("end_ns").alias("k_end"))
+    c = cpu.select(*key, "ordinal", F.col("row_id").alias("cpu_id"), "start_ns", "end_ns")
+    reach = _reached(cpu, links).select(F.col("primary").alias("cpu_id"), F.col("row_id").alias("kernel_id"))
+    linked = reach.join(c, "cpu_id").join(kernels.drop("nth"), [*key, "kernel_id"]).withColumn("confidence", F.lit("link"))
+    linked = stage(linked, "comm_linked")
+    rest = c.join(linked.select("cpu_id").distinct(), "cpu_id", "left_anti").join(kernels.withColumnRenamed("nth", "ordinal"), [*key, "ordinal"], "left")
+    rest = rest.withColumn("confidence", F.when(F.col("kernel_id").isNull(), "cpu-only").otherwise("ordinal"))
+    pairs = stage(linked.unionByName(rest), "comm_pairs")
+    out = pairs.groupBy(*key, "ordinal", "cpu_id", "confidence").agg(
+        F.array_sort(F.collect_set("kernel_id")).alias("kernel_ids"), F.least(F.min("start_ns"), F.min("k_start")).alias("start_ns"), F.greatest(F.max("end_ns"), F.max("k_end")).alias("end_ns")
+    )
+    left = gpu.join(pairs.select(F.col("kernel_id").alias("row_id")).filter("row_id is not null").distinct(), "row_id", "left_anti")
+    left = with_ordinal(left, tuple(key), order, "more").join(cpu.groupBy(*key).agg(F.count("*").alias("primaries")), key, "left")
+    number = F.when(F.col("primaries").isNull(), F.col("nth")).otherwise(F.col("primaries") + F.col("more"))
+    only = left.select(*key, number.alias("ordinal"), F.lit(None).cast("long").alias("cpu_id"), F.lit("kernel-only").alias("confidence"), F.array("row_id").alias("kernel_ids"), "start_ns", "end_ns")
+    return out.unionByName(only).withColumns({"skew_ns": F.lit(None).cast("long"), "slow_rank": F.lit(None).cast("long")})
+
+
+def collective_groups(found: DataFrame, rank: int | None = None, step: int | None = None) -> DataFrame:
+    """Collectives of which any rank matches, whole: kind, step and number that some matching row
+    has are kept with the rows of all ranks."""
+    hit = found if rank is None else found.filter(F.col("rank") == rank)
+    hit = hit if step is None else hit.filter(F.col("step") == step)
+    return found.join(hit.select("collective", "step", "ordinal").distinct(), ["collective", "step", "ordinal"], "left_semi")
 
 
 def inspect_events(ids: DataFrame, events: DataFrame, links: DataFrame) -> DataFrame:
-    """Asked events with their arguments, parent, children and links; others ``found`` false."""
+    """Asked events with their arguments, parent, children, step, path of Python frames and all links
+    from or to them; others ``found`` false."""
     up = links.filter("kind = 'nesting'").select(F.col("to_row_id").alias("row_id"), F.col("from_row_id").alias("parent_id"))
-    down = links.filter("kind = 'nesting'").groupBy(F.col("from_row_id").alias("row_id")).agg(F.count("*").alias("children"))
-    n = links.join(ids.select(F.col("row_id").alias("from_row_id")), "from_row_id", "left_semi").groupBy(F.col("from_row_id").alias("row_id")).agg(F.count("*").alias("links"))
-    out = ids.join(events.select("row_id", "name", "type", "start_ns", "end_ns", "args"), "row_id", "left").join(up, "row_id", "left").join(down, "row_id", "left").join(n, "row_id", "left")
-    return out.withColumn("found", F.col("start_ns").isNotNull()).fillna(0, ["children", "links"])
+    down = links.filter("kind = 'nesting'").groupBy(F.col("from_row_id").alias("row_id")).agg(F.array_sort(F.collect_list("to_row_id")).alias("children"))
+    step = links.filter("kind = 'step'").select(F.col("to_row_id").alias("row_id"), F.col("from_row_id").alias("step_id"))
+    one = F.struct("kind", "from_row_id", "to_row_id")
+    ends = links.select(F.col("from_row_id").alias("row_id"), one.alias("link")).unionByName(links.select(F.col("to_row_id").alias("row_id"), one.alias("link")))
+    n = ends.join(ids.select("row_id"), "row_id", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_set("link")).alias("links"))
+    out = ids.join(events.select("row_id", "name", "type", "start_ns", "end_ns", "args"), "row_id", "left")
+    for d in (up, down, step, python_context(events), n):
+        out = out.join(d, "row_id", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    return out.withColumns({"found": F.col("start_ns").isNotNull(), "children": none("children", "array<long>"), "links": none("links", "array<struct<kind:string,from_row_id:long,to_row_id:long>>")})

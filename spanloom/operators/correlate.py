@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions import names as N
+from spanloom.operators.ordered import with_ordinal
+
 ID = ["process_id", "device_id", "context_id", "correlation_id"]
 
 
@@ -22,17 +25,18 @@ def resolve_process(spans: DataFrame, contexts: DataFrame, launches: DataFrame)
     return s.join(near, ["kind", "row_id"], "left").withColumn("process", F.coalesce("process_id", "by_context", "by_call")).drop("by_context", "by_call")
 
 
-def nearest_launcher(replays: DataFrame, launches: DataFrame, like: str, window_ns: int) -> DataFrame:
-    """For each replay (process_id, replay_id, start_ns) the call of its process within the
-    window that fits best: named like ``like`` first, then at or before the start, then nearest,
-    then by id. Times are cut into bins of the window's width, so only near calls are met."""
-    bin_ = lambda c: F.expr(f"{c} div {window_ns}")
-    r = replays.select("process_id", "replay_id", F.col("start_ns").alias("t"), F.explode(F.array(*[bin_("start_ns") + i for i in (-1, 0, 1)])).alias("bin"))
-    c = launches.select("process_id", "row_id", "name", "start_ns", bin_("start_ns").alias("bin"))
-    m = r.join(c, ["process_id", "bin"]).filter(F.abs(F.col("t") - F.col("start_ns")) <= window_ns)
-    order = [F.when(F.col("name").like(like), 0).otherwise(1), F.when(F.col("start_ns") <= F.col("t"), 0).otherwise(1), F.abs(F.col("t") - F.col("start_ns")), F.col("row_id")]
-    best = F.row_number().over(W.partitionBy("process_id", "replay_id").orderBy(*order))
-    return m.withColumn("r", best).filter("r = 1").select("process_id", "replay_id", F.col("row_id").alias("launch_id"), "name")
+def nearest_launcher(replays: DataFrame, launches: DataFrame, contexts: DataFrame, like: str) -> DataFrame:
+    """For each replay (an identity and its start_ns) the host call of the same process and
+    correlation, of a process that has the replay's device and context, that fits best: named like
+    ``like`` first, then at or before the start, then nearest, then by id. Replays without one stay."""
+    r = replays.select(*ID, F.col("start_ns").alias("replay_start_ns"))
+    known = r.join(contexts.select("process_id", "device_id", "context_id").distinct(), ["process_id", "device_id", "context_id"], "left_semi")
+    m = known.join(launches.select("process_id", "correlation_id", "row_id", "name", "start_ns"), ["process_id", "correlation_id"])
+    named = F.when(F.coalesce(F.col("name"), F.lit("")).like(like), 0).otherwise(1)
+    late = F.when(F.col("start_ns") <= F.col("replay_start_ns"), 0).otherwise(1)
+    best = F.min(F.struct(named.alias("a"), late.alias("b"), F.abs(F.col("start_ns") - F.col("replay_start_ns")).alias("c"), "row_id", "name"))
+    m = m.groupBy(*ID, "replay_start_ns").agg(best.alias("m")).select(*ID, "replay_start_ns", F.col("m.row_id").alias("launch_id"), F.col("m.name").alias("name"))
+    return r.join(m, [*ID, "replay_start_ns"], "left")
 
 
 def replay_nodes(spans: DataFrame, n: int) -> DataFrame:
@@ -45,20 +49,29 @@ def replay_nodes(spans: DataFrame, n: int) -> DataFrame:
     return g.withColumn("share", F.col("sum_ns") / F.col("wall")).drop("wall")
 
 
-def correlate(ids: DataFrame, spans: DataFrame, launches: DataFrame) -> DataFrame:
-    """For asked (kind, row_id): all host calls and device work of the same process and
-    correlation, in order of start; one row with ``found`` false where there is nothing."""
-    both = spans.select("kind", "row_id", "process_id", "correlation_id", "start_ns", "end_ns").unionByName(launches.select(F.lit("runtime").alias("kind"), "row_id", "process_id", "correlation_id", "start_ns", "end_ns"))
+_SIDE = ("kind", "row_id", "process_id", "correlation_id", "start_ns", "end_ns")
+
+
+def correlate(ids: DataFrame, *tables: DataFrame) -> DataFrame:
+    """For asked (kind, row_id): all rows of the tables (device work, host calls, synchronisations,
+    graphs: columns kind, row_id, process_id, correlation_id, start_ns, end_ns) of the same process
+    and correlation; one row with ``found`` false where there is nothing."""
+    both = tables[0].select(*_SIDE)
+    for t in tables[1:]:
+        both = both.unionByName(t.select(*_SIDE))
     seeds = ids.join(both.select("kind", "row_id", "process_id", "correlation_id"), ["kind", "row_id"], "left")
     got = both.select(F.col("kind").alias("to_kind"), F.col("row_id").alias("to_row_id"), "process_id", "correlation_id", "start_ns", "end_ns")
     out = seeds.join(got, ["process_id", "correlation_id"], "left")
     return out.select("kind", "row_id", F.col("to_row_id").isNotNull().alias("found"), "to_kind", "to_row_id", "start_ns", "end_ns")
 
 
-def correlation_stats(spans: DataFrame, launches: DataFrame) -> DataFrame:
-    """One row: contexts, processes, identities, rows of either side."""
-    a = spans.agg(F.countDistinct("process_id", "device_id", "context_id").alias("contexts"), F.countDistinct("process_id").alias("processes"), F.countDistinct(*ID).alias("groups"), F.count("*").alias("spans"))
-    return a.crossJoin(launches.agg(F.count("*").alias("launches")))  # one row each
+def correlation_stats(spans: DataFrame, launches: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(what, n): contexts, processes, identities with any row, and rows by kind."""
+    host = launches.join(contexts, "process_id").select(*ID, F.lit("runtime").alias("kind"))
+    rows = spans.select(*ID, "kind").unionByName(host)
+    kinds = rows.groupBy(F.concat("kind", F.lit("_rows")).alias("what")).agg(F.count("*").alias("n"))
+    one = contexts.agg(F.countDistinct("process_id", "device_id", "context_id").alias("contexts"), F.countDistinct("process_id").alias("processes")).crossJoin(rows.agg(F.countDistinct(*ID).alias("groups")))  # one row each
+    return one.select(F.stack(F.lit(3), *[x for c in ("contexts", "processes", "groups") for x in (F.lit(c), F.col(c))]).alias("what", "n")).unionByName(kinds)
 
 
 def prior_launches(spans: DataFrame) -> DataFrame:
@@ -66,15 +79,46 @@ def prior_launches(spans: DataFrame) -> DataFrame:
     processes that ran the name."""
     k = spans.filter("kind = 'kernel'")
     n = k.groupBy("name").agg(F.countDistinct("process_id").alias("processes"))
-    rank = (F.row_number().over(W.partitionBy("name").orderBy("start_ns", "row_id")) - 1).cast("long")
-    return k.select("row_id", "name", rank.alias("ordinal")).join(n, "name")
-
-
-def search(spans: DataFrame, test, sort: str, k: int, details: list[str]) -> DataFrame:
-    """The ``k`` best of the matching rows; wide columns are fetched for them alone."""
-    thin = spans.filter(test & (F.col("end_ns") > F.col("start_ns"))).withColumn("ns", F.col("end_ns") - F.col("start_ns"))
-    top = thin.select("kind", "row_id", "ns").orderBy(F.col(sort).desc_nulls_last(), F.col("row_id").desc()).limit(k)
-    return top.join(spans.select("kind", "row_id", *details), ["kind", "row_id"])
+    return with_ordinal(k.select("row_id", "name", "start_ns"), ("name",), ("start_ns", "row_id"), "ordinal").drop("start_ns").join(n, "name")
+
+
+def order_by(sort: str, defaults: dict[str, str], tie: tuple[str, ...]) -> list[Column]:
+    """Columns to order by for ``total,-count,name:asc``: ``-`` or ``:desc`` is descending, ``+`` or
+    ``:asc`` ascending, else the key's default. Nulls come last. Ties go by ``tie`` in the direction
+    of the last key."""
+    out, down = [], False
+    for field in (f.strip() for f in sort.split(",") if f.strip()):
+        key, _, way = field.partition(":")
+        if key[0] in "+-":
+            key, way = key[1:], "desc" if key[0] == "-" else "asc"
+        key, way = key.strip(), (way.strip() or defaults.get(key.strip(), ""))
+        if key not in defaults or way not in ("asc", "desc"):
+            raise ValueError(f"can't sort by {field!r}; keys are {', '.join(defaults)}")
+        down = way == "desc"
+        out.append(F.col(key).desc_nulls_last() if down else F.col(key).asc_nulls_last())
+    return out + [F.col(t).desc_nulls_last() if down else F.col(t).asc_nulls_last() for t in tie]
+
+
+def listing(rows: DataFrame, sort: str, defaults: dict[str, str], tie: tuple[str, ...], limit: int, totals: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``limit`` rows in that order, each with ``matched``, the number of rows before the
+    limit, and ``all_<column>``, the sums over them; place counts from 1."""
+    whole = rows.agg(F.count("*").alias("matched"), *[F.sum(c).alias(f"all_{c}") for c in totals])
+    order = order_by(sort, defaults, tie)
+    top = rows.orderBy(*order).limit(limit)
+    top = top.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))  # ``limit`` rows
+    return top.crossJoin(whole)  # one row
+
+
+def search(spans: DataFrame, test, sort: str, k: int, details: list[str], ranges: DataFrame | None = None, markers: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``k`` of the matching rows (``sort`` as in ``order_by``, over ns, start_ns, end_ns,
+    name, bytes); wide columns are fetched for them alone. Rows without duration are left out unless
+    their kind is one of ``markers``. With ``ranges`` (row_id, range_name, ...: what
+    ``innermost_range`` found) also the range around each."""
+    keys = {"ns": "desc", "start_ns": "asc", "end_ns": "asc", "name": "asc", **({"bytes": "desc"} if "bytes" in spans.columns else {})}
+    thin = spans.filter(test & ((F.col("end_ns") > F.col("start_ns")) | F.col("kind").isin(*markers))).withColumn("ns", F.col("end_ns") - F.col("start_ns"))
+    top = listing(thin.select("kind", "row_id", *keys), sort, keys, ("row_id",), k).select("kind", "row_id", "ns", "matched", "place")
+    out = top.join(spans.select("kind", "row_id", *details), ["kind", "row_id"])
+    return out if ranges is None else out.join(ranges, ["kind", "row_id"], "left")
 
 
 def inspect(ids: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
@@ -82,6 +126,60 @@ def inspect(ids: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
     return ids.join(table.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def inspect_syncs(ids: DataFrame, syncs: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """Asked synchronisations with their label, and the range around the call if ``ranges`` (row_id,
+    range_name) is given. Device-wide ones have stream 0."""
+    wide = syncs.withColumns({"stream_id": F.coalesce("stream_id", F.lit(0)), "sync_type_name": N.label("sync_type", N.SYNC_TYPES), "ns": F.col("end_ns") - F.col("start_ns")})
+    return inspect(ids, wide if ranges is None else wide.join(ranges, "row_id", "left"), ["row_id"])
+
+
+def inspect_cuda_events(ids: DataFrame, events: DataFrame, syncs: DataFrame) -> DataFrame:
+    """Asked recorded events with the synchronisations that waited for them (by event_sync_id)."""
+    waited = syncs.filter("event_sync_id is not null").groupBy("event_sync_id").agg(F.array_sort(F.collect_list("row_id")).alias("sync_ids"))
+    return inspect(ids, events.join(waited, "event_sync_id", "left"), ["row_id"])
+
+
+def inspect_graphs(ids: DataFrame, graphs: DataFrame) -> DataFrame:
+    """Asked graph launches with their duration."""
+    return inspect(ids, graphs.withColumn("ns", F.col("end_ns") - F.col("start_ns")), ["row_id"])
+
+
+def inspect_graph_nodes(ids: DataFrame, nodes: DataFrame, kernels: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """Asked node creations with the graph that owns the node, as a kernel of the node says (of
+    several the smallest id), and the executable made from that graph, as a creation event says.
+    Captures without these columns or tables leave them null. A marker without end lasts 0."""
+    d = nodes.withColumn("ns", F.coalesce(F.col("end_ns") - F.col("start_ns"), F.lit(0)))
+    none = F.lit(None).cast("long")
+    if kernels is None or not {"graph_id", "graph_node_id"} <= set(kernels.columns):
+        d = d.withColumns({"graph_id": none, "graph_exec_id": none})
+    else:
+        d = d.join(kernels.groupBy("graph_node_id").agg(F.min("graph_id").alias("graph_id")), "graph_node_id", "left")
+        if events is None:
+            d = d.withColumn("graph_exec_id", none)
+        else:
+            d = d.join(events.filter("event_class = 94").groupBy("graph_id").agg(F.min("graph_exec_id").alias("graph_exec_id")), "graph_id", "left")
+    return inspect(ids, d, ["row_id"])
+
+
+def inspect_graph_events(ids: DataFrame, events: DataFrame) -> DataFrame:
+    """Asked creations of graphs and executables with their label."""
+    return inspect(ids, events.withColumns({"event_class_name": N.label("event_class", N.GRAPH_EVENTS), "ns": F.col("end_ns") - F.col("start_ns")}), ["row_id"])
+
+
+def inspect_overheads(ids: DataFrame, overheads: DataFrame) -> DataFrame:
+    """Asked rows of the profiler's own work with their label."""
+    return inspect(ids, overheads.withColumns({"overhead_type_name": N.label("overhead_type", N.OVERHEADS), "ns": F.col("end_ns") - F.col("start_ns")}), ["row_id"])
+
+
+def inspect_cpu_samples(ids: DataFrame, samples: DataFrame, frames: DataFrame) -> DataFrame:
+    """Asked CPU samples with their call chain, innermost frame first: symbol, module's base name and,
+    where frames have an ``ip``, its address in hexadecimal."""
+    at = F.concat(F.lit("0x"), F.lower(F.hex("ip"))) if "ip" in frames.columns else F.lit(None).cast("string")
+    one = F.struct("stack_depth", "symbol", N.basename("module").alias("module"), at.alias("address"))
+    chain = frames.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("chain"))
+    return inspect(ids, samples.join(chain, "id", "left"), ["id"])
+
+
 def highlights(spans: DataFrame, by: str, n: int, window: tuple[int, int]) -> DataFrame:
     """Top names in a window by clipped time with their share."""
     from spanloom.functions.windows import clipped, overlaps
@@ -92,13 +190,28 @@ def highlights(spans: DataFrame, by: str, n: int, window: tuple[int, int]) -> Da
     return top.crossJoin(g.agg(F.sum("total").alias("all"))).withColumn("share", F.col("total") / F.col("all")).drop("all")  # one row
 
 
-def tracks(spans: DataFrame, streams: int) -> DataFrame:
-    """Rows of a timeline figure: one track per device and its busiest streams."""
+def tracks(spans: DataFrame, streams: int, launches: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
+    """Rows of a timeline figure (track_key, start_ns, end_ns, class, label): one track per device,
+    its busiest streams, host calls per process, and ranges per depth on the device that their work
+    ran on. ``ranges``: range_id, name, start_ns, end_ns, depth, process_id, device_id (null: none)."""
     d = spans.filter("end_ns > start_ns").withColumn("ns", F.col("end_ns") - F.col("start_ns"))
     lanes = d.groupBy("process_id", "device_id", "stream_id").agg(F.sum("ns").alias("busy"))
     order = W.partitionBy("process_id", "device_id").orderBy(F.desc("busy"), "stream_id")
     lanes = lanes.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= streams).select("process_id", "device_id", "stream_id")
-    key = F.concat_ws("/", F.lit("gpu"), F.col("process_id").cast("string"), F.col("device_id").cast("string"))
-    whole = d.select(key.alias("track_key"), "start_ns", "end_ns", F.col("kind").alias("class"), F.col("name").alias("label"))
-    own = d.join(lanes, ["process_id", "device_id", "stream_id"]).select(F.concat_ws("/", key, F.col("stream_id").cast("string")).alias("track_key"), "start_ns", "end_ns", F.col("kind").alias("class"), F.col("name").alias("label"))
-    return whole.unionByName(own)
+    key = lambda kind, *cols: F.concat_ws("/", F.lit(kind), *[F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in cols]).alias("track_key")
+    rest = ("start_ns", "end_ns")
+    out = d.select(key("gpu", "process_id", "device_id"), *rest, F.col("kind").alias("class"), F.col("name").alias("label"))
+    out = out.unionByName(d.join(lanes, ["process_id", "device_id", "stream_id"]).select(key("gpu", "process_id", "device_id", "stream_id"), *rest, F.col("kind").alias("class"), F.col("name").alias("label")))
+    if launches is not None:
+        out = out.unionByName(launches.select(key("api", "process_id"), *rest, F.lit("runtime").alias("class"), F.col("name").alias("label")))
+    if ranges is not None:
+        out = out.unionByName(ranges.select(key("range", "process_id", "device_id", "depth"), "start_ns", F.coalesce("end_ns", "start_ns").alias("end_ns"), F.lit("range").alias("class"), F.col("name").alias("label")))
+    return out
+
+
+def ranges_on_devices(tree: DataFrame, slices: DataFrame) -> DataFrame:
+    """Ranges of the tree once for each device that their work ran on; those without work once, with
+    null device, under the process of their thread. Depths count from 1."""
+    ran = slices.filter("device_id is not null").select("range_id", F.col("process_id").alias("__p"), "device_id").distinct()
+    d = tree.join(ran, "range_id", "left").withColumn("process_id", F.coalesce("__p", F.shiftright("global_tid", 24).bitwiseAND(F.lit(0xFFFFFF))))
+    return d.select("range_id", "name", "start_ns", "end_ns", (F.col("depth") + 1).alias("depth"), "process_id", "device_id")

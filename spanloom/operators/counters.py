@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.windows import bucket_of
+from spanloom.functions.names import unit_of
 from spanloom.operators.buckets import in_buckets
+from spanloom.operators.ordered import with_previous
 
-SUMMED = r"Cycles Active|Requests"
+#: Units of counters that are summed in a bucket; all others are averaged (fixed values).
+SUMMED = ("cycles active", "requests")
 
 
 def _quantiles(value: str, approximate: bool) -> list[Column]:
@@ -20,16 +22,16 @@ def _quantiles(value: str, approximate: bool) -> list[Column]:
 def point_summary(samples: DataFrame, by: tuple[str, ...] = ("type_id", "metric"), counters: DataFrame | None = None, approximate: bool = False) -> DataFrame:
     """Per counter: n, extremes, mean, quantiles, time spanned, longest time between samples.
     Counters of the dictionary without samples stay with n 0."""
-    w = W.partitionBy(*by).orderBy("ts_ns", "row_id")
-    s = samples.withColumn("step", F.col("ts_ns") - F.lag("ts_ns").over(w))
+    s = with_previous(samples, by, ("ts_ns", "row_id"), ("ts_ns",)).withColumn("step", F.col("ts_ns") - F.col("previous.ts_ns"))
     g = s.groupBy(*by).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), *_quantiles("value", approximate), (F.max("ts_ns") - F.min("ts_ns")).alias("span_ns"), F.max("step").alias("max_gap_ns"))
     return g if counters is None else counters.join(g, list(by), "left").fillna(0, ["n"])
 
 
 def point_series(samples: DataFrame, width: int, by: tuple[str, ...] = ("type_id", "metric"), anchor: int = 0) -> DataFrame:
-    """Per counter and bucket: n and value - the sum for counts, else the mean."""
+    """Per counter and bucket: n and value - the sum where the unit in brackets at the end of
+    the counter's name says so, else the mean."""
     d = samples.withColumn("bucket_ns", bucket_of("ts_ns", width, anchor))
-    value = F.when(F.max("metric").rlike(SUMMED), F.sum("value")).otherwise(F.avg("value"))
+    value = F.when(F.lower(unit_of(F.max("metric"))).isin(*SUMMED), F.sum("value")).otherwise(F.avg("value"))
     return d.groupBy(*by, "bucket_ns").agg(F.count("*").alias("n"), value.alias("value"))
 
 

@@ -1,8 +1,8 @@
 """Idle gaps, islands, concurrency: interval algebra on spans.
 
-Running maxima don't run over a whole device in one task. Rows are cut into chunks of time;
-each chunk has its own maximum, the maxima of earlier chunks are carried in (one row per
-chunk), and only rows of one chunk meet in a window.
+Running maxima don't run over a whole device in one task. Rows are cut into chunks of time as
+``operators.ordered`` does; each chunk has its own maximum, the maxima of earlier chunks are
+carried in (one row per chunk), and only rows of one chunk meet in a window.
 """
 
 from __future__ import annotations
@@ -12,23 +12,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.windows import clipped, overlaps
+from spanloom.operators.ordered import chunked, with_next
 
 DEVICE = ("process_id", "device_id")
 LANE = ("process_id", "device_id", "stream_id")
-CHUNK_NS = 3_600_000_000_000
 COMPUTE, COPY = ("kernel", "graph"), ("memcpy", "memset")
 
 
-def with_busy_until(spans: DataFrame, by: tuple[str, ...] = DEVICE, chunk_ns: int = CHUNK_NS) -> DataFrame:
+def with_busy_until(spans: DataFrame, by: tuple[str, ...] = DEVICE, chunk_rows: int | None = None) -> DataFrame:
     """Spans with ``busy`` (end_ns, less): the latest end of spans that started before, by
     (start, row_id), with ``less`` the negated row id of the first span that has it."""
-    rows = spans.withColumns({"chunk": F.expr(f"start_ns div {chunk_ns}"), "mark": F.struct("end_ns", (-F.col("row_id")).alias("less"))})
-    tops = rows.groupBy(*by, "chunk").agg(F.max("mark").alias("top"))
-    carry = F.max("top").over(W.partitionBy(*by).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
-    tops = tops.select(*by, "chunk", carry.alias("carry"))
-    local = F.max("mark").over(W.partitionBy(*by, "chunk").orderBy("start_ns", "row_id").rowsBetween(W.unboundedPreceding, -1))
-    out = rows.withColumn("local", local).join(tops, [*by, "chunk"])
-    return out.withColumn("busy", F.greatest("local", "carry")).drop("chunk", "mark", "local", "carry")
+    rows = chunked(spans, "start_ns", chunk_rows).withColumn("__mark", F.struct("end_ns", (-F.col("row_id")).alias("less")))
+    tops = rows.groupBy(*by, "__chunk").agg(F.max("__mark").alias("top"))
+    carry = F.max("top").over(W.partitionBy(*by).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1))
+    tops = tops.select(*by, "__chunk", carry.alias("__carry"))
+    local = F.max("__mark").over(W.partitionBy(*by, "__chunk").orderBy("start_ns", "row_id").rowsBetween(W.unboundedPreceding, -1))
+    out = rows.withColumn("__local", local).join(tops, [*by, "__chunk"])
+    return out.withColumn("busy", F.greatest("__local", "__carry")).drop("__chunk", "__mark", "__local", "__carry")
 
 
 def idle_gaps(spans: DataFrame, by: tuple[str, ...] = DEVICE, min_ns: int = 1, window: tuple[int, int] | None = None) -> DataFrame:
@@ -39,28 +39,31 @@ def idle_gaps(spans: DataFrame, by: tuple[str, ...] = DEVICE, min_ns: int = 1, w
     return g if window is None else overlaps(g, *window)
 
 
-def stream_gaps(spans: DataFrame, by: tuple[str, ...] = LANE, min_ns: int = 1) -> DataFrame:
-    """Between a span and the next on its stream; overlapping neighbours leave none."""
-    w = W.partitionBy(*by).orderBy("start_ns", "row_id")
-    n = spans.withColumns({"next_start": F.lead("start_ns").over(w), "next_row_id": F.lead("row_id").over(w)})
-    n = n.filter(F.col("next_start") - F.col("end_ns") >= max(1, min_ns))
-    return n.select(*by, F.col("end_ns").alias("start_ns"), F.col("next_start").alias("end_ns"), (F.col("next_start") - F.col("end_ns")).alias("gap_ns"), F.col("row_id").alias("prev_row_id"), "next_row_id")
+def stream_gaps(spans: DataFrame, by: tuple[str, ...] = LANE, min_ns: int = 1, window: tuple[int, int] | None = None) -> DataFrame:
+    """Between a span and the next on its stream; overlapping neighbours leave none. With a
+    window, gaps that overlap it, in full."""
+    n = with_next(spans, by, ("start_ns", "row_id"), ("start_ns", "row_id"))
+    gap = F.col("next.start_ns") - F.col("end_ns")
+    n = n.filter(gap >= max(1, min_ns))
+    g = n.select(*by, F.col("end_ns").alias("start_ns"), F.col("next.start_ns").alias("end_ns"), gap.alias("gap_ns"), F.col("row_id").alias("prev_row_id"), F.col("next.row_id").alias("next_row_id"))
+    return g if window is None else overlaps(g, *window)
 
 
-def merge_islands(spans: DataFrame, by: tuple[str, ...] = DEVICE, chunk_ns: int = CHUNK_NS) -> DataFrame:
-    """Busy times: keys, start_ns, end_ns. Spans that touch are one island. Only the first rows
-    of islands meet in the last window."""
+def merge_islands(spans: DataFrame, by: tuple[str, ...] = DEVICE, chunk_rows: int | None = None) -> DataFrame:
+    """Busy times: keys, start_ns, end_ns. Spans that touch are one island, which ends where the
+    next one's first row says the last end before it was."""
     d = spans.filter(F.col("end_ns") > F.col("start_ns"))
-    b = with_busy_until(d, by, chunk_ns).filter(F.col("busy").isNull() | (F.col("start_ns") > F.col("busy.end_ns")))
+    b = with_busy_until(d, by, chunk_rows).filter(F.col("busy").isNull() | (F.col("start_ns") > F.col("busy.end_ns")))
     last = d.groupBy(*by).agg(F.max("end_ns").alias("last"))
-    until = F.lead("busy.end_ns").over(W.partitionBy(*by).orderBy("start_ns"))
-    return b.select(*by, "start_ns", until.alias("until")).join(last, list(by)).select(*by, "start_ns", F.coalesce("until", "last").alias("end_ns"))
+    b = with_next(b.select(*by, "start_ns", F.col("busy.end_ns").alias("before")), by, ("start_ns",), ("before",), rows=chunk_rows)
+    return b.join(last, list(by)).select(*by, "start_ns", F.coalesce("next.before", "last").alias("end_ns"))
 
 
-def trace_gaps(spans: DataFrame, min_ns: int = 1) -> DataFrame:
-    """Times when no device worked; devices are merged to islands first."""
+def trace_gaps(spans: DataFrame, min_ns: int = 1, window: tuple[int, int] | None = None) -> DataFrame:
+    """Times when no device worked; devices are merged to islands first. With a window, gaps
+    that overlap it, in full."""
     i = merge_islands(spans).withColumns({"trace": F.lit(0), "row_id": F.xxhash64("process_id", "device_id", "start_ns")})
-    return idle_gaps(i, ("trace",), min_ns).select("start_ns", "end_ns", "gap_ns")
+    return idle_gaps(i, ("trace",), min_ns, window).select("start_ns", "end_ns", "gap_ns")
 
 
 def lane_activity(spans: DataFrame, window: tuple[int, int] | None = None, by: tuple[str, ...] = LANE) -> DataFrame:
@@ -73,15 +76,15 @@ def lane_activity(spans: DataFrame, window: tuple[int, int] | None = None, by: t
     return g.withColumn("busy_ratio", F.when(F.col("span_ns") > 0, F.col("busy_ns") / F.col("span_ns")).otherwise(F.lit(float("nan"))))
 
 
-def peak(spans: DataFrame, by: tuple[str, ...] = DEVICE, chunk_ns: int = CHUNK_NS) -> DataFrame:
+def peak(spans: DataFrame, by: tuple[str, ...] = DEVICE, chunk_rows: int | None = None) -> DataFrame:
     """Largest number of spans at one time; an end frees before a start at the same time."""
     d = spans.filter(F.col("end_ns") > F.col("start_ns"))
     e = d.select(*by, F.explode(F.array(F.struct(F.col("start_ns").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ns").alias("t"), F.lit(-1).alias("d")))).alias("e"))
-    e = e.groupBy(*by, F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d")).withColumn("chunk", F.expr(f"t div {chunk_ns}"))
-    tops = e.groupBy(*by, "chunk").agg(F.sum("d").alias("s"))
-    carry = F.coalesce(F.sum("s").over(W.partitionBy(*by).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    local = F.sum("d").over(W.partitionBy(*by, "chunk").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
-    return e.withColumn("local", local).join(tops.select(*by, "chunk", carry.alias("carry")), [*by, "chunk"]).groupBy(*by).agg(F.max(F.col("local") + F.col("carry")).alias("peak"))
+    e = chunked(e.groupBy(*by, F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d")), "t", chunk_rows)
+    tops = e.groupBy(*by, "__chunk").agg(F.sum("d").alias("s"))
+    carry = F.coalesce(F.sum("s").over(W.partitionBy(*by).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    local = F.sum("d").over(W.partitionBy(*by, "__chunk").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
+    return e.withColumn("local", local).join(tops.select(*by, "__chunk", carry.alias("carry")), [*by, "__chunk"]).groupBy(*by).agg(F.max(F.col("local") + F.col("carry")).alias("peak"))
 
 
 def concurrency(spans: DataFrame, by: tuple[str, ...] = DEVICE) -> DataFrame:

@@ -2,17 +2,18 @@
 
 Containment is an equi-join: both sides are cut into time bins, long ranges are held in coarser
 levels of bins (a range lies in at most two bins of its own level), and a call asks one bin of
-every level in use. So neither long ranges nor fine bins multiply rows, and each pair meets
+every level that some range has. So neither long ranges nor fine bins multiply rows, and each pair meets
 exactly once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.names import path_part
+from spanloom.operators.ordered import with_ordinal
+from spanloom.staging import stage
 
 #: Finest bin and the factor between levels: 1 ms, then 16 times as wide, 12 levels.
 BIN_NS, FACTOR, LEVELS = 1_000_000, 16, 12
@@ -29,41 +30,60 @@ def contains_join(outer: DataFrame, inner: DataFrame, on: list[str]) -> DataFram
     level = F.least(F.greatest(F.ceil(F.log(span / BIN_NS) / F.log(F.lit(float(FACTOR)))), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
     o = outer.withColumn("lv", level)
     bins = F.sequence(F.floor(F.col("o_start") / _width(F.col("lv"))), F.floor(F.col("o_end") / _width(F.col("lv"))))
+    used = o.agg(F.collect_set("lv").alias("lvs"))  # one row
     o = o.withColumn("bin", F.explode(bins))
-    i = inner.withColumn("lv", F.explode(F.array(*[F.lit(n) for n in range(LEVELS)])))
+    i = inner.crossJoin(used).withColumn("lv", F.explode("lvs")).drop("lvs")
     i = i.withColumn("bin", F.floor(F.col("i_start") / _width(F.col("lv"))))
     met = i.join(o, [*on, "lv", "bin"]).filter((F.col("o_start") <= F.col("i_start")) & (F.col("i_end") <= F.col("o_end")))
     return met.drop("lv", "bin")
 
 
 def nesting(ranges: DataFrame, by: tuple[str, ...] = ("global_tid", "domain_id")) -> DataFrame:
-    """Ranges with depth, parent_id and path. Touching ranges are siblings; of ranges that
-    contain another, the parent is the one that closes first, the earliest opened (by start,
-    id) of those that close together. An instant (null end) has a place but no children."""
-    r = ranges.withColumns({"i_start": F.col("start_ns"), "i_end": F.coalesce("end_ns", "start_ns")})
-    o = ranges.filter("end_ns > start_ns").select(*by, F.col("range_id").alias("o_id"), F.col("start_ns").alias("o_start"), F.col("end_ns").alias("o_end"), F.col("name").alias("o_name"))
-    inside = contains_join(o, r.select(*by, "range_id", "start_ns", "end_ns", "i_start", "i_end"), list(by))
-    opened_before = (F.col("o_start") < F.col("i_start")) | ((F.col("o_start") == F.col("i_start")) & ((F.col("o_end") > F.col("i_end")) | ((F.col("o_end") == F.col("i_end")) & (F.col("o_id") < F.col("range_id")))))
-    inside = inside.filter(opened_before & ((F.col("i_start") < F.col("o_end"))))
-    chain = F.array_sort(F.collect_list(F.struct(F.col("o_start").alias("s"), (-F.col("o_end")).alias("e"), F.col("o_id").alias("id"), F.col("o_name").alias("name"))))
-    up = inside.groupBy("range_id").agg(chain.alias("up"), F.min(F.struct("o_end", "o_start", "o_id"))["o_id"].alias("parent_id"))
-    out = ranges.join(up, "range_id", "left")
-    own = path_part("name")
-    path = F.when(F.col("up").isNull(), own).otherwise(F.concat_ws("/", F.transform("up", lambda x: path_part(x["name"])), own))
-    return out.withColumns({"depth": F.coalesce(F.size("up"), F.lit(0)).cast("long"), "path": path}).drop("up")
+    """Ranges with depth, parent_id and path. A range lies under all that are open when it
+    starts: that began before it (by start, then id) and end after; so touching ranges are
+    siblings, and ranges that overlap nest too. The parent is the open one that closes first, of
+    those that close together the earliest opened. An instant (null end) has a place but no
+    children. A range without domain counts to domain 0.
+
+    The path is the parent's and the own name; a parent that lies deeper than its child, because
+    others have closed in between, isn't told, so the path begins anew. Paths double in a round."""
+    r = ranges.withColumns({"domain_id": F.coalesce("domain_id", F.lit(0))}) if "domain_id" in by else ranges
+    o = r.filter("end_ns > start_ns").select(*by, F.col("range_id").alias("o_id"), F.col("start_ns").alias("o_start"), F.col("end_ns").alias("o_end"))
+    at = r.select(*by, "range_id", F.col("start_ns").alias("i_start"), F.col("start_ns").alias("i_end"))
+    before = (F.col("o_start") < F.col("i_start")) | (F.col("o_id") < F.col("range_id"))
+    open_ = contains_join(o, at, list(by)).filter((F.col("i_start") < F.col("o_end")) & before)
+    up = open_.groupBy("range_id").agg(F.count("*").alias("depth"), F.min(F.struct("o_end", "o_start", "o_id"))["o_id"].alias("parent_id"))
+    tree = stage(r.join(up, "range_id", "left").withColumn("depth", F.coalesce("depth", F.lit(0))), "range_tree")
+    above = tree.select(F.col("range_id").alias("parent_id"), F.col("depth").alias("d"))
+    walk = tree.select("range_id", "parent_id", "depth", F.array(path_part(F.coalesce("name", F.lit("")))).alias("parts")).join(above, "parent_id", "left")
+    walk = stage(walk.select("range_id", "parts", F.when(F.col("d") <= F.col("depth"), F.col("parent_id")).alias("next")), "range_paths")
+    while not walk.filter("next is not null").isEmpty():
+        more = walk.select(F.col("range_id").alias("next"), F.col("parts").alias("more"), F.col("next").alias("then"))
+        walk = stage(walk.join(more, "next", "left").select("range_id", F.concat(F.coalesce("more", F.array().cast("array<string>")), "parts").alias("parts"), F.col("then").alias("next")), "range_paths")
+    return tree.join(walk.select("range_id", F.array_join("parts", "/").alias("path")), "range_id")
+
+
+#: Types of events that are ranges (fixed values): pushed and popped, started and ended.
+RANGE_TYPES = (59, 60, 70, 71)
+
+
+def range_tree(events: DataFrame) -> DataFrame:
+    """``nesting`` of those events that are ranges; marks and created domains are left out."""
+    return nesting(events.filter(F.col("event_type").isin(*RANGE_TYPES)))
 
 
 def iter_index(ranges: DataFrame, by: tuple[str, ...] = ("global_tid", "domain_id", "name")) -> DataFrame:
     """Ordinal from 0 among ranges of one name."""
-    return ranges.withColumn("iter_index", (F.row_number().over(W.partitionBy(*by).orderBy("start_ns", "range_id")) - 1).cast("long"))
+    return with_ordinal(ranges, by, ("start_ns", "range_id"), "iter_index")
 
 
 def enclosing_ranges(ranges: DataFrame, launches: DataFrame, on: tuple[str, ...] = ("global_tid",)) -> DataFrame:
-    """Per host call with at least one: its ranges from outer to inner, array of (s, e, id, name)."""
-    o = ranges.filter("end_ns > start_ns").select(*on, F.col("range_id").alias("id"), "name", F.col("start_ns").alias("o_start"), F.col("end_ns").alias("o_end"))
+    """Per host call with at least one: its ranges of all domains from outer to inner, array of
+    (s, e, id, name, domain_id)."""
+    o = ranges.filter("end_ns > start_ns").select(*on, F.col("range_id").alias("id"), "name", F.coalesce("domain_id", F.lit(0)).alias("domain_id"), F.col("start_ns").alias("o_start"), F.col("end_ns").alias("o_end"))
     i = launches.select(*on, "row_id", "process_id", "correlation_id", F.col("start_ns").alias("i_start"), F.col("end_ns").alias("i_end"))
     met = contains_join(o, i, list(on))
-    chain = F.array_sort(F.collect_list(F.struct(F.col("o_start").alias("s"), (-F.col("o_end")).alias("e"), "id", "name")))
+    chain = F.array_sort(F.collect_list(F.struct(F.col("o_start").alias("s"), (-F.col("o_end")).alias("e"), "id", "name", "domain_id")))
     return met.groupBy("row_id", "process_id", "correlation_id").agg(chain.alias("chain"))
 
 
@@ -75,11 +95,23 @@ def correlate_spans(spans: DataFrame, launches: DataFrame, contexts: DataFrame)
 
 
 def innermost_range(spans: DataFrame, chains: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Spans with range_id, range_name, range_depth of the innermost range around their launch;
-    null where there is none."""
+    """Spans with range_id, range_name, range_domain, range_depth and range_path of the innermost
+    range around their launch; null where there is none."""
     host = chains.join(contexts, "process_id").select("process_id", "device_id", "context_id", "correlation_id", F.element_at("chain", -1).alias("r"), (F.size("chain") - 1).cast("long").alias("range_depth"), F.concat_ws("/", F.transform("chain", lambda x: path_part(x["name"]))).alias("range_path"))
     out = spans.join(host, ["process_id", "device_id", "context_id", "correlation_id"], "left")
-    return out.withColumns({"range_id": F.col("r.id"), "range_name": F.coalesce("r.name", F.lit("__no_nvtx__"))}).drop("r")
+    return out.withColumns({"range_id": F.col("r.id"), "range_name": F.coalesce("r.name", F.lit("__no_nvtx__")), "range_domain": F.col("r.domain_id")}).drop("r")
+
+
+def with_iter_index(attributed: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Attributed spans with the ordinal of their innermost range among those of its name."""
+    return attributed.join(iter_index(ranges).select("range_id", "iter_index"), "range_id", "left")
+
+
+def with_range_path(attributed: DataFrame, tree: DataFrame, missing: str = "__no_nvtx__") -> DataFrame:
+    """Attributed spans with the path of their innermost range in the tree, and its domain: paths
+    of one name in different domains, or in one domain of different processes, stay apart."""
+    t = tree.select("range_id", F.col("path").alias("__path"), "domain_id", F.shiftright("global_tid", 24).bitwiseAND(F.lit(0xFFFFFF)).alias("domain_pid"))
+    return attributed.join(t, "range_id", "left").withColumn("path", F.coalesce("__path", F.lit(missing))).drop("__path")
 
 
 def under_range(spans: DataFrame, chains: DataFrame, contexts: DataFrame, test) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.names import basename
 from spanloom.functions.windows import bucket_of
 from spanloom.operators.buckets import in_buckets
+from spanloom.operators.ordered import with_next, with_previous
 
 
 def leaves(samples: DataFrame, frames: DataFrame) -> DataFrame:
@@ -44,41 +44,47 @@ def sample_series(samples: DataFrame, by: str, width: int) -> DataFrame:
 
 
 def quanta(sched: DataFrame) -> DataFrame:
-    """Times on a CPU: a switch in followed on the same thread by a switch out of that CPU."""
-    w = W.partitionBy("global_tid").orderBy("start_ns", "row_id")
-    s = sched.withColumns({"end_ns": F.lead("start_ns").over(w), "next_in": F.lead("is_in").over(w), "next_cpu": F.lead("cpu").over(w)})
-    return s.filter("is_in = 1 and next_in = 0 and cpu = next_cpu").select("global_tid", "cpu", "state", "start_ns", "end_ns", (F.col("end_ns") - F.col("start_ns")).alias("ns"))
+    """Times on a CPU: a switch in whose next switch of the same thread on the same CPU is one
+    out. ``state`` is the one the thread left in."""
+    s = with_next(sched, ("global_tid", "cpu"), ("start_ns", "row_id"), ("start_ns", "is_in", "state")).filter("is_in = 1 and next.is_in = 0")
+    return s.select("global_tid", "cpu", F.col("next.state").alias("state"), "start_ns", F.col("next.start_ns").alias("end_ns"), (F.col("next.start_ns") - F.col("start_ns")).alias("ns"))
+
+
+def _with_idle(d: DataFrame) -> DataFrame:
+    """Time seen but not on a CPU, and the mean quantum (null without one)."""
+    d = d.fillna(0, ["on_ns", "quanta"])
+    return d.withColumns({"off_ns": F.greatest(F.col("span_ns") - F.col("on_ns"), F.lit(0)), "mean_ns": F.when(F.col("quanta") > 0, F.expr("on_ns div quanta"))})
 
 
 def thread_time(sched: DataFrame) -> DataFrame:
-    """Per thread: time on and off CPUs, switches, mean quantum."""
+    """Per thread: time on and off CPUs, quanta, time seen, mean quantum."""
     on = quanta(sched).groupBy("global_tid").agg(F.sum("ns").alias("on_ns"), F.count("*").alias("quanta"))
-    seen = sched.groupBy("global_tid").agg((F.max("start_ns") - F.min("start_ns")).alias("span_ns"), F.count("*").alias("switches"))
-    d = seen.join(on, "global_tid", "full").fillna(0, ["on_ns", "quanta", "span_ns", "switches"])
-    return d.withColumns({"off_ns": F.col("span_ns") - F.col("on_ns"), "mean_ns": F.when(F.col("quanta") > 0, F.col("on_ns") / F.col("quanta")).otherwise(0.0)})
+    seen = sched.groupBy("global_tid").agg((F.max("start_ns") - F.min("start_ns")).alias("span_ns"))
+    return _with_idle(seen.join(on, "global_tid", "left"))
 
 
 def cpu_time(sched: DataFrame) -> DataFrame:
-    """Per CPU: busy time, threads, share of the observed time."""
-    on = quanta(sched).groupBy("cpu").agg(F.sum("ns").alias("busy_ns"), F.countDistinct("global_tid").alias("threads"))
-    span = sched.agg((F.max("start_ns") - F.min("start_ns")).alias("span_ns"))
-    d = sched.select("cpu").distinct().join(on, "cpu", "full").fillna(0, ["busy_ns", "threads"]).crossJoin(span)  # one row
-    return d.withColumn("share", F.col("busy_ns") / F.col("span_ns")).drop("span_ns")
+    """Per CPU: busy and idle time, quanta, threads, time seen, mean quantum."""
+    on = quanta(sched).groupBy("cpu").agg(F.sum("ns").alias("on_ns"), F.count("*").alias("quanta"), F.countDistinct("global_tid").alias("threads"))
+    seen = sched.groupBy("cpu").agg((F.max("start_ns") - F.min("start_ns")).alias("span_ns"))
+    return _with_idle(seen.join(on, "cpu", "left").fillna(0, ["threads"]))
 
 
 def state_time(sched: DataFrame) -> DataFrame:
-    """Per state: time off CPUs after a switch out in it, and on CPUs after a switch in."""
-    w = W.partitionBy("global_tid").orderBy("start_ns", "row_id")
-    s = sched.withColumns({"next": F.lead("start_ns").over(w), "next_in": F.lead("is_in").over(w)})
-    off = s.filter("is_in = 0 and next_in = 1").groupBy("state").agg(F.sum(F.col("next") - F.col("start_ns")).alias("off_ns"))
-    on = quanta(sched).groupBy("state").agg(F.sum("ns").alias("on_ns"))
-    return off.join(on, "state", "full").fillna(0, ["off_ns", "on_ns"])
+    """Per state in which threads left a CPU: time until the thread was on any CPU again, times
+    it was left for, time of the quanta that ended so, and their mean."""
+    s = with_next(sched, ("global_tid",), ("start_ns", "row_id"), ("start_ns", "is_in")).filter("is_in = 0")
+    away = F.when(F.col("next.is_in") == 1, F.col("next.start_ns") - F.col("start_ns")).otherwise(0)
+    off = s.groupBy("state").agg(F.sum(away).alias("off_ns"), F.count("*").alias("switches"))
+    on = quanta(sched).groupBy("state").agg(F.sum("ns").alias("on_ns"), F.count("*").alias("quanta"))
+    d = off.join(on, off["state"].eqNullSafe(on["state"]), "full").select(F.coalesce(off["state"], on["state"]).alias("state"), "off_ns", "switches", "on_ns", "quanta")
+    d = d.fillna(0, ["off_ns", "switches", "on_ns", "quanta"])
+    return d.withColumn("mean_ns", F.when(F.col("quanta") > 0, F.expr("on_ns div quanta")))
 
 
 def sched_trust(sched: DataFrame, known: tuple[str, ...]) -> DataFrame:
     """Per CPU: share of switches in unknown states, longest time without a switch."""
-    w = W.partitionBy("cpu").orderBy("start_ns", "row_id")
-    s = sched.withColumn("gap", F.col("start_ns") - F.lag("start_ns").over(w))
+    s = with_previous(sched, ("cpu",), ("start_ns", "row_id"), ("start_ns",)).withColumn("gap", F.col("start_ns") - F.col("previous.start_ns"))
     return s.groupBy("cpu").agg((F.count(F.when(~F.col("state").isin(*known), 1)) / F.count("*")).alias("unknown"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap_ns"))
 
 

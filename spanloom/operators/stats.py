@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.windows import clipped, overlaps
 
-#: Bounds of the duration histogram, half decades from 10 ns to 1000 s (fixed values).
-BOUNDS = tuple(m * 10**e for e in range(1, 9) for m in (1, 3)) + (10**9,)
+#: Bounds of the duration histogram in nanoseconds, half decades from 10 ns to 1 s (fixed values).
+BOUNDS = (10, 32, 100, 316, 1_000, 3_162, 10_000, 31_623, 100_000, 316_228, 1_000_000, 3_162_278, 10_000_000, 31_622_776, 100_000_000, 316_227_766, 1_000_000_000)
 
 
 def _disc(p: float, col: str = "ns") -> Column:

@@ -12,10 +12,14 @@ from spanloom.plans.registry import query
 from spanloom.plans.timeline import CLIP, NS, WIN, WINDOW, _replay_spans
 from spanloom.sources import adapters as A
 
-_TREE = """up AS (SELECT r.range_id AS id, o.range_id AS oid, o.name AS oname, o.start_ns AS s, o.end_ns AS e FROM ranges r JOIN ranges o
-    ON r.global_tid = o.global_tid AND r.domain_id = o.domain_id AND o.start_ns <= r.start_ns AND r.end_ns <= o.end_ns AND o.range_id <> r.range_id),
-  tree AS (SELECT r.*, coalesce(x.depth, 0) AS depth, x.parent_id, CASE WHEN x.p IS NULL THEN r.name ELSE x.p || '/' || r.name END AS path FROM ranges r LEFT JOIN
-    (SELECT id, count(*) AS depth, arg_min(oid, struct_pack(a := e, b := s, c := oid)) AS parent_id, string_agg(oname, '/' ORDER BY s, e DESC, oid) AS p FROM up GROUP BY id) x ON r.range_id = x.id)"""
+#: A range lies under those open when it starts; the path follows the parents.
+_TREE = """rt AS (SELECT * FROM ranges WHERE event_type IN (59, 60, 70, 71)),
+  up AS (SELECT r.range_id AS id, count(*) AS depth, arg_min(o.range_id, struct_pack(a := o.end_ns, b := o.start_ns, c := o.range_id)) AS parent_id FROM rt r JOIN rt o
+    ON r.global_tid = o.global_tid AND r.domain_id = o.domain_id AND o.end_ns > o.start_ns AND r.start_ns < o.end_ns AND (o.start_ns < r.start_ns OR (o.start_ns = r.start_ns AND o.range_id < r.range_id)) GROUP BY 1),
+  tr AS (SELECT r.*, coalesce(up.depth, 0) AS depth, up.parent_id FROM rt r LEFT JOIN up ON r.range_id = up.id),
+  tp AS (SELECT t.range_id, t.name, CASE WHEN p.depth <= t.depth THEN t.parent_id END AS above FROM tr t LEFT JOIN tr p ON t.parent_id = p.range_id),
+  pa AS (SELECT range_id, name AS path FROM tp WHERE above IS NULL UNION ALL SELECT tp.range_id, pa.path || '/' || tp.name FROM tp JOIN pa ON tp.above = pa.range_id),
+  tree AS (SELECT tr.*, pa.path FROM tr JOIN pa USING (range_id))"""
 _CHAIN = """chain AS (SELECT l.row_id, l.process_id, l.correlation_id, arg_max(r.range_id, struct_pack(a := r.start_ns, b := -r.end_ns, c := r.range_id)) AS inner_id,
     arg_max(r.name, struct_pack(a := r.start_ns, b := -r.end_ns, c := r.range_id)) AS inner_name, count(*) - 1 AS range_depth, string_agg(r.name, '/' ORDER BY r.start_ns, r.end_ns DESC, r.range_id) AS range_path
     FROM launches l JOIN ranges r ON l.global_tid = r.global_tid AND r.start_ns <= l.start_ns AND l.end_ns <= r.end_ns GROUP BY ALL)"""
@@ -32,9 +36,9 @@ def _attributed(spark, d):
     return R.innermost_range(A.spans(spark, d), _chains(spark, d), A.contexts(spark, d))
 
 
-@query("ranges", f"WITH {_TREE} SELECT range_id, depth, coalesce(parent_id, -1) AS parent_id, path FROM tree")
+@query("ranges", f"WITH RECURSIVE {{TABLES}}, {_TREE} SELECT range_id, depth, coalesce(parent_id, -1) AS parent_id, path FROM tree")
 def n1_n2_range_tree(spark, d):
-    return R.nesting(A.ranges(spark, d)).select("range_id", "depth", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "path")
+    return R.range_tree(A.ranges(spark, d)).select("range_id", "depth", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "path")
 
 
 @query("ranges", "SELECT range_id, name, row_number() OVER (PARTITION BY global_tid, domain_id, name ORDER BY start_ns, range_id) - 1 AS iter_index FROM ranges")
@@ -47,9 +51,10 @@ def n3_j4_enclosing_ranges(spark, d):
     return _chains(spark, d).select("row_id", F.element_at("chain", -1)["id"].alias("inner_id"), F.size("chain").cast("long").alias("n"), F.array_join(F.transform("chain", lambda x: x["name"]), "/").alias("range_path"))
 
 
-@query(ALL, f"WITH {_ATTR} SELECT row_id, range_id, range_name, range_depth FROM att")
+@query(ALL, f"WITH {_ATTR}, it AS (SELECT range_id, row_number() OVER (PARTITION BY global_tid, domain_id, name ORDER BY start_ns, range_id) - 1 AS iter_index FROM ranges) SELECT row_id, range_id, range_name, range_depth, iter_index FROM att LEFT JOIN it USING (range_id)")
 def n4_innermost_range(spark, d):
-    return _attributed(spark, d).select("row_id", "range_id", "range_name", "range_depth")
+    att = R.with_iter_index(_attributed(spark, d), A.ranges(spark, d))
+    return att.select("row_id", "range_id", "range_name", "range_depth", "iter_index")
 
 
 @query(ALL, f"WITH {_ATTR} SELECT row_id FROM att WHERE range_path LIKE '%day%'")
@@ -62,9 +67,12 @@ def a6_stats_by_range(spark, d):
     return stats.span_stats(_attributed(spark, d), ("range_name", "kind"))
 
 
-@query(ALL, f"WITH {_ATTR}, d AS (SELECT *, end_ns - start_ns AS ns FROM att WHERE end_ns > start_ns) SELECT process_id, coalesce(range_path, '__no_nvtx__') AS range_path, {NS}, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, coalesce(sum(bytes), 0) / sum(ns) AS gbps, sum(ns) / (SELECT sum(ns) FROM d) AS share FROM d GROUP BY ALL")
+@query(ALL, f"""WITH RECURSIVE {{TABLES}}, {_ATTR}, {_TREE}, d AS (SELECT a.*, end_ns - a.start_ns AS ns, coalesce(t.path, '__no_nvtx__') AS path, coalesce(t.domain_id, -1) AS domain_id, coalesce(t.global_tid >> 24, -1) AS domain_pid
+    FROM att a LEFT JOIN (SELECT range_id, path, domain_id, global_tid FROM tree) t USING (range_id) WHERE end_ns > a.start_ns)
+  SELECT domain_pid, domain_id, path, {NS}, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, coalesce(sum(bytes), 0) / sum(ns) AS gbps, sum(ns) / (SELECT sum(ns) FROM d) AS share FROM d GROUP BY ALL""")
 def a7_stats_by_range_path(spark, d):
-    return stats.span_stats(_attributed(spark, d).withColumn("range_path", F.coalesce("range_path", F.lit("__no_nvtx__"))), ("process_id", "range_path"))
+    att = R.with_range_path(_attributed(spark, d), R.range_tree(A.ranges(spark, d)))
+    return stats.span_stats(att.fillna(-1, ["domain_pid", "domain_id"]), ("domain_pid", "domain_id", "path"))
 
 
 _SLICES = f"""{_CHAIN}, own AS (SELECT l.process_id, l.correlation_id, r.range_id FROM launches l JOIN ranges r ON l.global_tid = r.global_tid AND r.start_ns <= l.start_ns AND l.end_ns <= r.end_ns),
@@ -92,14 +100,14 @@ def n6_slice_stats(spark, d):
     return R.slice_stats(_slices(spark, d)).withColumns({c: F.round(c).cast("long") for c in ("p50", "p99")})
 
 
-@query("ranges", f"WITH {_TREE} SELECT path, CAST(sum(end_ns - start_ns) AS BIGINT) AS total, count(*) AS instances FROM tree GROUP BY path ORDER BY 2 DESC, 3 DESC, 1 LIMIT 5")
+@query("ranges", f"WITH RECURSIVE {{TABLES}}, {_TREE} SELECT path, CAST(sum(end_ns - start_ns) AS BIGINT) AS total, count(*) AS instances FROM tree GROUP BY path ORDER BY 2 DESC, 3 DESC, 1 LIMIT 5")
 def a27_top_paths(spark, d):
-    return R.top_paths(R.nesting(A.ranges(spark, d)), 5)
+    return R.top_paths(R.range_tree(A.ranges(spark, d)), 5)
 
 
-@query("ranges", "SELECT DISTINCT global_tid >> 24 AS pid, domain_id, name FROM ranges WHERE event_type = 59")
+@query("ranges", "SELECT DISTINCT global_tid >> 24 AS pid, domain_id, name FROM ranges WHERE event_type = 75")
 def n19_domain_names(spark, d):
-    return R.domain_names(A.ranges(spark, d), 59)
+    return R.domain_names(A.ranges(spark, d))
 
 
 @query("spans launches contexts", """SELECT s.row_id, l.row_id AS launch_id, s.start_ns - l.end_ns AS delay_ns FROM spans s JOIN (SELECT * FROM launches JOIN contexts USING (process_id)) l
@@ -120,13 +128,16 @@ def j2_resolve_process(spark, d):
     return C.resolve_process(s, A.contexts(spark, d), A.launches(spark, d)).select("row_id", "process")
 
 
-@query("spans launches", """WITH r AS (SELECT process_id, row_id // 20 AS replay_id, min(start_ns) AS t FROM spans WHERE end_ns > start_ns GROUP BY ALL),
-  m AS (SELECT r.process_id, replay_id, l.row_id, l.name, row_number() OVER (PARTITION BY r.process_id, replay_id ORDER BY CASE WHEN l.name LIKE 'api_view%' THEN 0 ELSE 1 END, CASE WHEN l.start_ns <= t THEN 0 ELSE 1 END, abs(t - l.start_ns), l.row_id) AS n
-    FROM r JOIN launches l ON r.process_id = l.process_id AND abs(t - l.start_ns) <= 900000000000)
-  SELECT process_id, replay_id, row_id AS launch_id, name FROM m WHERE n = 1""")
+@query("spans launches", """WITH r AS (SELECT process_id, device_id, context_id, row_id // 20 AS correlation_id, min(start_ns) AS t FROM spans WHERE end_ns > start_ns GROUP BY ALL),
+  l AS (SELECT * REPLACE (row_id // 20 AS correlation_id) FROM launches WHERE row_id // 20 % 7 <> 3),
+  m AS (SELECT r.*, l.row_id, l.name, row_number() OVER (PARTITION BY r.process_id, device_id, context_id, r.correlation_id, t ORDER BY CASE WHEN l.name LIKE 'api_view%' THEN 0 ELSE 1 END, CASE WHEN l.start_ns <= t THEN 0 ELSE 1 END, abs(t - l.start_ns), l.row_id) AS n
+    FROM r LEFT JOIN l USING (process_id, correlation_id))
+  SELECT process_id, device_id, correlation_id, t AS replay_start_ns, coalesce(row_id, -1) AS launch_id, coalesce(name, '') AS name FROM m WHERE n = 1""")
 def j8_nearest_launcher(spark, d):
-    r = A.spans(spark, d).filter("end_ns > start_ns").groupBy("process_id", F.expr("row_id div 20").alias("replay_id")).agg(F.min("start_ns").alias("start_ns"))
-    return C.nearest_launcher(r, A.launches(spark, d), "api_view%", 900_000_000_000)
+    r = A.spans(spark, d).filter("end_ns > start_ns").withColumn("correlation_id", F.expr("row_id div 20")).groupBy(*C.ID).agg(F.min("start_ns").alias("start_ns"))
+    calls = A.launches(spark, d).withColumn("correlation_id", F.expr("row_id div 20")).filter("correlation_id % 7 <> 3")  # some replays have no call
+    out = C.nearest_launcher(r, calls, A.contexts(spark, d), "api_view%").drop("context_id")
+    return out.fillna(-1, ["launch_id"]).fillna("", ["name"])
 
 
 @query("spans", """WITH r AS (SELECT * REPLACE (row_id // 20 AS correlation_id), end_ns - start_ns AS ns FROM spans WHERE end_ns > start_ns),
@@ -139,17 +150,19 @@ def a16_replay_nodes(spark, d):
 
 
 @query("spans launches", """WITH b AS (SELECT kind, row_id, process_id, correlation_id, start_ns, end_ns FROM spans UNION ALL SELECT 'runtime', row_id, process_id, correlation_id, start_ns, end_ns FROM launches),
-  i AS (SELECT kind, row_id FROM spans WHERE row_id % 100 = 7 UNION ALL SELECT 'kernel', -5)
+  i AS (SELECT kind, row_id FROM spans UNION ALL SELECT 'kernel', -5)
   SELECT i.kind, i.row_id, t.row_id IS NOT NULL AS found, t.kind AS to_kind, coalesce(t.row_id, -1) AS to_row_id, coalesce(t.start_ns, -1) AS start_ns, coalesce(t.end_ns, -1) AS end_ns FROM i LEFT JOIN b s USING (kind, row_id) LEFT JOIN b t ON s.process_id = t.process_id AND s.correlation_id = t.correlation_id""")
 def n7_correlate(spark, d):
     s = A.spans(spark, d)
     ids = s.select("kind", "row_id").unionByName(spark.createDataFrame([("kernel", -5)], "kind string, row_id long"))
-    return C.correlate(ids, s, A.launches(spark, d)).fillna(-1)
+    return C.correlate(ids, s, A.launches(spark, d).withColumn("kind", F.lit("runtime"))).fillna(-1)
 
 
-@query("spans launches", "SELECT count(DISTINCT (process_id, device_id, context_id)) AS contexts, count(DISTINCT process_id) AS processes, count(DISTINCT (process_id, device_id, context_id, correlation_id)) AS groups, count(*) AS spans, (SELECT count(*) FROM launches) AS launches FROM spans")
+@query("spans launches contexts", """WITH r AS (SELECT process_id, device_id, context_id, correlation_id, kind FROM spans UNION ALL SELECT process_id, device_id, context_id, correlation_id, 'runtime' FROM launches JOIN contexts USING (process_id))
+  SELECT 'contexts' AS what, count(DISTINCT (process_id, device_id, context_id)) AS n FROM contexts UNION ALL SELECT 'processes', count(DISTINCT process_id) FROM contexts
+  UNION ALL SELECT 'groups', count(DISTINCT (process_id, device_id, context_id, correlation_id)) FROM r UNION ALL SELECT kind || '_rows', count(*) FROM r GROUP BY kind""")
 def a17_correlation_stats(spark, d):
-    return C.correlation_stats(A.spans(spark, d), A.launches(spark, d))
+    return C.correlation_stats(A.spans(spark, d), A.launches(spark, d), A.contexts(spark, d))
 
 
 @query("spans", """WITH k AS (SELECT * FROM spans WHERE kind = 'kernel') SELECT row_id, name, row_number() OVER (PARTITION BY name ORDER BY start_ns, row_id) - 1 AS ordinal, processes
@@ -158,22 +171,48 @@ def w10_prior_launches(spark, d):
     return C.prior_launches(A.spans(spark, d))
 
 
-@query("spans", "SELECT kind, row_id, end_ns - start_ns AS ns, name, stream_id, bytes FROM spans WHERE name LIKE 'purchase%' AND end_ns > start_ns ORDER BY 3 DESC, row_id DESC LIMIT 50")
+@query(ALL, f"""WITH {_ATTR}, t AS (SELECT *, end_ns - start_ns AS ns FROM att WHERE name LIKE 'purchase%' AND end_ns > start_ns)
+  SELECT kind, row_id, ns, name, stream_id, bytes, coalesce(range_id, -1) AS range_id, range_name, (SELECT count(*) FROM t) AS matched, row_number() OVER (ORDER BY ns DESC, name, row_id) AS place FROM t ORDER BY ns DESC, name, row_id LIMIT 50""")
 def q1_search(spark, d):
-    return C.search(A.spans(spark, d), N.name_glob("name", "purchase*"), "ns", 50, ["name", "stream_id", "bytes"])
+    around = _attributed(spark, d).select("kind", "row_id", F.coalesce("range_id", F.lit(-1)).alias("range_id"), "range_name")
+    return C.search(A.spans(spark, d), N.name_glob("name", "purchase*"), "ns,+name", 50, ["name", "stream_id", "bytes"], around)
 
 
-@query("spans", "WITH i AS (SELECT kind, row_id FROM spans WHERE row_id % 500 = 1 UNION ALL SELECT 'memset', -1) SELECT kind, row_id, name, coalesce(start_ns, -1) AS start_ns, coalesce(bytes, -1) AS bytes, s.name IS NOT NULL AS found FROM i LEFT JOIN spans s USING (kind, row_id)")
+@query("spans", """WITH g AS (SELECT name, kind, count(*) AS n, CAST(sum(end_ns - start_ns) AS BIGINT) AS total FROM spans WHERE end_ns > start_ns GROUP BY ALL)
+  SELECT kind, name, n, total, (SELECT count(*) FROM g) AS matched, (SELECT CAST(sum(n) AS BIGINT) FROM g) AS all_n, (SELECT CAST(sum(total) AS BIGINT) FROM g) AS all_total, row_number() OVER (ORDER BY kind, total DESC, name DESC) AS place FROM g ORDER BY kind, total DESC, name DESC LIMIT 12""")
+def a11_w8_l1_listing(spark, d):
+    g = stats.span_stats(A.spans(spark, d), ("kind", "name")).select("kind", "name", "n", "total")
+    return C.listing(g, "kind, -total", {"kind": "asc", "name": "asc", "total": "desc", "n": "desc"}, ("name",), 12, ("n", "total"))
+
+
+#: Spans with three names; the short one drops what follows the colon, some have no mangled one.
+_NAMED = "nm AS (SELECT *, regexp_extract(name, '^[^:]*') AS short_name, name AS demangled_name, CASE WHEN row_id % 3 <> 0 THEN '_Z' || name END AS mangled_name, end_ns - start_ns AS ns FROM spans WHERE end_ns > start_ns)"
+_AXES = {"short": "short_name", "demangled": "demangled_name", "mangled": "mangled_name", "none": "NULL", "missing": "demangled_name"}
+
+
+@query("spans", f"WITH {_NAMED} " + " UNION ALL ".join(f"SELECT '{a}' AS axis, kind, coalesce({c}, '-') AS axis_name, count(*) AS n, CAST(sum(ns) AS BIGINT) AS total FROM nm GROUP BY ALL" for a, c in _AXES.items()))
+def a2_stats_by_name_axis(spark, d):
+    s = A.spans(spark, d).withColumns({"short_name": F.regexp_extract("name", "^[^:]*", 0), "demangled_name": F.col("name"), "mangled_name": F.when(F.col("row_id") % 3 != 0, F.concat(F.lit("_Z"), "name"))})
+    out = None
+    for axis in _AXES:
+        t = s.drop("mangled_name") if axis == "missing" else s
+        named = t.withColumn("axis_name", F.coalesce(N.name_axis("mangled" if axis == "missing" else axis, t.columns), F.lit("-")))
+        g = stats.span_stats(named, ("kind", "axis_name")).select(F.lit(axis).alias("axis"), "kind", "axis_name", "n", "total")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+@query("spans", "WITH i AS (SELECT kind, row_id FROM spans UNION ALL SELECT 'memset', -1) SELECT kind, row_id, name, coalesce(start_ns, -1) AS start_ns, coalesce(bytes, -1) AS bytes, s.name IS NOT NULL AS found FROM i LEFT JOIN spans s USING (kind, row_id)")
 def q2_q8_inspect(spark, d):
     s = A.spans(spark, d)
     ids = s.select("kind", "row_id").unionByName(spark.createDataFrame([("memset", -1)], "kind string, row_id long"))
     return C.inspect(ids, s.select("kind", "row_id", "name", "start_ns", "bytes"), ["kind", "row_id"]).fillna(-1)
 
 
-@query("ranges", f"WITH {_TREE} SELECT range_id, name, start_ns, path, parent_id, true AS found FROM tree WHERE name = 'shift'")
+@query("ranges", f"WITH RECURSIVE {{TABLES}}, {_TREE} SELECT range_id, name, start_ns, path, coalesce(parent_id, -1) AS parent_id, true AS found FROM tree WHERE name = 'shift'")
 def q3_inspect_ranges(spark, d):
     r = A.ranges(spark, d)
-    return C.inspect(r.filter("name = 'shift'").select("range_id"), R.nesting(r).select("range_id", "name", "start_ns", "path", "parent_id"), ["range_id"])
+    return C.inspect(r.filter("name = 'shift'").select("range_id"), R.range_tree(r).select("range_id", "name", "start_ns", "path", F.coalesce("parent_id", F.lit(-1)).alias("parent_id")), ["range_id"])
 
 
 @query("spans", f"WITH g AS (SELECT name, CAST(sum({CLIP}) AS BIGINT) AS total, count(*) AS n, max({CLIP}) AS longest FROM spans WHERE kind = 'kernel' AND {WIN} AND {CLIP} > 0 GROUP BY name) SELECT *, total / (SELECT sum(total) FROM g) AS share FROM g ORDER BY total DESC, name LIMIT 5")
@@ -181,9 +220,85 @@ def q16_highlights(spark, d):
     return C.highlights(A.spans(spark, d), "name", 5, WINDOW)
 
 
-@query("spans", """WITH d AS (SELECT *, 'gpu/' || CAST(process_id AS VARCHAR) || '/' || CAST(device_id AS VARCHAR) AS key FROM spans WHERE end_ns > start_ns),
-  t AS (SELECT process_id, device_id, stream_id, sum(end_ns - start_ns) AS busy FROM d GROUP BY ALL), l AS (SELECT *, row_number() OVER (PARTITION BY process_id, device_id ORDER BY busy DESC, stream_id) AS r FROM t)
+@query(ALL, f"""WITH RECURSIVE {{TABLES}}, {_SLICES}, {_TREE}, d AS (SELECT *, 'gpu/' || CAST(process_id AS VARCHAR) || '/' || CAST(device_id AS VARCHAR) AS key FROM spans WHERE end_ns > start_ns),
+  t AS (SELECT process_id, device_id, stream_id, sum(end_ns - start_ns) AS busy FROM d GROUP BY ALL), lane AS (SELECT *, row_number() OVER (PARTITION BY process_id, device_id ORDER BY busy DESC, stream_id) AS r FROM t),
+  on_ AS (SELECT DISTINCT range_id, process_id, device_id FROM slices WHERE device_id IS NOT NULL)
   SELECT key AS track_key, start_ns, end_ns, kind AS class, name AS label FROM d UNION ALL
-  SELECT key || '/' || CAST(stream_id AS VARCHAR), start_ns, end_ns, kind, name FROM d JOIN l USING (process_id, device_id, stream_id) WHERE r <= 2""")
+  SELECT key || '/' || CAST(stream_id AS VARCHAR), start_ns, end_ns, kind, name FROM d JOIN lane USING (process_id, device_id, stream_id) WHERE r <= 2 UNION ALL
+  SELECT 'api/' || CAST(process_id AS VARCHAR), start_ns, end_ns, 'runtime', name FROM launches UNION ALL
+  SELECT 'range/' || CAST(coalesce(process_id, global_tid >> 24) AS VARCHAR) || '/' || coalesce(CAST(device_id AS VARCHAR), 'none') || '/' || CAST(depth + 1 AS VARCHAR), start_ns, coalesce(end_ns, start_ns), 'range', name FROM tree LEFT JOIN on_ USING (range_id)""")
 def q17_l5_tracks(spark, d):
-    return C.tracks(A.spans(spark, d), 2)
+    on = C.ranges_on_devices(R.range_tree(A.ranges(spark, d)), _slices(spark, d))
+    return C.tracks(A.spans(spark, d), 2, A.launches(spark, d), on)
+
+
+#: Lookup tables: synchronisations, recorded events, graphs, their nodes and events, the profiler's own work.
+_LOOK = """sy AS (SELECT row_id, start_ns, end_ns, device_id, context_id, CASE WHEN row_id % 4 <> 0 THEN stream_id END AS stream_id, row_id % 6 AS sync_type, correlation_id, CASE WHEN row_id % 3 = 0 THEN row_id // 3 END AS event_sync_id FROM spans),
+  ce AS (SELECT row_id, start_ns, device_id, context_id, stream_id, row_id % 100 AS event_id, CASE WHEN row_id % 2 = 0 THEN row_id // 2 END AS event_sync_id, correlation_id FROM spans),
+  gn AS (SELECT row_id, start_ns, CASE WHEN row_id % 2 = 0 THEN end_ns END AS end_ns, row_id % 900 AS graph_node_id FROM spans),
+  kg AS (SELECT row_id % 450 AS graph_node_id, graph_id FROM spans WHERE kind = 'kernel'),
+  ge AS (SELECT row_id, start_ns, end_ns, 93 + row_id % 3 AS event_class, graph_id, CASE WHEN row_id % 3 = 1 THEN row_id % 50 END AS graph_exec_id FROM spans WHERE kind = 'graph')"""
+
+
+def _look(spark, d):
+    s, r = A.spans(spark, d), F.col("row_id")
+    where = ("row_id", "start_ns", "end_ns")
+    sync = s.select(*where, "device_id", "context_id", F.when(r % 4 != 0, F.col("stream_id")).alias("stream_id"), (r % 6).alias("sync_type"), "correlation_id", F.when(r % 3 == 0, F.expr("row_id div 3")).alias("event_sync_id"))
+    event = s.select("row_id", "start_ns", "device_id", "context_id", "stream_id", (r % 100).alias("event_id"), F.when(r % 2 == 0, F.expr("row_id div 2")).alias("event_sync_id"), "correlation_id")
+    node = s.select("row_id", "start_ns", F.when(r % 2 == 0, F.col("end_ns")).alias("end_ns"), (r % 900).alias("graph_node_id"))
+    kernel = s.filter("kind = 'kernel'").select((r % 450).alias("graph_node_id"), "graph_id")
+    graph = s.filter("kind = 'graph'").select(*where, (93 + r % 3).alias("event_class"), "graph_id", F.when(r % 3 == 1, r % 50).alias("graph_exec_id"))
+    return sync, event, node, kernel, graph
+
+
+def _asked(spark, s):
+    return s.select("row_id").unionByName(spark.createDataFrame([(-9,)], "row_id long"))
+
+
+@query(ALL, f"""WITH {_ATTR}, {_LOOK}, i AS (SELECT row_id FROM sy UNION ALL SELECT -9)
+  SELECT row_id, coalesce(end_ns - start_ns, -1) AS ns, coalesce(CASE WHEN sy.row_id IS NOT NULL THEN coalesce(stream_id, 0) END, -1) AS stream_id, CASE sync_type WHEN 1 THEN 'cudaEventSynchronize' WHEN 2 THEN 'cudaStreamWaitEvent' WHEN 3 THEN 'cudaStreamSynchronize' WHEN 4 THEN 'cudaDeviceSynchronize' ELSE CASE WHEN sy.row_id IS NULL THEN '' ELSE 'cudaSync' END END AS sync_type_name,
+    coalesce(event_sync_id, -1) AS event_sync_id, coalesce(a.range_name, '') AS range_name, sy.row_id IS NOT NULL AS found FROM i LEFT JOIN sy USING (row_id) LEFT JOIN (SELECT row_id, range_name FROM att) a USING (row_id)""")
+def q4_inspect_syncs(spark, d):
+    sync = _look(spark, d)[0]
+    out = C.inspect_syncs(_asked(spark, sync), sync, _attributed(spark, d).select("row_id", "range_name"))
+    return out.select("row_id", "ns", "stream_id", "sync_type_name", "event_sync_id", "range_name", "found").fillna(-1).fillna("")
+
+
+@query("spans", f"""WITH {_LOOK}, wa AS (SELECT event_sync_id, string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY row_id) AS sync_ids FROM sy WHERE event_sync_id IS NOT NULL GROUP BY 1), i AS (SELECT row_id FROM ce UNION ALL SELECT -9)
+  SELECT row_id, coalesce(event_id, -1) AS event_id, coalesce(event_sync_id, -1) AS event_sync_id, coalesce(sync_ids, '') AS sync_ids, ce.row_id IS NOT NULL AS found FROM i LEFT JOIN ce USING (row_id) LEFT JOIN wa USING (event_sync_id)""")
+def q4_inspect_cuda_events(spark, d):
+    sync, event, *_ = _look(spark, d)
+    out = C.inspect_cuda_events(_asked(spark, event), event, sync).withColumn("sync_ids", F.array_join("sync_ids", ","))
+    return out.select("row_id", "event_id", "event_sync_id", "sync_ids", "found").fillna(-1).fillna("")
+
+
+@query("spans", f"""WITH {_LOOK}, own AS (SELECT graph_node_id, min(graph_id) AS graph_id FROM kg GROUP BY 1), ex AS (SELECT graph_id, min(graph_exec_id) AS graph_exec_id FROM ge WHERE event_class = 94 GROUP BY 1), i AS (SELECT row_id FROM gn UNION ALL SELECT -9)
+  SELECT i.row_id, coalesce(end_ns - start_ns, CASE WHEN gn.row_id IS NULL THEN -1 ELSE 0 END) AS ns, coalesce(gn.graph_node_id, -1) AS graph_node_id, coalesce(own.graph_id, -1) AS graph_id, coalesce(graph_exec_id, -1) AS graph_exec_id, gn.row_id IS NOT NULL AS found
+  FROM i LEFT JOIN gn USING (row_id) LEFT JOIN own ON gn.graph_node_id = own.graph_node_id LEFT JOIN ex ON own.graph_id = ex.graph_id""")
+def q5_inspect_graph_nodes(spark, d):
+    _, _, node, kernel, graph = _look(spark, d)
+    out = C.inspect_graph_nodes(_asked(spark, node), node, kernel, graph)
+    return out.select("row_id", "ns", "graph_node_id", "graph_id", "graph_exec_id", "found").fillna(-1)
+
+
+@query("spans", f"""WITH {_LOOK}, i AS (SELECT row_id FROM ge UNION ALL SELECT -9) SELECT row_id, coalesce(end_ns - start_ns, -1) AS ns, CASE WHEN ge.row_id IS NULL THEN '' WHEN event_class = 94 THEN 'graph_exec_creation' WHEN event_class = 95 THEN 'graph_creation' ELSE 'graph_event_other' END AS event_class_name,
+  coalesce(graph_id, -1) AS graph_id, coalesce(graph_exec_id, -1) AS graph_exec_id, ge.row_id IS NOT NULL AS found FROM i LEFT JOIN ge USING (row_id)""")
+def q5_inspect_graph_events(spark, d):
+    graph = _look(spark, d)[4]
+    return C.inspect_graph_events(_asked(spark, graph), graph).select("row_id", "ns", "event_class_name", "graph_id", "graph_exec_id", "found").fillna(-1).fillna("")
+
+
+@query("spans", "WITH i AS (SELECT row_id FROM spans WHERE kind = 'graph' UNION ALL SELECT -9) SELECT row_id, coalesce(end_ns - start_ns, -1) AS ns, coalesce(graph_id, -1) AS graph_id, coalesce(stream_id, -1) AS stream_id, s.row_id IS NOT NULL AS found FROM i LEFT JOIN (SELECT * FROM spans WHERE kind = 'graph') s USING (row_id)")
+def q5_inspect_graphs(spark, d):
+    g = A.spans(spark, d).filter("kind = 'graph'")
+    return C.inspect_graphs(_asked(spark, g), g).select("row_id", "ns", "graph_id", "stream_id", "found").fillna(-1)
+
+
+_KINDS = ("undefined", "unknown", "driver_compiler", "cupti_buffer_flush", "cupti_instrumentation", "cupti_resource", "runtime_module_loading", "lazy_function_loading", "command_buffer_full")
+
+
+@query("launches", f"""WITH i AS (SELECT row_id FROM launches UNION ALL SELECT -9) SELECT row_id, coalesce(end_ns - start_ns, -1) AS ns, coalesce(global_tid, -1) AS global_tid,
+  CASE WHEN l.row_id IS NULL THEN '' ELSE coalesce(list_extract({list(_KINDS)!r}, CAST(row_id % 10 + 1 AS INT)), 'overhead_other') END AS overhead_type_name, l.row_id IS NOT NULL AS found FROM i LEFT JOIN launches l USING (row_id)""")
+def q6_inspect_overheads(spark, d):
+    o = A.launches(spark, d).withColumn("overhead_type", F.col("row_id") % 10)
+    return C.inspect_overheads(_asked(spark, o), o).select("row_id", "ns", "global_tid", "overhead_type_name", "found").fillna(-1).fillna("")

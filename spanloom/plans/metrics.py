@@ -20,7 +20,7 @@ def c1_point_summary(spark, d):
     return K.point_summary(p, counters=p.select("type_id", "metric").distinct()).withColumn("mean", F.round("mean", 6)).fillna(0, ["max_gap_ns"])
 
 
-@query("point_samples", f"""SELECT type_id, metric, ts_ns - ts_ns % {DAY} AS bucket_ns, count(*) AS n, round(CASE WHEN any_value(metric) LIKE '%Requests%' THEN sum(value) ELSE avg(value) END, 6) AS value FROM point_samples GROUP BY ALL""")
+@query("point_samples", f"""SELECT type_id, metric, ts_ns - ts_ns % {DAY} AS bucket_ns, count(*) AS n, round(CASE WHEN lower(regexp_extract(any_value(metric), '\\[([^\\]]*)\\]$', 1)) IN ('cycles active', 'requests') THEN sum(value) ELSE avg(value) END, 6) AS value FROM point_samples GROUP BY ALL""")
 def c2_t3_point_series(spark, d):
     return K.point_series(A.point_samples(spark, d), DAY).withColumn("value", F.round("value", 6))
 
@@ -80,8 +80,8 @@ def t5_sample_series(spark, d):
     return S.sample_series(S.leaves(A.cpu_samples(spark, d), A.frames(spark, d)), "symbol", 30 * DAY)
 
 
-_QUANTA = """n AS (SELECT *, lead(start_ns) OVER w AS end_ns, lead(is_in) OVER w AS next_in, lead(cpu) OVER w AS next_cpu FROM sched WINDOW w AS (PARTITION BY global_tid ORDER BY start_ns, row_id)),
-  q AS (SELECT global_tid, cpu, state, start_ns, end_ns, end_ns - start_ns AS ns FROM n WHERE is_in = 1 AND next_in = 0 AND cpu = next_cpu)"""
+_QUANTA = """n AS (SELECT *, lead(start_ns) OVER w AS end_ns, lead(is_in) OVER w AS next_in, lead(state) OVER w AS left_in FROM sched WINDOW w AS (PARTITION BY global_tid, cpu ORDER BY start_ns, row_id)),
+  q AS (SELECT global_tid, cpu, left_in AS state, start_ns, end_ns, end_ns - start_ns AS ns FROM n WHERE is_in = 1 AND next_in = 0)"""
 
 
 @query("sched", f"WITH {_QUANTA} SELECT * FROM q")
@@ -89,22 +89,26 @@ def c8_quanta(spark, d):
     return S.quanta(A.sched(spark, d))
 
 
-@query("sched", f"""WITH {_QUANTA}, o AS (SELECT global_tid, CAST(sum(ns) AS BIGINT) AS on_ns, count(*) AS quanta FROM q GROUP BY ALL), s AS (SELECT global_tid, max(start_ns) - min(start_ns) AS span_ns, count(*) AS switches FROM sched GROUP BY ALL)
-  SELECT global_tid, coalesce(on_ns, 0) AS on_ns, coalesce(quanta, 0) AS quanta, span_ns, switches, span_ns - coalesce(on_ns, 0) AS off_ns, coalesce(on_ns / quanta, 0.0) AS mean_ns FROM s FULL JOIN o USING (global_tid)""")
+def _axis(key: str, more: str = "") -> str:
+    return f"""WITH {_QUANTA}, o AS (SELECT {key}, CAST(sum(ns) AS BIGINT) AS on_ns, count(*) AS quanta, count(DISTINCT global_tid) AS threads FROM q GROUP BY {key}), s AS (SELECT {key}, max(start_ns) - min(start_ns) AS span_ns FROM sched GROUP BY {key})
+  SELECT {key}, coalesce(on_ns, 0) AS on_ns, coalesce(quanta, 0) AS quanta, span_ns, greatest(span_ns - coalesce(on_ns, 0), 0) AS off_ns, coalesce(on_ns // quanta, -1) AS mean_ns{more} FROM s LEFT JOIN o USING ({key})"""
+
+
+@query("sched", _axis("global_tid"))
 def c9_j7_thread_time(spark, d):
-    return S.thread_time(A.sched(spark, d))
+    return S.thread_time(A.sched(spark, d)).fillna(-1, ["mean_ns"])
 
 
-@query("sched", f"""WITH {_QUANTA}, o AS (SELECT cpu, CAST(sum(ns) AS BIGINT) AS busy_ns, count(DISTINCT global_tid) AS threads FROM q GROUP BY cpu)
-  SELECT cpu, coalesce(busy_ns, 0) AS busy_ns, coalesce(threads, 0) AS threads, coalesce(busy_ns, 0) / (SELECT max(start_ns) - min(start_ns) FROM sched) AS share FROM (SELECT DISTINCT cpu FROM sched) LEFT JOIN o USING (cpu)""")
+@query("sched", _axis("cpu", ", coalesce(threads, 0) AS threads"))
 def c10_cpu_time(spark, d):
-    return S.cpu_time(A.sched(spark, d))
+    return S.cpu_time(A.sched(spark, d)).fillna(-1, ["mean_ns"])
 
 
-@query("sched", f"""WITH {_QUANTA}, f AS (SELECT state, CAST(sum(end_ns - start_ns) AS BIGINT) AS off_ns FROM n WHERE is_in = 0 AND next_in = 1 GROUP BY state), o AS (SELECT state, CAST(sum(ns) AS BIGINT) AS on_ns FROM q GROUP BY state)
-  SELECT state, coalesce(off_ns, 0) AS off_ns, coalesce(on_ns, 0) AS on_ns FROM f FULL JOIN o USING (state)""")
+@query("sched", f"""WITH {_QUANTA}, t AS (SELECT *, lead(start_ns) OVER w AS back, lead(is_in) OVER w AS in_again FROM sched WINDOW w AS (PARTITION BY global_tid ORDER BY start_ns, row_id)),
+  f AS (SELECT state, CAST(sum(CASE WHEN in_again = 1 THEN back - start_ns ELSE 0 END) AS BIGINT) AS off_ns, count(*) AS switches FROM t WHERE is_in = 0 GROUP BY state), o AS (SELECT state, CAST(sum(ns) AS BIGINT) AS on_ns, count(*) AS quanta FROM q GROUP BY state)
+  SELECT state, coalesce(off_ns, 0) AS off_ns, coalesce(switches, 0) AS switches, coalesce(on_ns, 0) AS on_ns, coalesce(quanta, 0) AS quanta, coalesce(on_ns // quanta, -1) AS mean_ns FROM f FULL JOIN o USING (state)""")
 def c11_state_time(spark, d):
-    return S.state_time(A.sched(spark, d))
+    return S.state_time(A.sched(spark, d)).fillna(-1, ["mean_ns"])
 
 
 @query("sched", """WITH g AS (SELECT *, start_ns - lag(start_ns) OVER (PARTITION BY cpu ORDER BY start_ns, row_id) AS gap FROM sched)

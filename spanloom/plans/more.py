@@ -13,20 +13,19 @@ from spanloom.operators import nesting as R
 from spanloom.operators import stats
 from spanloom.plans.attribution import _CHAIN
 from spanloom.plans.registry import query
-from spanloom.plans.reports import _T, _instances
 from spanloom.sources import adapters as A
 from spanloom.staging import shared_dir
 from spanloom.streaming import live
 
 
-@query("cpu_samples frames", """WITH k AS (SELECT id, string_agg(symbol || '@' || regexp_extract(module, '[^/]*$'), ';' ORDER BY stack_depth, symbol) AS chain, count(*) AS depth FROM frames GROUP BY id)
-  SELECT id, cpu, coalesce(chain, '') AS chain, coalesce(depth, 0) AS depth FROM cpu_samples LEFT JOIN k USING (id) WHERE id % 50 = 7""")
+@query("cpu_samples frames", """WITH k AS (SELECT id, string_agg(symbol || '@' || regexp_extract(module, '[^/]*$') || '@0x' || lower(to_hex(id * 64 + stack_depth)), ';' ORDER BY stack_depth, symbol) AS chain, count(*) AS depth FROM frames GROUP BY id)
+  SELECT id, cpu, coalesce(chain, '') AS chain, coalesce(depth, 0) AS depth FROM cpu_samples LEFT JOIN k USING (id)""")
 def q7_inspect_cpu_samples(spark, d):
-    f = A.frames(spark, d).withColumn("at", F.concat_ws("@", "symbol", N.basename("module")))
-    k = f.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stack_depth", "symbol", "at"))), lambda x: x["at"]), ";").alias("chain"), F.count("*").alias("depth"))
+    f = A.frames(spark, d).withColumn("ip", F.col("id") * 64 + F.col("stack_depth"))
     s = A.cpu_samples(spark, d)
-    out = L.inspect(s.select("id"), s.join(k, "id", "left"), ["id"])
-    return out.select("id", "cpu", F.coalesce("chain", F.lit("")).alias("chain"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    out = L.inspect_cpu_samples(s.select("id"), s, f)
+    chain = F.array_join(F.transform("chain", lambda x: F.concat_ws("@", x["symbol"], x["module"], x["address"])), ";")
+    return out.select("id", "cpu", F.coalesce(chain, F.lit("")).alias("chain"), F.coalesce(F.size("chain"), F.lit(0)).alias("depth").cast("long").alias("depth"))
 
 
 @query("ev", """WITH RECURSIVE {TABLES}, p AS (SELECT event_id AS id, CASE WHEN event_id >= 3 THEN event_id // 3 END AS up, event_type AS name FROM ev),
@@ -47,7 +46,7 @@ def n13_flow_edges(spark, d):
 
 
 @query("spans contexts launches ranges", f"""WITH {_CHAIN}, r AS (SELECT * REPLACE (row_id // 20 AS correlation_id), correlation_id AS own FROM spans WHERE end_ns > start_ns),
-  hit AS (SELECT DISTINCT process_id, correlation_id AS own FROM chain WHERE range_path LIKE '%shift')
+  hit AS (SELECT DISTINCT process_id, correlation_id AS own FROM chain WHERE range_path LIKE '%shift%')
   SELECT process_id, device_id, context_id, correlation_id, count(*) AS events, max(end_ns) - min(start_ns) AS wall_ns FROM r JOIN hit USING (process_id, own) GROUP BY ALL""")
 def n18_replays_under_range(spark, d):
     chains = R.enclosing_ranges(A.ranges(spark, d), A.launches(spark, d))
@@ -55,25 +54,16 @@ def n18_replays_under_range(spark, d):
     return stats.replays(inside.withColumn("correlation_id", F.expr("row_id div 20"))).select("process_id", "device_id", "context_id", "correlation_id", "events", "wall_ns")
 
 
-@query(sql=f"{_T}, m AS (SELECT launch, counter, CAST(round(sum(value)) AS BIGINT) AS value FROM i GROUP BY ALL) SELECT launch, count(*) AS n_metrics, string_agg(counter || '=' || CAST(value AS VARCHAR), ',' ORDER BY counter) AS metrics FROM m GROUP BY launch")
-def q11_q14_inspect_launches(spark, d):
-    m = _instances(spark, d).groupBy("launch", "counter").agg(F.round(F.sum("value")).cast("long").alias("value"))
-    g = m.groupBy("launch").agg(F.count("*").alias("n_metrics"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "counter", F.col("value").cast("string")))), ",").alias("metrics"))
-    return g
-
-
-@query("spans", "SELECT graph_id, count(DISTINCT graph_node_id) AS nodes, count(*) AS events, CAST(sum(end_ns - start_ns) AS BIGINT) AS ns FROM spans WHERE kind = 'graph' GROUP BY graph_id")
-def q5_q12_graphs(spark, d):
-    g = A.spans(spark, d).filter("kind = 'graph'").groupBy("graph_id")
-    return g.agg(F.countDistinct("graph_node_id").alias("nodes"), F.count("*").alias("events"), F.sum(F.col("end_ns") - F.col("start_ns")).alias("ns"))
-
-
-def _stream(spark, d):
-    """The events table, written to a folder that is then read as a stream of spans."""
+def _stream(spark, d, files: int = 1):
+    """The events table, written to a folder in order of time that is then read as a stream of spans."""
     path = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/feed"
     rows = spark.read.parquet(f"{d}/events.parquet")
-    rows.write.parquet(path)
-    e = spark.readStream.schema(rows.schema).parquet(path)
+    lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
+    part = lambda i: lo + (hi - lo) * i / files
+    for i in range(files):
+        here = rows if files == 1 else rows.filter((F.col("ts") >= F.lit(part(i))) & ((F.col("ts") < F.lit(part(i + 1))) | F.lit(i == files - 1)))
+        (here if files == 1 else here.coalesce(1)).write.mode("append").parquet(path)
+    e = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 if files > 1 else 1000).parquet(path)
     us, u = F.unix_micros(F.col("ts").cast("timestamp")), F.col("user_id")
     return e.select(F.col("event_id").alias("row_id"), (u % 2).alias("process_id"), (u % 4 - u % 2).alias("device_id"), (us * 1000).alias("start_ns"), (us * 1000 + F.round(F.col("value") * 100).cast("long") * 1_000_000).alias("end_ns"))
 
@@ -96,4 +86,15 @@ def r1_live_activity(spark, d):
   b AS (SELECT *, max(end_ns) OVER (PARTITION BY process_id, device_id ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM s)
   SELECT process_id, device_id, busy AS start_ns, start_ns AS end_ns, start_ns - busy AS gap_ns FROM b WHERE start_ns > busy""")
 def r2_live_gaps(spark, d):
-    return _drained(live.live_gaps(_stream(spark, d)), spark, "gaps").drop("late")
+    folder = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/gaps"
+    q = live.start_gaps(_stream(spark, d, 8), folder, late_ns=3600_000_000_000)
+    q.awaitTermination()
+    return live.told_gaps(spark, folder).unionByName(live.last_gaps(spark, folder))
+
+
+@query("ev", """WITH s AS (SELECT us * 1000 AS start_ns, us * 1000 + CAST(round(value * 100) AS BIGINT) * 1000000 AS end_ns FROM ev),
+  b AS (SELECT *, unnest(range(start_ns - start_ns % 600000000000, end_ns, 600000000000)) AS bucket_ns FROM s WHERE end_ns > start_ns),
+  g AS (SELECT bucket_ns, count(*) AS n, CAST(sum(least(end_ns, bucket_ns + 600000000000) - greatest(start_ns, bucket_ns)) AS BIGINT) AS total_ns FROM b GROUP BY 1)
+  SELECT * FROM g WHERE bucket_ns + 600000000000 <= (SELECT max(bucket_ns) FROM b) - 600000000000""")
+def r1_live_busy(spark, d):
+    return _drained(live.live_busy(_stream(spark, d), 600_000_000_000, "10 minutes"), spark, "busy")

@@ -49,7 +49,7 @@ def a5_stats_by_launch_shape(spark, d):
     return stats.span_stats(A.spans(spark, d).filter("kind = 'kernel'"), ("process_id", "grid_x", "block_x"))
 
 
-@query("ranges", f"WITH d AS (SELECT *, end_ns - start_ns AS ns FROM ranges) SELECT CASE WHEN event_type IN (59, 70) THEN 'push_pop' WHEN event_type IN (60, 71) THEN 'start_end' ELSE 'unknown' END AS style, name, {NS}, sum(ns) / (SELECT sum(ns) FROM d) AS share FROM d GROUP BY ALL")
+@query("ranges", f"WITH d AS (SELECT *, end_ns - start_ns AS ns FROM ranges WHERE end_ns > start_ns) SELECT CASE WHEN event_type IN (59, 70) THEN 'push_pop' WHEN event_type IN (60, 71) THEN 'start_end' ELSE 'unknown' END AS style, name, {NS}, sum(ns) / (SELECT sum(ns) FROM d) AS share FROM d GROUP BY ALL")
 def a8_stats_by_range_style(spark, d):
     return stats.span_stats(A.ranges(spark, d).withColumn("style", N.range_style("event_type")), ("style", "name"))
 
@@ -59,12 +59,17 @@ def a9_stats_versions_folded(spark, d):
     return stats.span_stats(A.launches(spark, d).withColumn("api", N.fold_version("name")), ("api",))
 
 
-_EDGES = (0, *stats.BOUNDS, None)
+#: Half decades, as the histogram has to be cut.
+_EDGES = (0, 10, 32, 100, 316, 1_000, 3_162, 10_000, 31_623, 100_000, 316_228, 1_000_000, 3_162_278, 10_000_000, 31_622_776, 100_000_000, 316_227_766, 1_000_000_000, None)
+#: Spans from a nanosecond to seconds, so that all buckets have some.
+_TINY = "d AS (SELECT kind, process_id, end_ns - start_ns AS whole, row_id, greatest(1, (end_ns - start_ns) // CAST(pow(10, 3 + row_id % 10) AS BIGINT)) AS ns FROM spans WHERE end_ns > start_ns)"
 
 
-@query("spans", f"{D} SELECT kind, concat_ws(',', " + ", ".join(f"count(*) FILTER (ns >= {a}" + (f" AND ns < {b})" if b else ")") for a, b in zip(_EDGES, _EDGES[1:], strict=False)) + ") AS histogram FROM d GROUP BY kind")
+@query("spans", f"WITH {_TINY} SELECT kind, concat_ws(',', " + ", ".join(f"count(*) FILTER (ns >= {a}" + (f" AND ns < {b})" if b else ")") for a, b in zip(_EDGES, _EDGES[1:], strict=False)) + ") AS histogram FROM d GROUP BY kind")
 def a10_duration_histogram(spark, d):
-    out = stats.span_stats(A.spans(spark, d), ("kind",), histogram=True)
+    s = A.spans(spark, d).filter("end_ns > start_ns")
+    ns = F.expr("greatest(1, (end_ns - start_ns) div cast(pow(10, 3 + row_id % 10) as bigint))")
+    out = stats.span_stats(s.withColumn("end_ns", F.col("start_ns") + ns), ("kind",), histogram=True)
     return out.select("kind", F.array_join(F.transform("histogram", lambda x: x.cast("string")), ",").alias("histogram"))
 
 
@@ -143,9 +148,9 @@ def f14_launch_shape(spark, d):
     return s.filter((F.col("kind") == "kernel") & N.match_dims("grid", "3x0x1")).select("row_id")
 
 
-@query("point_samples", "SELECT row_id FROM point_samples WHERE metric LIKE 'click%' OR metric LIKE '%Requests]'")
+@query("point_samples", "SELECT row_id FROM point_samples WHERE metric LIKE 'click%' OR metric LIKE '%requests]'")
 def f15_counter_globs(spark, d):
-    return A.point_samples(spark, d).filter(N.any_glob("metric", "click*, *Requests]")).select("row_id")
+    return A.point_samples(spark, d).filter(N.any_glob("metric", "click*, *requests]")).select("row_id")
 
 
 # -- gaps, islands, concurrency --------------------------------------------------------------
@@ -190,6 +195,32 @@ def i4_gaps_in_window(spark, d):
     return intervals.idle_gaps(A.spans(spark, d), intervals.LANE, window=WINDOW)
 
 
+#: The gaps query over short spans, which leave devices idle.
+_SHORT_GAPS = "WITH " + _SHORT + ", " + _GAPS.format(by="process_id, device_id").removeprefix("WITH ").replace("FROM spans", "FROM short")
+
+
+@query("spans", _SHORT_GAPS + " SELECT * FROM g")
+def i1_device_gaps(spark, d):
+    return intervals.idle_gaps(_short(spark, d))
+
+
+@query("spans", _SHORT_GAPS + f" SELECT * FROM g WHERE {WIN}")
+def i4_device_gaps_in_window(spark, d):
+    return intervals.idle_gaps(_short(spark, d), window=WINDOW)
+
+
+@query("spans", f"""WITH n AS (SELECT *, lead(start_ns) OVER w AS nxt, lead(row_id) OVER w AS nid FROM spans WINDOW w AS (PARTITION BY process_id, device_id, stream_id ORDER BY start_ns, row_id)),
+  g AS (SELECT process_id, device_id, stream_id, end_ns AS start_ns, nxt AS end_ns, nxt - end_ns AS gap_ns, row_id AS prev_row_id, nid AS next_row_id FROM n WHERE nxt > end_ns) SELECT * FROM g WHERE {WIN}""")
+def i4_stream_gaps_in_window(spark, d):
+    return intervals.stream_gaps(A.spans(spark, d), window=WINDOW)
+
+
+@query("spans", "WITH " + _SHORT + ", " + _FLAGS.format(by="process_id, device_id", src="short") + f""",
+  x AS (SELECT *, max(end_ns) OVER (ORDER BY start_ns, process_id, device_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM i), g AS (SELECT busy AS start_ns, start_ns AS end_ns, start_ns - busy AS gap_ns FROM x WHERE start_ns > busy) SELECT * FROM g WHERE {WIN}""")
+def i4_trace_gaps_in_window(spark, d):
+    return intervals.trace_gaps(_short(spark, d), window=WINDOW)
+
+
 @query("spans", f"""SELECT process_id, device_id, stream_id, count(*) AS n, CAST(sum({CLIP}) AS BIGINT) AS busy_ns, least(max(end_ns), {HI}) - greatest(min(start_ns), {LO}) AS span_ns,
     sum({CLIP}) / (least(max(end_ns), {HI}) - greatest(min(start_ns), {LO})) AS busy_ratio FROM spans WHERE {WIN} AND {CLIP} > 0 GROUP BY ALL""")
 def i5_lane_activity(spark, d):

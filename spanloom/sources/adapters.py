@@ -35,20 +35,29 @@ def launches(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: name, every so many seconds, shifted by, seconds long (None: an instant), domain, type of event:
+#: days and shifts nest, jobs overlap them and each other, phases lie in another domain, which
+#: instants of the creating type name.
+RANGES = (("day", 86400, 0, 86400, 0, 59), ("shift", 21600, 0, 21600, 0, 59), ("job", 21600, 10800, 36000, 0, 60), ("phase", 43200, 0, 43200, 1, 71), ("train", 86400, 0, None, 1, 75))
+
+
 def ranges(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).select(((F.col("user_id") % 2) * 16777216 + F.col("user_id") % 4).alias("global_tid"), "us")
-    parts = []
-    for name, width, which in (("day", 86400, 0), ("shift", 21600, 1)):
-        start = (F.col("us") - F.col("us") % (width * 1000000)) * 1000
+    out = None
+    for which, (name, step, shift, length, domain, kind) in enumerate(RANGES):
+        start = (F.col("us") - F.col("us") % (step * 1000000)) * 1000 + shift * 1000000000
         r = e.select("global_tid", start.alias("start_ns")).distinct()
         tid = F.col("global_tid") % 16777216 + 4 * F.expr("global_tid div 16777216")
-        rid = F.expr("start_ns div 1000000000") * 100 + tid * 2 + which
-        parts.append(r.select(rid.alias("range_id"), "global_tid", F.lit(0).cast("long").alias("domain_id"), F.lit(name).alias("name"), F.lit(59).alias("event_type"), "start_ns", (F.col("start_ns") + width * 1000000000).alias("end_ns")))
-    return parts[0].unionByName(parts[1])
+        rid = F.expr("start_ns div 1000000000") * 100 + tid * 5 + which
+        end = F.lit(None).cast("long") if length is None else F.col("start_ns") + length * 1000000000
+        r = r.select(rid.alias("range_id"), "global_tid", F.lit(domain).cast("long").alias("domain_id"), F.lit(name).alias("name"), F.lit(kind).alias("event_type"), "start_ns", end.alias("end_ns"))
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 def point_samples(spark: SparkSession, d: str) -> DataFrame:
-    metric = F.concat("event_type", F.when(F.col("event_type") == "purchase", " [Requests]").otherwise(" [Throughput %]"))
+    unit = F.when(F.col("event_type") == "purchase", " [requests]").when(F.col("event_type") == "view", " Requests [ms]").otherwise(" [Throughput %]")
+    metric = F.concat("event_type", unit)
     return _events(spark, d).select((F.col("user_id") % 4).alias("type_id"), metric.alias("metric"), (F.col("us") * 1000).alias("ts_ns"), "value", F.col("event_id").alias("row_id"))
 
 
@@ -72,7 +81,8 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
 
 def sched(spark: SparkSession, d: str) -> DataFrame:
     n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return _events(spark, d).select((F.col("user_id") % 8).alias("cpu"), F.col("user_id").alias("global_tid"), (F.col("us") * 1000).alias("start_ns"), (n % 2).alias("is_in"), F.col("event_type").alias("state"), F.col("event_id").alias("row_id"))
+    cpu = (F.col("user_id") + F.floor(n / 3)) % 8  # threads move
+    return _events(spark, d).select(cpu.alias("cpu"), F.col("user_id").alias("global_tid"), (F.col("us") * 1000).alias("start_ns"), (n % 2).alias("is_in"), F.col("event_type").alias("state"), F.col("event_id").alias("row_id"))
 
 
 #: The same tables as DuckDB common table expressions.
@@ -85,15 +95,16 @@ SQL = {
     "contexts": "SELECT DISTINCT device_id, context_id, process_id FROM spans",
     "launches": """SELECT event_id AS row_id, 'api_' || event_type || '_v' || CAST(k % 3 AS VARCHAR) AS name, (user_id % 2) * 16777216 + user_id % 4 AS global_tid, user_id % 2 AS process_id,
         event_id AS correlation_id, us * 1000 - 2000 AS start_ns, us * 1000 - 1000 AS end_ns FROM ev""",
-    "ranges": """SELECT start_ns // 1000000000 * 100 + (global_tid % 16777216 + 4 * (global_tid // 16777216)) * 2 + w AS range_id, global_tid, CAST(0 AS BIGINT) AS domain_id, name, 59 AS event_type, start_ns, start_ns + width * CAST(1000000000 AS BIGINT) AS end_ns
-        FROM (SELECT DISTINCT (user_id % 2) * 16777216 + user_id % 4 AS global_tid, (us - us % (width * CAST(1000000 AS BIGINT))) * 1000 AS start_ns, name, width, w
-              FROM ev, (VALUES ('day', 86400, 0), ('shift', 21600, 1)) AS x(name, width, w))""",
-    "point_samples": """SELECT user_id % 4 AS type_id, event_type || CASE WHEN event_type = 'purchase' THEN ' [Requests]' ELSE ' [Throughput %]' END AS metric, us * 1000 AS ts_ns, value, event_id AS row_id FROM ev""",
+    "ranges": """SELECT start_ns // 1000000000 * 100 + (global_tid % 16777216 + 4 * (global_tid // 16777216)) * 5 + w AS range_id, global_tid, CAST(domain AS BIGINT) AS domain_id, name, event_type, start_ns, start_ns + length * CAST(1000000000 AS BIGINT) AS end_ns
+        FROM (SELECT DISTINCT (user_id % 2) * 16777216 + user_id % 4 AS global_tid, (us - us % (step * CAST(1000000 AS BIGINT))) * 1000 + shift * CAST(1000000000 AS BIGINT) AS start_ns, name, length, domain, x.event_type, w
+              FROM ev, (VALUES ('day', 86400, 0, 86400, 0, 59, 0), ('shift', 21600, 0, 21600, 0, 59, 1), ('job', 21600, 10800, 36000, 0, 60, 2), ('phase', 43200, 0, 43200, 1, 71, 3), ('train', 86400, 0, NULL, 1, 75, 4))
+                AS x(name, step, shift, length, domain, event_type, w))""",
+    "point_samples": """SELECT user_id % 4 AS type_id, event_type || CASE event_type WHEN 'purchase' THEN ' [requests]' WHEN 'view' THEN ' Requests [ms]' ELSE ' [Throughput %]' END AS metric, us * 1000 AS ts_ns, value, event_id AS row_id FROM ev""",
     "interval_samples": "SELECT user_id % 4 AS global_id, user_id % 2 AS port_id, event_type AS metric, us * 1000 AS start_ns, us * 1000 + 60000000000 AS end_ns, value, event_id AS row_id FROM ev",
     "cpu_samples": "SELECT o_orderkey AS id, epoch_us(o_orderdate) * 1000 AS start_ns, o_custkey % 8 AS cpu, o_custkey % 16 AS global_tid FROM orders",
     "frames": """SELECT l_orderkey AS id, l_linenumber - 1 AS stack_depth, 'fn' || CAST(p % 50 AS VARCHAR) AS symbol, '/lib/m' || CAST(q % 5 AS VARCHAR) || '.so' AS module, p % 7 = 0 AS unresolved, q % 2 AS kernel_mode
         FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS q FROM lineitem GROUP BY ALL)""",
-    "sched": "SELECT user_id % 8 AS cpu, user_id AS global_tid, us * 1000 AS start_ns, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) % 2 AS is_in, event_type AS state, event_id AS row_id FROM ev",
+    "sched": "SELECT (user_id + nth // 3) % 8 AS cpu, user_id AS global_tid, us * 1000 AS start_ns, nth % 2 AS is_in, event_type AS state, event_id AS row_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM ev)",
 }
 NEEDS = {"ev": (), "spans": ("ev",), "contexts": ("ev", "spans"), "launches": ("ev",), "ranges": ("ev",), "point_samples": ("ev",), "interval_samples": ("ev",), "cpu_samples": (), "frames": (), "sched": ("ev",)}
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.staging import stage
+
 INSTANCE = "correlation_id:long,rel_address:long,value:double,placement:string"
-METRIC = f"struct<name:string,unit:string,value:double,value_type:string,instances:array<struct<{INSTANCE}>>>"
+METRIC = f"struct<name:string,unit:string,value:double,value_type:string,metric_type:string,metric_subtype:string,rollup:string,instances:array<struct<{INSTANCE}>>>"
 SOURCE = "struct<file:string,line:long>"
 STALL = f"struct<rel_address:long,source:{SOURCE},reasons:map<string,long>>"
 LAUNCH = (
@@ -17,16 +19,29 @@ SCHEMA = f"launches array<struct<{LAUNCH}>>, ranges array<struct<name:string>>,
 
 
 def read_kernel_report(spark: SparkSession, *paths: str, multi_line: bool = True) -> dict[str, DataFrame]:
-    """launches, metrics, instances, sass, stalls; the launch's place in its report is its id."""
+    """launches, metrics, instances, sass, stalls, workloads; the launch's place in its report is
+    its id. The files are parsed once: launches and workloads are written to the shared folder
+    and all tables read those. A report is one JSON document, so with ``multi_line`` (the usual
+    form) one task parses one file; reports of one document a line are read in splits."""
     raw = spark.read.schema(SCHEMA).option("multiLine", multi_line).json(list(paths)).withColumn("report", F.input_file_name())
+    raw = stage(raw.select("report", F.coalesce("launches", F.array().cast(f"array<struct<{LAUNCH}>>")).alias("launches"), "ranges", "graphs"), "reports")
     k = raw.select("report", F.posexplode("launches").alias("launch", "l"))
     axes = lambda c: [F.get(F.col(f"l.{c}_size"), i).alias(f"{c}_{a}") for i, a in enumerate("xyz")]
+    size = lambda c: F.coalesce(F.size(F.col(f"l.{c}")), F.lit(0))
     m = k.select("report", "launch", F.explode("l.metrics").alias("m"))
+    classes = [F.col(f"m.{c}").alias(c) for c in ("metric_type", "metric_subtype", "rollup")]
+    work = lambda c, kind: raw.select("report", F.explode(F.coalesce(c, F.array().cast("array<struct<name:string>>"))).alias("w"), F.lit(kind).alias("kind"))
     return {
-        "launches": k.select("report", "launch", F.col("l.kernel_demangled").alias("name"), F.col("l.kernel_mangled").alias("mangled"), *axes("grid"), *axes("block"), F.col("l.stream_id").alias("stream_id"), F.size("l.metrics").alias("n_metrics"), F.size("l.rules").alias("n_rules"), F.col("l.rules").alias("rules")),
-        "metrics": m.select("report", "launch", F.col("m.name").alias("counter"), F.col("m.value").alias("value"), F.col("m.unit").alias("unit")),
-        "instances": m.select("report", "launch", F.col("m.name").alias("counter"), F.explode("m.instances").alias("i")).select("report", "launch", "counter", F.col("i.rel_address").alias("pc"), F.col("i.value").alias("value"), F.col("i.placement").alias("placement")),
+        "launches": k.select(
+            "report", "launch", F.col("l.kernel_demangled").alias("name"), F.col("l.kernel_mangled").alias("mangled"), *axes("grid"), *axes("block"), F.col("l.stream_id").alias("stream_id"),
+            F.greatest(size("metrics"), F.lit(0)).alias("n_metrics"), F.greatest(size("rules"), F.lit(0)).alias("n_rules"), F.col("l.rules").alias("rules"), (size("disasm") > 0).alias("has_listing"),
+            F.col("l.warp_stalls.total_samples").alias("total_samples"), F.col("l.warp_stalls.out_of_cubin_samples").alias("out_of_cubin_samples"),
+        ),
+        "metrics": m.select("report", "launch", F.col("m.name").alias("counter"), F.col("m.value").alias("value"), F.col("m.unit").alias("unit"), *classes),
+        "instances": m.select("report", "launch", F.col("m.name").alias("counter"), *classes, F.explode("m.instances").alias("i")).select(
+            "report", "launch", "counter", "metric_type", "metric_subtype", "rollup", F.col("i.rel_address").alias("pc"), F.col("i.value").alias("value"), F.col("i.placement").alias("placement")
+        ),
         "sass": k.select("report", "launch", F.explode("l.disasm").alias("d")).select("report", "launch", F.col("d.address").alias("pc"), F.col("d.opcode").alias("opcode"), F.col("d.operands").alias("operands"), F.col("d.source.file").alias("file"), F.col("d.source.line").alias("line")),
         "stalls": k.select("report", "launch", F.explode("l.warp_stalls.pcs").alias("p")).select("report", "launch", F.col("p.rel_address").alias("pc"), F.col("p.source.file").alias("file"), F.col("p.source.line").alias("line"), F.explode("p.reasons").alias("reason", "samples")),
-        "workloads": raw.select("report", F.explode(F.coalesce("ranges", F.array().cast("array<struct<name:string>>"))).alias("w"), F.lit("range").alias("kind")).union(raw.select("report", F.explode(F.coalesce("graphs", F.array().cast("array<struct<name:string>>"))), F.lit("graph"))),
+        "workloads": work("ranges", "range").union(work("graphs", "graph")),
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,13 +12,14 @@ def load_trace(spark: SparkSession, path: str, tables: dict[str, str], views: bo
     """The tables of a folder that has one ``<name>.parquet`` each. ``tables`` gives the wanted
     columns by table as DDL; columns a table lacks come as typed nulls, tables that aren't
     there are left out."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     out = {}
     for name, ddl in tables.items():
-        at = f"{path}/{name}.parquet"
-        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at)):
+        try:
+            df = spark.read.parquet(f"{path}/{name}.parquet")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
-        df = spark.read.parquet(at)
         want = T.StructType.fromDDL(ddl)
         out[name] = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
         if views:

@@ -1,46 +1,91 @@
-"""Spans that arrive over time: activity buckets with a watermark, idle gaps with keyed state."""
+"""Spans that arrive over time: activity buckets with a watermark, idle gaps by micro-batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+
+from spanloom.operators.buckets import in_buckets
+from spanloom.operators.intervals import DEVICE, idle_gaps, merge_islands
 
 
 def live_activity(spans: DataFrame, bucket: str, late: str) -> DataFrame:
-    """Per tumbling bucket of the span's start: n and total time. ``spans`` is a stream with
-    row_id, start_ns, end_ns; a bucket leaves when the watermark has passed it, and spans
-    later than that are dropped."""
+    """Per tumbling bucket: n and total time. ``spans`` is a stream with row_id, start_ns, end_ns;
+    a span counts where it starts, with its whole time; a bucket leaves when the watermark has
+    passed it, and spans later than that are dropped."""
     s = spans.withColumn("at", F.timestamp_micros(F.expr("start_ns div 1000"))).withWatermark("at", late)
     g = s.groupBy(F.window("at", bucket)).agg(F.count("*").alias("n"), F.sum(F.col("end_ns") - F.col("start_ns")).alias("total_ns"))
     return g.select((F.unix_micros("window.start") * 1000).alias("bucket_ns"), "n", "total_ns")
 
 
-GAP = "process_id long, device_id long, start_ns long, end_ns long, gap_ns long, late long"
+def live_busy(spans: DataFrame, width_ns: int, late: str) -> DataFrame:
+    """Per bucket that a span touches: n and the time inside it. A bucket leaves when the watermark
+    has passed it."""
+    s = in_buckets(spans, width_ns).withColumn("at", F.timestamp_micros(F.expr("bucket_ns div 1000"))).withWatermark("at", late)
+    g = s.groupBy(F.window("at", f"{width_ns // 1000} microseconds")).agg(F.count("*").alias("n"), F.sum("part_ns").alias("total_ns"))
+    return g.select((F.unix_micros("window.start") * 1000).alias("bucket_ns"), "n", "total_ns")
+
+
+_STATE = "process_id long, device_id long, start_ns long, end_ns long, upto_ns long"
+_GAP = "process_id long, device_id long, start_ns long, end_ns long, gap_ns long"
+
+
+def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    try:
+        return spark.read.schema(ddl).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl)
+
+
+def start_gaps(spans: DataFrame, folder: str, *, late_ns: int, min_ns: int = 1, trigger: dict | None = None) -> StreamingQuery:
+    """Writes idle gaps per device to ``folder`` as spans come in, in any order within ``late_ns``.
+
+    A gap is told once the latest start seen lies ``late_ns`` past its end. What is kept from one
+    micro-batch to the next are the busy times that can still change, merged: per device the one
+    that is open and those later than that. Merging and gaps are the operators for tables, so the
+    rows of a hot device are dealt to many tasks. State and gaps are written under the batch's number
+    and a batch that is run again writes the same. Spans that come later than ``late_ns`` only
+    lengthen the time busy."""
+
+    def step(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        old = _read(spark, f"{folder}/state/batch={batch - 1}", _STATE)
+        was = old.agg(F.max("upto_ns").alias("was"))
+        new = rows.select(*DEVICE, "start_ns", "end_ns").crossJoin(was)  # one row
+        new = new.select(*DEVICE, F.greatest("start_ns", F.coalesce("was", "start_ns")).alias("start_ns"), "end_ns").filter("end_ns >= start_ns")
+        busy = old.select(*DEVICE, "start_ns", "end_ns").unionByName(new)
+        upto = busy.agg(F.max("start_ns") - late_ns).first()[0]
+        if upto is None:
+            upto = -(2**62)
+        since = was.first()["was"]
+        upto = upto if since is None else max(upto, since)
+        busy = busy.withColumn("row_id", F.xxhash64("start_ns", "end_ns"))
+        gaps = idle_gaps(busy, min_ns=min_ns).filter(F.col("end_ns") <= upto)
+        gaps = gaps if since is None else gaps.filter(F.col("end_ns") > since)
+        gaps.select(*[c.split()[0] for c in _GAP.split(", ")]).write.mode("overwrite").parquet(f"{folder}/gaps/batch={batch}")
+        told = busy.filter(F.col("start_ns") <= upto).groupBy(*DEVICE).agg(F.max(F.struct("end_ns", "start_ns")).alias("m")).select(*DEVICE, F.col("m.start_ns").alias("start_ns"), F.col("m.end_ns").alias("end_ns"))
+        ahead = busy.filter(F.col("start_ns") > upto)
+        instants = ahead.filter("end_ns = start_ns").select(*DEVICE, "start_ns", "end_ns").distinct()
+        kept = told.unionByName(merge_islands(ahead).select(*DEVICE, "start_ns", "end_ns")).unionByName(instants)
+        kept.withColumn("upto_ns", F.lit(upto).cast("long")).write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
 
+    w = spans.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
+    return w.trigger(**(trigger or {"availableNow": True})).start()
 
-def _gaps(min_ns: int):
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        busy, late = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(parts)).sort_values(["start_ns", "end_ns"])
-        out = []
-        for start, end in zip(rows["start_ns"].tolist(), rows["end_ns"].tolist(), strict=True):
-            if busy is not None and start < busy[0]:
-                late += 1  # started before what has been seen: its gap has been told
-            elif busy is not None and start - busy[1] >= min_ns:
-                out.append((*key, busy[1], start, start - busy[1], late))
-            busy = (start if busy is None else max(busy[0], start), end if busy is None else max(busy[1], end))
-        state.update((busy, late))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in GAP.split(", ")])
 
-    return step
+def told_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """The gaps that have been told."""
+    return _read(spark, f"{folder}/gaps", _GAP + ", batch int").drop("batch")
 
 
-def live_gaps(spans: DataFrame, min_ns: int = 1) -> DataFrame:
-    """Idle gaps per device as spans come in. State is one latest start and one latest end a
-    device; spans that start before a span seen earlier are counted as late and only lengthen
-    the busy time. Rows of one trigger are taken in order of start."""
-    return spans.groupBy("process_id", "device_id").applyInPandasWithState(_gaps(min_ns), GAP, "busy struct<start:long,end:long>, late long", "append", GroupStateTimeout.NoTimeout)
+def last_gaps(spark: SparkSession, folder: str, *, min_ns: int = 1) -> DataFrame:
+    """Once the stream has ended: the gaps that were still held back after its last batch."""
+    states = _read(spark, f"{folder}/state", _STATE + ", batch int")
+    rest = states.join(states.agg(F.max("batch").alias("batch")), "batch").drop("batch")
+    since = rest.agg(F.max("upto_ns").alias("since"))
+    gaps = idle_gaps(rest.withColumn("row_id", F.xxhash64("start_ns", "end_ns")), min_ns=min_ns).crossJoin(since)  # one row
+    return gaps.filter("end_ns > since").select(*[c.split()[0] for c in _GAP.split(", ")])

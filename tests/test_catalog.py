@@ -42,21 +42,6 @@ def test_query_matches_sql(spark, duck, name):
     assert got == want
 
 
-SUBSETS = {"n15_causal_chain": " WHERE event_id % 97 = 5", "q10_inspect_events": " WHERE event_id % 211 = 3", "n7_correlate": " WHERE row_id % 100 = 7", "q2_q8_inspect": " WHERE row_id % 500 = 1", "q7_inspect_cpu_samples": " WHERE id % 50 = 7"}
-
-
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
-@pytest.mark.parametrize("name", sorted(SUBSETS))
-def test_lookups_ask_for_all_ids(spark, duck, name):
-    """The rows of the SQL without its modulo filter."""
-    sql = catalog.ORACLES[name].replace(SUBSETS[name], "")
-    rel, df = duck.sql(sql), catalog.QUERIES[name](spark, DATA)
-    cols = sorted(df.columns)
-    at = [rel.columns.index(c) for c in cols]
-    assert "%" not in sql.rpartition("FROM")[2] and cols == sorted(rel.columns)
-    assert sorted(str([value(r[c]) for c in cols]) for r in df.collect()) == sorted(str([value(r[i]) for i in at]) for r in rel.fetchall())
-
-
 def test_entry_imports():
     import __spark_entry__ as e
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from spanloom.functions import windows as T
-from spanloom.operators import buckets, intervals
+from spanloom.operators import buckets, intervals, ordered
 
 DDL = "row_id long, kind string, process_id long, device_id long, stream_id long, start_ns long, end_ns long"
 
@@ -60,13 +60,13 @@ def test_an_end_frees_before_a_start(spark):
     assert got(intervals.concurrency(t), "n", "sum_ns", "union_ns", "overlap_ns", "peak") == [(3, 22, 20, 2, 2)]
 
 
-@pytest.mark.parametrize("chunk", [7, 100, 10**12])
-def test_islands_and_peaks_match_brute_force(some, chunk):
+@pytest.mark.parametrize("rows_in_chunk", [1, 7, 10**6])
+def test_islands_and_peaks_match_brute_force(some, rows_in_chunk):
     rows, df = some
     want = sorted((*k, *i) for k, v in by_device(rows).items() for i in islands([(s, e) for s, e, _ in v]))
-    assert got(intervals.merge_islands(df, chunk_ns=chunk), "process_id", "device_id", "start_ns", "end_ns") == want
+    assert got(intervals.merge_islands(df, chunk_rows=rows_in_chunk), "process_id", "device_id", "start_ns", "end_ns") == want
     peaks = sorted((*k, max(sum(s <= t < e for s, e, _ in v) for t in range(3020))) for k, v in by_device(rows).items())
-    assert got(intervals.peak(df, chunk_ns=chunk), "process_id", "device_id", "peak") == peaks
+    assert got(intervals.peak(df, chunk_rows=rows_in_chunk), "process_id", "device_id", "peak") == peaks
 
 
 def test_gaps_and_islands_tile_the_span(some):
@@ -112,3 +112,28 @@ def test_no_rows(spark):
     t = table(spark, [])
     for f in (intervals.idle_gaps, intervals.merge_islands, intervals.concurrency, intervals.trace_gaps, intervals.class_overlap, intervals.stream_gaps, intervals.lane_activity):
         assert f(t).count() == 0
+
+
+def test_one_minute_of_one_device_is_dealt_to_many_chunks(spark):
+    t = table(spark, [("kernel", 0, 0, 0, i * 60_000, i * 60_000 + 100) for i in range(1000)])
+    chunks = ordered.chunked(t, "start_ns", 50).groupBy("__chunk").count().collect()
+    assert len(chunks) == 20 and max(r["count"] for r in chunks) <= 51
+    plan = intervals.with_busy_until(t, chunk_rows=50)._jdf.queryExecution().toString()
+    assert "windowspecdefinition(process_id" in plan and "__chunk" in plan
+
+
+@pytest.mark.parametrize("rows_in_chunk", [1, 3, 10**6])
+def test_neighbours_and_ordinals_match_plain_order(spark, rows_in_chunk):
+    r = random.Random(8)
+    rows = [(i, r.choice(["a", "b", None]), r.randrange(30)) for i in range(120)] + [(900, "c", 5)]
+    t = spark.createDataFrame(rows, "row_id long, k string, ts long")
+    order, key = ("ts", "row_id"), lambda x: (x[2], x[0])
+    after, before, nth = {}, {}, {}
+    for k in ("a", "b", "c", None):
+        mine = sorted((x for x in rows if x[1] == k), key=key)
+        for n, x in enumerate(mine):
+            nth[x[0]], before[x[0]], after[x[0]] = n, mine[n - 1][0] if n else None, mine[n + 1][0] if n + 1 < len(mine) else None
+    got_next = ordered.with_next(t, ("k",), order, ("row_id",), rows=rows_in_chunk).select("row_id", "next.row_id").collect()
+    got_prev = ordered.with_previous(t, ("k",), order, ("row_id",), rows=rows_in_chunk).select("row_id", "previous.row_id").collect()
+    got_nth = ordered.with_ordinal(t, ("k",), order, "nth", rows=rows_in_chunk).collect()
+    assert {a: b for a, b in got_next} == after and {a: b for a, b in got_prev} == before and {x["row_id"]: x["nth"] for x in got_nth} == nth
