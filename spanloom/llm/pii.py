@@ -1,11 +1,15 @@
 """Operator 3 - personal data by bootstrapped contextual extraction, DataFrame functions only.
 
-Seeds are the base spans: email, ip, card and phone by fixed patterns and checks. The words
-around seeds are lexical patterns; patterns and the runs of identifier-like tokens in them form
-a graph that Spark scores in rounds: a pattern's score is the mean score of its instances
-(shrunk by ``prior``), an unseen instance's score the best of its patterns, a seed's 1.
-Patterns that end above ``accept`` with ``support`` different seeds add the unseen tokens they
-surround, under the kind most of their seeds have; how many digits a run has decides nothing.
+Seeds are the base spans - email, ip, card and phone by fixed patterns and checks - and secrets:
+runs as long as a digest that are assigned to a name. What stands around seeds and how they are
+written are lexical patterns: the two words before, the word before with the word after, the two
+words after, the shape of the value (digits as 0, letters as a), and, where the value is assigned
+to a name (``=``), that with its shape. Patterns and the runs of identifier-like tokens in them
+form a graph that Spark scores in rounds: a pattern's score is the mean score of its instances
+(shrunk by ``prior``), an unseen instance's score the best of its patterns, a seed's 1. Patterns
+that end above ``accept`` with ``support`` different seeds add the unseen tokens they surround or
+that look so, under the kind most of their seeds have. Three rounds bring a pattern above 0.7 if
+about a third of its different instances are seeds.
 
 Only patterns with that support and an unseen instance enter the graph; others can add
 nothing. Texts are scanned once, in the JVM; the graph holds contexts, not texts.
@@ -15,8 +19,10 @@ engine stays linear (possessive runs, a run entered at its first character only)
 differ in form from the plain patterns they match the same spans, which tests hold against a
 brute-force version.
 
-Defined cases: a null text is an empty one and has no spans; every input row gives one row,
-repeated rows and ids included; an empty table gives no rows.
+Defined cases: a null text is an empty one and has no spans; very long texts are scanned whole,
+but a context is what lies within ``near`` code points, and tokens further apart are not one run;
+every input row gives one row, repeated rows and ids included; an empty table gives no rows.
+Columns of any name are kept, ``__base`` and ``__spans`` are replaced.
 """
 
 from __future__ import annotations
@@ -27,24 +33,25 @@ from pyspark.sql import functions as F
 from spanloom.llm.text import SPACE
 from spanloom.staging import stage
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds of the base spans, and the one of assigned secrets.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = 4
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
 #: A maximal run of digits with single separators, if it has 14 to 19 digits.
 CARD = r"[0-9](?<![0-9][ -]?[0-9])(?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
+#: A digest (32, 40 or 64 hexadecimal digits, letters among them) that is assigned to a name.
+SECRET = r"(?<=[=:][ ]{0,1}[\"']{0,1})(?<![0-9A-Za-z])(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])"
 #: A token that may belong to an identifier: it holds a digit or an at sign, or is the bank's
 #: four letters in an account number written in groups.
 TOKEN = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+|(?<=(?<![^\x20\x09-\x0D])[A-Z]{2}[0-9]{2}[\x20\x09-\x0D])[A-Z]{4}(?=[\x20\x09-\x0D][0-9]))"
 #: What is cut from the start of a run of tokens: a label glued to a number, opening marks; the
 #: parenthesis of an area code stays.
-HEAD = r"^(?:\p{L}+[:=](?=[\"'(\[{<]*[0-9]))?(?:[\"'\[{<]|\((?![0-9]+\).*[\p{L}\p{N}]))*"
+HEAD = r"^(?:\p{L}+(?:[:=](?=[\"'(\[{<]*[0-9])|=(?=[\"'(\[{<]*[0-9A-Za-z]*[0-9])))?(?:[\"'\[{<]|\((?![0-9]+\).*[\p{L}\p{N}]))*"
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
 SPAN = "array<struct<s:int,e:int,kind:int,value:string,left:string,right:string>>"
-#: Code points of context that are looked at on either side.
-NEAR = 64
-
 
 def _luhn(digits: Column) -> Column:
     def add(total: Column, i: Column) -> Column:
@@ -64,7 +71,7 @@ def _holds(kind: int, value: Column) -> Column:
     return F.lit(True)
 
 
-def _found(text: Column, pattern: str, kind: int) -> Column:
+def _found(text: Column, pattern: str, kind: int, near: int) -> Column:
     """All matches with offsets and context. Splitting and extracting by one pattern give the
     pieces between matches and the matches; their lengths add up to the offsets. Contexts are
     those of the whole text: the left one is carried along, the right one against the order."""
@@ -73,17 +80,17 @@ def _found(text: Column, pattern: str, kind: int) -> Column:
         pieces, hits = both["pieces"], both["hits"]
 
         def back(acc: Column, i: Column) -> Column:
-            right = F.left(F.concat(F.element_at(pieces, i + 1), acc["head"]), F.lit(NEAR))
-            head = F.left(F.concat(F.element_at(hits, i), right), F.lit(NEAR))
+            right = F.left(F.concat(F.element_at(pieces, i + 1), acc["head"]), F.lit(near))
+            head = F.left(F.concat(F.element_at(hits, i), right), F.lit(near))
             return F.struct(head.alias("head"), F.concat(acc["out"], F.array(right)).alias("out"))
 
         def step(rights: Column, acc: Column, i: Column) -> Column:
             piece, hit = F.element_at(pieces, i), F.element_at(hits, i)
             s = acc["pos"] + F.char_length(piece)
             e = s + F.char_length(hit)
-            left = F.right(F.concat(acc["tail"], piece), F.lit(NEAR))
+            left = F.right(F.concat(acc["tail"], piece), F.lit(near))
             one = F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"), hit.alias("value"), left.alias("left"), F.element_at(rights, -i).alias("right"))
-            return F.struct(e.alias("pos"), F.right(F.concat(left, hit), F.lit(NEAR)).alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
+            return F.struct(e.alias("pos"), F.right(F.concat(left, hit), F.lit(near)).alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
 
         def forth(rights: Column) -> Column:
             start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
@@ -98,23 +105,24 @@ def _found(text: Column, pattern: str, kind: int) -> Column:
     return F.filter(all_found, lambda x: _holds(kind, x["value"]))
 
 
-def base_spans(text: Column) -> Column:
-    """The seeds of one text, ordered by start, then kind. Texts without the characters a
-    kind needs are not scanned for it."""
+def base_spans(text: Column, near: int = 64) -> Column:
+    """The seeds of one text, ordered by start, then kind (those of kind ``BASE`` are secrets).
+    Texts without the characters a kind needs are not scanned for it."""
     none = F.array().cast(SPAN)
     digits = text.rlike("[0-9]")
     parts = [
-        F.when(F.contains(text, F.lit("@")), _found(text, EMAIL, 0)).otherwise(none),
-        F.when(digits, _found(text, IP, 1)).otherwise(none),
-        F.when(digits, _found(text, CARD, 2)).otherwise(none),
-        F.when(F.contains(text, F.lit("+")), _found(text, PHONE, 3)).otherwise(none),
+        F.when(F.contains(text, F.lit("@")), _found(text, EMAIL, 0, near)).otherwise(none),
+        F.when(digits, _found(text, IP, 1, near)).otherwise(none),
+        F.when(digits, _found(text, CARD, 2, near)).otherwise(none),
+        F.when(F.contains(text, F.lit("+")), _found(text, PHONE, 3, near)).otherwise(none),
+        F.when(text.rlike(r"[=:][ ]?[\"']?[0-9a-f]{32}"), _found(text, SECRET, 4, near)).otherwise(none),
     ]
     by = F.transform(F.concat(*parts), lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
     return F.array_sort(by)
 
 
-def _tokens(text: Column, base: Column) -> Column:
-    """Candidates: runs of identifier-like tokens with nothing but whitespace (``NEAR`` code
+def _tokens(text: Column, base: Column, near: int = 64) -> Column:
+    """Candidates: runs of identifier-like tokens with nothing but whitespace (``near`` code
     points at most) between them, outside the base spans, without punctuation at their ends.
     Whitespace in their values is one space; the offsets are those of the text."""
 
@@ -123,7 +131,7 @@ def _tokens(text: Column, base: Column) -> Column:
             x, before = F.element_at(tokens, i), F.element_at(tokens, F.greatest(i - 1, F.lit(1)))
             bad = ~x["value"].rlike(r"[\p{L}\p{N}]") | F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
             gap = x["s"] - before["e"]
-            joins = (acc["first"] > 0) & (gap <= NEAR) & F.right(x["left"], gap).rlike(r"^[\x20\x09-\x0D]*$")
+            joins = (acc["first"] > 0) & (gap <= near) & F.right(x["left"], gap).rlike(r"^[\x20\x09-\x0D]*$")
             ends = (acc["first"] > 0) & (bad | ~joins)
             run = F.struct(acc["first"].alias("a"), (i - 1).alias("b"))
             first = F.when(bad, F.lit(0)).when(joins, acc["first"]).otherwise(i)
@@ -140,27 +148,33 @@ def _tokens(text: Column, base: Column) -> Column:
             tail = F.regexp_extract(b["value"], r"[^\p{L}\p{N}]*$", 0)
             n = F.char_length(head)
             body = F.substring(whole, n + 1, F.char_length(whole) - n - F.char_length(tail))
-            left, right = F.right(F.concat(a["left"], head), F.lit(NEAR)), F.left(F.concat(tail, b["right"]), F.lit(NEAR))
+            left, right = F.right(F.concat(a["left"], head), F.lit(near)), F.left(F.concat(tail, b["right"]), F.lit(near))
             return F.struct((a["s"] + n).alias("s"), F.lit(-1).alias("kind"), (b["e"] - F.char_length(tail)).alias("e"), body.alias("value"), left.alias("left"), right.alias("right"))
 
         start = F.struct(F.lit(0).alias("first"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
         found = F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, last)
         return F.when(F.size(tokens) == 0, F.slice(base, 1, 0)).otherwise(F.transform(found, trim))
 
-    found = F.element_at(F.transform(F.array(_found(text, TOKEN, -1)), runs), 1)
+    found = F.element_at(F.transform(F.array(_found(text, TOKEN, -1, near)), runs), 1)
     return F.when(text.rlike("[0-9@]"), found).otherwise(F.slice(base, 1, 0))
 
 
 def _patterns(x: str) -> Column:
-    """The two words before, the word before with the word after, and the two words after; a
-    pattern holds a letter. Marks that open or close around the span are not its context."""
+    """The two words before, the word before with the word after, the two words after, each with
+    a letter; the shape; and the assigned shape. Marks that open or close around the span are not
+    its context. Shapes longer than 40 signs are of hexadecimal runs (``hex``) or none."""
     clean = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[0-9]", "0"), SPACE), lambda w: w != "")
     left = clean(F.regexp_replace(F.col(f"{x}.left"), r"[\"'(\[{<]+$", ""))
     right = clean(F.regexp_replace(F.col(f"{x}.right"), r"^[^\p{L}\p{N}\x20\x09-\x0D]+", ""))
     last, ahead = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2))
     first, second = F.try_element_at(right, F.lit(1)), F.try_element_at(right, F.lit(2))
     three = F.array(F.concat(ahead, F.lit(" "), last, F.lit(" _")), F.concat(last, F.lit(" _ "), first), F.concat(F.lit("_ "), first, F.lit(" "), second))
-    return F.filter(three, lambda p: p.rlike(r"\p{L}"))
+    value = F.lower(F.col(f"{x}.value"))
+    written = F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]", "0")
+    shape = F.when(value.rlike("^(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,}$"), "hex").when(F.char_length(written) <= 40, written)
+    assigned = F.when(F.col(f"{x}.left").rlike(r"=[ ]?[\"']?$"), F.concat(F.lit("= "), shape))
+    looks = F.when(shape != "hex", F.concat(F.lit("like "), shape))
+    return F.filter(F.concat(F.filter(three, lambda p: p.rlike(r"\p{L}")), F.array(looks, assigned)), lambda p: p.isNotNull())
 
 
 def added_spans(rows: DataFrame, *, rounds: int = 3, support: int = 3, accept: float = 0.7, prior: float = 1.0) -> DataFrame:
@@ -189,19 +203,21 @@ def added_spans(rows: DataFrame, *, rounds: int = 3, support: int = 3, accept: f
     return hits.groupBy("uid").agg(F.collect_list(F.struct("s", (-F.col("m.k")).alias("kind"), "e")).alias("added"))
 
 
-def detect(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
-    """The columns ``keep`` (all, if None) of every row with ``base`` and ``spans``: arrays of
-    (s, kind, e) ordered by start, then kind."""
-    keep = docs.columns if keep is None else keep
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def detect(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, near: int = 64, **options) -> DataFrame:
+    """The columns ``keep`` (all, if None) of every row with ``__base`` and ``__spans``: arrays of
+    (s, kind, e) ordered by start, then kind. ``__base`` are the base spans, ``__spans`` also the
+    secrets and what patterns add."""
+    keep = [c for c in docs.columns if c not in ("__base", "__spans")] if keep is None else keep
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     bare = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))
-    rows = docs.select(F.struct(*keep).alias("row"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    rows = rows.withColumn("tokens", _tokens(F.col("text"), F.col("base"))).drop("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text.alias("text")).withColumn("base", base_spans(F.col("text"), near))
+    rows = rows.withColumn("tokens", _tokens(F.col("text"), F.col("base"), near)).drop("text")
     rows = stage(rows.withColumn("uid", F.monotonically_increasing_id()), "pii_rows")
     added = added_spans(rows.select("uid", "base", "tokens"), **options)
     rows = rows.select("uid", "row", bare(F.col("base")).alias("base")).join(added, "uid", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.slice("base", 1, 0))))
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], F.col("base").alias("__base"), spans.alias("__spans"))
+    base = F.filter("base", lambda x: x["kind"] < BASE)
+    return rows.select(*[F.col("row")[c].alias(c) for c in keep], base.alias("__base"), spans.alias("__spans"))
 
 
 def _said(spans: str) -> Column:
@@ -213,7 +229,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; where spans overlap,
     the earliest starts and their union goes. Null texts stay null."""
     found = detect(docs, text_col=text_col, **options)
-    text, names = F.col(text_col), F.array(*[F.lit(f"<{k}>") for k in KINDS])
+    text, names = F.col(f"`{text_col}`"), F.array(*[F.lit(f"<{k}>") for k in KINDS])
 
     def cut(acc: Column, x: Column) -> Column:
         lead = F.substring(text, acc["pos"] + 1, F.greatest(x["s"] - acc["pos"], F.lit(0)))
@@ -223,11 +239,11 @@ def redact(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
     done = F.aggregate("__spans", start, cut, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["pos"] + 1, F.char_length(text))))
     clean = F.when(F.size("__spans") > 0, done).otherwise(text)
-    return found.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return found.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("__base", "__spans")])
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     """Personal data in every text of ``documents``."""
     found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep=["doc_id"])
     count = lambda k: F.size(F.filter("__base", lambda x: x["kind"] == k)).cast("long")
-    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(_said("__base"), 256).alias("base_sha256"), _said("__spans").alias("spans"))
+    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE])], F.sha2(_said("__base"), 256).alias("base_sha256"), _said("__spans").alias("spans"))
