@@ -2,19 +2,23 @@
 
 Templates and texts are words (letters and digits, lower case) and shingles of ``width``
 words; a template shorter than that is one shingle of all its words. For every length class L
-(the powers of two that templates fall in) a text is cut into windows of 2L shingles, L apart,
-so a passage of at most L shingles lies whole in some window. A window that holds a share c of
-a template of m shingles, L/2 < m <= L, has a Jaccard similarity of at least
-c m / (2L + m (1 - c)) with it, and ``bands`` (one value each) is chosen so that such a pair
-meets in at least one band with probability ``sure``. Pairs that meet are verified exactly:
-the share of the template's shingles that the window holds has to reach ``contain``.
-
-Only texts that hold a shingle of some template are cut into windows; others can hold no
-template, so this drops nothing. Templates are a parameter and small (their number bounds the
-table that is joined); texts are never joined with each other.
-
-Defined cases: null and empty texts hold no license; templates without words are ignored;
-rows that repeat an id are scanned each for itself; an empty table gives no rows.
+(the powers of two that templates fall in) a text is cut into windows of 3L shingles, L apart,
+so a passage of at most 2L shingles, twice as long as any template of the class, lies whole in
+some window. A window that holds a share c of a template of m shingles, L/2 < m <= L, has a
+Jaccard similarity of at least c m / (3L + m (1 - c)) with it, and ``bands`` (one value each) is
+chosen so that such a pair meets in at least one band with probability ``sure``. Pairs that meet
+are verified exactly: the share of the template's shingles that the window, with a class length
+more on either side, holds has to reach ``contain``. So a passage that goes on into the next
+window counts whole.
+
+Texts are first met with the templates' shingles: one that holds fewer of a template's than
+``contain`` asks for can't hold it, so this drops nothing. Templates are a table of their own; the
+tables that are joined hold a row per shingle or band of a template, never texts, and whether
+they are broadcast is left to their measured size. Texts are never joined with each other.
+
+Defined cases: null and empty texts hold no license; very long texts are cut into windows like
+others; templates without words are ignored; rows that repeat an id are scanned each for itself;
+an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +28,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm import license_texts
 from spanloom.staging import stage
 
-#: Short notices by which texts name their license (fixed values, to be extended by callers).
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-}
-
 
 def _words(text: Column) -> Column:
     clean = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -52,49 +49,60 @@ def bands_for(least: float, sure: float) -> int:
 
 
 def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, contain: float = 0.8, sure: float = 0.9999) -> DataFrame:
-    """``templates``: name, text. One row per row of ``docs`` and template found in it: id,
-    uid (of the row), name, share (the best window's), windows."""
-    t = templates.select("name", _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    """``templates``: name, form, text; name and form together are unique. One row per row of
+    ``docs`` and template found in it: id, uid (of the row), name, form, share (the best window's),
+    windows."""
+    t = templates.select("name", "form", _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     t = t.withColumn("k", F.least(F.size("w"), F.lit(width)))
-    t = t.withColumn("s", F.array_distinct(F.coalesce(*[F.when(F.col("k") == k, _shingles("w", k)) for k in range(1, width + 1)])))
-    t = t.withColumn("class", F.pow(F.lit(2), F.ceil(F.log2(F.size("s").cast("double")))).cast("int"))
-    t = stage(t.select("name", "k", "s", "class"), "license_templates")
-    shapes = t.select("k", "class").distinct().collect()  # a few: widths up to five, powers of two
+    t = t.withColumn("ts", F.array_distinct(F.coalesce(*[F.when(F.col("k") == k, _shingles("w", k)) for k in range(1, width + 1)])))
+    t = t.withColumn("class", F.pow(F.lit(2), F.ceil(F.log2(F.size("ts").cast("double")))).cast("int"))
+    t = stage(t.select(F.monotonically_increasing_id().alias("t"), "name", "form", "k", "ts", "class"), "license_templates")
+    shapes = sorted(tuple(r) for r in t.select("k", "class").distinct().collect())  # a few: widths up to five, powers of two
+    if not shapes:
+        return docs.select(F.col(f"`{id_col}`").alias("id"), *[F.lit(None).cast(c).alias(n) for n, c in (("uid", "long"), ("name", "string"), ("form", "string"), ("share", "double"), ("windows", "long"))]).limit(0)
+    widths = sorted({k for k, _ in shapes})
+    need = t.select("t", F.explode("ts").alias("s"), F.ceil(F.size("ts") * contain - 1e-9).alias("need"))
+
+    # texts that hold enough shingles of some template; a text is known again by id and digest
+    same = F.xxhash64("text", F.length("text"), F.lit(3))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    every = F.concat(*[_shingles("w", k) for k in widths])
+    met = texts.select("id", same.alias("h"), _words(F.col("text")).alias("w")).select("id", "h", F.explode(every).alias("s")).join(need, "s")
+    met = met.groupBy("id", "h", "t", "need").agg(F.countDistinct("s").alias("n")).filter("n >= need").select("id", "h").distinct()
+    met = stage(met, "license_met").select(F.col("id").alias("i"), "h")
+    near = texts.join(met, same.eqNullSafe(met["h"]) & F.col("id").eqNullSafe(met["i"]), "left_semi")
+    near = near.select("id", F.monotonically_increasing_id().alias("uid"), _words(F.col("text")).alias("w"))
+    near = stage(near.select("id", "uid", *[_shingles("w", k).alias(f"s{k}") for k in widths]), "license_near")
+
     out: DataFrame | None = None
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), _words(F.col(text_col)).alias("w"))
-    known = {k: [h for r in t.filter(F.col("k") == k).select("s").collect() for h in r["s"]] for k in {r["k"] for r in shapes}}  # shingles of the templates
-    lists = {k: _shingles("w", k) for k in known}
-    near = {k: F.arrays_overlap(F.col(f"s{k}"), F.array(*[F.lit(h) for h in v])) for k, v in known.items()}
-    some = rows.select("id", "uid", *[s.alias(f"s{k}") for k, s in lists.items()])
-    any_near = None
-    for c in near.values():
-        any_near = c if any_near is None else any_near | c
-    if any_near is None:
-        return rows.select("id", "uid", F.lit("").alias("name"), F.lit(0.0).alias("share"), F.lit(0).cast("long").alias("windows")).limit(0)
-    some = stage(some.filter(any_near), "license_near")
-    for r in shapes:
-        k, size = r["k"], r["class"]
+    for k, size in shapes:
         fewest = size // 2 + 1 if size > 1 else 1
         held = math.ceil(contain * fewest)
-        bands = bands_for(held / (2 * size + fewest - held), sure)
+        bands = bands_for(held / (3 * size + fewest - held), sure)
         values = lambda s: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.array_min(F.transform(s, lambda h: F.xxhash64(h, j))))  # noqa: B023, E731
-        mine = t.filter((F.col("k") == k) & (F.col("class") == size)).select("name", F.col("s").alias("ts"))
-        posted = mine.select("name", "ts", F.posexplode(values(F.col("ts"))).alias("band", "value"))
+        mine = t.filter((F.col("k") == k) & (F.col("class") == size))
+        posted = mine.select("t", F.posexplode(values(F.col("ts"))).alias("band", "value"))
         starts = F.sequence(F.lit(0), F.greatest(F.size(f"s{k}") - 1, F.lit(0)), F.lit(size))
-        windows = some.filter(F.size(f"s{k}") > 0).select("id", "uid", F.posexplode(F.transform(starts, lambda i: F.slice(f"s{k}", i + 1, F.lit(2 * size)))).alias("at", "win"))
-        met = windows.select("id", "uid", "at", "win", F.posexplode(values(F.col("win"))).alias("band", "value")).join(posted, ["band", "value"])
-        met = met.groupBy("uid", "at", "name").agg(F.any_value("id").alias("id"), F.any_value("win").alias("win"), F.any_value("ts").alias("ts"))
-        share = F.size(F.array_intersect("ts", "win")) / F.size("ts")
-        found = met.select("id", "uid", "name", share.alias("share")).filter(F.col("share") >= contain)
+        cut = F.posexplode(F.transform(starts, lambda i: F.slice(f"s{k}", i + 1, F.lit(3 * size)))).alias("at", "win")  # noqa: B023
+        windows = near.filter(F.size(f"s{k}") > 0).select("uid", cut)
+        hits = windows.select("uid", "at", F.posexplode(values(F.col("win"))).alias("band", "value")).join(posted, ["band", "value"])
+        hits = hits.select("uid", "at", "t").distinct()
+        start = F.greatest((F.col("at") - 1) * size, F.lit(0))
+        wide = F.slice(f"s{k}", start + 1, (F.col("at") + 4) * size - start)
+        found = hits.join(near.select("id", "uid", f"s{k}"), "uid").join(mine.select("t", "name", "form", "ts"), "t")
+        found = found.select("id", "uid", "name", "form", (F.size(F.array_intersect("ts", wide)) / F.size("ts")).alias("share"))
+        found = found.filter(F.col("share") >= contain)
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("uid", "name").agg(F.any_value("id").alias("id"), F.max("share").alias("share"), F.count("*").alias("windows")).select("id", "uid", "name", "share", "windows")
+    return out.groupBy("uid", "name", "form").agg(F.any_value("id").alias("id"), F.max("share").alias("share"), F.count("*").alias("windows")).select("id", "uid", "name", "form", "share", "windows")
 
 
-def notices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(NOTICES.items()), "name string, text string")
+def known_licenses(spark: SparkSession) -> DataFrame:
+    """Notices, tags and texts of common licenses as templates."""
+    return spark.createDataFrame(license_texts.templates(), "name string, form string, text string")
 
 
 def op8_licenses(spark, sf_dir: str) -> DataFrame:
-    """Licenses that ``documents`` name: doc_id, license, share of the notice found."""
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), notices(spark))
-    return found.select(F.col("id").alias("doc_id"), F.col("name").alias("license"), "share")
+    """Licenses that ``documents`` carry or name: doc_id, license, form (notice, tag or text), share
+    of the wording found."""
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), known_licenses(spark))
+    return found.select(F.col("id").alias("doc_id"), F.col("name").alias("license"), "form", "share")
