@@ -313,7 +313,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None =
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     keep = [c for c in keep if c != "ids"]
 
-    d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    d = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text"))  # names of any kind
     shape = T.StructType([*d.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def ids(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +327,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None =
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], names=shape.names)
 
-    return d.mapInArrow(ids, shape)
+    return d.mapInArrow(ids, shape).toDF(*keep, "ids")
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", path: str | None = None) -> DataFrame:

@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -76,6 +77,27 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((low ^ (low >> np.uint64(31))) * _MIX[1] >> np.uint64(32)).astype(np.uint32)
 
 
+#: Rows of a batch that a task holds as Python objects at a time.
+ROWS = 512
+
+
+def _sliced(make, schema: pa.Schema):
+    """A function of pandas frames as one of Arrow batches that sees ``ROWS`` rows at a time,
+    whatever Spark's batches hold; whole numbers stay whole beside nulls."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (p.slice(at, ROWS).to_pandas(integer_object_nulls=True) for p in parts for at in range(0, p.num_rows, ROWS))
+        for out in make(frames):
+            yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
+
+    return run
+
+
+SETS = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("cls", pa.binary()), ("sig", pa.binary())])
+HASHES = pa.schema([("c", pa.int64()), ("h", pa.binary())])
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def _sets(width: int, coords: int):
     rng = np.random.default_rng(17)
     a = rng.integers(1, 2**63, coords, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -274,7 +296,7 @@ def _grow(links: DataFrame, comps: DataFrame | None) -> DataFrame:
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, coords: int, match: int, block: int) -> DataFrame:
     """One row per row of ``docs``: id, n, cls, component_id."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sets = stage(texts.mapInPandas(_sets(width, coords), "id long, n int, cls binary, sig binary"), "sets")
+    sets = stage(texts.mapInArrow(_sliced(_sets(width, coords), SETS), "id long, n int, cls binary, sig binary"), "sets")
     named = sets.filter(F.col("id").isNotNull() & F.col("cls").isNotNull())
     classes = named.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = stage(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
@@ -294,12 +316,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
 
     busy = members.select("c").distinct().join(classes.select("c", "cls", "rep"), "c")
     chosen = texts.join(busy.select(F.col("rep").alias("id"), "c", "cls"), "id").select("c", "cls", "text")
-    full = chosen.mapInPandas(_shingles(width), "c long, h binary").groupBy("c").agg(F.first("h").alias("h"))
+    full = chosen.mapInArrow(_sliced(_shingles(width), HASHES), "c long, h binary").groupBy("c").agg(F.first("h").alias("h"))
     full = stage(full.join(classes.select("c", "n", "sig"), "c"), "shingles")
 
     def linked(rows: DataFrame, key: list[str]) -> DataFrame:
         dealt = rows.join(full, "c").repartition(*key).sortWithinPartitions(*key)
-        return stage(dealt.mapInPandas(_linker(coords, match, percent, key), "a long, b long"), "linked")
+        return stage(dealt.mapInArrow(_sliced(_linker(coords, match, percent, key), LINKS), "a long, b long"), "linked")
 
     links = linked(members.select("g", "blk", "c"), ["g", "blk"])
     comps = None if links.isEmpty() else _grow(links, None)
@@ -340,18 +362,20 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     are no copies, each counts for its own group."""
     found = _classes(docs, id_col, text_col, width, percent, coords, match, block).filter(F.col("id").isNotNull())
     found = stage(found, "found")
-    many = found.groupBy("id").agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col("id").alias("__id"))
-    stay = found.filter("id = component_id").select(F.col("id").alias("__id"), F.col("cls").alias("__cls")).distinct()
+    same = F.col("id") == F.col("component_id")
+    ids = stage(found.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n"), F.bool_or(same).alias("__stays")), "found_ids")
+    many = ids.filter("__n > 1").select("__id")
+    stay = found.filter(same).select(F.col("id").alias("__id"), F.col("cls").alias("__cls")).distinct()
     of = lambda d: F.col(f"`{id_col}`").cast("long") == d["__id"]
-    one = stay.join(many, "__id", "left_anti")
-    single = docs.join(one, of(one), "left_semi")
+    gone = ids.filter("__n > 1 or not __stays")  # fewer than those that stay
+    single = docs.join(gone, of(gone), "left_anti")
     doubt = docs.join(many, of(many), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     doubt = doubt.withColumns({"__id": F.col("__row")[id_col].cast("long"), "__text": F.col("__row")[text_col]}).withColumn("__cls", _class_of(width)("__text"))
     here = [doubt["__id"] == stay["__id"], doubt["__cls"].eqNullSafe(stay["__cls"])]
     order = W.partitionBy("__id", "__cls").orderBy(F.col("__text"), F.xxhash64(F.to_json("__row")))
     doubt = doubt.join(stay, here, "left_semi").withColumn("__nth", F.row_number().over(order)).filter("__nth = 1")
     doubt = doubt.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
-    return single.union(doubt).union(docs.filter(F.col(f"`{id_col}`").cast("long").isNull()))
+    return single.union(doubt)
 
 
 def op4_neardup(spark, sf_dir: str) -> DataFrame:
