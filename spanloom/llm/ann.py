@@ -8,11 +8,16 @@ The number of probed lists is chosen on the sample, where exact neighbours are k
 smallest that covers ``target`` of them.
 
 Index rows are dealt to shards of about ``shard_rows`` vectors (whole lists, large lists over
-several shards) and queries to groups of ``query_rows``; a task sees one shard against one
-group of queries, so no list, hot vector or query set has to fit one task.
+several shards). Every query goes to the shards that hold a list it probes, and there to one of
+as many chunks as ``query_rows`` queries at a time make of those that probe this shard; a shard
+is copied once for each of its own chunks and not at all if nobody probes it. A task sees one
+shard against one chunk, so no list, hot vector or query set has to fit one task, and what is
+shuffled grows with the pairs of shard and query that are probed, over ``query_rows``.
 
 Defined cases: vectors that are null, empty, all zero, of another length than the commonest
-one, or that hold null or non-finite components take no part; neither do rows without id.
+one, or that hold null or non-finite components take no part; neither do rows without id. An
+id with several different vectors asks with each of them and counts once as a candidate, by its
+best score. Codes that tie with the last one of the shortlist are reranked too.
 Equal vectors are indexed once with their ``k + 1`` smallest ids, which is exact because a
 query can return no others; repeated (id, vector) rows count once. Equal scores go to the
 smaller id. An empty table gives no rows. Other columns of the input are ignored.
@@ -163,17 +168,21 @@ def _searcher(m: Model, k: int, shortlist: int):
                         s += np.take(tables[j][who], codes[lo:hi, j], axis=1)
                     score[who, lo:hi] = s
                 r = min(shortlist, len(index))
-                short = np.argpartition(-score, r - 1, axis=1)[:, :r]
+                least = np.partition(score, len(index) - r, axis=1)[:, len(index) - r]  # ties with the last stay
                 for i, qid in enumerate(part["id"].tolist()):
-                    mine = short[i][np.isfinite(score[i][short[i]])]
+                    mine = np.flatnonzero((score[i] >= least[i]) & np.isfinite(score[i]))
                     true = np.einsum("nd,d->n", exact[mine], q[i])
-                    got = []
+                    best: dict[int, float] = {}
+                    last = -math.inf
                     for n in np.lexsort((first[mine], -true)).tolist():
                         s = float(true[n])
-                        if len(got) >= k and s < got[k - 1][0]:
+                        if len(best) >= k and s < last:
                             break
-                        got += [(s, c) for c in ids[mine[n]] if c != qid]
-                    out += [(qid, c, s) for s, c in sorted(got, key=lambda x: (-x[0], x[1]))[:k]]
+                        for c in ids[mine[n]]:
+                            if c != qid and c not in best:
+                                best[c] = s
+                        last = s
+                    out += [(qid, c, s) for c, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return search
@@ -181,7 +190,7 @@ def _searcher(m: Model, k: int, shortlist: int):
 
 def nearest(
     df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20,
-    train_rows: int = 16_384, slices: int = 16, target: float = 0.975, shortlist: int = 400, shard_rows: int = 16_384, query_rows: int = 512,
+    train_rows: int = 16_384, slices: int = 16, target: float = 0.975, shortlist: int = 400, shard_rows: int = 16_384, query_rows: int = 4096,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product found for each
     query row. ``is_query`` is a condition on a column ``id``."""
@@ -200,7 +209,8 @@ def nearest(
     lists = int(min(4096, max(8, 2 ** round(math.log2(math.sqrt(n) / 3.5)))))
     m = fit(x, lists, slices, target, k)
     coded = stage(index.mapInPandas(_encoder(m), f"list int, code binary, e {kind}, ids array<long>"), "coded")
-    sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # a row per list: 4,096 at most
+    # a row per list, 4,096 at most, and per shard of ``shard_rows`` vectors
+    sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}
     shards_of: dict[int, list[int]] = {}
     shard, room = 0, shard_rows
     for c in sorted(sizes):
@@ -209,17 +219,15 @@ def nearest(
             shard, room = shard + (room < shard_rows), shard_rows
         shards_of[c] = list(range(shard, shard + parts))
         shard, room = (shard + parts, shard_rows) if parts > 1 else (shard, room - sizes[c])
-    spread = F.create_map(*[F.lit(v) for c, s in shards_of.items() for v in (c, s[0])])
-    width = F.create_map(*[F.lit(v) for c, s in shards_of.items() for v in (c, len(s))])
-    queries = d.filter(is_query).distinct()
-    groups = max(1, math.ceil(queries.count() / query_rows))
-    left = coded.select(
-        (spread[F.col("list")] + F.pmod(F.xxhash64("e"), width[F.col("list")]).cast("int")).alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), "list", "code", "e", "ids",
-    )
-    right = queries.mapInPandas(_router(m, shards_of), f"id long, e {kind}, shard int, lists array<int>")
-    right = right.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    found = left.groupBy("shard", "grp").cogroup(right.groupBy("shard", "grp")).applyInPandas(_searcher(m, k, shortlist), "query_id long, vec_id long, score double")
+    places = spark.createDataFrame([(c, s[0], len(s)) for c, s in shards_of.items()], "list int, at int, width int")
+    queries = d.filter(is_query).distinct().mapInPandas(_router(m, shards_of), f"id long, e {kind}, shard int, lists array<int>")
+    queries = stage(queries, "routed")
+    chunks = queries.groupBy("shard").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("chunks"))
+    right = queries.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("id", "e"), F.col("chunks")).cast("int")).drop("chunks")
+    left = coded.join(places, "list").select((F.col("at") + F.pmod(F.xxhash64("e"), F.col("width")).cast("int")).alias("shard"), "list", "code", "e", "ids")
+    left = left.join(chunks, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    found = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInPandas(_searcher(m, k, shortlist), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
