@@ -12,9 +12,11 @@ buckets), the cells are prefix-summed over buckets and then over the distinct si
 source, and a row only ranks itself within its cell.
 
 Defined cases: a null source is a source of its own, last in order; null and empty texts have
-size 0 and a share of 0 words; repeated rows rank next to each other and give the same rows in
-any order. An empty table gives no rows. Results depend on ids and ``seed`` only, not on
-partitioning.
+size 0 and a share of 0 words; very long texts count whole; repeated rows rank next to each other
+and give the same rows in any order, and rows that share id and size go by a digest of the text.
+An empty table gives no rows. Columns of any name are kept, ``__mix`` is replaced. Results depend
+on ids, texts and ``seed`` only, not on partitioning. Targets are found over one row of a few
+numbers per source, in one task: sources may be as many as hosts, not as documents.
 """
 
 from __future__ import annotations
@@ -50,11 +52,16 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, seed: int = 0) -> DataFrame:
-    """``docs`` with struct ``__mix``: size, source_size, target, copies."""
-    size = F.col(size_col) if size_col else count_words(F.col(text_col))
-    tie = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({"__size": size, "__key": source_key(F.col(source_col)), "__tie": tie}).withColumn("__cell", F.substring("__tie", 1, 3))
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, tie_col: str | None = None, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, seed: int = 0) -> DataFrame:
+    """``docs`` with struct ``__mix``: size, source_size, target, copies. Sizes and digests of texts
+    may be given as columns instead of the text."""
+    of = lambda c: F.col(f"`{c}`")
+    keep = [c for c in docs.columns if c != "__mix"]
+    size = of(size_col) if size_col else count_words(of(text_col))
+    same = of(tie_col) if tie_col else F.xxhash64(of(text_col))
+    tie = F.md5(F.coalesce(of(id_col).cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*[of(c) for c in keep]).alias("row"), size.alias("__size"), source_key(of(source_col)).alias("__key"), tie.alias("__tie"), of(id_col).alias("__id"), same.alias("__same"))
+    rows = rows.withColumn("__cell", F.substring("__tie", 1, 3))
     counted = rows.groupBy(F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__cell").alias("cell")).agg(F.count("*").alias("n"))
     cells = stage(counted, "mix_cells")
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -67,26 +74,27 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("cell").alias("__cell"), (F.col("upto") + F.col("inner")).alias("__before"),
         "source_size", "target", offset.alias("__offset"),
     )
-    rank = F.row_number().over(W.partitionBy("__key", "__size", "__cell").orderBy("__tie", id_col))
+    rank = F.row_number().over(W.partitionBy("__key", "__size", "__cell").orderBy("__tie", "__id", "__same"))
     out = rows.withColumn("__rank", rank).join(place, ["__key", "__size", "__cell"])
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     upto = F.col("__before") + F.col("__rank")
     copies = F.floor(each * upto + F.col("__offset")) - F.floor(each * (upto - 1) + F.col("__offset"))
     made = F.struct(F.col("__size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
-    return out.select(*docs.columns, made.alias("__mix"))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], made.alias("__mix"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
     taken = mix(docs, **options).filter(F.col("__mix.copies") > 0)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies").cast("int")))).select(*docs.columns)
+    each = F.explode(F.sequence(F.lit(1), F.col("__mix.copies").cast("int"))).alias("__copy")
+    return taken.select("*", each).select(*[F.col(f"`{c}`") for c in docs.columns if c != "__mix"])
 
 
 def op2_mix(spark, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = stage(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")), "mix_sizes")
-    m = mix(sized, size_col="size")
+    sized = stage(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.xxhash64("text").alias("same")), "mix_sizes")
+    m = mix(sized, size_col="size", tie_col="same")
     return m.select("doc_id", F.col("__mix.size").alias("size"), F.col("__mix.source_size").alias("source_size"), F.col("__mix.target").alias("target"), (F.col("__mix.copies") * F.col("__mix.size")).alias("taken"))
 
 
