@@ -3,7 +3,11 @@
 Each task writes its records to bundles of its own: records are gathered into independent
 Zstandard frames of about ``frame_bytes``, a bundle ends after ``bundle_bytes`` with a seek
 table in a skippable frame (the published seekable format), and an index row maps every record
-to bundle, frame and the offset inside the frame. One frame is read to get one record.
+to bundle, frame and the offset inside the frame. A reader takes a frame's place from the bundle's
+seek table and reads that one frame.
+
+Which pages revisit others is decided on ids and digests alone; payloads meet that decision by page
+and digest, so a large group of equal pages is no group of payloads in any task.
 
 Records with equal payloads of at least ``least`` bytes are written once: the smallest page id
 holds the response, the others are revisits that refer to it. Bundles have unique names, and
@@ -11,15 +15,17 @@ the index names only those of tasks that ended well, so a repeated task leaves n
 
 Defined cases: a null payload is empty; a null id is never the one that others refer to unless
 all ids of a group are null, and then all are responses; rows that repeat the smallest id of a
-group are responses too. Line breaks in addresses are escaped. Empty tables write no bundle.
+group are responses too. Line breaks in addresses are escaped. Very long payloads are records of
+their own frame. Empty tables write no bundle; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -31,10 +37,10 @@ from spanloom.staging import shared_dir, stage
 
 #: Fixed values of the seekable format: skippable frame, end of the seek table.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-INDEX = "page_id long, bundle string, frame int, frame_at long, frame_size long, record_at long, record_size long"
+INDEX = "page_id string, bundle string, frame int, frame_at long, frame_size long, record_at long, record_size long"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool, date: str) -> bytes:
     """One record with its closing line breaks."""
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
     head = [
@@ -88,7 +94,7 @@ class Bundle:
         self.frames: list[tuple[int, int]] = []
         self.size, self.plain, self.waiting = 0, bytearray(), []
 
-    def add(self, page_id: int | None, raw: bytes) -> None:
+    def add(self, page_id: str | None, raw: bytes) -> None:
         self.waiting.append((page_id, len(self.plain), len(raw)))
         self.plain += raw
 
@@ -109,7 +115,7 @@ class Bundle:
 
 def _writer(folder: str, frame_bytes: int, bundle_bytes: int, level: int, date: str):
     columns = [c.split()[0] for c in INDEX.split(", ")]
-    frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
+    frame = lambda rows: pd.DataFrame(rows, columns=columns)
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bundle = None
@@ -117,7 +123,7 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int, level: int, date:
             rows: list[tuple] = []
             for r in p.itertuples(index=False):
                 bundle = bundle or Bundle(folder, level)
-                page_id, first = (None if pd.isna(x) else int(x) for x in (r.page_id, r.first))
+                page_id, first = r.page_id, r.first  # ids are text here: pandas would round nullable numbers
                 payload = b"" if r.revisit else (r.html or "").encode("utf-8", "replace")
                 bundle.add(page_id, record(page_id, r.url, payload, r.digest, first, r.revisit, date))
                 if len(bundle.plain) >= frame_bytes:
@@ -135,13 +141,24 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int, level: int, date:
 
 def write(pages: DataFrame, folder: str, *, least: int = 100, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 26, level: int = 3, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes ``pages`` (page_id, url, html) to bundles under ``folder`` and returns the index."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html").cast("long")})
-    twice = p.filter(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).select("digest", "first")
-    p = p.join(stage(twice, "payloads"), "digest", "left")
-    revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)) & (F.col("size") >= least)
-    rows = p.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "digest", F.when(revisit, F.col("first")).alias("first"), revisit.alias("revisit"))
-    return stage(rows.mapInPandas(_writer(folder, frame_bytes, bundle_bytes, level, date), INDEX), "warc_index")
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    p = p.withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html").cast("long")})
+    thin = p.filter(F.col("size") >= least).select("page_id", "digest")
+    twice = thin.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
+    again = thin.join(twice, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    again = stage(again.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first"), "revisits")
+    rows = p.join(again, p["page_id"].eqNullSafe(again["p"]) & (p["digest"] == again["d"]), "left")
+    revisit = F.col("first").isNotNull()
+    rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", F.when(~revisit, F.col("html")).alias("html"), "digest", F.col("first").cast("string").alias("first"), revisit.alias("revisit"))
+    index = rows.mapInPandas(_writer(folder, frame_bytes, bundle_bytes, level, date), INDEX)
+    return stage(index.withColumn("page_id", F.col("page_id").cast("long")), "warc_index")
+
+
+@lru_cache(64)
+def _frame_places(bundle: str) -> list[tuple[int, int]]:
+    """Where each frame of a bundle starts and how long it is, by its seek table."""
+    sizes = [packed for packed, _ in read_seek_table(bundle)]
+    return list(zip(itertools.accumulate(sizes, initial=0), sizes, strict=False))
 
 
 def _frames(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
@@ -150,12 +167,13 @@ def _frames(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[
     for p in parts:
         raws = []
         for r in p.itertuples(index=False):
-            if last != (r.bundle, r.frame_at):
+            if last != (r.bundle, r.frame):
+                start, size = _frame_places(r.bundle)[r.frame]
                 fs, at = pafs.FileSystem.from_uri(r.bundle)
                 with fs.open_input_file(at) as f:
-                    f.seek(r.frame_at)
-                    plain = zstandard.ZstdDecompressor().decompress(f.read(r.frame_size))
-                last = (r.bundle, r.frame_at)
+                    f.seek(start)
+                    plain = zstandard.ZstdDecompressor().decompress(f.read(size))
+                last = (r.bundle, r.frame)
             raws.append(plain[r.record_at : r.record_at + r.record_size])
         yield p, raws
 
@@ -169,12 +187,13 @@ def read(index: DataFrame) -> DataFrame:
             got = [parse(r) for r in raws]
             refers = [h.get("WARC-Refers-To", "<urn:page:>")[10:-1] for h, _ in got]
             yield pd.DataFrame({
-                "page_id": p["page_id"].astype("Int64"), "url": [h["WARC-Target-URI"] for h, _ in got], "record_type": [h["WARC-Type"] for h, _ in got],
-                "digest": [h["WARC-Payload-Digest"][7:] for h, _ in got], "refers_to": pd.array([int(x) if x else None for x in refers], dtype="Int64"),
+                "page_id": p["page_id"], "url": [h["WARC-Target-URI"] for h, _ in got], "record_type": [h["WARC-Type"] for h, _ in got],
+                "digest": [h["WARC-Payload-Digest"][7:] for h, _ in got], "refers_to": [x or None for x in refers],
                 "payload": [b if h["WARC-Type"] == "response" else None for h, b in got],
             })
 
-    return index.mapInPandas(parsed, "page_id long, url string, record_type string, digest string, refers_to long, payload binary")
+    texts = index.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(parsed, "page_id string, url string, record_type string, digest string, refers_to string, payload binary")
+    return texts.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
@@ -185,8 +204,9 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     got = stage(got, "warc_read")
     own = got.filter(F.col("record_type") == "response").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("true").alias("payload_digest"), "record_type", "refers_to")
     held = own.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest"), "payload_bytes").distinct()
-    back = got.filter(F.col("record_type") == "revisit").join(stage(held, "warc_held"), ["refers_to", "digest"])
-    return own.unionByName(back.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"))
+    back = got.filter(F.col("record_type") == "revisit").join(stage(held, "warc_held"), ["refers_to", "digest"], "left")
+    size = F.coalesce("payload_bytes", F.raise_error(F.concat(F.lit("no response for page "), F.col("page_id").cast("string"))).cast("long"))
+    return own.unionByName(back.select("page_id", size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"))
 
 
 OP6_SQL = """
