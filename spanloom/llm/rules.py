@@ -11,10 +11,12 @@ those counts, at most statistics x (cuts + 1) rows. The list comes out as an ord
 
 Words repeat-counting compares 64-bit hashes of a text's own three-word windows.
 
-Defined cases: null and empty texts have no words, fail the base rules and are not kept;
+Defined cases: null and empty texts have no words, fail the base rules and are not kept; very long
+texts are counted whole;
 labels that are null, or of ids that are null, teach nothing; an id labelled more than once
 counts by the mean of its labels; without labelled rows of both kinds the list is empty and
-keeps all that the base rules keep. Repeated rows give repeated rows.
+keeps all that the base rules keep. Repeated rows give repeated rows. Columns of any name are
+kept, but those named as the statistics are replaced by them.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.text import words_of
 from spanloom.staging import stage
 
+OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "stats")
 STATS = ("n_words", "word_len", "symbols", "bangs", "caps", "dup_lines", "repeats", "per_line")
 
 
@@ -50,9 +53,10 @@ def _repeat_words(words: str, grams: str) -> Column:
 def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and a
     struct ``stats`` of the statistics the rules test."""
-    keep = docs.columns if keep is None else keep
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.struct(*keep).alias("row"), text.alias("t"), words_of(text).alias("w"))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in OUT]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    d = docs.select(row.alias("row"), text.alias("t"), words_of(text).alias("w"))
     gram = lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))
     grams = F.slice(F.transform("w", gram), F.lit(1), F.greatest(F.size("w") - 2, F.lit(0)))
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
@@ -66,7 +70,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     values = (F.col("n_words").cast("double"), share("word_chars", "n_words"), share("n_symbols", "n_words"), share("bang", "n_words"), share("upper", "word_chars"), share("n_dup_lines", "lines"), share("n_repeat_words", "n_words"), share("n_words", "lines"))
     stats = F.struct(*[v.alias(k) for k, v in zip(STATS, values, strict=True)])
-    return d.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", stats.alias("stats")).select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "stats")
+    return d.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", stats.alias("stats")).select(*[F.col("row")[c].alias(c) for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "stats")
 
 
 @dataclass(frozen=True)
@@ -114,11 +118,15 @@ def _all(parts: list[Column]) -> Column:
     return out
 
 
-def learn(labelled: DataFrame, *, cuts: int = 40, literals: int = 4, max_rules: int = 8, precision: float = 0.9, least: int = 3) -> DecisionList:
-    """``labelled``: struct ``stats``, ``bad`` (boolean), ``fold`` (0 and 1 grow, 2 prunes)."""
+def learn(labelled: DataFrame, *, cuts: int = 40, literals: int = 4, max_rules: int = 8, precision: float = 0.9, least: int = 3, quantile_rows: int = 50_000) -> DecisionList:
+    """``labelled``: struct ``stats``, ``bad`` (boolean), ``fold`` (0 and 1 grow, 2 prunes). At most
+    ``max_rules`` rules of ``literals`` tests are learned, all counts are over all labelled rows;
+    only the places of the cuts come from the ``quantile_rows`` rows of smallest digest, so that
+    they are exact quantiles and the same in every run."""
     marks = [i / cuts for i in range(1, cuts)]
-    both = [F.percentile_approx(F.when(F.col("bad") == b, F.col(f"stats.{s}")), marks, 10_000).alias(f"{s}_{int(b)}") for s in STATS for b in (True, False)]
-    q = labelled.agg(*both, F.count(F.when(F.col("bad"), 1)).alias("n_bad"), F.count(F.when(~F.col("bad"), 1)).alias("n_good")).first()
+    some = labelled.orderBy(F.xxhash64("stats"), F.xxhash64("bad", "fold")).limit(quantile_rows)
+    both = [F.percentile(F.when(F.col("bad") == b, F.col(f"stats.{s}")), marks).alias(f"{s}_{int(b)}") for s in STATS for b in (True, False)]
+    q = some.agg(*both, F.count(F.when(F.col("bad"), 1)).alias("n_bad"), F.count(F.when(~F.col("bad"), 1)).alias("n_good")).first()
     if not q["n_bad"] or not q["n_good"]:
         return DecisionList()
     points = {s: sorted({*q[f"{s}_1"], *q[f"{s}_0"]}) for s in STATS}
