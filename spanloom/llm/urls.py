@@ -12,7 +12,9 @@ lower case. Entry kinds: domain (host or any parent), url (exact), prefix (whole
 
 Defined cases: a null address or fetch time matches nothing; entries with a null in any column
 are ignored; of entries of one key at one time a removal comes first, so the addition holds;
-repeated captures give repeated rows; an empty list blocks nothing.
+repeated captures give repeated rows; very long addresses have as many keys as labels and path
+parts; an empty list blocks nothing, empty captures give no rows. Columns of any name are kept, but
+those named ``blocked``, ``n_entries`` and ``entry`` are replaced.
 """
 
 from __future__ import annotations
@@ -57,19 +59,21 @@ def listed(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", tim
     """``captures`` with ``blocked``, ``n_entries`` and ``entry`` (the first key by code point)
     of the list as it stood when the capture was fetched."""
     spans = stage(validity(entries).filter(F.col("end").isNull() | (F.col("start") < F.col("end"))), "url_spans")
-    rows = captures.select(F.monotonically_increasing_id().alias("uid"), F.struct(*captures.columns).alias("row"), F.col(time_col).alias("t"), F.col(url_col).alias("url"))
+    keep = [c for c in captures.columns if c not in ("blocked", "n_entries", "entry")]
+    rows = captures.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{time_col}`").alias("t"), F.col(f"`{url_col}`").alias("url"))
     rows = with_keys(rows, "url", "keys")
     asked = rows.select("uid", "t", F.explode("keys").alias("key"))
     met = asked.join(spans, "key").filter((F.col("start") <= F.col("t")) & (F.col("end").isNull() | (F.col("t") < F.col("end"))))
     hits = met.groupBy("uid").agg(F.count("*").alias("n_entries"), F.min("key").alias("entry"))
     out = rows.select("uid", "row").join(hits, "uid", "left")
-    return out.select("row.*", F.col("entry").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0).cast("long")).alias("n_entries"), "entry")
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], F.col("entry").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0).cast("long")).alias("n_entries"), "entry")
 
 
 def derived_list(captures: DataFrame) -> DataFrame:
     """A dated list made from the captures' own hosts and addresses: half of the parent domains
     come and go with dates drawn from their digest, hosts named spam stay, every 50th page's
-    address is listed for 200 days."""
+    address is listed for 200 days, and of every 50th other page all that lies under the first part
+    of its path, for 100."""
     draw = lambda c: F.conv(F.substring(F.md5(c), 1, 6), 16, 10).cast("long")
     day = lambda n: F.timestamp_micros((F.lit(1704067200).cast("long") + n * 86400) * 1_000_000)
     domain = captures.select(F.regexp_replace(host_of(F.col("url")), r"^[^.]*\.(?=[^.]*\.[^.]*\.)", "").alias("value")).distinct().filter("value != ''")
@@ -84,7 +88,10 @@ def derived_list(captures: DataFrame) -> DataFrame:
     domains = d.select(F.lit("domain").alias("kind"), "value", F.explode(events).alias("e")).select("kind", "value", "e.*")
     pages = captures.filter(F.col("page_id") % 50 == 3).select(address_of(F.col("url")).alias("value"), (F.col("page_id") % 365).alias("n")).filter("value != ''")
     urls = pages.select(F.lit("url").alias("kind"), "value", F.explode(F.array(event("add", F.col("n")), event("remove", F.col("n") + 200))).alias("e")).select("kind", "value", "e.*")
-    return domains.unionByName(urls)
+    part = F.regexp_extract(address_of(F.col("url")), r"^[^/?]*/[^/?]+", 0)
+    under = captures.filter(F.col("page_id") % 50 == 7).groupBy(part.alias("value")).agg(F.min(F.col("page_id") % 365).alias("n")).filter("value != ''")
+    under = under.select(F.lit("prefix").alias("kind"), "value", F.explode(F.array(event("add", F.col("n")), event("remove", F.col("n") + 100))).alias("e")).select("kind", "value", "e.*")
+    return domains.unionByName(urls).unionByName(under)
 
 
 def op9_urls(spark, sf_dir: str) -> DataFrame:
@@ -108,11 +115,15 @@ i AS (
   UNION ALL SELECT 'domain:' || value, h % 300, h % 300 + CASE WHEN h % 4 = 0 THEN 120 ELSE 200 END FROM h WHERE NOT starts_with(value, 'spam') AND h % 2 = 0
   UNION ALL SELECT 'domain:' || value, h % 300 + 240, NULL FROM h WHERE NOT starts_with(value, 'spam') AND h % 4 = 0),
 u AS (SELECT DISTINCT 'url:' || host || rest AS key, page_id % 365 AS a FROM p WHERE page_id % 50 = 3 AND host <> ''),
+v AS (SELECT regexp_extract(host || rest, '^[^/?]*/[^/?]+') AS value, min(page_id % 365) AS a FROM p WHERE page_id % 50 = 7 GROUP BY 1 HAVING value <> '' AND NOT starts_with(value, '/')),
 m AS (
   SELECT page_id, key FROM p JOIN i ON ('domain:' || host = key OR ends_with(host, '.' || substr(key, 8)))
     AND t >= 1704067200 + a * 86400 AND (b IS NULL OR t < 1704067200 + b * 86400)
   UNION ALL
-  SELECT page_id, key FROM p JOIN u ON 'url:' || host || rest = key AND t >= 1704067200 + a * 86400 AND t < 1704067200 + (a + 200) * 86400)
+  SELECT page_id, key FROM p JOIN u ON 'url:' || host || rest = key AND t >= 1704067200 + a * 86400 AND t < 1704067200 + (a + 200) * 86400
+  UNION ALL
+  SELECT page_id, 'prefix:' || value FROM p JOIN v ON (regexp_extract(host || rest, '^[^?]*') = value OR starts_with(regexp_extract(host || rest, '^[^?]*'), value || '/'))
+    AND t >= 1704067200 + a * 86400 AND t < 1704067200 + (a + 100) * 86400)
 SELECT p.page_id, any_value(p.t) * 1000000 AS fetched_us, count(key) > 0 AS blocked, count(key) AS n_entries, min(key) AS entry
 FROM p LEFT JOIN m USING (page_id) GROUP BY p.page_id
 """
