@@ -3,16 +3,18 @@ regression from partition-summed normal equations, isotonic calibration.
 
 Statistics come from the text alone. On labelled rows (crc32 of the id as text modulo 3 is
 not 1) they are standardised and mapped to cosine features, which approximate a Gaussian
-kernel. Every partition sums its own part of the normal equations, one set per fold; Spark
+kernel; the standardised statistics themselves and a constant stand beside them, so that what is
+linear needs no waves. Every partition sums its own part of the normal equations, one set per fold; Spark
 adds the parts up and the driver solves systems whose size the number of features fixes. Each
 fold is scored by the other fold's solution; counts of labels by score bin (at most 3,001
 rows) are made monotone by pooling adjacent violators, which turns scores into probabilities.
 All labelled rows take part; nothing is sampled.
 
 Defined cases: null and empty texts have statistics of zero and get a score like any other
-text; labels that are null or of null ids teach nothing, an id labelled more than once counts
+text; very long texts are counted whole, one at a time in a task; labels that are null or of null ids teach nothing, an id labelled more than once counts
 by its mean label; with no labelled rows all scores are 0.5, with one kind of label the score
-is that label. Rows with a null id are not held out. Repeated rows give repeated rows.
+is that label. Rows with a null id are not held out. Repeated rows give repeated rows, empty tables
+none. Columns of any name are kept, ``__score`` is replaced.
 """
 
 from __future__ import annotations
@@ -158,8 +160,8 @@ def scorer(model: Model):
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``__score``; the text is read twice, in training for labelled rows only
     where Spark can push the choice of rows below the statistics."""
-    model = fit(docs.select(id_col, features(F.col(text_col)).alias("f")), labels, id_col=id_col)
-    return docs.withColumn("__score", scorer(model)(features(F.col(text_col))))
+    model = fit(docs.select(F.col(f"`{id_col}`").alias("id"), features(F.col(f"`{text_col}`")).alias("f")), labels.withColumnRenamed(id_col, "id"), id_col="id")
+    return docs.withColumn("__score", scorer(model)(features(F.col(f"`{text_col}`"))))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
