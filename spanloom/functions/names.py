@@ -90,19 +90,33 @@ A_CYCLE = {"warp": "warp", "byte": "byte_per_cycle", "sector": "sector_per_cycle
 PERCENT, RATE, EXTREME = r"\.pct$|\.pct_|_pct$|_pct_", r"\.(per_second|per_cycle_active|per_cycle_elapsed|peak_sustained)$", r"\.(ratio|avg|max|min)$"
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _unit_map(units: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in units.items() for x in kv])
+
+
 def metric_unit(metric: str | Column) -> Column:
     """The unit that a hardware counter's name implies; null where it implies none. Labels of
     units before the counter proper (up to the first part that looks like one) don't count."""
+    sustained = {k: v for k, v in A_CYCLE.items() if k != "thread"}
+
+    def rated(name: Column, counted: Column) -> Column:
+        rate = F.regexp_extract(name, RATE, 1)
+        of = lambda units: F.try_element_at(_unit_map(units), counted)
+        by_rate = F.when(rate == "per_second", of(A_SECOND)).when(rate.startswith("per_cycle"), of(A_CYCLE)).when(rate == "peak_sustained", F.coalesce(of(sustained), counted)).otherwise(counted)
+        return F.when(name.rlike(PERCENT), "percent").when(name.rlike(r"__time_duration\.sum$|_interval_time$"), "nsecond").otherwise(by_rate)
+
+    def proper(name: Column) -> Column:
+        counted = lambda stem: F.coalesce(*[F.when(stem.rlike(p) & ~stem.startswith("device__attribute_"), u) for p, u in COUNTED])
+        return _let(_let(F.regexp_replace(name, RATE, ""), counted), lambda c: rated(name, c))
+
     whole = F.col(metric) if isinstance(metric, str) else metric
-    proper = F.regexp_extract(whole, r"(?:^|\.)((?:[^.]*__[^.]*|inst_[^.]*|thread_inst[^.]*|memory_[^.]*)(?:\..*)?)$", 1)
-    name = F.when(proper != "", proper).otherwise(whole)
-    rate = F.regexp_extract(name, RATE, 1)
-    stem = F.regexp_replace(name, RATE, "")
-    counted = F.coalesce(*[F.when(stem.rlike(p) & ~stem.startswith("device__attribute_"), u) for p, u in COUNTED])
-    of = lambda units, other=None: reduce(lambda c, kv: c.when(counted == kv[0], kv[1]), units.items(), F.when(F.lit(False), "")).otherwise(other)
-    sustained = of({k: v for k, v in A_CYCLE.items() if k != "thread"}, counted)
-    by_rate = F.when(rate == "per_second", of(A_SECOND)).when(rate.startswith("per_cycle"), of(A_CYCLE)).when(rate == "peak_sustained", sustained).otherwise(counted)
-    return F.when(name.rlike(PERCENT), "percent").when(name.rlike(r"__time_duration\.sum$|_interval_time$"), "nsecond").otherwise(by_rate)
+    part = r"(?:^|\.)((?:[^.]*__[^.]*|inst_[^.]*|thread_inst[^.]*|memory_[^.]*)(?:\..*)?)$"
+    return _let(F.coalesce(F.nullif(F.regexp_extract(whole, part, 1), F.lit("")), whole), proper)
 
 
 def is_additive(metric: str | Column, metric_type: str | Column | None = None, subtype: str | Column | None = None, rollup: str | Column | None = None) -> Column:

@@ -20,7 +20,7 @@ _X = """x AS (SELECT event_id, CASE event_type WHEN 'click' THEN CASE WHEN k % 3
     CASE event_type WHEN 'click' THEN 'cpu_op' WHEN 'view' THEN 'kernel' WHEN 'purchase' THEN 'gpu_memcpy' WHEN 'signup' THEN 'user_annotation' ELSE 'cuda_runtime' END AS cat,
     CASE event_type WHEN 'click' THEN 'cpu_op' WHEN 'view' THEN 'kernel' WHEN 'purchase' THEN 'memcpy' WHEN 'signup' THEN CASE WHEN k % 5 = 4 THEN 'annotation' ELSE 'step' END ELSE 'runtime' END AS type,
     event_type = 'view' OR (event_type = 'click' AND k % 3 = 0) AS comm, CASE WHEN event_type = 'view' OR (event_type = 'click' AND k % 3 = 0) THEN 'all_reduce' END AS collective,
-    us * 1000 AS start_ns, us * 1000 + CAST(round(value * 100) AS BIGINT) * 1000000 AS end_ns, CASE WHEN event_id % 11 <> 0 THEN user_id % 2 END AS rank, CAST(user_id % 2 AS VARCHAR) AS pid, CAST(user_id % 8 AS VARCHAR) AS tid,
+    us * 1000 AS start_ns, us * 1000 + CAST(round(value * 100) AS BIGINT) * 200000000 AS end_ns, CASE WHEN event_id % 11 <> 0 THEN user_id % 2 END AS rank, CAST(user_id % 2 AS VARCHAR) AS pid, CAST(user_id % 8 AS VARCHAR) AS tid,
     user_id % 16 AS stream, event_id // 4 AS external_id, event_id // 4 AS correlation, CASE WHEN event_type = 'signup' AND k % 5 < 4 THEN k % 5 END AS step_no FROM ev)"""
 _GPU = "('kernel', 'memcpy')"
 
@@ -45,7 +45,7 @@ def trace(spark, d):
     cat = pick(F.lit("cpu_op"), F.lit("kernel"), F.lit("gpu_memcpy"), F.lit("user_annotation"), F.lit("cuda_runtime"))
     lane = [F.col("us").cast("double").alias("ts"), text(u % 2).alias("pid"), text(u % 8).alias("tid")]
     none = F.lit(None).cast("string")
-    one = F.struct(name.alias("name"), cat.alias("cat"), F.lit("X").alias("ph"), (F.round(F.col("value") * 100) * 1000).alias("dur"), none.alias("id"), *lane, args.alias("args"))
+    one = F.struct(name.alias("name"), cat.alias("cat"), F.lit("X").alias("ph"), (F.round(F.col("value") * 100) * 200000).alias("dur"), none.alias("id"), *lane, args.alias("args"))
     phase = F.when(F.col("event_type") == "error", "s").when(F.col("event_type") == "view", "f")
     own = F.create_map(F.lit("event"), text(F.col("event_id") + MARK))
     mark = F.struct(F.lit("ac2g").alias("name"), F.lit("ac2g").alias("cat"), phase.alias("ph"), F.lit(0.0).alias("dur"), text(F.expr("event_id div 4")).alias("id"), *lane, own.alias("args"))
