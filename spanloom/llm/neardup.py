@@ -364,11 +364,14 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found = stage(found, "found")
     same = F.col("id") == F.col("component_id")
     ids = stage(found.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n"), F.bool_or(same).alias("__stays")), "found_ids")
-    many = ids.filter("__n > 1").select("__id")
+    # written apart, so that their own size decides how they are joined before any text is shuffled
+    many = stage(ids.filter("__n > 1").select("__id"), "found_again")
+    gone = stage(ids.filter("__n > 1 or not __stays").select("__id"), "gone")  # fewer than those that stay
     stay = found.filter(same).select(F.col("id").alias("__id"), F.col("cls").alias("__cls")).distinct()
     of = lambda d: F.col(f"`{id_col}`").cast("long") == d["__id"]
-    gone = ids.filter("__n > 1 or not __stays")  # fewer than those that stay
     single = docs.join(gone, of(gone), "left_anti")
+    if many.isEmpty():
+        return single
     doubt = docs.join(many, of(many), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     doubt = doubt.withColumns({"__id": F.col("__row")[id_col].cast("long"), "__text": F.col("__row")[text_col]}).withColumn("__cls", _class_of(width)("__text"))
     here = [doubt["__id"] == stay["__id"], doubt["__cls"].eqNullSafe(stay["__cls"])]
