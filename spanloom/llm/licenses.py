@@ -12,7 +12,8 @@ more on either side, holds has to reach ``contain``. So a passage that goes on i
 window counts whole.
 
 Texts are first met with the templates' shingles: one that holds fewer of a template's than
-``contain`` asks for can't hold it, so this drops nothing. Templates are a table of their own; the
+``contain`` asks for can't hold it, and is cut into windows for the length classes of the others
+only, so this drops nothing. Templates are a table of their own; the
 tables that are joined hold a row per shingle or band of a template, never texts, and whether
 they are broadcast is left to their measured size. Texts are never joined with each other.
 
@@ -68,11 +69,13 @@ def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     every = F.concat(*[_shingles("w", k) for k in widths])
     met = texts.select("id", same.alias("h"), _words(F.col("text")).alias("w")).select("id", "h", F.explode(every).alias("s")).join(need, "s")
-    met = met.groupBy("id", "h", "t", "need").agg(F.countDistinct("s").alias("n")).filter("n >= need").select("id", "h").distinct()
-    met = stage(met, "license_met").select(F.col("id").alias("i"), "h")
-    near = texts.join(met, same.eqNullSafe(met["h"]) & F.col("id").eqNullSafe(met["i"]), "left_semi")
-    near = near.select("id", F.monotonically_increasing_id().alias("uid"), _words(F.col("text")).alias("w"))
-    near = stage(near.select("id", "uid", *[_shingles("w", k).alias(f"s{k}") for k in widths]), "license_near")
+    met = met.groupBy("id", "h", "t", "need").agg(F.countDistinct("s").alias("n")).filter("n >= need")
+    shape = F.struct("k", "class")
+    met = met.join(t.select("t", "k", "class"), "t").groupBy(F.col("id").alias("i"), "h").agg(F.collect_set(shape).alias("shapes"))  # a few
+    met = stage(met, "license_met")
+    near = texts.join(met, same.eqNullSafe(met["h"]) & F.col("id").eqNullSafe(met["i"]))
+    near = near.select("id", F.monotonically_increasing_id().alias("uid"), "shapes", _words(F.col("text")).alias("w"))
+    near = stage(near.select("id", "uid", "shapes", *[_shingles("w", k).alias(f"s{k}") for k in widths]), "license_near")
 
     out: DataFrame | None = None
     for k, size in shapes:
@@ -84,7 +87,8 @@ def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_
         posted = mine.select("t", F.posexplode(values(F.col("ts"))).alias("band", "value"))
         starts = F.sequence(F.lit(0), F.greatest(F.size(f"s{k}") - 1, F.lit(0)), F.lit(size))
         cut = F.posexplode(F.transform(starts, lambda i: F.slice(f"s{k}", i + 1, F.lit(3 * size)))).alias("at", "win")  # noqa: B023
-        windows = near.filter(F.size(f"s{k}") > 0).select("uid", cut)
+        here = near.filter(F.exists("shapes", lambda x: (x["k"] == k) & (x["class"] == size)) & (F.size(f"s{k}") > 0))  # noqa: B023
+        windows = here.select("uid", cut)
         hits = windows.select("uid", "at", F.posexplode(values(F.col("win"))).alias("band", "value")).join(posted, ["band", "value"])
         hits = hits.select("uid", "at", "t").distinct()
         start = F.greatest((F.col("at") - 1) * size, F.lit(0))
