@@ -132,7 +132,7 @@ def test_pii_base_spans(spark, odd):
 def test_pii_learns_from_context(spark):
     rows = [(i, f"please contact me at user{i}@mail.example.com today {i}") for i in range(8)] + [(90, "please contact me at #user-12345 today"), (91, "costs about 12345 today")]
     got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [tuple(x) for x in got[90]["__spans"]] == [(22, 0, 32)] or [tuple(x) for x in got[90]["__spans"]] == [(21, 0, 32)]
+    assert [tuple(x) for x in got[90]["__spans"]] == [(21, 0, 32)]
     assert got[91]["__spans"] == [] and got[0]["__spans"] == got[0]["__base"]
     clean = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert clean[0] == "please contact me at <email> today 0" and clean[91] == rows[9][1]
@@ -320,9 +320,10 @@ def test_near_duplicates_of_one_large_cloud(spark):
             at = r.randrange(len(copy))
             copy[at : at + 1] = r.choice([[], [f"n{n}x{at}"], [copy[at], copy[at]], ["the"]])
         rows.append((n, " ".join(copy)))
+    want = groups(rows)
     for block in (32, 1024):
         got = neardup.components(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
-        assert {x["id"]: (x["n_shingles"], x["component_id"]) for x in got} == groups(rows)
+        assert {x["id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
 
 
 def test_collisions_and_overlaps_match_plain_counts():
