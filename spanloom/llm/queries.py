@@ -1,6 +1,6 @@
 """The registered queries of this package: (spark, sf_dir) -> DataFrame, and SQL where it can say the same."""
 
-from spanloom.llm import ann, bpe, decontam, licenses, merkle, mixing, neardup, pii, quality, rules, urls, warc
+from spanloom.llm import ann, bpe, decontam, licenses, merkle, mixing, neardup, pii, quality, rules, trie, urls, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_urls": urls.op9_urls,
     "op10_bpe": bpe.op10_bpe,
     "op11_merkle": merkle.op11_merkle,
+    "op12_trie": trie.op12_trie,
     "op13_decontam": decontam.op13_decontam,
 }
 
@@ -22,5 +23,6 @@ ORACLES: dict[str, str] = {
     "op6_warc": warc.OP6_SQL,
     "op9_urls": urls.OP9_SQL,
     "op11_merkle": merkle.OP11_SQL,
+    "op12_trie": trie.OP12_SQL,
     "op13_decontam": decontam.OP13_SQL,
 }
