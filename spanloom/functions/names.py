@@ -122,10 +122,11 @@ def metric_unit(metric: str | Column) -> Column:
 def is_additive(metric: str | Column, metric_type: str | Column | None = None, subtype: str | Column | None = None, rollup: str | Column | None = None) -> Column:
     """Whether a counter may be summed over instances. What the report says of it comes first:
     percentages, ratios and rates by type or subtype may not, a counter may if it rolls up as a
-    sum. Else its name decides: percentages, rates (a unit per something), ratios, means and
-    extremes may not."""
+    sum. Else its name decides: percentages, rates (by the name's end, or a unit per something or
+    in hertz), ratios, means and extremes may not."""
     c = F.col(metric) if isinstance(metric, str) else metric
-    per = F.coalesce(metric_unit(c).contains("per_"), F.lit(False))
+    unit = metric_unit(c)
+    per = c.rlike(r"\.(per_second|per_cycle_active|per_cycle_elapsed)$") | F.coalesce(unit.contains("per_") | (unit == "hertz"), F.lit(False))
     by_name = ~(c.rlike(PERCENT) | per | c.rlike(EXTREME))
     if metric_type is None:
         return by_name

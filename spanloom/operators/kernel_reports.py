@@ -23,8 +23,16 @@ _PLACE = {"line": ["file", "line"], "file": ["file"], "sass": ["pc"]}
 _CLASS = ("metric_type", "metric_subtype", "rollup")
 
 
-def _additive(df: DataFrame) -> Column:
-    return is_additive("counter", *[c if c in df.columns else None for c in _CLASS]) if "metric_type" in df.columns else is_additive("counter")
+def _with_additive(df: DataFrame) -> DataFrame:
+    """``df`` with ``additive``. Counters are told by their names once each, in a table of the distinct
+    ones, not row by row."""
+    told = ["counter", *[c for c in _CLASS if c in df.columns]] if "metric_type" in df.columns else ["counter"]
+    kinds = df.select(*told).distinct()
+    kinds = kinds.withColumn("additive", is_additive("counter", *[c if c in told else None for c in _CLASS]) if len(told) > 1 else is_additive("counter"))
+    same = F.lit(True)
+    for c in told:
+        same = same & df[c].eqNullSafe(F.col(f"__{c}"))
+    return df.join(kinds.withColumnsRenamed({c: f"__{c}" for c in told}), same).drop(*[f"__{c}" for c in told])
 
 
 def _in_listing(df: DataFrame) -> Column:
@@ -34,16 +42,18 @@ def _in_listing(df: DataFrame) -> Column:
 def source_metrics(instances: DataFrame, sass: DataFrame, by: str = "line", counters: str = "", on: tuple[str, ...] = ("pc",), file_glob: str | None = None, line: int | None = None) -> DataFrame:
     """Per launch (the columns of ``on`` but the address), place and counter: the sum and the
     number of addresses that carry it. By line and file only counters that may be summed count
-    and only addresses with a source; by address (``sass``) all do. Instances without a value say
+    and only addresses with a source; by address (``sass``) all do, and where instances have a
+    ``place`` the first of an address stands as it is, as an address is an identity and no sum. Instances without a value say
     nothing: a place that a counter has no value for has no row, which isn't a sum of 0. The
     filters on file and line come after the sums. Instances outside the listing or without a
     source are told by ``reconcile``."""
     i = instances.filter(any_glob("counter", counters) & _in_listing(instances) & F.col("value").isNotNull())
-    i = i if by == "sass" else i.filter(_additive(i))
+    i = i if by == "sass" else _with_additive(i).filter("additive")
     d = i.join(sass.select(*on, "file", "line").distinct(), list(on), "left" if by == "sass" else "inner")
     d = d if by == "sass" else d.filter("file is not null")
     keys = [*[c for c in on if c != "pc"], *_PLACE[by]]
-    g = d.groupBy(*keys, "counter").agg(F.sum("value").alias("value"), F.countDistinct(*on).alias("pcs"))
+    value = F.min_by("value", "place") if by == "sass" and "place" in d.columns else F.sum("value")
+    g = d.groupBy(*keys, "counter").agg(value.alias("value"), F.countDistinct(*on).alias("pcs"))
     g = g if file_glob is None else g.filter(name_glob("file", file_glob))
     return g if line is None else g.filter(F.col("line") == line)
 
@@ -59,7 +69,7 @@ def skipped_counters(metrics: DataFrame, instances: DataFrame, by: str = "line",
     """Per launch the counters that ``source_metrics`` leaves out and why: no instance lies in the
     listing, or (by line and file) they may not be summed."""
     m = metrics.filter(any_glob("counter", counters))
-    m = m.select(*on, "counter", _additive(m).alias("additive")).distinct()
+    m = _with_additive(m).select(*on, "counter", "additive").distinct()
     here = instances.filter(_in_listing(instances)).select(*on, "counter", F.lit(True).alias("here")).distinct()
     d = m.join(here, [*on, "counter"], "left")
     why = F.when(F.col("here").isNull(), "not-a-source-counter").when(~F.col("additive") & F.lit(by != "sass"), "non-additive-rollup")

@@ -1,10 +1,12 @@
 """Neighbours, ordinals and running values in order of time, without one task per key.
 
-Rows are cut into chunks of time as wide as the data asks for: so many that about ``CHUNK_ROWS``
-rows lie in one if they are spread evenly. Rows of one key and chunk meet in a window; what a
-chunk has to know of others (their first row, count, sum or maximum) is one row per key and
-chunk. A device, thread, counter or name that holds most of a table, or a trace of a minute, is so
-dealt to as many tasks as its rows need. Times that are equal lie in one chunk.
+Rows are cut into chunks of time at quantiles, so that about ``CHUNK_ROWS`` rows lie in one however
+they are spread: a burst gets many chunks, and a row with a wrong time moves no edge. Rows of one key
+and chunk meet in a window; what a chunk has to know of others (their first row, count, sum or
+maximum) is one row per key and chunk. A device, thread, counter or name that holds most of a table, or
+a trace of a minute, is so dealt to as many tasks as its rows need. Times that are equal lie in
+one chunk. The edges are found by a sketch in one pass over the times, and are ``MOST_CHUNKS`` at
+most: beyond some 268 million rows chunks grow with the table instead.
 """
 
 from __future__ import annotations
@@ -13,16 +15,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 65_536
+CHUNK_ROWS, MOST_CHUNKS = 65_536, 4096
+
+
+def chunk_edges(df: DataFrame, t: str, rows: int | None = None) -> tuple[list[int], int]:
+    """Ascending times at which chunks begin but the first, and the least time (0 without rows)."""
+    grid = [i / MOST_CHUNKS for i in range(1, MOST_CHUNKS)]
+    seen = df.agg(F.count(t).alias("n"), F.min(t).alias("lo"), F.percentile_approx(t, grid, 4 * MOST_CHUNKS).alias("at")).first()
+    parts = min(MOST_CHUNKS, -(-seen["n"] // (rows or CHUNK_ROWS)))
+    if parts < 2:
+        return [], seen["lo"] or 0
+    return sorted({seen["at"][i * MOST_CHUNKS // parts - 1] for i in range(1, parts)} - {seen["lo"]}), seen["lo"]
+
+
+def chunk_of(t: str, edges: list[int]) -> Column:
+    """Number of edges at or before a time, by halving."""
+    steps, size = [], 1
+    while size <= len(edges):
+        steps, size = [size, *steps], size * 2
+    if not steps:
+        return F.lit(0)
+    known = F.array(*[F.lit(e).cast("long") for e in edges])
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, x: at + F.when(F.coalesce(F.get(known, at + x - 1) <= F.col(t), F.lit(False)), x).otherwise(0))
 
 
 def chunked(df: DataFrame, t: str, rows: int | None = None) -> DataFrame:
-    """``df`` with ``__chunk``, ascending in time ``t``."""
-    size = df.agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"), F.count("*").alias("__n"))
-    parts = F.ceil(F.col("__n") / F.lit(rows or CHUNK_ROWS))
-    width = F.greatest(F.lit(1), F.floor((F.col("__hi") - F.col("__lo")) / F.greatest(parts, F.lit(1))) + 1)
-    size = size.select("__lo", width.cast("long").alias("__width"))
-    return df.crossJoin(size).withColumn("__chunk", F.expr(f"({t} - __lo) div __width")).drop("__lo", "__width")  # one row
+    """``df`` with ``__chunk``, ascending in time ``t``; as it is if it has one."""
+    return df if "__chunk" in df.columns else df.withColumn("__chunk", chunk_of(t, chunk_edges(df, t, rows)[0]))
 
 
 def _same(by: tuple[str, ...]) -> Column:

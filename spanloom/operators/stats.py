@@ -76,13 +76,13 @@ def compare(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame
 
 def replays(spans: DataFrame, key: tuple[str, ...] = ("process_id", "device_id", "context_id", "correlation_id")) -> DataFrame:
     """Graph replays by identity: wall, sum, busy and idle time, events, kinds, streams."""
-    from spanloom.operators.intervals import merge_islands
+    from spanloom.operators.intervals import concurrency
 
     d = spans.filter(F.col("end_ns") > F.col("start_ns"))
     g = d.groupBy(*key).agg(
         F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.sum(F.col("end_ns") - F.col("start_ns")).alias("sum_ns"), F.count("*").alias("events"),
         F.countDistinct("kind").alias("kinds"), F.countDistinct("stream_id").alias("streams"),
     )
-    busy = merge_islands(d, key).groupBy(*key).agg(F.sum(F.col("end_ns") - F.col("start_ns")).alias("busy_ns"))
+    busy = concurrency(d, key).select(*key, F.col("union_ns").alias("busy_ns"))
     g = g.withColumn("wall_ns", F.col("end_ns") - F.col("start_ns")).join(busy, list(key))
     return g.withColumn("idle_ns", F.col("wall_ns") - F.col("busy_ns"))

@@ -40,7 +40,8 @@ def a20_source_metrics_by_file(spark, d):
 
 #: Counters by line status and return flag, some of which only look like rates; half of all
 #: launches have instances outside the listing alone.
-_COUNTERS = ("sm__memory_operations.sum", "idc__iterations.sum", "smsp__inst_op_generate.sum", "hit_rate.ratio", "dram__bytes.sum.per_second", "l1tex__hits_pct", "smsp__warps_active.avg", "launch__registers_per_thread")
+_COUNTERS = ("sm__memory_operations.sum", "idc__iterations.sum", "smsp__inst_op_generate.sum", "hit_rate.ratio", "dram__bytes.sum.per_second", "l1tex__hits_pct", "smsp__warps_active.avg", "launch__registers_per_thread",
+             "gpc__cycles_elapsed.avg.per_second", "sm__cycles_active.sum.per_second", "foo__elapsed.sum.per_second", "sm__issue_active.sum.per_cycle_active", "sm__sass_branch_targets.sum.per_second")
 _SKIP = f"""m AS (SELECT DISTINCT l_suppkey % 10 AS launch, v.counter FROM lineitem, (VALUES {', '.join(f"('{c}')" for c in _COUNTERS)}) v(counter))"""
 
 
@@ -132,24 +133,25 @@ def s3_u1_gpu_spans(spark, d):
 
 
 #: A kernel report per return flag as it is written and read: launches, instances, instructions.
-_R = """li AS (SELECT l_returnflag AS flag, l_suppkey % 10 AS launch, l_partkey AS part, l_quantity AS q, l_linestatus AS reason, 'k' || l_returnflag || ':' || CAST(l_suppkey % 10 AS VARCHAR) AS name FROM lineitem),
-  la AS (SELECT flag, launch, name, CAST(sum(q) AS BIGINT) AS ops, count(*) AS samples, count(*) FILTER (part % 13 = 0) AS outside FROM li GROUP BY ALL),
-  sa AS (SELECT DISTINCT flag, launch, name, part * 16 AS pc, 'OP' || CAST(part % 5 AS VARCHAR) AS opcode, CASE WHEN part % 10 <> 0 THEN 'f' || CAST(part % 3 AS VARCHAR) || '.cu' END AS file, CASE WHEN part % 10 <> 0 THEN part % 50 END AS line FROM li WHERE launch <> 9)"""
+_R = """li AS (SELECT l_suppkey AS supp, l_returnflag AS flag, l_orderkey % 10 AS launch, l_partkey AS part, l_quantity AS q, l_linestatus AS reason, 'k' || l_returnflag || ':' || CAST(l_suppkey AS VARCHAR) || ':' || CAST(l_orderkey % 10 AS VARCHAR) AS name FROM lineitem),
+  la AS (SELECT supp, flag, launch, name, CAST(sum(q) AS BIGINT) AS ops, count(*) AS samples, count(*) FILTER (part % 13 = 0) AS outside FROM li GROUP BY ALL),
+  sa AS (SELECT DISTINCT launch, name, part * 16 AS pc, 'OP' || CAST(part % 5 AS VARCHAR) AS opcode, CASE WHEN part % 10 <> 0 THEN 'f' || CAST(part % 3 AS VARCHAR) || '.cu' END AS file, CASE WHEN part % 10 <> 0 THEN part % 50 END AS line FROM li WHERE launch <> 9)"""
 
 
 def report(spark, d):
-    """Writes one JSON report a return flag and reads them."""
+    """Writes one JSON report a supplier, several a file, and reads them: with more data there are more
+    reports, not larger ones."""
     li = spark.read.parquet(f"{d}/lineitem.parquet")
-    li = li.select(F.col("l_returnflag").alias("flag"), (F.col("l_suppkey") % 10).alias("launch"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("q"), F.col("l_linestatus").alias("reason"))
+    li = li.select(F.col("l_suppkey").alias("supp"), F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") % 10).alias("launch"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("q"), F.col("l_linestatus").alias("reason"))
     part, launch = F.col("part"), F.col("launch")
     text = lambda c: c.cast("string")
     source = F.when(part % 10 != 0, F.struct(F.concat(F.lit("f"), text(part % 3), F.lit(".cu")).alias("file"), (part % 50).alias("line")))
     instance = F.struct((part * 16).alias("rel_address"), F.col("q").cast("double").alias("value"), F.when(part % 13 == 0, "out_of_cubin").otherwise("attributed").alias("placement"))
     sass = F.struct((part * 16).alias("address"), F.concat(F.lit("OP"), text(part % 5)).alias("opcode"), F.lit("").alias("operands"), source.alias("source"))
-    stall = li.filter(part % 13 != 0).groupBy("flag", "launch", "part", "reason").agg(F.count("*").alias("n")).groupBy("flag", "launch", "part").agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("reasons"))
-    pcs = stall.groupBy("flag", "launch").agg(F.collect_list(F.struct((part * 16).alias("rel_address"), source.alias("source"), "reasons")).alias("pcs"))
-    g = li.groupBy("flag", "launch").agg(F.sum("q").cast("double").alias("ops"), F.collect_list(instance).alias("instances"), F.collect_set(F.when(launch != 9, sass)).alias("disasm"), F.count("*").alias("samples"), F.count(F.when(part % 13 == 0, 1)).alias("outside"))
-    g = g.join(pcs, ["flag", "launch"], "left")
+    stall = li.filter(part % 13 != 0).groupBy("supp", "flag", "launch", "part", "reason").agg(F.count("*").alias("n")).groupBy("supp", "flag", "launch", "part").agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("reasons"))
+    pcs = stall.groupBy("supp", "flag", "launch").agg(F.collect_list(F.struct((part * 16).alias("rel_address"), source.alias("source"), "reasons")).alias("pcs"))
+    g = li.groupBy("supp", "flag", "launch").agg(F.sum("q").cast("double").alias("ops"), F.array_sort(F.collect_list(instance)).alias("instances"), F.collect_set(F.when(launch != 9, sass)).alias("disasm"), F.count("*").alias("samples"), F.count(F.when(part % 13 == 0, 1)).alias("outside"))
+    g = g.join(pcs, ["supp", "flag", "launch"], "left")
     metric = lambda name, unit, value, kind, rollup, instances: F.struct(F.lit(name).alias("name"), F.lit(unit).alias("unit"), value.alias("value"), F.lit(kind).alias("metric_type"), F.lit(rollup).alias("rollup"), instances.alias("instances"))
     none = F.slice("instances", 1, 0)
     metrics = F.array(metric("smsp__ops.sum", "inst", F.col("ops"), "counter", "sum", F.col("instances")), metric("hits.pct", "%", F.col("samples").cast("double"), "other", None, F.col("instances")), metric("device__attribute_compute_capability_minor", "", F.lit(0.0), "other", None, none))
@@ -157,10 +159,10 @@ def report(spark, d):
     rules = F.transform(F.sequence(F.lit(0), launch % 3), lambda i: F.struct(F.concat(F.lit("rule"), text(i)).alias("name"), F.lit("m").alias("message")))
     stalls = F.struct((F.col("samples") + F.when(launch % 5 == 4, 1).otherwise(0)).alias("total_samples"), F.col("outside").alias("out_of_cubin_samples"), "pcs")
     one = F.struct(
-        F.concat(F.lit("k"), "flag", F.lit(":"), text(launch)).alias("kernel_demangled"), F.array(launch + 1, F.lit(1), F.lit(1)).alias("grid_size"), F.array(F.lit(32), F.lit(1), F.lit(1)).alias("block_size"), launch.alias("stream_id"),
+        F.concat(F.lit("k"), "flag", F.lit(":"), text(F.col("supp")), F.lit(":"), text(launch)).alias("kernel_demangled"), F.array(launch + 1, F.lit(1), F.lit(1)).alias("grid_size"), F.array(F.lit(32), F.lit(1), F.lit(1)).alias("block_size"), launch.alias("stream_id"),
         metrics.alias("metrics"), rules.alias("rules"), "disasm", stalls.alias("warp_stalls"),
     )
-    docs = g.groupBy("flag").agg(F.collect_list(one).alias("launches")).select("launches", F.array(F.struct(F.concat(F.lit("range "), "flag").alias("name"))).alias("ranges"), F.array().cast("array<struct<name:string>>").alias("graphs"))
+    docs = g.groupBy("supp").agg(F.collect_list(one).alias("launches")).select("launches", F.array(F.struct(F.concat(F.lit("range "), text(F.col("supp"))).alias("name"))).alias("ranges"), F.array().cast("array<struct<name:string>>").alias("graphs"))
     path = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/report"
     docs.select(F.to_json(F.struct("*")).alias("value")).repartition(8).write.text(path)
     return read_kernel_report(spark, path, multi_line=False)
@@ -170,7 +172,7 @@ def _named_launches(t):
     return t["launches"].select("report", "launch", "name")
 
 
-@query(sql=f"WITH {_R} SELECT count(*) AS launches, CAST(sum(CASE WHEN launch % 4 = 3 THEN 3 ELSE 4 END) AS BIGINT) AS metrics, CAST(sum(launch % 3 + 1) AS BIGINT) AS rules, count(*) FILTER (launch <> 9) AS listed_launches, count(DISTINCT flag) AS ranges, 0 AS graphs FROM la")
+@query(sql=f"WITH {_R} SELECT count(*) AS launches, CAST(sum(CASE WHEN launch % 4 = 3 THEN 3 ELSE 4 END) AS BIGINT) AS metrics, CAST(sum(launch % 3 + 1) AS BIGINT) AS rules, count(*) FILTER (launch <> 9) AS listed_launches, count(DISTINCT supp) AS ranges, 0 AS graphs FROM la")
 def a24_s8_report_summary(spark, d):
     return R.report_summary(report(spark, d))
 
@@ -180,7 +182,7 @@ def q11_launches_listing(spark, d):
     return R.launches_listing(report(spark, d)["launches"], N.match_dims("block", "32x1x1") & (F.col("grid_x") >= 4)).select("name", "grid_x", "block_x", "stream_id", "n_metrics", "n_rules")
 
 
-@query(sql=f"WITH {_R} SELECT DISTINCT 'range ' || flag AS name, 'range' AS kind FROM la")
+@query(sql=f"WITH {_R} SELECT DISTINCT 'range ' || CAST(supp AS VARCHAR) AS name, 'range' AS kind FROM la")
 def q12_workloads(spark, d):
     return report(spark, d)["workloads"].select("w.name", "kind")
 
@@ -232,7 +234,7 @@ def a20_source_metrics_by_launch(spark, d):
     return m.select("name", "file", "line", "counter", F.round("value", 2).alias("value"), "pcs")
 
 
-@query(sql=f"WITH {_R} SELECT name, part * 16 AS pc, counter, round(sum(q), 2) AS value FROM li, (VALUES ('smsp__ops.sum'), ('hits.pct')) v(counter) WHERE part % 13 <> 0 GROUP BY ALL")
+@query(sql=f"WITH {_R} SELECT name, part * 16 AS pc, counter, round(min(q), 2) AS value FROM li, (VALUES ('smsp__ops.sum'), ('hits.pct')) v(counter) WHERE part % 13 <> 0 GROUP BY ALL")
 def a20_source_metrics_by_address(spark, d):
     t = report(spark, d)
     m = R.source_metrics(t["instances"], t["sass"], "sass", on=("report", "launch", "pc")).join(_named_launches(t), ["report", "launch"])

@@ -9,6 +9,7 @@ from spanloom.functions import windows as T
 from spanloom.operators import buckets, intervals, stats
 from spanloom.plans.registry import query
 from spanloom.sources import adapters as A
+from spanloom.staging import stage
 
 LO, HI = 1704067200_000_000_000 + 86400_000_000_000, 1704067200_000_000_000 + 4 * 86400_000_000_000
 WINDOW, WIN = (LO, HI), f"start_ns < {HI} AND end_ns > {LO}"
@@ -190,9 +191,14 @@ def i3_trace_gaps(spark, d):
     return intervals.trace_gaps(_short(spark, d))
 
 
+def _captured(spans):
+    """The spans as a capture holds them, in a table of their own: a window is told to its scan."""
+    return stage(spans.select(*intervals.LANE, "row_id", "start_ns", "end_ns"), "spans")
+
+
 @query("spans", _GAPS.format(by="process_id, device_id, stream_id") + f" SELECT * FROM g WHERE {WIN}")
 def i4_gaps_in_window(spark, d):
-    return intervals.idle_gaps(A.spans(spark, d), intervals.LANE, window=WINDOW)
+    return intervals.idle_gaps(_captured(A.spans(spark, d)), intervals.LANE, window=WINDOW)
 
 
 #: The gaps query over short spans, which leave devices idle.
@@ -206,19 +212,19 @@ def i1_device_gaps(spark, d):
 
 @query("spans", _SHORT_GAPS + f" SELECT * FROM g WHERE {WIN}")
 def i4_device_gaps_in_window(spark, d):
-    return intervals.idle_gaps(_short(spark, d), window=WINDOW)
+    return intervals.idle_gaps(_captured(_short(spark, d)), window=WINDOW)
 
 
 @query("spans", f"""WITH n AS (SELECT *, lead(start_ns) OVER w AS nxt, lead(row_id) OVER w AS nid FROM spans WINDOW w AS (PARTITION BY process_id, device_id, stream_id ORDER BY start_ns, row_id)),
   g AS (SELECT process_id, device_id, stream_id, end_ns AS start_ns, nxt AS end_ns, nxt - end_ns AS gap_ns, row_id AS prev_row_id, nid AS next_row_id FROM n WHERE nxt > end_ns) SELECT * FROM g WHERE {WIN}""")
 def i4_stream_gaps_in_window(spark, d):
-    return intervals.stream_gaps(A.spans(spark, d), window=WINDOW)
+    return intervals.stream_gaps(_captured(A.spans(spark, d)), window=WINDOW)
 
 
 @query("spans", "WITH " + _SHORT + ", " + _FLAGS.format(by="process_id, device_id", src="short") + f""",
   x AS (SELECT *, max(end_ns) OVER (ORDER BY start_ns, process_id, device_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM i), g AS (SELECT busy AS start_ns, start_ns AS end_ns, start_ns - busy AS gap_ns FROM x WHERE start_ns > busy) SELECT * FROM g WHERE {WIN}""")
 def i4_trace_gaps_in_window(spark, d):
-    return intervals.trace_gaps(_short(spark, d), window=WINDOW)
+    return intervals.trace_gaps(_captured(_short(spark, d)), window=WINDOW)
 
 
 @query("spans", f"""SELECT process_id, device_id, stream_id, count(*) AS n, CAST(sum({CLIP}) AS BIGINT) AS busy_ns, least(max(end_ns), {HI}) - greatest(min(start_ns), {LO}) AS span_ns,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources.kernel_reports import document_id
 from spanloom.staging import stage
 
 EVENT = "name string, cat string, ph string, ts double, dur double, pid string, tid string, id string, args map<string,string>"
@@ -90,7 +91,8 @@ def read_chrome_trace(spark: SparkSession, *paths: str, multi_line: bool = True,
     in splits: ``between`` is the text that ends one event and begins the next, ``"\\n  },\\n  {"``
     as the profiler writes them."""
     if between is None:
-        raw = spark.read.schema(SCHEMA).option("multiLine", multi_line).json(list(paths)).withColumn("trace", F.input_file_name())
+        raw = spark.read.schema(SCHEMA).option("multiLine", multi_line).json(list(paths))
+        raw = raw.withColumn("trace", document_id(raw, multi_line))
         raw = raw.select("trace", "distributedInfo.rank", F.explode("traceEvents").alias("e"))
     else:
         raw = _pieces(spark, list(paths), between)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.staging import stage
@@ -18,12 +18,24 @@ LAUNCH = (
 SCHEMA = f"launches array<struct<{LAUNCH}>>, ranges array<struct<name:string>>, graphs array<struct<name:string>>"
 
 
+def document_id(raw: DataFrame, whole_files: bool) -> Column:
+    """What tells documents apart: the file, and for documents of one line each also where they lie in
+    it (the start of the block, and the number of the line among those its task has read). It is
+    the same for one way of cutting files only, so it has to be written with the document."""
+    if whole_files:
+        return F.input_file_name()
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.concat(F.input_file_name(), F.lit("#"), raw["_metadata.file_block_start"].cast("string"), F.lit("."), line.cast("string"))
+
+
 def read_kernel_report(spark: SparkSession, *paths: str, multi_line: bool = True) -> dict[str, DataFrame]:
     """launches, metrics, instances, sass, stalls, workloads; the launch's place in its report is
     its id. The files are parsed once: launches and workloads are written to the shared folder
     and all tables read those. A report is one JSON document, so with ``multi_line`` (the usual
-    form) one task parses one file; reports of one document a line are read in splits."""
-    raw = spark.read.schema(SCHEMA).option("multiLine", multi_line).json(list(paths)).withColumn("report", F.input_file_name())
+    form) one task parses one file and the report's id is the file's name; reports of one document a
+    line are read in splits, and each has an id of its own however many lie in a file."""
+    raw = spark.read.schema(SCHEMA).option("multiLine", multi_line).json(list(paths))
+    raw = raw.withColumn("report", document_id(raw, multi_line))
     raw = stage(raw.select("report", F.coalesce("launches", F.array().cast(f"array<struct<{LAUNCH}>>")).alias("launches"), "ranges", "graphs"), "reports")
     k = raw.select("report", F.posexplode("launches").alias("launch", "l"))
     axes = lambda c: [F.get(F.col(f"l.{c}_size"), i).alias(f"{c}_{a}") for i, a in enumerate("xyz")]
@@ -38,8 +50,8 @@ def read_kernel_report(spark: SparkSession, *paths: str, multi_line: bool = True
             F.col("l.warp_stalls.total_samples").alias("total_samples"), F.col("l.warp_stalls.out_of_cubin_samples").alias("out_of_cubin_samples"),
         ),
         "metrics": m.select("report", "launch", F.col("m.name").alias("counter"), F.col("m.value").alias("value"), F.col("m.unit").alias("unit"), *classes),
-        "instances": m.select("report", "launch", F.col("m.name").alias("counter"), *classes, F.explode("m.instances").alias("i")).select(
-            "report", "launch", "counter", "metric_type", "metric_subtype", "rollup", F.col("i.rel_address").alias("pc"), F.col("i.value").alias("value"), F.col("i.placement").alias("placement")
+        "instances": m.select("report", "launch", F.col("m.name").alias("counter"), *classes, F.posexplode("m.instances").alias("place", "i")).select(
+            "report", "launch", "counter", "metric_type", "metric_subtype", "rollup", "place", F.col("i.rel_address").alias("pc"), F.col("i.value").alias("value"), F.col("i.placement").alias("placement")
         ),
         "sass": k.select("report", "launch", F.explode("l.disasm").alias("d")).select("report", "launch", F.col("d.address").alias("pc"), F.col("d.opcode").alias("opcode"), F.col("d.operands").alias("operands"), F.col("d.source.file").alias("file"), F.col("d.source.line").alias("line")),
         "stalls": k.select("report", "launch", F.explode("l.warp_stalls.pcs").alias("p")).select("report", "launch", F.col("p.rel_address").alias("pc"), F.col("p.source.file").alias("file"), F.col("p.source.line").alias("line"), F.explode("p.reasons").alias("reason", "samples")),

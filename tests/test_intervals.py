@@ -118,8 +118,47 @@ def test_one_minute_of_one_device_is_dealt_to_many_chunks(spark):
     t = table(spark, [("kernel", 0, 0, 0, i * 60_000, i * 60_000 + 100) for i in range(1000)])
     chunks = ordered.chunked(t, "start_ns", 50).groupBy("__chunk").count().collect()
     assert len(chunks) == 20 and max(r["count"] for r in chunks) <= 51
-    plan = intervals.with_busy_until(t, chunk_rows=50)._jdf.queryExecution().toString()
-    assert "windowspecdefinition(process_id" in plan and "__chunk" in plan
+    assert intervals.counted(t, chunk_rows=50).select("__chunk").distinct().count() == 40  # starts and ends
+
+
+def test_one_wrong_time_moves_no_edge(spark):
+    rows = [(i, 10**15 + i * 1000) for i in range(4000)]
+    for wrong in (0, -(10**18), 9 * 10**18):
+        t = spark.createDataFrame([*rows, (-1, wrong)], "row_id long, ts long")
+        assert max(r["count"] for r in ordered.chunked(t, "ts", 400).groupBy("__chunk").count().collect()) <= 402
+    burst = spark.createDataFrame([(i, 10**15 + (i if i < 3000 else i * 10**9)) for i in range(4000)], "row_id long, ts long")
+    assert max(r["count"] for r in ordered.chunked(burst, "ts", 400).groupBy("__chunk").count().collect()) <= 402
+
+
+@pytest.mark.parametrize("rows_in_chunk", [3, 10**6])
+def test_gaps_with_evidence_match_a_plain_sweep(some, rows_in_chunk):
+    rows, df = some
+    want = []
+    for key in by_device(rows):
+        busy = None
+        for s, i, e in sorted((s, i, e) for i, (_, p, d, _, s, e) in enumerate(rows) if (p, d) == key):
+            if busy and s > busy[0]:
+                want.append((*key, busy[0], s, -busy[1], i))
+            busy = max(busy or (e, -i), (e, -i))
+    cols = ("process_id", "device_id", "start_ns", "end_ns", "prev_row_id", "next_row_id")
+    assert got(intervals.idle_gaps(df, chunk_rows=rows_in_chunk), *cols) == sorted(want)
+
+
+def test_gaps_of_a_window_are_those_of_the_whole_and_reach_the_scan(some, spark, tmp_path):
+    rows, df = some
+    thin = df.filter("row_id % 9 = 0")
+    thin.write.parquet(str(tmp_path / "spans"))
+    thin = spark.read.parquet(str(tmp_path / "spans"))
+    cols = ("start_ns", "end_ns", "prev_row_id", "next_row_id")
+    for make, by in ((intervals.idle_gaps, intervals.DEVICE), (intervals.stream_gaps, intervals.LANE)):
+        whole = got(make(thin, by), *by, *cols)
+        for lo, hi in ((0, 2000), (450, 451), (900, 990), (1350, 3350)):
+            mine = [g for g in whole if g[len(by)] < hi and g[len(by) + 1] > lo]
+            assert got(make(thin, by, window=(lo, hi)), *by, *cols) == mine
+    how = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = intervals.near_window(thin, intervals.DEVICE, (100, 200))._jdf.queryExecution().explainString(how)
+    pushed = [x for x in plan.splitlines() if "PushedFilters" in x]
+    assert any("LessThanOrEqual(start_ns,200)" in x and "GreaterThanOrEqual(end_ns,100)" in x for x in pushed) and "Window" not in plan
 
 
 @pytest.mark.parametrize("rows_in_chunk", [1, 3, 10**6])
