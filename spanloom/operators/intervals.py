@@ -28,7 +28,7 @@ def counted(spans: DataFrame, by: tuple[str, ...] = DEVICE, chunk_rows: int | No
     """Per key and time ``t`` at which a span starts or ends: how many spans of each class are open
     before and after (``before_<class>``, ``after_<class>``; one class ``all`` unless given), n (spans
     that start), opener and closer (least row id of those that start and end), since (``t`` less
-    the first time of all) and __chunk."""
+    the first time of all) and, if there are several, __chunk."""
     classes = classes or {"all": F.lit(True)}
     row = F.col("row_id") if "row_id" in spans.columns else F.lit(None).cast("long")
     none = F.lit(None).cast(spans.schema["row_id"].dataType if "row_id" in spans.columns else "long")
@@ -40,22 +40,27 @@ def counted(spans: DataFrame, by: tuple[str, ...] = DEVICE, chunk_rows: int | No
     net = [F.sum(F.when(F.col(f"is_{k}"), F.col("d")).otherwise(0)).alias(f"net_{k}") for k in classes]
     p = e.groupBy(*by, "__chunk", "t").agg(*net, F.count("opener" if "row_id" in spans.columns else F.when(F.col("d") > 0, 1)).alias("n"), F.min("opener").alias("opener"), F.min("closer").alias("closer"))
     upto = W.partitionBy(*by, "__chunk").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
-    p = stage(p.withColumns({f"local_{k}": F.sum(f"net_{k}").over(upto) for k in classes}), "interval_changes")
+    p = p.withColumns({f"local_{k}": F.sum(f"net_{k}").over(upto) for k in classes})
+    p = stage(p, "interval_changes") if edges else p  # read twice, for totals and for states
     totals = p.groupBy(*by, "__chunk").agg(*[F.sum(f"net_{k}").alias(f"net_{k}") for k in classes])
     earlier = W.partitionBy(*by).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
     carry = [F.coalesce(F.sum(f"net_{k}").over(earlier), F.lit(0)).alias(f"carry_{k}") for k in classes]
     totals = totals.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__chunk").alias("__at"), *carry)
-    q = p.join(totals, _same(by))
+    q = p.join(totals, _same(by)) if edges else p.withColumns({f"carry_{k}": F.lit(0) for k in classes})
     after = {k: F.col(f"local_{k}") + F.col(f"carry_{k}") for k in classes}
     states = [x for k in classes for x in ((after[k] - F.col(f"net_{k}")).alias(f"before_{k}"), after[k].alias(f"after_{k}"))]
-    return q.select(*by, "__chunk", "t", "n", "opener", "closer", (F.col("t") - F.lit(first)).cast("decimal(20,0)").alias("since"), *[F.col(f"net_{k}") for k in classes], *states)
+    at = ["__chunk"] if edges else []  # a table of one chunk needs none
+    return q.select(*by, *at, "t", "n", "opener", "closer", (F.col("t") - F.lit(first)).cast("decimal(20,0)").alias("since"), *[F.col(f"net_{k}") for k in classes], *states)
 
 
 def _turns(spans: DataFrame, by: tuple[str, ...], chunk_rows: int | None) -> DataFrame:
     """Times at which a key falls idle (``closes``), stops being idle (``opens``) or both, each with
     the ``next`` one's t and opener."""
     q = counted(spans, by, chunk_rows)
-    q = q.select(*by, "__chunk", "t", "opener", "closer", ((F.col("before_all") == 0) & (F.col("n") > 0)).alias("opens"), (F.col("after_all") == 0).alias("closes")).filter("opens or closes")
+    at = [c for c in q.columns if c == "__chunk"]
+    q = q.select(*by, *at, "t", "opener", "closer", ((F.col("before_all") == 0) & (F.col("n") > 0)).alias("opens"), (F.col("after_all") == 0).alias("closes")).filter("opens or closes")
+    if not at:
+        return q.withColumn("next", F.lead(F.struct("t", "opener")).over(W.partitionBy(*by).orderBy("t")))  # one chunk
     return with_next(q, by, ("t",), ("t", "opener"))
 
 

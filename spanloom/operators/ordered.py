@@ -5,8 +5,8 @@ they are spread: a burst gets many chunks, and a row with a wrong time moves no
 and chunk meet in a window; what a chunk has to know of others (their first row, count, sum or
 maximum) is one row per key and chunk. A device, thread, counter or name that holds most of a table, or
 a trace of a minute, is so dealt to as many tasks as its rows need. Times that are equal lie in
-one chunk. The edges are found by a sketch in one pass over the times, and are ``MOST_CHUNKS`` at
-most: beyond some 268 million rows chunks grow with the table instead.
+one chunk. The edges are found by a sketch of the times, and are ``MOST_CHUNKS`` at
+most: beyond some billion rows chunks grow with the table instead.
 """
 
 from __future__ import annotations
@@ -15,17 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHUNK_ROWS, MOST_CHUNKS = 65_536, 4096
+CHUNK_ROWS, MOST_CHUNKS = 262_144, 4096
 
 
 def chunk_edges(df: DataFrame, t: str, rows: int | None = None) -> tuple[list[int], int]:
-    """Ascending times at which chunks begin but the first, and the least time (0 without rows)."""
-    grid = [i / MOST_CHUNKS for i in range(1, MOST_CHUNKS)]
-    seen = df.agg(F.count(t).alias("n"), F.min(t).alias("lo"), F.percentile_approx(t, grid, 4 * MOST_CHUNKS).alias("at")).first()
+    """Ascending times at which chunks begin but the first, and the least time (0 without rows). A
+    table of one chunk needs no sketch."""
+    seen = df.agg(F.count(t).alias("n"), F.min(t).alias("lo")).first()
     parts = min(MOST_CHUNKS, -(-seen["n"] // (rows or CHUNK_ROWS)))
     if parts < 2:
         return [], seen["lo"] or 0
-    return sorted({seen["at"][i * MOST_CHUNKS // parts - 1] for i in range(1, parts)} - {seen["lo"]}), seen["lo"]
+    at = ",".join(f"{i / parts}D" for i in range(1, parts))
+    return sorted(set(df.agg(F.expr(f"percentile_approx({t}, array({at}), {4 * MOST_CHUNKS})")).first()[0]) - {seen["lo"]}), seen["lo"]
 
 
 def chunk_of(t: str, edges: list[int]) -> Column:
@@ -35,13 +36,21 @@ def chunk_of(t: str, edges: list[int]) -> Column:
         steps, size = [size, *steps], size * 2
     if not steps:
         return F.lit(0)
-    known = F.array(*[F.lit(e).cast("long") for e in edges])
+    known = F.expr(f"array({','.join(f'{e}L' for e in edges)})")
     return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, x: at + F.when(F.coalesce(F.get(known, at + x - 1) <= F.col(t), F.lit(False)), x).otherwise(0))
 
 
+def _cut(df: DataFrame, t: str, rows: int | None) -> tuple[DataFrame, bool]:
+    """``df`` with ``__chunk``, ascending in time ``t``, and whether there may be several."""
+    if "__chunk" in df.columns:
+        return df, True
+    edges = chunk_edges(df, t, rows)[0]
+    return df.withColumn("__chunk", chunk_of(t, edges)), bool(edges)
+
+
 def chunked(df: DataFrame, t: str, rows: int | None = None) -> DataFrame:
     """``df`` with ``__chunk``, ascending in time ``t``; as it is if it has one."""
-    return df if "__chunk" in df.columns else df.withColumn("__chunk", chunk_of(t, chunk_edges(df, t, rows)[0]))
+    return _cut(df, t, rows)[0]
 
 
 def _same(by: tuple[str, ...]) -> Column:
@@ -53,8 +62,10 @@ def _same(by: tuple[str, ...]) -> Column:
 
 
 def _neighbour(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], cols: tuple[str, ...], name: str, after: bool, rows: int | None) -> DataFrame:
-    d = chunked(df, order[0], rows)
+    d, many = _cut(df, order[0], rows)
     mine, value = W.partitionBy(*by, "__chunk").orderBy(*order), F.struct(*cols)
+    if not many:
+        return d.withColumn(name, (F.lead(value) if after else F.lag(value)).over(mine)).drop("__chunk")
     edge = F.struct(*order, value.alias("__v"))
     edges = d.groupBy(*by, "__chunk").agg((F.min(edge) if after else F.max(edge))["__v"].alias("__v"))
     over = W.partitionBy(*by).orderBy("__chunk")
@@ -77,10 +88,13 @@ def with_previous(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], co
 
 def with_ordinal(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], name: str, rows: int | None = None) -> DataFrame:
     """``df`` with the number of rows of the same key that come before."""
-    d = chunked(df, order[0], rows)
+    d, many = _cut(df, order[0], rows)
+    here = F.row_number().over(W.partitionBy(*by, "__chunk").orderBy(*order)) - 1
+    if not many:
+        return d.withColumn(name, here.cast("long")).drop("__chunk")
     counts = d.groupBy(*by, "__chunk").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__chunk").alias("__at"), before.alias("__before"))
-    d = d.withColumn("__here", F.row_number().over(W.partitionBy(*by, "__chunk").orderBy(*order)) - 1)
+    d = d.withColumn("__here", here)
     d = d.join(counts, _same(by)).withColumn(name, (F.col("__before") + F.col("__here")).cast("long"))
     return d.select(*[c for c in df.columns if c != name], name)
