@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.names import any_glob, is_additive, name_glob
+from spanloom.staging import stage
 
 
 def kernel_metrics(metrics: DataFrame, counters: str) -> DataFrame:
@@ -29,10 +30,11 @@ def _with_additive(df: DataFrame) -> DataFrame:
     told = ["counter", *[c for c in _CLASS if c in df.columns]] if "metric_type" in df.columns else ["counter"]
     kinds = df.select(*told).distinct()
     kinds = kinds.withColumn("additive", is_additive("counter", *[c if c in told else None for c in _CLASS]) if len(told) > 1 else is_additive("counter"))
+    kinds = stage(kinds.withColumnsRenamed({c: f"__{c}" for c in told}), "counters")  # written, so that the rules aren't pushed into the scan of instances
     same = F.lit(True)
     for c in told:
         same = same & df[c].eqNullSafe(F.col(f"__{c}"))
-    return df.join(kinds.withColumnsRenamed({c: f"__{c}" for c in told}), same).drop(*[f"__{c}" for c in told])
+    return df.join(kinds, same).drop(*[f"__{c}" for c in told])
 
 
 def _in_listing(df: DataFrame) -> Column:
