@@ -1,14 +1,19 @@
-"""Spans that arrive over time: activity buckets with a watermark, idle gaps by micro-batches."""
+"""Spans that arrive over time: activity buckets with a watermark, idle gaps by keyed state."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanloom.operators.buckets import in_buckets
-from spanloom.operators.intervals import DEVICE, idle_gaps, merge_islands
+from spanloom.operators.intervals import DEVICE
 
 
 def live_activity(spans: DataFrame, bucket: str, late: str) -> DataFrame:
@@ -28,64 +33,91 @@ def live_busy(spans: DataFrame, width_ns: int, late: str) -> DataFrame:
     return g.select((F.unix_micros("window.start") * 1000).alias("bucket_ns"), "n", "total_ns")
 
 
-_STATE = "process_id long, device_id long, start_ns long, end_ns long, upto_ns long"
-_GAP = "process_id long, device_id long, start_ns long, end_ns long, gap_ns long"
+#: Per device: the busy times that can still change, the time up to which gaps are told, the latest
+#: start seen, and how many spans came too late.
+_STATE = "starts array<long>, ends array<long>, upto long, top long, late long"
+_GAP = "process_id long, device_id long, start_ns long, end_ns long, gap_ns long, late long"
+
+
+def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Islands of spans, in order; what touches is one."""
+    order = np.argsort(starts, kind="stable")
+    starts, busy = starts[order], np.maximum.accumulate(ends[order])
+    first = np.flatnonzero(np.r_[True, starts[1:] > busy[:-1]])
+    return starts[first], busy[np.r_[first[1:] - 1, len(busy) - 1]]
+
+
+def _gaps_of(late_ns: int, min_ns: int):
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.get if state.exists else ([], [], None, None, 0)
+        starts, ends, upto, top, before = np.array(known[0], dtype=np.int64), np.array(known[1], dtype=np.int64), *known[2:]
+        late = 0
+        for p in parts:
+            s, e = p["start_ns"].to_numpy(dtype=np.int64), p["end_ns"].to_numpy(dtype=np.int64)
+            if upto is not None:
+                good = s >= upto
+                late += int((~good).sum())
+                s, e = s[good], e[good]
+            if len(s):
+                top = int(s.max()) if top is None else max(top, int(s.max()))
+                starts, ends = _merged(np.r_[starts, s], np.r_[ends, np.maximum(s, e)])
+        out = []
+        if top is not None:
+            upto = top - late_ns if upto is None else max(upto, top - late_ns)
+            told = int(np.searchsorted(starts, upto, side="right"))  # islands that begin up to then
+            a, b = ends[: max(told - 1, 0)], starts[1:told]
+            wide = b - a >= max(1, min_ns)
+            out.append(pd.DataFrame({"start_ns": a[wide], "end_ns": b[wide], "gap_ns": (b - a)[wide]}).assign(late=0))
+            starts, ends = starts[max(told - 1, 0) :], ends[max(told - 1, 0) :]
+            state.update((starts.tolist(), ends.tolist(), upto, top, before + late))
+        if late:
+            out.append(pd.DataFrame({"start_ns": [None], "end_ns": [None], "gap_ns": [None], "late": [late]}))
+        for o in out:
+            if len(o):
+                yield o.assign(process_id=key[0], device_id=key[1]).astype("Int64")[[c.split()[0] for c in _GAP.split(", ")]]
+
+    return step
+
+
+def live_gaps(spans: DataFrame, *, late_ns: int, min_ns: int = 1) -> DataFrame:
+    """Idle gaps per device of a stream of spans (process_id, device_id, start_ns, end_ns) that come
+    in any order within ``late_ns``: process_id, device_id, start_ns, end_ns, gap_ns, late.
+
+    A gap is told once the latest start seen of its device lies ``late_ns`` past its end. A span that
+    starts before the time up to which gaps are told is late: it is left out and counted, in a row
+    without times whose ``late`` says how many there were in that trigger. State is kept by Spark
+    per device: the busy times that can still change, merged. So it grows with the gaps of the last
+    ``late_ns``, not with the stream, and a restart goes on from the last trigger. The spans of one
+    device and trigger are read by one task, a batch at a time: bound triggers at the source."""
+    rows = spans.select(*DEVICE, "start_ns", "end_ns").filter("start_ns is not null and end_ns is not null")
+    return rows.groupBy(*DEVICE).applyInPandasWithState(_gaps_of(late_ns, min_ns), _GAP, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    try:
-        return spark.read.schema(ddl).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], ddl)
+def start_gaps(spans: DataFrame, folder: str, *, late_ns: int, min_ns: int = 1, trigger: dict | None = None) -> StreamingQuery:
+    """Writes ``live_gaps`` of a stream to ``folder``, with the stream's checkpoint."""
+    w = live_gaps(spans, late_ns=late_ns, min_ns=min_ns).writeStream.format("parquet").option("path", f"{folder}/gaps").option("checkpointLocation", f"{folder}/checkpoint")
+    return w.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def start_gaps(spans: DataFrame, folder: str, *, late_ns: int, min_ns: int = 1, trigger: dict | None = None) -> StreamingQuery:
-    """Writes idle gaps per device to ``folder`` as spans come in, in any order within ``late_ns``.
-
-    A gap is told once the latest start seen lies ``late_ns`` past its end. What is kept from one
-    micro-batch to the next are the busy times that can still change, merged: per device the one
-    that is open and those later than that. Merging and gaps are the operators for tables, so the
-    rows of a hot device are dealt to many tasks. State and gaps are written under the batch's number
-    and a batch that is run again writes the same. Spans that come later than ``late_ns`` only
-    lengthen the time busy."""
-
-    def step(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        old = _read(spark, f"{folder}/state/batch={batch - 1}", _STATE)
-        was = old.agg(F.max("upto_ns").alias("was"))
-        new = rows.select(*DEVICE, "start_ns", "end_ns").crossJoin(was)  # one row
-        new = new.select(*DEVICE, F.greatest("start_ns", F.coalesce("was", "start_ns")).alias("start_ns"), "end_ns").filter("end_ns >= start_ns")
-        busy = old.select(*DEVICE, "start_ns", "end_ns").unionByName(new)
-        upto = busy.agg(F.max("start_ns") - late_ns).first()[0]
-        if upto is None:
-            upto = -(2**62)
-        since = was.first()["was"]
-        upto = upto if since is None else max(upto, since)
-        busy = busy.withColumn("row_id", F.xxhash64("start_ns", "end_ns"))
-        gaps = idle_gaps(busy, min_ns=min_ns).filter(F.col("end_ns") <= upto)
-        gaps = gaps if since is None else gaps.filter(F.col("end_ns") > since)
-        gaps.select(*[c.split()[0] for c in _GAP.split(", ")]).write.mode("overwrite").parquet(f"{folder}/gaps/batch={batch}")
-        told = busy.filter(F.col("start_ns") <= upto).groupBy(*DEVICE).agg(F.max(F.struct("end_ns", "start_ns")).alias("m")).select(*DEVICE, F.col("m.start_ns").alias("start_ns"), F.col("m.end_ns").alias("end_ns"))
-        ahead = busy.filter(F.col("start_ns") > upto)
-        instants = ahead.filter("end_ns = start_ns").select(*DEVICE, "start_ns", "end_ns").distinct()
-        kept = told.unionByName(merge_islands(ahead).select(*DEVICE, "start_ns", "end_ns")).unionByName(instants)
-        kept.withColumn("upto_ns", F.lit(upto).cast("long")).write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
-
-    w = spans.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
-    return w.trigger(**(trigger or {"availableNow": True})).start()
+def _written(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_GAP).parquet(f"{folder}/gaps")
 
 
 def told_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """The gaps that have been told."""
-    return _read(spark, f"{folder}/gaps", _GAP + ", batch int").drop("batch")
+    return _written(spark, folder).filter("start_ns is not null").drop("late")
+
+
+def late_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Per device how many spans came too late and were left out."""
+    return _written(spark, folder).filter("start_ns is null").groupBy(*DEVICE).agg(F.sum("late").alias("late"))
 
 
 def last_gaps(spark: SparkSession, folder: str, *, min_ns: int = 1) -> DataFrame:
-    """Once the stream has ended: the gaps that were still held back after its last batch."""
-    states = _read(spark, f"{folder}/state", _STATE + ", batch int")
-    rest = states.join(states.agg(F.max("batch").alias("batch")), "batch").drop("batch")
-    since = rest.agg(F.max("upto_ns").alias("since"))
-    gaps = idle_gaps(rest.withColumn("row_id", F.xxhash64("start_ns", "end_ns")), min_ns=min_ns).crossJoin(since)  # one row
-    return gaps.filter("end_ns > since").select(*[c.split()[0] for c in _GAP.split(", ")])
+    """Once the stream has ended: the gaps that were still held back after its last trigger, from the
+    state that Spark keeps."""
+    state = spark.read.format("statestore").load(f"{folder}/checkpoint").select("key.*", "value.groupState.*")
+    held = state.select(*DEVICE, F.explode(F.arrays_zip("starts", "ends")).alias("i")).select(*DEVICE, "i.*")
+    held = held.withColumn("busy", F.lag("ends").over(W.partitionBy(*DEVICE).orderBy("starts")))
+    gap = F.col("starts") - F.col("busy")
+    return held.filter(gap >= max(1, min_ns)).select(*DEVICE, F.col("busy").alias("start_ns"), F.col("starts").alias("end_ns"), gap.alias("gap_ns"))

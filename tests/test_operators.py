@@ -295,3 +295,17 @@ def test_live_gaps_in_any_order_within_the_delay(spark, tmp_path):
     whole = intervals.idle_gaps(spark.createDataFrame(rows, ddl))
     of = lambda d: sorted((x["device_id"], x["start_ns"], x["end_ns"], x["gap_ns"]) for x in d.collect())
     assert told.count() and of(told.unionByName(rest)) == of(whole)
+
+
+def test_live_gaps_count_late_spans_and_go_on_after_a_restart(spark, tmp_path):
+    ddl = "row_id long, process_id long, device_id long, start_ns long, end_ns long"
+    batches = [[(0, 0, 0, 0, 10), (1, 0, 0, 500, 510)], [(2, 0, 0, 100, 120), (3, 0, 1, 7, 9), (4, 0, 0, 420, 430)], [(5, 0, 0, 399, 401), (6, 0, 0, 900, 901), (7, 0, 1, 8, 30)], [(8, 0, 0, 700, 700)]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
+        live.start_gaps(stream, str(tmp_path / "out"), late_ns=100).awaitTermination()  # each run starts anew from the checkpoint
+    told, rest = live.told_gaps(spark, str(tmp_path / "out")), live.last_gaps(spark, str(tmp_path / "out"))
+    of = lambda d: sorted((x["device_id"], x["start_ns"], x["end_ns"]) for x in d.collect())
+    # up to 400 is told after the first run: the spans at 100 and 399 are late, that at 420 is not; up to 800 after the third
+    assert of(told) == [(0, 10, 420), (0, 430, 500)] and of(rest) == [(0, 510, 900)]
+    assert [tuple(r) for r in live.late_spans(spark, str(tmp_path / "out")).collect()] == [(0, 0, 3)]
