@@ -161,6 +161,26 @@ def name_axis(axis: str, columns: list[str]) -> Column:
     return F.col("demangled_name" if axis == "mangled" and "mangled_name" not in columns else f"{axis}_name")
 
 
-def composite_key(*parts: str | Column) -> Column:
-    """Parts joined by ``|``; a null part is ``none``."""
-    return F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("none")) for p in parts])
+def _text(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
+
+
+def gap_key(start: str | Column, process: str | Column | None = None, device: str | Column | None = None, stream: str | Column | None = None) -> Column:
+    """Stable key of a gap: of a stream if all are given, of a device without ``stream``, else of the
+    whole trace. A gap whose process or device is null has the trace's key."""
+    of_trace = F.concat(F.lit("gap|@"), _text(start))
+    if process is None or device is None:
+        return of_trace
+    lane = [] if stream is None else [F.lit("|stream:"), _text(stream)]
+    return F.coalesce(F.concat(F.lit("gap|pid:"), _text(process), F.lit("|dev:"), _text(device), *lane, F.lit("|@"), _text(start)), of_trace)
+
+
+def bucket_key(start: str | Column, end: str | Column) -> Column:
+    """Stable key of a time bucket."""
+    return F.concat(F.lit("bucket|"), _text(start), F.lit(".."), _text(end))
+
+
+def correlation_key(process: str | Column, device: str | Column, context: str | Column, correlation: str | Column) -> Column:
+    """Stable key of an identity, in hexadecimal."""
+    part = lambda p, c: F.concat(F.lit(p), F.lower(F.hex((F.col(c) if isinstance(c, str) else c).cast("long"))))
+    return F.concat_ws("-", part("p", process), part("d", device), part("c", context), part("r", correlation))

@@ -52,10 +52,12 @@ def with_axes(events: DataFrame) -> DataFrame:
 
 
 def event_buckets(events: DataFrame, width: int, anchor: int = 0) -> DataFrame:
-    """Per bucket: n, time on CPU, on GPU, in communication."""
+    """Per bucket: n, time on CPU, on GPU, in communication, and a map of time by type."""
     d = in_buckets(timed(events), width, anchor)
     of = lambda test, name: F.sum(F.when(test, F.col("part_ns")).otherwise(0)).alias(name)
-    return d.groupBy("bucket_ns").agg(F.count("*").alias("n"), of(~_gpu(), "cpu_ns"), of(F.col("type").isin(*GPU), "gpu_ns"), of(F.col("comm"), "comm_ns"))
+    g = d.groupBy("bucket_ns", "type").agg(F.count("*").alias("n"), of(~_gpu(), "cpu_ns"), of(F.col("type").isin(*GPU), "gpu_ns"), of(F.col("comm"), "comm_ns"), F.sum("part_ns").alias("ns"))
+    types = F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "ns"))))  # a few
+    return g.groupBy("bucket_ns").agg(*[F.sum(c).alias(c) for c in ("n", "cpu_ns", "gpu_ns", "comm_ns")], types.alias("by_type_ns"))
 
 
 def smallest_enclosing(events: DataFrame, outer: DataFrame, on: tuple[str, ...], same_rank: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import names as N
+from spanloom.functions.windows import clipped, overlaps
 from spanloom.operators.ordered import with_ordinal
 
 ID = ["process_id", "device_id", "context_id", "correlation_id"]
@@ -49,20 +50,39 @@ def replay_nodes(spans: DataFrame, n: int) -> DataFrame:
     return g.withColumn("share", F.col("sum_ns") / F.col("wall")).drop("wall")
 
 
-_SIDE = ("kind", "row_id", "process_id", "correlation_id", "start_ns", "end_ns")
-
-
-def correlate(ids: DataFrame, *tables: DataFrame) -> DataFrame:
-    """For asked (kind, row_id): all rows of the tables (device work, host calls, synchronisations,
-    graphs: columns kind, row_id, process_id, correlation_id, start_ns, end_ns) of the same process
-    and correlation; one row with ``found`` false where there is nothing."""
-    both = tables[0].select(*_SIDE)
-    for t in tables[1:]:
-        both = both.unionByName(t.select(*_SIDE))
-    seeds = ids.join(both.select("kind", "row_id", "process_id", "correlation_id"), ["kind", "row_id"], "left")
-    got = both.select(F.col("kind").alias("to_kind"), F.col("row_id").alias("to_row_id"), "process_id", "correlation_id", "start_ns", "end_ns")
-    out = seeds.join(got, ["process_id", "correlation_id"], "left")
-    return out.select("kind", "row_id", F.col("to_row_id").isNotNull().alias("found"), "to_kind", "to_row_id", "start_ns", "end_ns")
+_SIDE = ("kind", "row_id", "start_ns", "end_ns")
+
+
+def correlate(ids: DataFrame, work: DataFrame, host: DataFrame, contexts: DataFrame) -> DataFrame:
+    """For asked (kind, row_id) all rows of one identity (process, device, context, correlation).
+
+    ``work`` (kernels, copies, synchronisations, graphs: kind, row_id, the identity, start_ns, end_ns)
+    is held to its own device and context, however often the correlation id is used in others.
+    ``host`` (calls: kind, row_id, process_id, correlation_id, start_ns, end_ns) has neither: a call
+    belongs to every context of its process, so asking for a call gives what all of them hold, and
+    ``key`` tells the first that has work, or else the first of the process. Rows: kind, row_id, found,
+    key, to_kind, to_row_id, start_ns, end_ns; one with ``found`` false for an id without correlation,
+    of a kind that has none, of a process without contexts, or that isn't there."""
+    at, pair = ["process_id", "device_id", "context_id"], ["process_id", "correlation_id"]
+    known = contexts.select(*at).distinct()
+    w = work.select(*_SIDE, *ID).filter("correlation_id is not null")
+    h = host.select(*_SIDE, *pair).filter("correlation_id is not null").join(known.select("process_id").distinct(), "process_id", "left_semi")
+    to = lambda d, on: d.select(*on, F.col("kind").alias("to_kind"), F.col("row_id").alias("to_row_id"), "start_ns", "end_ns")
+    asked = ids.select("kind", "row_id").distinct()
+    of_work = asked.join(w.select("kind", "row_id", *ID), ["kind", "row_id"])
+    of_host = asked.join(h.select("kind", "row_id", *pair), ["kind", "row_id"])
+
+    mine = to(w, ID).unionByName(to(h.join(known, "process_id"), ID))
+    found = of_work.join(mine, ID).select("kind", "row_id", *ID, "to_kind", "to_row_id", "start_ns", "end_ns")
+    place = F.min(F.struct("device_id", "context_id"))
+    ran = w.groupBy(*pair).agg(place.alias("ran"))
+    first = known.groupBy("process_id").agg(place.alias("first"))
+    seeds = of_host.join(ran, pair, "left").join(first, "process_id").withColumn("on", F.coalesce("ran", "first"))
+    merged = to(w, pair).unionByName(to(h, pair))
+    by_call = seeds.select("kind", "row_id", *pair, F.col("on.device_id").alias("device_id"), F.col("on.context_id").alias("context_id")).join(merged, pair)
+    found = found.unionByName(by_call.select(*found.columns))
+    found = found.select("kind", "row_id", F.lit(True).alias("found"), N.correlation_key(*ID).alias("key"), "to_kind", "to_row_id", "start_ns", "end_ns")
+    return asked.join(found, ["kind", "row_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def correlation_stats(spans: DataFrame, launches: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -180,14 +200,49 @@ def inspect_cpu_samples(ids: DataFrame, samples: DataFrame, frames: DataFrame) -
     return inspect(ids, samples.join(chain, "id", "left"), ["id"])
 
 
-def highlights(spans: DataFrame, by: str, n: int, window: tuple[int, int]) -> DataFrame:
-    """Top names in a window by clipped time with their share."""
-    from spanloom.functions.windows import clipped, overlaps
+def _in_window(spans: DataFrame, window: tuple[int, int]) -> DataFrame:
+    return overlaps(spans.filter("kind = 'kernel'"), *window).withColumn("ns", clipped(*window)).filter("ns > 0")
+
+
+_SCORES = ("total", "count", "max")
+
 
-    d = overlaps(spans.filter("kind = 'kernel'"), *window).withColumn("ns", clipped(*window)).filter("ns > 0")
-    g = d.groupBy(by).agg(F.sum("ns").alias("total"), F.count("*").alias("n"), F.max("ns").alias("longest"))
-    top = g.orderBy(F.desc("total"), by).limit(n)
-    return top.crossJoin(g.agg(F.sum("total").alias("all"))).withColumn("share", F.col("total") / F.col("all")).drop("all")  # one row
+def highlights(spans: DataFrame, by: str, n: int, window: tuple[int, int], score: str = "total") -> DataFrame:
+    """Top names in a window by their clipped time (``total``), number (``count``) or longest (``max``):
+    ``by``, total, n, longest, score, share (of the score of all names; null for ``max``, which
+    doesn't add up) and place. Ties go by name."""
+    if score not in _SCORES:
+        raise ValueError(f"score is one of {', '.join(_SCORES)}, not {score!r}")
+    g = _in_window(spans, window).groupBy(by).agg(F.sum("ns").alias("total"), F.count("*").alias("n"), F.max("ns").alias("longest"))
+    g = g.withColumn("score", F.col({"total": "total", "count": "n", "max": "longest"}[score]))
+    top = g.orderBy(F.desc("score"), by).limit(n)
+    top = top.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), by)))  # ``n`` rows
+    share = F.lit(None).cast("double") if score == "max" else F.col("score") / F.col("all")
+    return top.crossJoin(g.agg(F.sum("score").alias("all"))).withColumn("share", share).drop("all")  # one row
+
+
+def highlighted_instances(spans: DataFrame, n: int, window: tuple[int, int], details: list[str], score: str = "total") -> DataFrame:
+    """Top single kernels in a window: row_id, ns, score (its clipped time, or 1 for ``count``), share,
+    place and ``details``. Ties go by time, start, and id as text. Only what ranks is sorted; the
+    other columns are fetched for the ``n`` survivors."""
+    if score not in _SCORES:
+        raise ValueError(f"score is one of {', '.join(_SCORES)}, not {score!r}")
+    thin = _in_window(spans, window).select("row_id", "ns", "start_ns").withColumn("score", F.lit(1).cast("long") if score == "count" else F.col("ns"))
+    order = [F.desc("score"), F.desc("ns"), F.asc("start_ns"), F.asc(F.col("row_id").cast("string"))]
+    top = thin.orderBy(*order).limit(n)
+    top = top.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))  # ``n`` rows
+    share = F.lit(None).cast("double") if score == "max" else F.col("score") / F.col("all")
+    top = top.crossJoin(thin.agg(F.sum("score").alias("all"))).select("row_id", "ns", "score", share.alias("share"), "place")  # one row
+    return top.join(spans.filter("kind = 'kernel'").select("row_id", *details), "row_id")
+
+
+def inspect_host_calls(ids: DataFrame, calls: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """Asked calls of the runtime or the operating system with process and thread, duration, and the
+    ranges around them where ``ranges`` (row_id, chain: what ``enclosing_ranges`` found) is given."""
+    wide = calls.withColumns({"pid": N.pid_of("global_tid"), "tid": N.tid_of("global_tid"), "ns": F.col("end_ns") - F.col("start_ns")})
+    if ranges is not None:
+        wide = wide.join(ranges.select("row_id", F.concat_ws("/", F.transform("chain", lambda x: N.path_part(x["name"]))).alias("range_path")), "row_id", "left")
+    return inspect(ids, wide, ["row_id"])
 
 
 def tracks(spans: DataFrame, streams: int, launches: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:

@@ -77,10 +77,11 @@ def iter_index(ranges: DataFrame, by: tuple[str, ...] = ("global_tid", "domain_i
     return with_ordinal(ranges, by, ("start_ns", "range_id"), "iter_index")
 
 
-def enclosing_ranges(ranges: DataFrame, launches: DataFrame, on: tuple[str, ...] = ("global_tid",)) -> DataFrame:
+def enclosing_ranges(ranges: DataFrame, launches: DataFrame, on: tuple[str, ...] = ("global_tid",), instants: bool = False) -> DataFrame:
     """Per host call with at least one: its ranges of all domains from outer to inner, array of
-    (s, e, id, name, domain_id)."""
-    o = ranges.filter("end_ns > start_ns").select(*on, F.col("range_id").alias("id"), "name", F.coalesce("domain_id", F.lit(0)).alias("domain_id"), F.col("start_ns").alias("o_start"), F.col("end_ns").alias("o_end"))
+    (s, e, id, name, domain_id). With ``instants`` ranges without end are of length zero."""
+    ranges = ranges.withColumn("end_ns", F.coalesce("end_ns", "start_ns")) if instants else ranges.filter("end_ns > start_ns")
+    o = ranges.select(*on, F.col("range_id").alias("id"), "name", F.coalesce("domain_id", F.lit(0)).alias("domain_id"), F.col("start_ns").alias("o_start"), F.col("end_ns").alias("o_end"))
     i = launches.select(*on, "row_id", "process_id", "correlation_id", F.col("start_ns").alias("i_start"), F.col("end_ns").alias("i_end"))
     met = contains_join(o, i, list(on))
     chain = F.array_sort(F.collect_list(F.struct(F.col("o_start").alias("s"), (-F.col("o_end")).alias("e"), "id", "name", "domain_id")))
@@ -120,6 +121,18 @@ def under_range(spans: DataFrame, chains: DataFrame, contexts: DataFrame, test)
     return spans.join(hit, ["process_id", "device_id", "context_id", "correlation_id"], "left_semi")
 
 
+def launched_under(spans: DataFrame, ranges: DataFrame, launches: DataFrame, contexts: DataFrame, test, like: str = "cudaGraphLaunch%") -> DataFrame:
+    """Graph work whose launch (a call named ``like``) lies in ranges of which one's name, or all their
+    names from outer to inner joined by ``/`` as they are, pass ``test``. Ranges without end count as
+    of length zero."""
+    calls = launches.filter(F.coalesce("name", F.lit("")).like(like) & F.col("correlation_id").isNotNull())
+    chains = enclosing_ranges(ranges.withColumn("name", F.coalesce("name", F.lit("<unnamed>"))), calls, instants=True)
+    path = F.concat_ws("/", F.transform("chain", lambda x: x["name"]))
+    hit = chains.filter(F.exists("chain", lambda x: test(x["name"])) | test(path))
+    hit = hit.join(contexts, "process_id").select("process_id", "device_id", "context_id", "correlation_id").distinct()
+    return spans.join(hit, ["process_id", "device_id", "context_id", "correlation_id"], "left_semi")
+
+
 def range_slices(ranges: DataFrame, spans: DataFrame, chains: DataFrame, contexts: DataFrame) -> DataFrame:
     """Per range and (process, device, stream) that worked for it: bounds on the device and
     time and count by kind; ranges without work stay, with nulls."""

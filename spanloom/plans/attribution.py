@@ -149,13 +149,22 @@ def a16_replay_nodes(spark, d):
     return C.replay_nodes(_replay_spans(spark, d), 3)
 
 
-@query("spans launches", """WITH b AS (SELECT kind, row_id, process_id, correlation_id, start_ns, end_ns FROM spans UNION ALL SELECT 'runtime', row_id, process_id, correlation_id, start_ns, end_ns FROM launches),
-  i AS (SELECT kind, row_id FROM spans UNION ALL SELECT 'kernel', -5)
-  SELECT i.kind, i.row_id, t.row_id IS NOT NULL AS found, t.kind AS to_kind, coalesce(t.row_id, -1) AS to_row_id, coalesce(t.start_ns, -1) AS start_ns, coalesce(t.end_ns, -1) AS end_ns FROM i LEFT JOIN b s USING (kind, row_id) LEFT JOIN b t ON s.process_id = t.process_id AND s.correlation_id = t.correlation_id""")
+@query("spans launches contexts", """WITH w AS (SELECT kind, row_id, process_id, device_id, context_id, row_id // 4 AS corr, start_ns, end_ns FROM spans UNION ALL SELECT 'sync', row_id, process_id, device_id, context_id, row_id // 4, end_ns, end_ns FROM spans WHERE kind = 'memcpy'),
+  h AS (SELECT 'runtime' AS kind, row_id, process_id, row_id // 4 AS corr, start_ns, end_ns FROM launches),
+  m AS (SELECT * FROM w UNION ALL SELECT h.kind, row_id, process_id, device_id, context_id, corr, start_ns, end_ns FROM h JOIN contexts USING (process_id)),
+  r AS (SELECT process_id, corr, arg_min(device_id, (device_id, context_id)) AS device_id, arg_min(context_id, (device_id, context_id)) AS context_id FROM w GROUP BY ALL),
+  c AS (SELECT process_id, arg_min(device_id, (device_id, context_id)) AS device_id, arg_min(context_id, (device_id, context_id)) AS context_id FROM contexts GROUP BY ALL),
+  f AS (SELECT s.kind, s.row_id, s.process_id, s.device_id, s.context_id, s.corr, t.kind AS to_kind, t.row_id AS to_row_id, t.start_ns, t.end_ns FROM w s JOIN m t USING (process_id, device_id, context_id, corr)
+    UNION ALL SELECT s.kind, s.row_id, s.process_id, coalesce(r.device_id, c.device_id), coalesce(r.context_id, c.context_id), s.corr, t.kind, t.row_id, t.start_ns, t.end_ns
+      FROM h s JOIN c USING (process_id) LEFT JOIN r ON r.process_id = s.process_id AND r.corr = s.corr JOIN (SELECT kind, row_id, process_id, corr, start_ns, end_ns FROM w UNION ALL SELECT * FROM h) t ON t.process_id = s.process_id AND t.corr = s.corr),
+  i AS (SELECT kind, row_id FROM w UNION ALL SELECT kind, row_id FROM h UNION ALL SELECT 'kernel', -5 UNION ALL SELECT 'range', 1)
+  SELECT i.kind, i.row_id, f.kind IS NOT NULL AS found, coalesce(printf('p%x-d%x-c%x-r%x', process_id, device_id, context_id, corr), '') AS key, coalesce(to_kind, '') AS to_kind, coalesce(to_row_id, -1) AS to_row_id, coalesce(start_ns, -1) AS start_ns, coalesce(end_ns, -1) AS end_ns FROM i LEFT JOIN f USING (kind, row_id)""")
 def n7_correlate(spark, d):
-    s = A.spans(spark, d)
-    ids = s.select("kind", "row_id").unionByName(spark.createDataFrame([("kernel", -5)], "kind string, row_id long"))
-    return C.correlate(ids, s, A.launches(spark, d).withColumn("kind", F.lit("runtime"))).fillna(-1)
+    s = A.spans(spark, d).withColumn("correlation_id", F.expr("row_id div 4"))  # ids are used on several devices
+    syncs = s.filter("kind = 'memcpy'").withColumns({"kind": F.lit("sync"), "start_ns": F.col("end_ns")})
+    work, host = s.unionByName(syncs), A.launches(spark, d).withColumns({"kind": F.lit("runtime"), "correlation_id": F.expr("row_id div 4")})
+    ids = work.select("kind", "row_id").unionByName(host.select("kind", "row_id")).unionByName(spark.createDataFrame([("kernel", -5), ("range", 1)], "kind string, row_id long"))
+    return C.correlate(ids, work, host, A.contexts(spark, d)).fillna(-1).fillna("", ["key", "to_kind"])
 
 
 @query("spans launches contexts", """WITH r AS (SELECT process_id, device_id, context_id, correlation_id, kind FROM spans UNION ALL SELECT process_id, device_id, context_id, correlation_id, 'runtime' FROM launches JOIN contexts USING (process_id))
@@ -209,17 +218,46 @@ def q2_q8_inspect(spark, d):
     return C.inspect(ids, s.select("kind", "row_id", "name", "start_ns", "bytes"), ["kind", "row_id"]).fillna(-1)
 
 
-@query("ranges", f"WITH RECURSIVE {{TABLES}}, {_TREE} SELECT range_id, name, start_ns, path, coalesce(parent_id, -1) AS parent_id, true AS found FROM tree WHERE name = 'shift'")
+@query("ranges", f"WITH RECURSIVE {{TABLES}}, {_TREE}, t AS (SELECT * FROM tree), i AS (SELECT range_id FROM ranges UNION ALL SELECT -1) SELECT range_id, coalesce(t.name, '') AS name, coalesce(t.start_ns, -1) AS start_ns, coalesce(path, '') AS path, coalesce(parent_id, -1) AS parent_id, t.name IS NOT NULL AS found FROM i LEFT JOIN t USING (range_id)")
 def q3_inspect_ranges(spark, d):
     r = A.ranges(spark, d)
-    return C.inspect(r.filter("name = 'shift'").select("range_id"), R.range_tree(r).select("range_id", "name", "start_ns", "path", F.coalesce("parent_id", F.lit(-1)).alias("parent_id")), ["range_id"])
+    ids = r.select("range_id").unionByName(spark.createDataFrame([(-1,)], "range_id long"))
+    out = C.inspect(ids, R.range_tree(r).select("range_id", "name", "start_ns", "path", "parent_id"), ["range_id"])
+    return out.fillna(-1, ["start_ns", "parent_id"]).fillna("", ["name", "path"])
+
+
+@query("launches", """WITH i AS (SELECT row_id FROM launches UNION ALL SELECT -7) SELECT row_id, coalesce(name, '') AS name, coalesce((global_tid >> 24) & 16777215, -1) AS pid, coalesce(global_tid & 65535, -1) AS tid, coalesce(start_ns, -1) AS start_ns, coalesce(end_ns - start_ns, -1) AS ns, coalesce(correlation_id, -1) AS correlation_id, name IS NOT NULL AS found FROM i LEFT JOIN launches USING (row_id)""")
+def q3_inspect_host_calls(spark, d):
+    calls = A.launches(spark, d)
+    ids = calls.select("row_id").unionByName(spark.createDataFrame([(-7,)], "row_id long"))
+    out = C.inspect_host_calls(ids, calls)
+    return out.select("row_id", F.coalesce("name", F.lit("")).alias("name"), *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("pid", "tid", "start_ns", "ns", "correlation_id")], "found")
 
 
-@query("spans", f"WITH g AS (SELECT name, CAST(sum({CLIP}) AS BIGINT) AS total, count(*) AS n, max({CLIP}) AS longest FROM spans WHERE kind = 'kernel' AND {WIN} AND {CLIP} > 0 GROUP BY name) SELECT *, total / (SELECT sum(total) FROM g) AS share FROM g ORDER BY total DESC, name LIMIT 5")
+_HIGH = f"WITH g AS (SELECT name, CAST(sum({CLIP}) AS BIGINT) AS total, count(*) AS n, max({CLIP}) AS longest FROM spans WHERE kind = 'kernel' AND {WIN} AND {CLIP} > 0 GROUP BY name)"
+
+
+@query("spans", f"{_HIGH} SELECT *, total AS score, total / (SELECT sum(total) FROM g) AS share, row_number() OVER (ORDER BY total DESC, name) AS place FROM g ORDER BY total DESC, name LIMIT 5")
 def q16_highlights(spark, d):
     return C.highlights(A.spans(spark, d), "name", 5, WINDOW)
 
 
+@query("spans", f"{_HIGH} SELECT *, n AS score, n / (SELECT sum(n) FROM g) AS share, row_number() OVER (ORDER BY n DESC, name) AS place FROM g ORDER BY n DESC, name LIMIT 5")
+def q16_highlights_by_count(spark, d):
+    return C.highlights(A.spans(spark, d), "name", 5, WINDOW, "count")
+
+
+@query("spans", f"{_HIGH} SELECT *, longest AS score, row_number() OVER (ORDER BY longest DESC, name) AS place FROM g ORDER BY longest DESC, name LIMIT 5")
+def q16_highlights_by_longest(spark, d):
+    return C.highlights(A.spans(spark, d), "name", 5, WINDOW, "max").drop("share")
+
+
+@query("spans", f"""WITH g AS (SELECT row_id, {CLIP} AS ns, name, stream_id, start_ns FROM spans WHERE kind = 'kernel' AND {WIN} AND {CLIP} > 0)
+  SELECT row_id, ns, ns AS score, ns / (SELECT sum(ns) FROM g) AS share, row_number() OVER (ORDER BY ns DESC, start_ns, CAST(row_id AS VARCHAR)) AS place, name, stream_id FROM g ORDER BY place LIMIT 20""")
+def q16_highlighted_instances(spark, d):
+    return C.highlighted_instances(A.spans(spark, d), 20, WINDOW, ["name", "stream_id"])
+
+
 @query(ALL, f"""WITH RECURSIVE {{TABLES}}, {_SLICES}, {_TREE}, d AS (SELECT *, 'gpu/' || CAST(process_id AS VARCHAR) || '/' || CAST(device_id AS VARCHAR) AS key FROM spans WHERE end_ns > start_ns),
   t AS (SELECT process_id, device_id, stream_id, sum(end_ns - start_ns) AS busy FROM d GROUP BY ALL), lane AS (SELECT *, row_number() OVER (PARTITION BY process_id, device_id ORDER BY busy DESC, stream_id) AS r FROM t),
   on_ AS (SELECT DISTINCT range_id, process_id, device_id FROM slices WHERE device_id IS NOT NULL)

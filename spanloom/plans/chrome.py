@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from spanloom.functions import names as N
 from spanloom.operators import chrome as C
 from spanloom.plans.registry import query
 from spanloom.sources import adapters as A
@@ -104,10 +105,13 @@ def a13_event_stats(spark, d):
 _DAY = 86400_000_000_000
 
 
-@query("ev", f"""WITH {_X}, b AS (SELECT *, unnest(range(start_ns - start_ns % {_DAY}, end_ns, {_DAY})) AS bucket_ns FROM x WHERE end_ns > start_ns), c AS (SELECT *, least(end_ns, bucket_ns + {_DAY}) - greatest(start_ns, bucket_ns) AS ns FROM b)
-  SELECT bucket_ns, count(*) AS n, CAST(sum(CASE WHEN type NOT IN {_GPU} THEN ns ELSE 0 END) AS BIGINT) AS cpu_ns, CAST(sum(CASE WHEN type IN {_GPU} THEN ns ELSE 0 END) AS BIGINT) AS gpu_ns, CAST(sum(CASE WHEN comm THEN ns ELSE 0 END) AS BIGINT) AS comm_ns FROM c GROUP BY bucket_ns""")
+@query("ev", f"""WITH {_X}, b AS (SELECT *, unnest(range(start_ns - start_ns % {_DAY}, end_ns, {_DAY})) AS bucket_ns FROM x WHERE end_ns > start_ns), c AS (SELECT *, least(end_ns, bucket_ns + {_DAY}) - greatest(start_ns, bucket_ns) AS ns FROM b),
+  t AS (SELECT bucket_ns, type, CAST(sum(ns) AS BIGINT) AS ns FROM c GROUP BY ALL), m AS (SELECT bucket_ns, string_agg(type || '=' || CAST(ns AS VARCHAR), ',' ORDER BY type) AS by_type FROM t GROUP BY ALL)
+  SELECT bucket_ns, 'bucket|' || CAST(bucket_ns AS VARCHAR) || '..' || CAST(bucket_ns + {_DAY} AS VARCHAR) AS key, by_type, count(*) AS n, CAST(sum(CASE WHEN type NOT IN {_GPU} THEN ns ELSE 0 END) AS BIGINT) AS cpu_ns, CAST(sum(CASE WHEN type IN {_GPU} THEN ns ELSE 0 END) AS BIGINT) AS gpu_ns, CAST(sum(CASE WHEN comm THEN ns ELSE 0 END) AS BIGINT) AS comm_ns FROM c JOIN m USING (bucket_ns) GROUP BY ALL""")
 def t2_event_buckets(spark, d):
-    return C.event_buckets(trace(spark, d), _DAY)
+    b = C.event_buckets(trace(spark, d), _DAY)
+    said = F.array_join(F.transform(F.map_entries("by_type_ns"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return b.select("bucket_ns", N.bucket_key("bucket_ns", F.col("bucket_ns") + _DAY).alias("key"), said.alias("by_type"), "n", "cpu_ns", "gpu_ns", "comm_ns")
 
 
 _PARENT = f"""h AS (SELECT * FROM x WHERE type NOT IN {_GPU} AND end_ns > start_ns),

@@ -11,7 +11,6 @@ from spanloom.operators import chrome as C
 from spanloom.operators import correlate as L
 from spanloom.operators import nesting as R
 from spanloom.operators import stats
-from spanloom.plans.attribution import _CHAIN
 from spanloom.plans.registry import query
 from spanloom.sources import adapters as A
 from spanloom.staging import shared_dir
@@ -45,12 +44,13 @@ def n13_flow_edges(spark, d):
     return C.flow_edges(marks.unionByName(s.filter("kind = 'kernel'").withColumn("ph", F.lit("X"))))
 
 
-@query("spans contexts launches ranges", f"""WITH {_CHAIN}, r AS (SELECT * REPLACE (row_id // 20 AS correlation_id), correlation_id AS own FROM spans WHERE end_ns > start_ns),
-  hit AS (SELECT DISTINCT process_id, correlation_id AS own FROM chain WHERE range_path LIKE '%shift%')
+@query("spans contexts launches ranges", """WITH p AS (SELECT l.row_id, l.process_id, l.correlation_id AS own, max(CASE WHEN r.name LIKE 'day/%shif%' THEN 1 ELSE 0 END) AS named, string_agg(r.name, '/' ORDER BY r.start_ns, coalesce(r.end_ns, r.start_ns) DESC, range_id) AS path
+    FROM launches l JOIN ranges r ON r.global_tid = l.global_tid AND r.start_ns <= l.start_ns AND coalesce(r.end_ns, r.start_ns) >= l.end_ns WHERE l.name LIKE 'api_click%' GROUP BY ALL),
+  hit AS (SELECT DISTINCT process_id, own FROM p WHERE named = 1 OR path LIKE 'day/%shif%'),
+  r AS (SELECT * REPLACE (row_id // 20 AS correlation_id), correlation_id AS own FROM spans WHERE end_ns > start_ns)
   SELECT process_id, device_id, context_id, correlation_id, count(*) AS events, max(end_ns) - min(start_ns) AS wall_ns FROM r JOIN hit USING (process_id, own) GROUP BY ALL""")
 def n18_replays_under_range(spark, d):
-    chains = R.enclosing_ranges(A.ranges(spark, d), A.launches(spark, d))
-    inside = R.under_range(A.spans(spark, d), chains, A.contexts(spark, d), lambda c: N.name_glob(c, "shif*"))
+    inside = R.launched_under(A.spans(spark, d), A.ranges(spark, d), A.launches(spark, d), A.contexts(spark, d), lambda c: N.name_glob(c, "day/*shif*"), like="api_click%")
     return stats.replays(inside.withColumn("correlation_id", F.expr("row_id div 20"))).select("process_id", "device_id", "context_id", "correlation_id", "events", "wall_ns")
 
 

@@ -210,6 +210,11 @@ def i1_device_gaps(spark, d):
     return intervals.idle_gaps(_short(spark, d))
 
 
+@query("spans", _SHORT_GAPS + """ SELECT 'gap|pid:' || CAST(process_id AS VARCHAR) || '|dev:' || CAST(device_id AS VARCHAR) || '|@' || CAST(start_ns AS VARCHAR) AS key, gap_ns FROM g""")
+def i1_gap_keys(spark, d):
+    return intervals.idle_gaps(_short(spark, d)).select(N.gap_key("start_ns", "process_id", "device_id").alias("key"), "gap_ns")
+
+
 @query("spans", _SHORT_GAPS + f" SELECT * FROM g WHERE {WIN}")
 def i4_device_gaps_in_window(spark, d):
     return intervals.idle_gaps(_captured(_short(spark, d)), window=WINDOW)
