@@ -129,13 +129,13 @@ def j2_resolve_process(spark, d):
 
 
 @query("spans launches", """WITH r AS (SELECT process_id, device_id, context_id, row_id // 20 AS correlation_id, min(start_ns) AS t FROM spans WHERE end_ns > start_ns GROUP BY ALL),
-  l AS (SELECT * REPLACE (row_id // 20 AS correlation_id) FROM launches WHERE row_id // 20 % 7 <> 3),
+  l AS (SELECT * REPLACE (row_id // 20 AS correlation_id) FROM launches),
   m AS (SELECT r.*, l.row_id, l.name, row_number() OVER (PARTITION BY r.process_id, device_id, context_id, r.correlation_id, t ORDER BY CASE WHEN l.name LIKE 'api_view%' THEN 0 ELSE 1 END, CASE WHEN l.start_ns <= t THEN 0 ELSE 1 END, abs(t - l.start_ns), l.row_id) AS n
     FROM r LEFT JOIN l USING (process_id, correlation_id))
   SELECT process_id, device_id, correlation_id, t AS replay_start_ns, coalesce(row_id, -1) AS launch_id, coalesce(name, '') AS name FROM m WHERE n = 1""")
 def j8_nearest_launcher(spark, d):
     r = A.spans(spark, d).filter("end_ns > start_ns").withColumn("correlation_id", F.expr("row_id div 20")).groupBy(*C.ID).agg(F.min("start_ns").alias("start_ns"))
-    calls = A.launches(spark, d).withColumn("correlation_id", F.expr("row_id div 20")).filter("correlation_id % 7 <> 3")  # some replays have no call
+    calls = A.launches(spark, d).withColumn("correlation_id", F.expr("row_id div 20"))
     out = C.nearest_launcher(r, calls, A.contexts(spark, d), "api_view%").drop("context_id")
     return out.fillna(-1, ["launch_id"]).fillna("", ["name"])
 
