@@ -67,8 +67,11 @@ def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_
     # texts that hold enough shingles of some template; a text is known again by id and digest
     same = F.xxhash64("text", F.length("text"), F.lit(3))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    every = F.concat(*[_shingles("w", k) for k in widths])
-    met = texts.select("id", same.alias("h"), _words(F.col("text")).alias("w")).select("id", "h", F.explode(every).alias("s")).join(need, "s")
+    # words are told one by one and hashed in the same generated code, as _shingles hashes them
+    run = lambda k: F.when(F.col("at") + k <= F.size("w"), F.xxhash64(*[F.get("w", F.col("at") + j) for j in range(k)]))
+    told = texts.select("id", same.alias("h"), _words(F.col("text")).alias("w")).select("id", "h", "w", F.posexplode_outer("w").alias("at", "x"))
+    made = told.select("id", "h", run(widths[0]).alias("s")) if len(widths) == 1 else told.select("id", "h", F.explode(F.array(*[run(k) for k in widths])).alias("s"))
+    met = made.join(need, "s")
     met = met.groupBy("id", "h", "t", "need").agg(F.countDistinct("s").alias("n")).filter("n >= need")
     shape = F.struct("k", "class")
     met = met.join(t.select("t", "k", "class"), "t").groupBy(F.col("id").alias("i"), "h").agg(F.collect_set(shape).alias("shapes"))  # a few

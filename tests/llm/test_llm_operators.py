@@ -485,7 +485,7 @@ def held(text, template, width=5):
 def test_licenses(spark, odd, docs):
     r = random.Random(9)
     filler = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
-    more = ["released UNDER the (MIT) license", filler(70) + " This work is licensed under the GNU General Public License version 4", "licensed under the apache license version", "// SPDX-License-Identifier: BSD-3-Clause\n" + filler(30)]
+    more = ["released UNDER the (MIT) license", filler(70) + " This work is licensed under the GNU General Public License version 4", "licensed under the apache license version", "// SPDX-License-Identifier: BSD-3-Clause\n" + filler(30), "# SPDX-License-Identifier: MIT\n" + filler(12), filler(9) + " spdx-license-identifier: Zlib"]
     for name, text in license_texts.TEXTS.items():
         w = text.split()
         inserted = [x for i, x in enumerate(w) for x in ([x, "really"] if i % 60 == 30 else [x])]
