@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources.json_splits import read_listed_objects
 from spanloom.sources.kernel_reports import document_id
 from spanloom.staging import stage
 
 EVENT = "name string, cat string, ph string, ts double, dur double, pid string, tid string, id string, args map<string,string>"
-SCHEMA = f"traceEvents array<struct<{', '.join(c.replace(' ', ':', 1) for c in EVENT.split(', '))}>>, distributedInfo struct<rank:long>"
+#: Entries are taken as texts first: one that is no object would void all the others.
+SCHEMA = "traceEvents array<string>, distributedInfo struct<rank:long>"
 
 
 def coalesce_args(args: str | Column, *aliases: str, kind: str = "string") -> Column:
@@ -81,19 +83,22 @@ def _pieces(spark: SparkSession, paths: list[str], between: str) -> DataFrame:
     return e.join(ranks, "trace", "left").select("trace", "rank", "e")
 
 
-def read_chrome_trace(spark: SparkSession, *paths: str, multi_line: bool = True, between: str | None = None) -> DataFrame:
+def read_chrome_trace(spark: SparkSession, *paths: str, multi_line: bool = True, between: str | None = None, split: bool = False) -> DataFrame:
     """Typed events of all files (.json, .json.gz). Entries that aren't objects or have no
     ``ts`` are skipped; times become nanoseconds; rank comes from the event's arguments, the
     file's header or the file's name, in that order. ``row_id`` is written once and stays.
 
     A JSON document is parsed by one task that holds it, so files should stay below a few
-    hundred MB each in the usual form. Larger ones, if their events are written alike, are read
-    in splits: ``between`` is the text that ends one event and begins the next, ``"\\n  },\\n  {"``
-    as the profiler writes them."""
-    if between is None:
+    hundred MB each in the usual form. Larger ones are read by many tasks with ``split``, whatever
+    their layout (``sources.json_splits``, two passes over the text), or in one pass if their
+    events are written alike: ``between`` is the text that ends one event and begins the next,
+    ``"\\n  },\\n  {"`` as the profiler writes them."""
+    if split:
+        raw = read_listed_objects(spark, *paths).select("trace", "rank", F.from_json("text", EVENT).alias("e"))
+    elif between is None:
         raw = spark.read.schema(SCHEMA).option("multiLine", multi_line).json(list(paths))
         raw = raw.withColumn("trace", document_id(raw, multi_line))
-        raw = raw.select("trace", "distributedInfo.rank", F.explode("traceEvents").alias("e"))
+        raw = raw.select("trace", "distributedInfo.rank", F.explode("traceEvents").alias("text")).select("trace", "rank", F.from_json("text", EVENT).alias("e"))
     else:
         raw = _pieces(spark, list(paths), between)
     e = raw.filter("e.ts is not null")
