@@ -161,6 +161,11 @@ def name_axis(axis: str, columns: list[str]) -> Column:
     return F.col("demangled_name" if axis == "mangled" and "mangled_name" not in columns else f"{axis}_name")
 
 
+def composite_key(*parts: str | Column) -> Column:
+    """Parts joined by ``|``; a null part is ``none``."""
+    return F.concat_ws("|", *[F.coalesce(_text(p), F.lit("none")) for p in parts])
+
+
 def _text(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 

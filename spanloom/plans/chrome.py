@@ -26,7 +26,7 @@ _X = """x AS (SELECT event_id, CASE event_type WHEN 'click' THEN CASE WHEN k % 3
 _GPU = "('kernel', 'memcpy')"
 
 
-def trace(spark, d):
+def trace(spark, d, split=False):
     """Writes the events as trace files, a thousand events to a document, and reads them. Launches
     and kernels have markers of flows at their start."""
     e, u, k = A._events(spark, d), F.col("user_id"), F.col("k")
@@ -54,7 +54,7 @@ def trace(spark, d):
     docs = rows.groupBy(F.expr("event_id div 1000").alias("part")).agg(F.collect_list("e").alias("traceEvents")).select(F.to_json(F.struct("traceEvents")).alias("value"))
     path = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/trace"
     docs.write.text(path)
-    events = S.read_chrome_trace(spark, path, multi_line=False)
+    events = S.read_chrome_trace(spark, path, multi_line=False, split=split)
     return events.withColumns({"row_id": S.coalesce_args("args", "event", kind="long"), "trace": F.lit("t")})
 
 
@@ -64,6 +64,12 @@ def s4_s6_chrome_events(spark, d):
     return e.fillna(-1, ["rank"])
 
 
+@query("ev", f"WITH {_X} SELECT event_id AS row_id, name, type, comm, coalesce(collective, '') AS collective, start_ns, end_ns, coalesce(rank, -1) AS rank, stream, external_id FROM x")
+def s4_split_documents(spark, d):
+    e = C.timed(trace(spark, d, split=True)).select("row_id", "name", "type", "comm", F.coalesce("collective", F.lit("")).alias("collective"), "start_ns", "end_ns", "rank", "stream", "external_id")
+    return e.fillna(-1, ["rank"])
+
+
 @query("ev", f"""WITH {_X} SELECT event_id AS row_id, 'event' AS arg_key, CAST(event_id AS VARCHAR) AS arg_json FROM x UNION ALL SELECT event_id, 'stream', CAST(stream AS VARCHAR) FROM x UNION ALL SELECT event_id, 'rank', CAST(rank AS VARCHAR) FROM x WHERE rank IS NOT NULL
   UNION ALL SELECT event_id, 'External id', CAST(external_id AS VARCHAR) FROM x UNION ALL SELECT event_id, 'correlation', CAST(correlation AS VARCHAR) FROM x
   UNION ALL SELECT event_id + {MARK}, 'event', CAST(event_id + {MARK} AS VARCHAR) FROM x WHERE type IN ('kernel', 'runtime')""")
