@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from spanloom.functions import names as N
@@ -11,7 +9,7 @@ from spanloom.operators import chrome as C
 from spanloom.plans.registry import query
 from spanloom.sources import adapters as A
 from spanloom.sources import chrome as S
-from spanloom.staging import shared_dir
+from spanloom.staging import scratch
 
 #: Markers of flows have their event's id and this much.
 MARK = 10**12
@@ -52,7 +50,7 @@ def trace(spark, d, split=False):
     mark = F.struct(F.lit("ac2g").alias("name"), F.lit("ac2g").alias("cat"), phase.alias("ph"), F.lit(0.0).alias("dur"), text(F.expr("event_id div 4")).alias("id"), *lane, own.alias("args"))
     rows = e.select("event_id", one.alias("e")).unionByName(e.filter(F.col("event_type").isin("error", "view")).select("event_id", mark.alias("e")))
     docs = rows.groupBy(F.expr("event_id div 1000").alias("part")).agg(F.collect_list("e").alias("traceEvents")).select(F.to_json(F.struct("traceEvents")).alias("value"))
-    path = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/trace"
+    path = scratch(spark, "trace")
     docs.write.text(path)
     events = S.read_chrome_trace(spark, path, multi_line=False, split=split)
     return events.withColumns({"row_id": S.coalesce_args("args", "event", kind="long"), "trace": F.lit("t")})

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from spanloom.functions import names as N
@@ -13,7 +11,7 @@ from spanloom.operators import nesting as R
 from spanloom.operators import stats
 from spanloom.plans.registry import query
 from spanloom.sources import adapters as A
-from spanloom.staging import shared_dir
+from spanloom.staging import scratch
 from spanloom.streaming import live
 
 
@@ -56,7 +54,7 @@ def n18_replays_under_range(spark, d):
 
 def _stream(spark, d, files: int = 1):
     """The events table, written to a folder in order of time that is then read as a stream of spans."""
-    path = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/feed"
+    path = scratch(spark, "feed")
     rows = spark.read.parquet(f"{d}/events.parquet")
     lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
     part = lambda i: lo + (hi - lo) * i / files
@@ -70,7 +68,7 @@ def _stream(spark, d, files: int = 1):
 
 def _drained(df, spark, name):
     """Runs the stream over what is there and reads what it wrote."""
-    base = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/{name}"
+    base = scratch(spark, name)
     q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
@@ -86,7 +84,7 @@ def r1_live_activity(spark, d):
   b AS (SELECT *, max(end_ns) OVER (PARTITION BY process_id, device_id ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM s)
   SELECT process_id, device_id, busy AS start_ns, start_ns AS end_ns, start_ns - busy AS gap_ns FROM b WHERE start_ns > busy""")
 def r2_live_gaps(spark, d):
-    folder = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/gaps"
+    folder = scratch(spark, "gaps")
     q = live.start_gaps(_stream(spark, d, 8), folder, late_ns=3600_000_000_000)
     q.awaitTermination()
     return live.told_gaps(spark, folder).unionByName(live.last_gaps(spark, folder))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from spanloom.functions import names as N
@@ -12,7 +10,7 @@ from spanloom.plans.registry import query
 from spanloom.sources import adapters as A
 from spanloom.sources import traces
 from spanloom.sources.kernel_reports import read_kernel_report
-from spanloom.staging import shared_dir
+from spanloom.staging import scratch
 
 _T = """WITH i AS (SELECT l_suppkey % 10 AS launch, l_partkey * 16 AS pc, l_returnflag || '_ops.sum' AS counter, CASE WHEN l_linenumber <> 5 THEN l_quantity END AS value FROM lineitem),
   s AS (SELECT p_partkey * 16 AS pc, CASE WHEN p_partkey % 10 <> 0 THEN p_brand END AS file, CASE WHEN p_partkey % 10 <> 0 THEN p_size END AS line FROM part)"""
@@ -163,7 +161,7 @@ def report(spark, d):
         metrics.alias("metrics"), rules.alias("rules"), "disasm", stalls.alias("warp_stalls"),
     )
     docs = g.groupBy("supp").agg(F.collect_list(one).alias("launches")).select("launches", F.array(F.struct(F.concat(F.lit("range "), text(F.col("supp"))).alias("name"))).alias("ranges"), F.array().cast("array<struct<name:string>>").alias("graphs"))
-    path = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/report"
+    path = scratch(spark, "report")
     docs.select(F.to_json(F.struct("*")).alias("value")).repartition(8).write.text(path)
     return read_kernel_report(spark, path, multi_line=False)
 
@@ -246,7 +244,7 @@ def a20_source_metrics_by_address(spark, d):
 
 @query("spans", "SELECT kind, row_id, start_ns, CASE WHEN kind = 'memcpy' THEN bytes ELSE -1 END AS bytes FROM spans WHERE kind IN ('kernel', 'memcpy')")
 def s1_load_trace(spark, d):
-    s, path = A.spans(spark, d), f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/trace"
+    s, path = A.spans(spark, d), scratch(spark, "trace")
     s.filter("kind = 'kernel'").drop("kind", "bytes").write.parquet(f"{path}/kernel.parquet")
     s.filter("kind = 'memcpy'").drop("kind").write.parquet(f"{path}/memcpy.parquet")
     t = traces.load_trace(spark, path, {k: "row_id long, start_ns long, bytes long" for k in ("kernel", "memcpy", "memset")})
@@ -255,7 +253,7 @@ def s1_load_trace(spark, d):
 
 @query("spans", "SELECT kind, count(*) AS n, min(start_ns) AS first_ns, max(end_ns) AS last_ns FROM spans GROUP BY kind")
 def s9_materialize(spark, d):
-    t = traces.materialize(A.spans(spark, d), f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/derived", ("kind",))
+    t = traces.materialize(A.spans(spark, d), scratch(spark, "derived"), ("kind",))
     return t.groupBy("kind").agg(F.count("*").alias("n"), F.min("start_ns").alias("first_ns"), F.max("end_ns").alias("last_ns"))
 
 
