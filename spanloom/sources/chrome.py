@@ -10,8 +10,8 @@ from spanloom.sources.kernel_reports import document_id
 from spanloom.staging import stage
 
 EVENT = "name string, cat string, ph string, ts double, dur double, pid string, tid string, id string, args map<string,string>"
-#: Entries are taken as texts first: one that is no object would void all the others.
-SCHEMA = "traceEvents array<string>, distributedInfo struct<rank:long>"
+HEADER = "distributedInfo struct<rank:long>"
+SCHEMA = f"traceEvents array<struct<{', '.join(c.replace(' ', ':', 1) for c in EVENT.split(', '))}>>, {HEADER}, odd string"
 
 
 def coalesce_args(args: str | Column, *aliases: str, kind: str = "string") -> Column:
@@ -96,9 +96,12 @@ def read_chrome_trace(spark: SparkSession, *paths: str, multi_line: bool = True,
     if split:
         raw = read_listed_objects(spark, *paths).select("trace", "rank", F.from_json("text", EVENT).alias("e"))
     elif between is None:
-        raw = spark.read.schema(SCHEMA).option("multiLine", multi_line).json(list(paths))
+        raw = spark.read.schema(SCHEMA).option("multiLine", multi_line).option("columnNameOfCorruptRecord", "odd").json(list(paths))
         raw = raw.withColumn("trace", document_id(raw, multi_line))
-        raw = raw.select("trace", "distributedInfo.rank", F.explode("traceEvents").alias("text")).select("trace", "rank", F.from_json("text", EVENT).alias("e"))
+        # an entry that is no object voids the others of its document, whose entries are then taken one by one
+        again = F.from_json("odd", f"traceEvents array<string>, {HEADER}")
+        events = F.coalesce("traceEvents", F.transform(again["traceEvents"], lambda x: F.from_json(x, EVENT)))
+        raw = raw.select("trace", F.coalesce("distributedInfo.rank", again["distributedInfo"]["rank"]).alias("rank"), F.explode(events).alias("e"))
     else:
         raw = _pieces(spark, list(paths), between)
     e = raw.filter("e.ts is not null")
