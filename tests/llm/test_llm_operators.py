@@ -174,7 +174,7 @@ def contextual(texts, near=64, rounds=3, support=3, accept=0.7, prior=1.0):
         runs, now = [], []
         for w in words:
             bad = not any(c.isalnum() for c in t[slice(*w)]) or any(s < w[1] and w[0] < e for s, _, e in own)
-            joins = now and w[0] - now[-1][1] <= near and not t[now[-1][1] : w[0]].strip(SPACE)
+            joins = now and not t[now[-1][1] : w[0]].strip(SPACE)
             if now and (bad or not joins):
                 runs.append(now)
                 now = []
@@ -198,7 +198,7 @@ def contextual(texts, near=64, rounds=3, support=3, accept=0.7, prior=1.0):
             pats = [p for p in three if regex.search(r"\p{L}", p)]
             v = value.lower()
             written = re.sub("[0-9]", "0", regex.sub(r"\p{L}+", "a", v))
-            shape = "hex" if re.fullmatch("[0-9a-f]{16,}", v) and re.search("[a-f]", v) and re.search("[0-9]", v) else written if len(written) <= 40 else None
+            shape = "hex" if re.fullmatch("[0-9a-f]{16,}", v) and re.search("[a-f]", v) and re.search("[0-9]", v) else written if len(written) <= 40 else hashlib.sha256(written.encode()).hexdigest()
             pats += [f"like {shape}"] if shape not in (None, "hex") else []
             pats += [f"= {shape}"] if shape and re.search(r"= ?[\"']?$", left) else []
             edges += [(n, s, k, e, value, p) for p in pats]
@@ -244,6 +244,24 @@ def test_pii_spans_match_the_plain_way(spark, docs, odd):
     assert sum(len(v) == 18 for v in found) >= 5 and not any("commit " + v in t for v in found for t in texts)  # passwords shorter than a digest, but no commit
 
 
+def test_pii_long_texts_and_shapes(spark):
+    many = " ".join(f"id{i:06d}x (4{i:06d})" if i % 3 else f"word and {'é' * (i % 9)} user{i}@example.com,10.0.{i % 300}.7" for i in range(3000))
+    wide = "call 12345" + " " * 200 + "678 now"
+    long_shape = [f"key {'-'.join(['ab1'] * 15)}.{i}@x.yz" for i in range(4)] + [f"key {'-'.join(['cd2'] * 15)}.7@x.yz_ or"]
+    texts = [many, wide, *long_shape, "w" * 70 + " a@b.cd " + "v" * 70]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: [tuple(s) for s in x["__spans"]] for x in pii.detect(df).collect()}
+    want = contextual(texts)
+    assert got == dict(enumerate(want)) and len(want[0]) > 1500
+    clean = {x["doc_id"]: x["text"] for x in pii.redact(df).collect()}
+    for i, t in enumerate(texts):
+        out, at = [], 0
+        for s, k, e in want[i]:
+            out += [t[at:s], f"<{pii.KINDS[k]}>"] if s >= at else []
+            at = max(at, e)
+        assert clean[i] == "".join(out) + t[at:]
+
+
 def test_pii_query_strings(spark):
     said = lambda spans: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans)
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
