@@ -8,6 +8,8 @@ exactly once.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,10 +97,55 @@ def correlate_spans(spans: DataFrame, launches: DataFrame, contexts: DataFrame)
     return spans.join(host, ["process_id", "device_id", "context_id", "correlation_id"])
 
 
-def innermost_range(spans: DataFrame, chains: DataFrame, contexts: DataFrame) -> DataFrame:
+#: What device work and the host's side of it share.
+IDENTITY = ["process_id", "device_id", "context_id", "correlation_id"]
+
+
+def host_side(chains: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Chains of ranges with the devices and contexts of their process: what device work is joined to."""
+    return chains.join(contexts.select("process_id", "device_id", "context_id").distinct(), "process_id")
+
+
+class Stored(NamedTuple):
+    """Tables stored for attribution: device work by identity, work without a correlation, the host's side."""
+
+    spans: DataFrame
+    rest: DataFrame
+    hosts: DataFrame
+
+
+def store_attribution(spans: DataFrame, chains: DataFrame, contexts: DataFrame, path: str, name: str, buckets: int | None = None) -> Stored:
+    """Writes both sides of attribution once, in the same buckets of their whole identity, so that
+    every later join of the two starts at its scans: nothing is shuffled again. Tables are registered
+    as ``name``_spans and ``name``_hosts with files under ``path``; a bucket is one file, sorted by start.
+    Work without a correlation, which is launched by nothing and would fill one bucket, lies apart.
+    ``buckets`` (shuffle partitions, if None) should make files of some hundred MB."""
+    spark = spans.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def keep(df: DataFrame, what: str, order: list[str]) -> DataFrame:
+        w = df.repartition(n, *IDENTITY).write.format("parquet").mode("overwrite").option("path", f"{path}/{what}")
+        w.bucketBy(n, *IDENTITY).sortBy(*order).saveAsTable(f"{name}_{what}")
+        return spark.table(f"{name}_{what}")
+
+    known = F.col("correlation_id").isNotNull()
+    spans.filter(~known).write.mode("overwrite").parquet(f"{path}/rest")
+    rest = spark.read.schema(spans.schema).parquet(f"{path}/rest")
+    return Stored(keep(spans.filter(known), "spans", ["start_ns"]), rest, keep(host_side(chains, contexts).filter(known), "hosts", ["row_id"]))
+
+
+def innermost_stored(stored: Stored) -> DataFrame:
+    """``innermost_range`` of stored tables."""
+    got = innermost_range(stored.spans, stored.hosts)
+    none = stored.rest.withColumns({"range_depth": F.lit(None).cast("long"), "range_path": F.lit(None).cast("string"), "range_id": F.lit(None).cast("long"), "range_name": F.lit("__no_nvtx__"), "range_domain": F.lit(None).cast(got.schema["range_domain"].dataType)})
+    return got.unionByName(none)
+
+
+def innermost_range(spans: DataFrame, chains: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
     """Spans with range_id, range_name, range_domain, range_depth and range_path of the innermost
-    range around their launch; null where there is none."""
-    host = chains.join(contexts, "process_id").select("process_id", "device_id", "context_id", "correlation_id", F.element_at("chain", -1).alias("r"), (F.size("chain") - 1).cast("long").alias("range_depth"), F.concat_ws("/", F.transform("chain", lambda x: path_part(x["name"]))).alias("range_path"))
+    range around their launch; null where there is none. Without ``contexts`` the chains are a
+    ``host_side``, as stored."""
+    host = (chains if contexts is None else chains.join(contexts, "process_id")).select("process_id", "device_id", "context_id", "correlation_id", F.element_at("chain", -1).alias("r"), (F.size("chain") - 1).cast("long").alias("range_depth"), F.concat_ws("/", F.transform("chain", lambda x: path_part(x["name"]))).alias("range_path"))
     out = spans.join(host, ["process_id", "device_id", "context_id", "correlation_id"], "left")
     return out.withColumns({"range_id": F.col("r.id"), "range_name": F.coalesce("r.name", F.lit("__no_nvtx__")), "range_domain": F.col("r.domain_id")}).drop("r")
 
@@ -115,9 +162,11 @@ def with_range_path(attributed: DataFrame, tree: DataFrame, missing: str = "__no
     return attributed.join(t, "range_id", "left").withColumn("path", F.coalesce("__path", F.lit(missing))).drop("__path")
 
 
-def under_range(spans: DataFrame, chains: DataFrame, contexts: DataFrame, test) -> DataFrame:
-    """Spans launched inside any range whose name passes ``test`` (a function of a column)."""
-    hit = chains.filter(F.exists("chain", lambda x: test(x["name"]))).join(contexts, "process_id").select("process_id", "device_id", "context_id", "correlation_id").distinct()
+def under_range(spans: DataFrame, chains: DataFrame, contexts: DataFrame | None, test) -> DataFrame:
+    """Spans launched inside any range whose name passes ``test`` (a function of a column). Without
+    ``contexts`` the chains are a ``host_side``, as stored."""
+    hit = chains.filter(F.exists("chain", lambda x: test(x["name"])))
+    hit = hit.select(*IDENTITY) if contexts is None else hit.join(contexts, "process_id").select(*IDENTITY).distinct()
     return spans.join(hit, ["process_id", "device_id", "context_id", "correlation_id"], "left_semi")
 
 
@@ -133,11 +182,13 @@ def launched_under(spans: DataFrame, ranges: DataFrame, launches: DataFrame, con
     return spans.join(hit, ["process_id", "device_id", "context_id", "correlation_id"], "left_semi")
 
 
-def range_slices(ranges: DataFrame, spans: DataFrame, chains: DataFrame, contexts: DataFrame) -> DataFrame:
+def range_slices(ranges: DataFrame, spans: DataFrame, chains: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
     """Per range and (process, device, stream) that worked for it: bounds on the device and
-    time and count by kind; ranges without work stay, with nulls."""
-    own = chains.select("process_id", "correlation_id", F.explode("chain").alias("r")).select("process_id", "correlation_id", F.col("r.id").alias("range_id"))
-    host = own.join(contexts, "process_id")
+    time and count by kind; ranges without work stay, with nulls. Without ``contexts`` the chains
+    are a ``host_side``, as stored."""
+    by = ["process_id", "correlation_id"] if contexts is not None else IDENTITY
+    own = chains.select(*by, F.explode("chain").alias("r")).select(*by, F.col("r.id").alias("range_id"))
+    host = own if contexts is None else own.join(contexts, "process_id")
     work = spans.join(host, ["process_id", "device_id", "context_id", "correlation_id"])
     ns = F.col("end_ns") - F.col("start_ns")
     of = [F.sum(F.when(F.col("kind") == k, ns).otherwise(0)).alias(f"{k}_ns") for k in ("kernel", "memcpy", "memset")] + [F.count(F.when(F.col("kind") == k, 1)).alias(f"{k}_n") for k in ("kernel", "memcpy", "memset")]

@@ -11,6 +11,7 @@ from spanloom.operators import stats
 from spanloom.plans.registry import query
 from spanloom.plans.timeline import CLIP, NS, WIN, WINDOW, _replay_spans
 from spanloom.sources import adapters as A
+from spanloom.staging import scratch
 
 #: A range lies under those open when it starts; the path follows the parents.
 _TREE = """rt AS (SELECT * FROM ranges WHERE event_type IN (59, 60, 70, 71)),
@@ -57,6 +58,17 @@ def n4_innermost_range(spark, d):
     return att.select("row_id", "range_id", "range_name", "range_depth", "iter_index")
 
 
+def _stored(spark, d):
+    at = scratch(spark, "attribution")
+    name = "spanloom_" + at.split("/")[-2]
+    return R.store_attribution(A.spans(spark, d), _chains(spark, d), A.contexts(spark, d), at, name)
+
+
+@query(ALL, f"WITH {_ATTR} SELECT row_id, range_id, range_name, range_depth FROM att")
+def s9_stored_attribution(spark, d):
+    return R.innermost_stored(_stored(spark, d)).select("row_id", "range_id", "range_name", "range_depth")
+
+
 @query(ALL, f"WITH {_ATTR} SELECT row_id FROM att WHERE range_path LIKE '%day%'")
 def f16_under_range(spark, d):
     return R.under_range(A.spans(spark, d), _chains(spark, d), A.contexts(spark, d), lambda c: N.name_glob(c, "da?")).select("row_id")

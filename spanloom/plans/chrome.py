@@ -231,6 +231,17 @@ def n16_n17_collectives(spark, d):
     return _flat(_collectives(spark, d))
 
 
+#: Two ranks: the clock of rank 1 by the median difference of matched ends.
+_SKEW = """, pq AS (SELECT a.collective, a.step, a.ordinal, a.start_ns AS s0, b.start_ns AS s1, b.end_ns - a.end_ns AS diff FROM cl a JOIN cl b USING (collective, step, ordinal) WHERE a.rank = 0 AND b.rank = 1),
+  co AS (SELECT quantile_disc(diff, 0.5) AS off FROM pq), sk AS (SELECT collective, step, ordinal, abs(s1 - off - s0) AS skew_ns, CAST(s1 - off > s0 AS BIGINT) AS slow_rank FROM pq, co)"""
+
+
+@query("ev", f"WITH RECURSIVE {{TABLES}}, {_X}, {_LINKS}, {_COLLECTIVES}{_SKEW} SELECT rank, step, collective, ordinal, cpu_id, CASE WHEN rank >= 0 THEN coalesce(skew_ns, -1) ELSE -1 END AS skew_ns, CASE WHEN rank >= 0 THEN coalesce(slow_rank, -1) ELSE -1 END AS slow_rank, CASE WHEN rank = 1 THEN coalesce(off, 0) ELSE 0 END AS offset_ns FROM cl LEFT JOIN sk USING (collective, step, ordinal), co")
+def n17_rank_skew(spark, d):
+    out = C.rank_skew(_collectives(spark, d)).select("rank", "step", "collective", "ordinal", "cpu_id", "skew_ns", "slow_rank", "offset_ns")
+    return out.fillna(-1, ["cpu_id", "skew_ns", "slow_rank"]).fillna(0, ["offset_ns"])
+
+
 @query("ev", f"WITH RECURSIVE {{TABLES}}, {_X}, {_LINKS}, {_COLLECTIVES} SELECT * REPLACE (coalesce(kernels, '') AS kernels) FROM cl WHERE (collective, step, ordinal) IN (SELECT (collective, step, ordinal) FROM cl WHERE rank = 1 AND step = 2)")
 def u4_whole_collectives(spark, d):
     return _flat(C.collective_groups(_collectives(spark, d), rank=1, step=2))

@@ -309,3 +309,52 @@ def test_live_gaps_count_late_spans_and_go_on_after_a_restart(spark, tmp_path):
     # up to 400 is told after the first run: the spans at 100 and 399 are late, that at 420 is not; up to 800 after the third
     assert of(told) == [(0, 10, 420), (0, 430, 500)] and of(rest) == [(0, 510, 900)]
     assert [tuple(r) for r in live.late_spans(spark, str(tmp_path / "out")).collect()] == [(0, 0, 3)]
+
+
+def test_rank_skew_finds_planted_clocks_and_slow_ranks(spark):
+    r = random.Random(8)
+    base, slow, rows = 1_700_000_000_000_000_000, {}, []
+    clocks = {0: 0, 1: 5_000_000, 2: -70_000_123, 3: 10**15 + 7, 10: 0, 11: 900, 20: 0}  # 10 and 11 meet no other, 20 none at all
+    for n in range(60):
+        # rank 0 meets 1, which meets 2 and 3 (among others): clocks of 2 and 3 are told over 1
+        for step, members in ((0, (0, 1)), (1, (1, 2, 3)), (2, (10, 11)), (3, (20,))):
+            late = r.choice(members)
+            starts = {m: base + n * 10**6 + r.randrange(1000) + (5000 if m == late else 0) for m in members}
+            end = max(starts.values()) + 300
+            first = min(starts.values())
+            slow[step, n] = (None, None) if len(members) == 1 else (starts[late] - first, late)
+            for m in members:
+                stuck = 10**5 if n % 7 == 3 and m == members[-1] else 0  # some ends are late
+                rows.append((m, step, "all_reduce", n, starts[m] + clocks[m], end + stuck + clocks[m]))
+    rows.append((-1, 0, "all_reduce", 0, base, base + 1))
+    found = spark.createDataFrame(rows, "rank long, step long, collective string, ordinal long, start_ns long, end_ns long")
+    got = C.rank_skew(found).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        want = slow[x["step"], x["ordinal"]] if x["rank"] >= 0 else (None, None)
+        assert (x["skew_ns"], x["slow_rank"]) == want
+        assert x["offset_ns"] == (clocks[x["rank"]] if x["rank"] in (0, 1, 2, 3, 10, 11) else None)
+    assert C.rank_skew(found.limit(0)).count() == 0 and C.rank_skew(found.filter("rank = 20")).filter("skew_ns is not null").count() == 0
+
+
+def test_stored_attribution_joins_without_a_shuffle(spark, tmp_path):
+    r = random.Random(9)
+    spans = spark.createDataFrame([(i, i % 2, i % 3, 1, None if i % 5 == 0 else i % 40, 10 * i, 10 * i + r.randrange(9), "kernel", 7) for i in range(200)], "row_id long, process_id long, device_id long, context_id long, correlation_id long, start_ns long, end_ns long, kind string, stream_id long")
+    contexts = spark.createDataFrame([(p, d, 1) for p in range(2) for d in range(2)], "process_id long, device_id long, context_id long")
+    launches = spark.createDataFrame([(1000 + i, i % 2, 1, i if i % 7 else None, i * 10, i * 10 + 2) for i in range(40)], "row_id long, process_id long, global_tid long, correlation_id long, start_ns long, end_ns long")
+    ranges = spark.createDataFrame([(1, 1, 0, "all", 0, 300), (2, 1, 0, "part", 100, 200)], "range_id long, global_tid long, domain_id long, name string, start_ns long, end_ns long")
+    chains = R.enclosing_ranges(ranges, launches)
+    stored = R.store_attribution(spans, chains, contexts, str(tmp_path / "kept"), "kept_attribution", buckets=3)
+    plain = {x["row_id"]: (x["range_id"], x["range_name"], x["range_depth"], x["range_path"]) for x in R.innermost_range(spans, chains, contexts).collect()}
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ways = [R.innermost_stored(stored), R.under_range(stored.spans, stored.hosts, None, lambda c: c == "part")]
+        for way in ways:
+            assert "Exchange" not in way._jdf.queryExecution().executedPlan().toString()
+        assert {x["row_id"]: (x["range_id"], x["range_name"], x["range_depth"], x["range_path"]) for x in ways[0].collect()} == plain and len(plain) == 200
+        assert {x["row_id"] for x in ways[1].collect()} == {x["row_id"] for x in R.under_range(spans, chains, contexts, lambda c: c == "part").collect()} != set()
+        said = lambda d: sorted(map(str, d.collect()))
+        assert said(R.range_slices(ranges, stored.spans, stored.hosts)) == said(R.range_slices(ranges, spans, chains, contexts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
