@@ -7,11 +7,12 @@ class with fewer than ``match`` shared ones posts nothing, and otherwise it is e
 all but its ``match - 1`` most frequent pairs (prefix filter with one order, rarest first).
 
 Posting lists are merged by groups: all lists with the same first member (by a hash) are one
-group, so the many lists of one cluster are merged once. In a task a group's collisions are
-counted before any pair is made: after a third of the coordinates, pairs that can't reach
-``match`` any more are skipped, the rest are counted on. Candidates are confirmed on full
-shingle sets in the same task, and only a spanning forest of the confirmed links leaves it, at
-most one row per member.
+group, so the many lists of one cluster are merged once. In a task the posted lists of a group
+are merged into counts of collisions per pair; pairs that share no posted list are never met.
+A pair is skipped if it can't reach ``match`` even if all lists collide that the two have not both
+posted, or if what has been found already joins the two; for the others these long lists aren't
+merged, but probed in the signatures. Candidates are confirmed on full shingle sets in the same
+task, and only a spanning forest of the confirmed links leaves it, at most one row per member.
 
 Groups of more than ``block`` classes are dealt to blocks. First every block is merged within
 itself, which joins most of a large group at a cost in proportion to its size; then, where
@@ -180,22 +181,58 @@ def _pairs_within(bounds: np.ndarray, at_once: int = 65_536) -> Iterator[tuple[n
                     yield s + x[x < y], s + y[x < y]
 
 
-def _pairs_between(a: np.ndarray, b: np.ndarray, at_once: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a place in ``a`` with one in ``b``."""
-    step = max(1, at_once // max(1, len(b)))
-    for lo in range(0, len(a), step):
-        x, y = np.meshgrid(a[lo : lo + step], b, indexing="ij")
-        yield x.ravel(), y.ravel()
-
-
-def colliding(sigs: np.ndarray, i: np.ndarray, j: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of which at least ``match`` coordinates collide. Pairs that can't reach that
-    any more after a third of the coordinates are skipped."""
-    head = sigs.shape[1] // 3
-    n = (sigs[i, :head] == sigs[j, :head]).sum(axis=1)
-    alive = n + sigs.shape[1] - head >= match
-    i, j, n = i[alive], j[alive], n[alive]
-    enough = n + (sigs[i, head:] == sigs[j, head:]).sum(axis=1) >= match
+def _posted(group: np.ndarray, sigs: np.ndarray, posted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posting lists of groups: rows list by list, in the order of groups, and the lists' bounds."""
+    row, k = np.nonzero((posted[:, None] >> np.arange(sigs.shape[1])) & 1)
+    value = sigs[row, k]
+    order = np.lexsort((row, value, k, group[row]))
+    row, k, value = row[order], k[order], value[order]
+    new = (np.diff(group[row]) != 0) | (np.diff(k) != 0) | (np.diff(value) != 0)
+    return row, np.concatenate([[0], np.flatnonzero(new) + 1, [len(row)]]) if len(row) else np.zeros(1, dtype=np.int64)
+
+
+def merged(bounds: np.ndarray, sigs: np.ndarray, posted: np.ndarray, left: np.ndarray | None = None, at_once: int = 65_536, small: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of one group, i < j, with the number of posted lists that hold both, for
+    pairs with one at least; with ``left`` pairs of a row in it and one that is not. Lists of groups of
+    up to ``small`` rows are merged by sorting, those of others by adding up in a table."""
+    size = np.diff(bounds)
+    group = np.repeat(np.arange(len(size)), size)
+    row, lists = _posted(group, sigs, posted)
+    sorts = (size <= small) & (left is None)
+    if sorts.any() and len(row):
+        own = sorts[group[row[lists[:-1]]]]
+        keep = np.repeat(own, np.diff(lists))
+        rows, ends = row[keep], np.concatenate([[0], np.cumsum(np.diff(lists)[own])])
+        codes = [rows[x] * len(group) + rows[y] for x, y in _pairs_within(ends, at_once)]
+        if codes:
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            for at in range(0, len(code), at_once):
+                yield code[at : at + at_once] // len(group), code[at : at + at_once] % len(group), n[at : at + at_once]
+    of = group[row[lists[:-1]]] if len(row) else np.zeros(0, dtype=np.int64)
+    for g in np.flatnonzero(~sorts & (size > 1)).tolist():
+        s, e = int(bounds[g]), int(bounds[g + 1])
+        count = np.zeros((e - s, e - s), dtype=np.uint8)
+        for k in range(*np.searchsorted(of, [g, g + 1]).tolist()):
+            mine = row[lists[k] : lists[k + 1]]
+            a, b = (mine, mine) if left is None else (mine[left[mine]], mine[~left[mine]])
+            if len(mine) > 1 and len(a) and len(b):
+                count[np.ix_(a - s, b - s)] += 1
+        if left is None:
+            count = np.triu(count, 1)
+        step = max(1, at_once // (e - s))
+        for lo in range(0, e - s, step):
+            i, j = np.nonzero(count[lo : lo + step])
+            if len(i):
+                yield s + lo + i, s + j, count[lo + i, j].astype(np.int64)
+
+
+def colliding(sigs: np.ndarray, posted: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of which at least ``match`` coordinates collide, ``n`` of those that both posted:
+    pairs that can't reach that any more are skipped, for the rest the other coordinates are probed."""
+    both = posted[i] & posted[j]
+    alive = n + sigs.shape[1] - np.bitwise_count(both) >= match
+    i, j = i[alive], j[alive]
+    enough = (sigs[i] == sigs[j]).sum(axis=1) >= match
     return i[enough], j[enough]
 
 
@@ -243,31 +280,30 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _linker(coords: int, match: int, percent: int, key: list[str]):
-    """Rows of groups (``key``, c, n, sig, h and, between blocks, comp and left) to links (a, b)
-    that span the components of each group's confirmed pairs."""
+    """Rows of groups (``key``, c, posted, n, sig, h and, between blocks, comp and left) to links
+    (a, b) that span the components of each group's confirmed pairs."""
 
     def link(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in _whole_groups(parts, key):
-            n, c = p["n"].to_numpy(np.int64), p["c"].to_numpy(np.int64)
+            n, c, posted = p["n"].to_numpy(np.int64), p["c"].to_numpy(np.int64), p["posted"].to_numpy(np.int64)
             sigs = np.frombuffer(b"".join(p["sig"]), dtype=np.uint32).reshape(-1, coords)
             sets = [np.frombuffer(h, dtype=np.uint64) for h in p["h"]]
             new = (p[key] != p[key].shift()).any(axis=1).to_numpy()
             bounds = np.append(np.flatnonzero(new), len(p))
-            if "left" in p:
-                comp, left = p["comp"].to_numpy(np.int64), p["left"].to_numpy(bool)
-                every = (pair for s, e in zip(bounds[:-1], bounds[1:], strict=True) for pair in _pairs_between(s + np.flatnonzero(left[s:e]), s + np.flatnonzero(~left[s:e])))
-            else:
-                comp, every = c, _pairs_within(bounds)
-            a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for i, j in every:
-                apart = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
-                i, j = colliding(sigs, i[apart], j[apart], match)
+            left = p["left"].to_numpy(bool) if "left" in p else None
+            _, first, which = np.unique(p["comp"] if left is not None else c, return_index=True, return_inverse=True)
+            joined = first[which]  # what is known to be linked
+            a, b = [np.arange(len(p))], [joined]
+            for i, j, met in merged(bounds, sigs, posted, left):
+                apart = (joined[i] != joined[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
+                i, j = colliding(sigs, posted, i[apart], j[apart], met[apart], match)
                 if len(i):
                     both = overlaps(sets, i, j)
                     good = 100 * both >= percent * (n[i] + n[j] - both)
                     a.append(i[good])
                     b.append(j[good])
-            label = _forest(len(p), np.concatenate(a), np.concatenate(b))
+                    joined = _forest(len(p), np.concatenate(a), np.concatenate(b))
+            label = _forest(len(p), np.concatenate([*a[1:], np.zeros(0, dtype=np.int64)]), np.concatenate([*b[1:], np.zeros(0, dtype=np.int64)]))
             moved = np.flatnonzero(label != np.arange(len(p)))
             yield pd.DataFrame({"a": c[moved], "b": c[label[moved]]})
 
@@ -295,6 +331,8 @@ def _grow(links: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, coords: int, match: int, block: int) -> DataFrame:
     """One row per row of ``docs``: id, n, cls, component_id."""
+    if coords > 62:
+        raise ValueError("62 coordinates at most: a class keeps those it posts as the bits of a long")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sets = stage(texts.mapInArrow(_sliced(_sets(width, coords), SETS), "id long, n int, cls binary, sig binary"), "sets")
     named = sets.filter(F.col("id").isNotNull() & F.col("cls").isNotNull())
@@ -307,12 +345,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     lists = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min(draw)["c"].alias("g")).filter(F.col("df") > 1)
     own = tokens.join(stage(lists, "lists"), "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token", "g"))).alias("own"))  # ``coords`` at most
     prefix = F.slice("own", F.lit(1), F.greatest(F.size("own") - (match - 1), F.lit(0)))
-    posts = own.select("c", F.explode(F.array_distinct(F.transform(prefix, lambda x: x["g"]))).alias("g"))
+    bit = F.array(*[F.lit(1 << k).cast("long") for k in range(coords)])
+    add = lambda total, x: total + F.element_at(bit, (F.shiftright(x["token"], 32) + 1).cast("int"))
+    posts = own.select("c", prefix.alias("prefix")).select("c", "prefix", F.explode(F.array_distinct(F.transform("prefix", lambda x: x["g"]))).alias("g"))
+    posts = posts.select("c", "g", F.aggregate(F.filter("prefix", lambda x: x["g"] == F.col("g")), F.lit(0).cast("long"), add).alias("posted"))
     posts = stage(posts.join(classes.select("c", "n"), "c"), "posts")
     blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / (4096 * block))).cast("int")
     groups = stage(posts.groupBy("g").agg(F.count("*").alias("members"), blocks.alias("blocks")).filter(F.col("members") > 1), "groups")
-    members = posts.select("c", "g").join(groups, "g").withColumn("blk", F.pmod(F.xxhash64("c", F.lit(31)), F.col("blocks")).cast("int"))
-    members = stage(members.select("g", "c", "blk", "blocks"), "members")
+    members = posts.select("c", "g", "posted").join(groups, "g").withColumn("blk", F.pmod(F.xxhash64("c", F.lit(31)), F.col("blocks")).cast("int"))
+    members = stage(members.select("g", "c", "posted", "blk", "blocks"), "members")
 
     busy = members.select("c").distinct().join(classes.select("c", "cls", "rep"), "c")
     chosen = texts.join(busy.select(F.col("rep").alias("id"), "c", "cls"), "id").select("c", "cls", "text")
@@ -323,19 +364,19 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         dealt = rows.join(full, "c").repartition(*key).sortWithinPartitions(*key)
         return stage(dealt.mapInArrow(_sliced(_linker(coords, match, percent, key), LINKS), "a long, b long"), "linked")
 
-    links = linked(members.select("g", "blk", "c"), ["g", "blk"])
+    links = linked(members.select("g", "blk", "c", "posted"), ["g", "blk"])
     comps = None if links.isEmpty() else _grow(links, None)
     large = members.filter("blocks > 1")
     if not large.isEmpty():
         comp = F.col("c").alias("comp") if comps is None else F.coalesce("comp", "c").alias("comp")
-        large = stage((large if comps is None else large.join(comps, "c", "left")).select("g", "c", "blk", "blocks", comp), "large")
+        large = stage((large if comps is None else large.join(comps, "c", "left")).select("g", "c", "posted", "blk", "blocks", comp), "large")
         kinds = large.groupBy("g", "comp").agg(F.count("*").alias("k"))
         kinds = kinds.groupBy("g").agg(F.max(F.struct("k", "comp"))["comp"].alias("top"), (F.sum("k") - F.max("k")).alias("rest")).filter("rest > 0")
         open_ = stage(large.join(kinds.withColumn("lefts", F.ceil(F.col("rest") / block).cast("int")), "g"), "open")
         to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         mine = F.pmod(F.xxhash64("c", F.lit(37)), F.col("lefts")).cast("int")
-        rest = open_.filter("comp <> top").select("g", mine.alias("x"), to("blocks").alias("y"), "c", "comp", F.lit(True).alias("left"))
-        every = open_.select("g", to("lefts").alias("x"), F.col("blk").alias("y"), "c", "comp", F.lit(False).alias("left"))
+        rest = open_.filter("comp <> top").select("g", mine.alias("x"), to("blocks").alias("y"), "c", "posted", "comp", F.lit(True).alias("left"))
+        every = open_.select("g", to("lefts").alias("x"), F.col("blk").alias("y"), "c", "posted", "comp", F.lit(False).alias("left"))
         links = linked(rest.unionByName(every), ["g", "x", "y"])
         if not links.isEmpty():
             comps = _grow(links, comps)

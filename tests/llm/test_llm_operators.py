@@ -348,8 +348,22 @@ def test_collisions_and_overlaps_match_plain_counts():
     rng = np.random.default_rng(0)
     sigs = rng.integers(0, 3, (60, 48)).astype(np.uint32)
     i, j = np.triu_indices(60, 1)
-    a, b = neardup.colliding(sigs, i, j, 20)
-    assert set(zip(a.tolist(), b.tolist())) == {(x, y) for x, y in zip(i.tolist(), j.tolist()) if sum(p == q for p, q in zip(sigs[x], sigs[y])) >= 20}
+    posted = rng.integers(0, 2**48, 60)
+    shared = lambda x, y: [k for k in range(48) if posted[x] >> k & posted[y] >> k & 1 and sigs[x][k] == sigs[y][k]]
+    many = sorted((x, y) for x, y in zip(i.tolist(), j.tolist()) if sum(p == q for p, q in zip(sigs[x], sigs[y])) >= 20)
+    n = np.array([len(shared(x, y)) for x, y in zip(i.tolist(), j.tolist())])
+    a, b = neardup.colliding(sigs, posted, i, j, n, 20)
+    assert sorted(zip(a.tolist(), b.tolist())) == many
+    # lists merged: pairs of a group with the lists they share, by sorting and by table alike
+    few, cut = posted & rng.integers(0, 2**48, 60) & rng.integers(0, 2**48, 60), np.array([0, 1, 9, 50, 60])
+    posted = few
+    want = sorted((x, y, len(shared(x, y))) for s, e in zip(cut[:-1], cut[1:]) for x in range(s, e) for y in range(x + 1, e) if shared(x, y))
+    for small in (0, 20, 64):
+        assert sorted(z for got in neardup.merged(cut, sigs, few, None, 50, small) for z in zip(*(v.tolist() for v in got))) == want
+    left = rng.integers(0, 2, 60).astype(bool)
+    either = sorted((x, y, k) for p, q, k in want for x, y in ((p, q), (q, p)) if left[x] and not left[y])
+    assert sorted(z for got in neardup.merged(cut, sigs, few, left, 50) for z in zip(*(v.tolist() for v in got))) == either
+    assert list(neardup.merged(cut, sigs, few * 0)) == []
     sets = [np.unique(rng.integers(0, 300, 60).astype(np.uint64)) for _ in range(60)]
     plain = [len(set(sets[x].tolist()) & set(sets[y].tolist())) for x, y in zip(i.tolist(), j.tolist())]
     assert neardup.overlaps(sets, i, j).tolist() == plain and neardup.overlaps(sets, i[:9], j[:9]).tolist() == plain[:9]
