@@ -1,25 +1,31 @@
 """Operator 8 - license scan by MinHash bands over overlapping windows, DataFrame functions only.
 
 Templates and texts are words (letters and digits, lower case) and shingles of ``width``
-words; a template shorter than that is one shingle of all its words. For every length class L
-(the powers of two that templates fall in) a text is cut into windows of 3L shingles, L apart,
-so a passage of at most 2L shingles, twice as long as any template of the class, lies whole in
-some window. A window that holds a share c of a template of m shingles, L/2 < m <= L, has a
-Jaccard similarity of at least c m / (3L + m (1 - c)) with it, and ``bands`` (one value each) is
-chosen so that such a pair meets in at least one band with probability ``sure``. Pairs that meet
-are verified exactly: the share of the template's shingles that the window, with a class length
-more on either side, holds has to reach ``contain``. So a passage that goes on into the next
-window counts whole.
-
-Texts are first met with the templates' shingles: one that holds fewer of a template's than
-``contain`` asks for can't hold it, and is cut into windows for the length classes of the others
-only, so this drops nothing. Templates are a table of their own; the
-tables that are joined hold a row per shingle or band of a template, never texts, and whether
-they are broadcast is left to their measured size. Texts are never joined with each other.
-
-Defined cases: null and empty texts hold no license; very long texts are cut into windows like
-others; templates without words are ignored; rows that repeat an id are scanned each for itself;
-an empty table gives no rows; other columns are ignored, whatever their names.
+words; a template shorter than that is one shingle of all its words. Templates of about one length
+(between two powers of two, the larger one is L) are a class. For a class, a text is cut into blocks
+of L shingles; a window is three blocks in a row, so windows overlap by two thirds and a passage of
+at most 2L shingles, twice as long as any template of the class, lies whole in some window.
+
+A band is a range of hash values, and what a set posts in it is its smallest hash there. A window
+that holds ``held`` of a template's shingles collides with it in a band wherever the smallest hash of
+their union is one that both have, so both miss each other with probability C(u - held, n) / C(u, n)
+where n of the bands hold any of the u shingles of the union. ``bands_for`` takes the fewest bands
+for which the pair meets with probability ``sure``, n being as u balls in so many bins give it. A
+window's smallest hash in a band is that of one of its blocks, so the blocks post, each once, and
+whatever a window would meet one of its blocks meets. Where that many bands are no fewer than the
+shingles of a block (short templates, whose windows are few shingles), every shingle is what its band
+holds, and is posted as it stands.
+
+Texts that meet a template are verified exactly: the share of the template's shingles that the
+windows around the block that met it, with a block more on either side, hold has to reach
+``contain``. Templates are a table of their own; the tables that are joined hold a row per band of a
+template, never texts, and whether they are broadcast is left to their measured size. Texts are never
+joined with each other.
+
+Defined cases: null and empty texts hold no license; very long texts are cut into blocks like
+others; templates without words are ignored; templates that a passage holds alike are all named
+(ties); rows that repeat an id are scanned each for itself; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,63 +50,93 @@ def _shingles(words: str, width: int) -> Column:
     return F.slice(F.transform(words, run), F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(0)))
 
 
-def bands_for(least: float, sure: float) -> int:
-    """Bands of one value that meet with probability ``sure`` at similarity ``least``."""
-    return math.ceil(math.log(1 - sure) / math.log(1 - least))
+def bands_for(held: int, union: int, sure: float) -> int:
+    """Bands by which two sets with ``held`` of ``union`` shingles in common meet with probability ``sure``."""
+    if held >= union:
+        return 1
+    miss, apart = [1.0], union - held
+    for n in range(union):  # chance that the smallest hashes of n + 1 bands are all of one side
+        miss.append(miss[-1] * max(apart - n, 0) / (union - n))
+    bands = next(n for n, m in enumerate(miss) if m <= 1 - sure)
+    while True:
+        filled = [1.0] + [0.0] * bands  # how many bands the shingles fall into
+        for _ in range(union):
+            filled = [0.0] + [filled[n] * n / bands + filled[n - 1] * (bands - n + 1) / bands for n in range(1, bands + 1)]
+        if sum(p * miss[min(n, union)] for n, p in enumerate(filled)) <= 1 - sure or bands >= 8 * union:
+            return bands
+        bands += 1
+
+
+def _smallest(hashes: Column, bands: int) -> Column:
+    """The smallest hash in every band, of an ascending array of hashes."""
+    band = lambda v: F.shiftright((F.shiftright(v, 32) + F.lit(2**31)) * F.lit(bands), 32)
+    return F.filter(hashes, lambda v, i: (i == 0) | (band(v) != band(F.get(hashes, i - 1))))
+
+
+def _met(texts: DataFrame, t: DataFrame, shapes: list[tuple[int, int, int]], width: int) -> DataFrame:
+    """(id, h, t, k, class, at): blocks of texts that meet a template in a band. ``shapes``: width, class, bands."""
+    whole = sorted({k for k, size, bands in shapes if bands >= size})
+    cut = [(size, bands) for k, size, bands in shapes if bands < size]
+    parts = []
+    words = texts.select("id", "h", _words(F.col("text")).alias("w"))
+    if whole:  # words are told one by one and hashed in the same generated code, as _shingles hashes them
+        run = lambda k: F.when(F.col("p") + k <= F.size("w"), F.xxhash64(*[F.get("w", F.col("p") + j) for j in range(k)]))
+        told = words.select("id", "h", "w", F.posexplode_outer("w").alias("p", "x"))
+        made = told.select("id", "h", "p", F.explode(F.array(*[run(k) for k in whole])).alias("value"))
+        posted = t.filter("bands >= class").select("t", "k", "class", F.explode("ts").alias("value"))
+        parts.append(made.join(posted, "value").select("id", "h", "t", "k", "class", F.floor(F.col("p") / F.col("class")).cast("int").alias("at")))
+    if cut:  # templates of more than one shingle, so all have the full width
+        shingled = words.filter(F.size("w") >= width).select("id", "h", _shingles("w", width).alias("s"))
+        blocks = []
+        for size, bands in cut:
+            starts = F.sequence(F.lit(0), F.size("s") - 1, F.lit(size))
+            rows = F.transform(starts, lambda i: F.sort_array(F.slice("s", i + 1, F.lit(size))))  # noqa: B023
+            blocks.append(F.transform(rows, lambda x, at: F.struct(F.lit(size).alias("class"), at.alias("at"), _smallest(x, bands).alias("values"))))  # noqa: B023
+        made = shingled.select("id", "h", F.explode(F.concat(*blocks)).alias("b")).select("id", "h", "b.class", "b.at", F.explode("b.values").alias("value"))
+        mine = [F.when(F.col("class") == size, _smallest(F.col("ordered"), bands)) for size, bands in cut]
+        posted = t.filter("bands < class").withColumn("ordered", F.sort_array("ts")).select("t", "k", "class", F.explode(F.coalesce(*mine)).alias("value"))
+        parts.append(made.join(posted, ["value", "class"]).select("id", "h", "t", "k", "class", "at"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def scan(docs: DataFrame, templates: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, contain: float = 0.8, sure: float = 0.9999) -> DataFrame:
     """``templates``: name, form, text; name and form together are unique. One row per row of
-    ``docs`` and template found in it: id, uid (of the row), name, form, share (the best window's),
-    windows."""
+    ``docs`` and template found in it: id, uid (of the row), name, form, share (the best that
+    windows hold), windows (blocks that met it and hold enough around them)."""
     t = templates.select("name", "form", _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     t = t.withColumn("k", F.least(F.size("w"), F.lit(width)))
     t = t.withColumn("ts", F.array_distinct(F.coalesce(*[F.when(F.col("k") == k, _shingles("w", k)) for k in range(1, width + 1)])))
     t = t.withColumn("class", F.pow(F.lit(2), F.ceil(F.log2(F.size("ts").cast("double")))).cast("int"))
     t = stage(t.select(F.monotonically_increasing_id().alias("t"), "name", "form", "k", "ts", "class"), "license_templates")
-    shapes = sorted(tuple(r) for r in t.select("k", "class").distinct().collect())  # a few: widths up to five, powers of two
-    if not shapes:
+    fewest = [tuple(r) for r in t.groupBy("k", "class").agg(F.min(F.size("ts"))).collect()]  # a few: widths up to five, powers of two
+    if not fewest:
         return docs.select(F.col(f"`{id_col}`").alias("id"), *[F.lit(None).cast(c).alias(n) for n, c in (("uid", "long"), ("name", "string"), ("form", "string"), ("share", "double"), ("windows", "long"))]).limit(0)
-    widths = sorted({k for k, _ in shapes})
-    need = t.select("t", F.explode("ts").alias("s"), F.ceil(F.size("ts") * contain - 1e-9).alias("need"))
-
-    # texts that hold enough shingles of some template; a text is known again by id and digest
-    same = F.xxhash64("text", F.length("text"), F.lit(3))
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    # words are told one by one and hashed in the same generated code, as _shingles hashes them
-    run = lambda k: F.when(F.col("at") + k <= F.size("w"), F.xxhash64(*[F.get("w", F.col("at") + j) for j in range(k)]))
-    told = texts.select("id", same.alias("h"), _words(F.col("text")).alias("w")).select("id", "h", "w", F.posexplode_outer("w").alias("at", "x"))
-    made = told.select("id", "h", run(widths[0]).alias("s")) if len(widths) == 1 else told.select("id", "h", F.explode(F.array(*[run(k) for k in widths])).alias("s"))
-    met = made.join(need, "s")
-    met = met.groupBy("id", "h", "t", "need").agg(F.countDistinct("s").alias("n")).filter("n >= need")
-    shape = F.struct("k", "class")
-    met = met.join(t.select("t", "k", "class"), "t").groupBy(F.col("id").alias("i"), "h").agg(F.collect_set(shape).alias("shapes"))  # a few
+    shapes = []
+    for k, size, least in sorted(fewest):
+        held = math.ceil(contain * least - 1e-9)
+        shapes.append((k, size, bands_for(held, 3 * size + least - held, sure)))
+    is_shape = lambda k, size: (F.col("k") == k) & (F.col("class") == size)
+    t = t.withColumn("bands", F.coalesce(*[F.when(is_shape(k, size), F.lit(bands)) for k, size, bands in shapes]))
+
+    # a text is known again by its id and digest
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text", F.length("text"), F.lit(3)))
+    met = _met(texts, t, shapes, width).groupBy(F.col("id").alias("i"), F.col("h").alias("d")).agg(F.collect_set(F.struct("t", "k", "class", "at")).alias("hits"))  # of one text
     met = stage(met, "license_met")
-    near = texts.join(met, same.eqNullSafe(met["h"]) & F.col("id").eqNullSafe(met["i"]))
-    near = near.select("id", F.monotonically_increasing_id().alias("uid"), "shapes", _words(F.col("text")).alias("w"))
-    near = stage(near.select("id", "uid", "shapes", *[_shingles("w", k).alias(f"s{k}") for k in widths]), "license_near")
-
-    out: DataFrame | None = None
-    for k, size in shapes:
-        fewest = size // 2 + 1 if size > 1 else 1
-        held = math.ceil(contain * fewest)
-        bands = bands_for(held / (3 * size + fewest - held), sure)
-        values = lambda s: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.array_min(F.transform(s, lambda h: F.xxhash64(h, j))))  # noqa: B023, E731
-        mine = t.filter((F.col("k") == k) & (F.col("class") == size))
-        posted = mine.select("t", F.posexplode(values(F.col("ts"))).alias("band", "value"))
-        starts = F.sequence(F.lit(0), F.greatest(F.size(f"s{k}") - 1, F.lit(0)), F.lit(size))
-        cut = F.posexplode(F.transform(starts, lambda i: F.slice(f"s{k}", i + 1, F.lit(3 * size)))).alias("at", "win")  # noqa: B023
-        here = near.filter(F.exists("shapes", lambda x: (x["k"] == k) & (x["class"] == size)) & (F.size(f"s{k}") > 0))  # noqa: B023
-        windows = here.select("uid", cut)
-        hits = windows.select("uid", "at", F.posexplode(values(F.col("win"))).alias("band", "value")).join(posted, ["band", "value"])
-        hits = hits.select("uid", "at", "t").distinct()
-        start = F.greatest((F.col("at") - 1) * size, F.lit(0))
-        wide = F.slice(f"s{k}", start + 1, (F.col("at") + 4) * size - start)
-        found = hits.join(near.select("id", "uid", f"s{k}"), "uid").join(mine.select("t", "name", "form", "ts"), "t")
-        found = found.select("id", "uid", "name", "form", (F.size(F.array_intersect("ts", wide)) / F.size("ts")).alias("share"))
-        found = found.filter(F.col("share") >= contain)
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("uid", "name", "form").agg(F.any_value("id").alias("id"), F.max("share").alias("share"), F.count("*").alias("windows")).select("id", "uid", "name", "form", "share", "windows")
+
+    widths = sorted({k for k, _, _ in shapes})
+    near = texts.join(met, F.col("h").eqNullSafe(F.col("d")) & F.col("id").eqNullSafe(F.col("i")))
+    near = near.select("id", F.monotonically_increasing_id().alias("uid"), "hits", _words(F.col("text")).alias("w"))
+    near = near.select("id", "uid", "hits", *[_shingles("w", k).alias(f"s{k}") for k in widths])
+    near = near.select("id", "uid", *[f"s{k}" for k in widths], F.explode("hits").alias("hit")).select("id", "uid", "hit.*", *[f"s{k}" for k in widths])
+    start = F.greatest((F.col("at") - 3) * F.col("class"), F.lit(0))
+    wide = lambda s: F.slice(s, start + 1, (F.col("at") + 4) * F.col("class") - start)
+    held_in = F.coalesce(*[F.when(F.col("k") == k, wide(f"s{k}")) for k in widths])
+    near = near.select("id", "uid", "t", held_in.alias("held"))
+    found = near.join(t.select("t", "name", "form", "ts"), "t")
+    found = found.select("id", "uid", "name", "form", (F.size(F.array_intersect("ts", "held")) / F.size("ts")).alias("share"))
+    found = stage(found.filter(F.col("share") >= contain), "license_found")  # ids of rows stay as they were given
+    return found.groupBy("uid", "name", "form").agg(F.any_value("id").alias("id"), F.max("share").alias("share"), F.count("*").alias("windows")).select("id", "uid", "name", "form", "share", "windows")
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:

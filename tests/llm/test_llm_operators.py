@@ -534,6 +534,30 @@ def test_licenses(spark, odd, docs):
     assert licenses.scan(odd, licenses.known_licenses(spark).limit(0)).count() == 0
 
 
+def test_license_bands_meet_as_often_as_they_promise(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for held_, union, size in ((66, 400, 128), (104, 793, 256)):
+        bands = licenses.bands_for(held_, union, 0.99)
+        assert bands < size and licenses.bands_for(held_, union, 0.9999) < size
+        missed, tries = 0, 2000
+        for _ in range(tries):  # the first ``held_`` hashes are of both sides, the last few of the template alone
+            h = r.integers(0, 2**32, union)
+            extra = union - 3 * size
+            sides = (h[: union - extra], np.concatenate([h[:held_], h[union - extra :]]))
+            least = [{int(b): int(x[(x * bands) >> 32 == b].min()) for b in np.unique((x * bands) >> 32)} for x in sides]
+            missed += not set(least[0].items()) & set(least[1].items())
+        assert missed <= 0.01 * tries + 4 * (0.01 * tries) ** 0.5
+    assert licenses.bands_for(3, 3, 0.9999) == 1
+    rows = spark.createDataFrame([(sorted(int(x) for x in r.integers(-(2**63), 2**63 - 1, 200)),), ([],)], "h array<long>")
+    for row in rows.select("h", licenses._smallest(F.col("h"), 48).alias("s")).collect():
+        first: dict[int, int] = {}
+        for v in row.h:
+            first.setdefault((((v >> 32) + 2**31) * 48) >> 32, v)
+        assert row.s == list(first.values())
+
+
 # -- 9 ----------------------------------------------------------------------------------------
 
 
