@@ -16,7 +16,8 @@ the index names only those of tasks that ended well, so a repeated task leaves n
 Defined cases: a null payload is empty; a null id is never the one that others refer to unless
 all ids of a group are null, and then all are responses; rows that repeat the smallest id of a
 group are responses too. Line breaks in addresses are escaped. Very long payloads are records of
-their own frame. Empty tables write no bundle; other columns are ignored, whatever their names.
+their own frame. A batch of pages is bounded by ``spark.sql.execution.arrow.maxBytesPerBatch`` and
+``maxRecordsPerBatch``; lower them for pages of many megabytes. Empty tables write no bundle; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.staging import shared_dir, stage
+from spanloom.staging import scratch, stage
 
 #: Fixed values of the seekable format: skippable frame, end of the seek table.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -71,9 +73,20 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(body)) + body
 
 
+def place(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a folder as Spark names it, and the path there. ``s3a`` and ``s3n``,
+    the names of Hadoop's clients, are Arrow's ``s3``; ``hdfs`` needs libhdfs on the executors; other
+    schemes are Arrow's own, or an error that says so."""
+    scheme, sep, rest = path.partition("://")
+    try:
+        return pafs.FileSystem.from_uri(f"s3://{rest}" if sep and scheme in ("s3a", "s3n") else path)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"bundles can't be kept under {path}: Arrow has no file system for it") from e
+
+
 def read_seek_table(path: str) -> list[tuple[int, int]]:
     """(compressed, plain) sizes from the end of a bundle."""
-    fs, at = pafs.FileSystem.from_uri(path)
+    fs, at = place(path)
     with fs.open_input_file(at) as f:
         f.seek(f.size() - 9)
         n, _, magic = struct.unpack("<IBI", f.read(9))
@@ -88,7 +101,7 @@ class Bundle:
 
     def __init__(self, folder: str, level: int):
         self.path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
-        fs, at = pafs.FileSystem.from_uri(self.path)
+        fs, at = place(self.path)
         fs.create_dir(at.rpartition("/")[0], recursive=True)
         self.out, self.zstd = fs.open_output_stream(at, compression=None), zstandard.ZstdCompressor(level=level)
         self.frames: list[tuple[int, int]] = []
@@ -169,7 +182,7 @@ def _frames(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[
         for r in p.itertuples(index=False):
             if last != (r.bundle, r.frame):
                 start, size = _frame_places(r.bundle)[r.frame]
-                fs, at = pafs.FileSystem.from_uri(r.bundle)
+                fs, at = place(r.bundle)
                 with fs.open_input_file(at) as f:
                     f.seek(start)
                     plain = zstandard.ZstdDecompressor().decompress(f.read(size))
@@ -198,7 +211,7 @@ def read(index: DataFrame) -> DataFrame:
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     """Writes all ``pages`` to bundles, reads them back and looks revisits up."""
-    folder = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}/warc"
+    folder = scratch(spark, "warc")
     index = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     got = read(index).select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("true"))
     got = stage(got, "warc_read")

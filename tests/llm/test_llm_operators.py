@@ -450,6 +450,24 @@ def test_warc_keeps_large_ids_and_null_ones(spark):
     assert got == sorted([(str(big), "response", None), (str(big + 2), "revisit", big), ("None", "revisit", big), ("None", "response", None), (str(big + 4), "response", None)])
 
 
+def test_warc_places_are_those_of_arrow(tmp_path, monkeypatch):
+    fs, at = warc.place(f"file://{tmp_path}/x")
+    assert at == f"{tmp_path}/x" and fs.type_name == "local" and warc.place(str(tmp_path))[1] == str(tmp_path)
+    asked = []
+
+    class Known:
+        @staticmethod
+        def from_uri(uri):
+            asked.append(uri)
+            return None, uri
+
+    monkeypatch.setattr(warc.pafs, "FileSystem", Known)
+    assert [warc.place(x)[1] for x in ("s3a://b/k", "s3n://b/k", "s3://b/k", "gs://b/k")] == ["s3://b/k"] * 3 + ["gs://b/k"] == asked
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="no file system"):
+        warc.place("nowhere://b/k")
+
+
 # -- 7 ----------------------------------------------------------------------------------------
 
 
