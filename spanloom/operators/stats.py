@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.sums import wide_sum
 from spanloom.functions.windows import clipped, overlaps
 
 #: Bounds of the duration histogram in nanoseconds, half decades from 10 ns to 1 s (fixed values).
@@ -25,7 +26,7 @@ def measures(col: str = "ns") -> list[Column]:
 
 def span_stats(spans: DataFrame, by: tuple[str, ...], window: tuple[int, int] | None = None, histogram: bool = False) -> DataFrame:
     """Per group: measures of the (clipped) duration, bytes, gbps and the group's share of the
-    whole. Rows without time in the window are dropped. Totals come from the groups."""
+    whole, which may be more than 64 bits hold. Rows without time in the window are dropped."""
     lo, hi = window or (None, None)
     d = overlaps(spans, lo, hi).withColumn("ns", clipped(lo, hi)).filter("ns > 0")
     more = [F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")] if "bytes" in spans.columns else []
@@ -36,7 +37,7 @@ def span_stats(spans: DataFrame, by: tuple[str, ...], window: tuple[int, int] |
     g = d.groupBy(*by).agg(*measures(), *more)
     if "bytes" in spans.columns:
         g = g.withColumn("gbps", F.when(F.col("total") > 0, F.col("bytes") / F.col("total")))
-    whole = d.agg(F.sum("ns").alias("whole"))
+    whole = d.agg(wide_sum("ns").cast("double").alias("whole"))
     return g.crossJoin(whole).withColumn("share", F.col("total") / F.col("whole")).drop("whole")  # one row
 
 
