@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions.sums import fitted, wide_sum
+from spanloom.operators import correlate as L
 from spanloom.operators import stats
 
 BIG = 2**62
@@ -18,6 +19,13 @@ def test_share_of_a_whole_beyond_64_bits(spark):
     assert got == {f"n{i}": (BIG, 0.25) for i in range(4)}
 
 
+def test_listing_totals_beyond_64_bits(spark):
+    t = stats.span_stats(_spans(spark), ("name",)).select("name", "n", "total")
+    got = L.listing(t, "name", {"name": "asc"}, (), 2, ("n", "total"))
+    assert {(r["all_n"], r["all_total"]) for r in got.collect()} == {(4, 4 * BIG)}
+    assert dict(fitted(got, "all_n", "all_total").dtypes)["all_n"] == "bigint"
+
+
 def test_sums_that_fit_are_longs(spark):
     t = spark.createDataFrame([("a", 1), ("a", BIG), ("b", None)], "k string, v long").groupBy("k").agg(wide_sum("v").alias("v"), wide_sum(F.col("v") - 1).alias("w"))
     got = fitted(t, "v", "w")
