@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.names import basename
+from spanloom.functions.sums import wide_sum
 from spanloom.functions.windows import bucket_of
 from spanloom.operators.buckets import in_buckets
 from spanloom.operators.ordered import with_next, with_previous
@@ -53,7 +54,7 @@ def quanta(sched: DataFrame) -> DataFrame:
 def _with_idle(d: DataFrame) -> DataFrame:
     """Time seen but not on a CPU, and the mean quantum (null without one)."""
     d = d.fillna(0, ["on_ns", "quanta"])
-    return d.withColumns({"off_ns": F.greatest(F.col("span_ns") - F.col("on_ns"), F.lit(0)), "mean_ns": F.when(F.col("quanta") > 0, F.expr("on_ns div quanta"))})
+    return d.withColumns({"off_ns": F.greatest(F.col("span_ns") - F.col("on_ns"), F.lit(0)).cast("long"), "mean_ns": F.when(F.col("quanta") > 0, F.expr("on_ns div quanta"))})
 
 
 def thread_time(sched: DataFrame) -> DataFrame:
@@ -64,19 +65,19 @@ def thread_time(sched: DataFrame) -> DataFrame:
 
 
 def cpu_time(sched: DataFrame) -> DataFrame:
-    """Per CPU: busy and idle time, quanta, threads, time seen, mean quantum."""
-    on = quanta(sched).groupBy("cpu").agg(F.sum("ns").alias("on_ns"), F.count("*").alias("quanta"), F.countDistinct("global_tid").alias("threads"))
+    """Per CPU: busy (a decimal) and idle time, quanta, threads, time seen, mean quantum."""
+    on = quanta(sched).groupBy("cpu").agg(wide_sum("ns").alias("on_ns"), F.count("*").alias("quanta"), F.countDistinct("global_tid").alias("threads"))
     seen = sched.groupBy("cpu").agg((F.max("start_ns") - F.min("start_ns")).alias("span_ns"))
     return _with_idle(seen.join(on, "cpu", "left").fillna(0, ["threads"]))
 
 
 def state_time(sched: DataFrame) -> DataFrame:
     """Per state in which threads left a CPU: time until the thread was on any CPU again, times
-    it was left for, time of the quanta that ended so, and their mean."""
+    it was left for, time of the quanta that ended so, and their mean. Times are decimals."""
     s = with_next(sched, ("global_tid",), ("start_ns", "row_id"), ("start_ns", "is_in")).filter("is_in = 0")
     away = F.when(F.col("next.is_in") == 1, F.col("next.start_ns") - F.col("start_ns")).otherwise(0)
-    off = s.groupBy("state").agg(F.sum(away).alias("off_ns"), F.count("*").alias("switches"))
-    on = quanta(sched).groupBy("state").agg(F.sum("ns").alias("on_ns"), F.count("*").alias("quanta"))
+    off = s.groupBy("state").agg(wide_sum(away).alias("off_ns"), F.count("*").alias("switches"))
+    on = quanta(sched).groupBy("state").agg(wide_sum("ns").alias("on_ns"), F.count("*").alias("quanta"))
     d = off.join(on, off["state"].eqNullSafe(on["state"]), "full").select(F.coalesce(off["state"], on["state"]).alias("state"), "off_ns", "switches", "on_ns", "quanta")
     d = d.fillna(0, ["off_ns", "switches", "on_ns", "quanta"])
     return d.withColumn("mean_ns", F.when(F.col("quanta") > 0, F.expr("on_ns div quanta")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanloom.functions.sums import fitted
 from spanloom.operators import counters as K
 from spanloom.operators import sampling as S
 from spanloom.plans.registry import query
@@ -101,14 +102,14 @@ def c9_j7_thread_time(spark, d):
 
 @query("sched", _axis("cpu", ", coalesce(threads, 0) AS threads"))
 def c10_cpu_time(spark, d):
-    return S.cpu_time(A.sched(spark, d)).fillna(-1, ["mean_ns"])
+    return fitted(S.cpu_time(A.sched(spark, d)).fillna(-1, ["mean_ns"]), "on_ns")
 
 
 @query("sched", f"""WITH {_QUANTA}, t AS (SELECT *, lead(start_ns) OVER w AS back, lead(is_in) OVER w AS in_again FROM sched WINDOW w AS (PARTITION BY global_tid ORDER BY start_ns, row_id)),
   f AS (SELECT state, CAST(sum(CASE WHEN in_again = 1 THEN back - start_ns ELSE 0 END) AS BIGINT) AS off_ns, count(*) AS switches FROM t WHERE is_in = 0 GROUP BY state), o AS (SELECT state, CAST(sum(ns) AS BIGINT) AS on_ns, count(*) AS quanta FROM q GROUP BY state)
   SELECT state, coalesce(off_ns, 0) AS off_ns, coalesce(switches, 0) AS switches, coalesce(on_ns, 0) AS on_ns, coalesce(quanta, 0) AS quanta, coalesce(on_ns // quanta, -1) AS mean_ns FROM f FULL JOIN o USING (state)""")
 def c11_state_time(spark, d):
-    return S.state_time(A.sched(spark, d)).fillna(-1, ["mean_ns"])
+    return fitted(S.state_time(A.sched(spark, d)).fillna(-1, ["mean_ns"]), "off_ns", "on_ns")
 
 
 @query("sched", """WITH g AS (SELECT *, start_ns - lag(start_ns) OVER (PARTITION BY cpu ORDER BY start_ns, row_id) AS gap FROM sched)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.sums import fitted, wide_sum
 from spanloom.operators import correlate as L
+from spanloom.operators import sampling as P
 from spanloom.operators import stats
 
 BIG = 2**62
@@ -26,6 +27,13 @@ def test_listing_totals_beyond_64_bits(spark):
     assert dict(fitted(got, "all_n", "all_total").dtypes)["all_n"] == "bigint"
 
 
+def test_scheduler_times_beyond_64_bits(spark):
+    rows = [(10 * t + i, t, 0, at, i % 2 ^ 1, "s") for t in range(4) for i, at in enumerate((0, BIG, BIG + BIG // 2))]
+    t = spark.createDataFrame(rows, "row_id long, global_tid long, cpu long, start_ns long, is_in int, state string")
+    assert [(r["on_ns"], r["off_ns"], r["quanta"], r["mean_ns"]) for r in P.cpu_time(t).collect()] == [(4 * BIG, 0, 4, BIG)]
+    assert [(r["off_ns"], r["on_ns"], r["mean_ns"]) for r in P.state_time(t).collect()] == [(2 * BIG, 4 * BIG, BIG)]
+
+
 def test_sums_that_fit_are_longs(spark):
     t = spark.createDataFrame([("a", 1), ("a", BIG), ("b", None)], "k string, v long").groupBy("k").agg(wide_sum("v").alias("v"), wide_sum(F.col("v") - 1).alias("w"))
     got = fitted(t, "v", "w")
