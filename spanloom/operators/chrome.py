@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions.sums import wide_sum
 from spanloom.functions.windows import overlaps
 from spanloom.operators.buckets import in_buckets
 from spanloom.operators.nesting import contains_join
@@ -129,9 +130,9 @@ def event_slices(events: DataFrame, *, window: tuple[int, int] | None = None, st
 
 
 def event_slice_stats(slices: DataFrame, by: str = "slice") -> DataFrame:
-    """Per name, or per step (``slice_step``): instances and sums."""
+    """Per name, or per step (``slice_step``): instances and sums; those of times are decimals."""
     key = F.coalesce(F.col(by).cast("string"), F.lit("none")).alias(by)
-    return slices.groupBy(key).agg(F.count("*").alias("instances"), F.sum("ns").alias("ns"), F.sum("children").alias("children"), F.sum("gpu_ns").alias("gpu_ns"), F.sum("comm_ns").alias("comm_ns"))
+    return slices.groupBy(key).agg(F.count("*").alias("instances"), wide_sum("ns").alias("ns"), F.sum("children").alias("children"), wide_sum("gpu_ns").alias("gpu_ns"), wide_sum("comm_ns").alias("comm_ns"))
 
 
 def _python_parents(events: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.names import path_part
+from spanloom.functions.sums import wide_sum
 from spanloom.operators.ordered import with_ordinal
 from spanloom.staging import stage
 
@@ -197,10 +198,10 @@ def range_slices(ranges: DataFrame, spans: DataFrame, chains: DataFrame, context
 
 
 def slice_stats(slices: DataFrame, by: str = "name") -> DataFrame:
-    """Per name: instances, total device time of all kinds, interpolated p50 and p99."""
+    """Per name: instances, total device time of all kinds (a decimal), interpolated p50 and p99."""
     ns = F.coalesce(F.sum(F.col("kernel_ns") + F.col("memcpy_ns") + F.col("memset_ns")), F.lit(0))
     each = slices.groupBy(by, "range_id").agg(ns.alias("ns"))
-    return each.groupBy(by).agg(F.count("*").alias("instances"), F.sum("ns").alias("total"), F.percentile("ns", 0.5).alias("p50"), F.percentile("ns", 0.99).alias("p99"))
+    return each.groupBy(by).agg(F.count("*").alias("instances"), wide_sum("ns").alias("total"), F.percentile("ns", 0.5).alias("p50"), F.percentile("ns", 0.99).alias("p99"))
 
 
 def top_paths(tree: DataFrame, k: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import names as N
+from spanloom.functions.sums import fitted
 from spanloom.operators import chrome as C
 from spanloom.plans.registry import query
 from spanloom.sources import adapters as A
@@ -159,7 +160,7 @@ def j12_scoped_slices(spark, d):
 
 @query("ev", f"WITH {_X}, {_slices_sql()} SELECT slice, count(*) AS instances, CAST(sum(ns) AS BIGINT) AS ns, CAST(sum(children) AS BIGINT) AS children, CAST(sum(gpu_ns) AS BIGINT) AS gpu_ns, CAST(sum(comm_ns) AS BIGINT) AS comm_ns FROM sl GROUP BY slice")
 def n10_slice_stats(spark, d):
-    return C.event_slice_stats(C.event_slices(trace(spark, d)))
+    return fitted(C.event_slice_stats(C.event_slices(trace(spark, d))), "ns", "gpu_ns", "comm_ns")
 
 
 _LAUNCH = f"""kc AS (SELECT correlation, count(DISTINCT rank) AS ranks FROM x WHERE type IN {_GPU} OR type = 'runtime' GROUP BY 1),

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions.sums import fitted, wide_sum
+from spanloom.operators import chrome as C
 from spanloom.operators import correlate as L
+from spanloom.operators import nesting as R
 from spanloom.operators import sampling as P
 from spanloom.operators import stats
 
@@ -27,6 +29,13 @@ def test_listing_totals_beyond_64_bits(spark):
     assert dict(fitted(got, "all_n", "all_total").dtypes)["all_n"] == "bigint"
 
 
+def test_slice_times_beyond_64_bits(spark):
+    s = spark.createDataFrame([("a", i, BIG, 0, 0) for i in range(4)], "name string, range_id long, kernel_ns long, memcpy_ns long, memset_ns long")
+    assert [(r["instances"], r["total"]) for r in R.slice_stats(s).collect()] == [(4, 4 * BIG)]
+    e = spark.createDataFrame([("a", BIG, 1, BIG, BIG)] * 4, "slice string, ns long, children long, gpu_ns long, comm_ns long")
+    assert [tuple(r) for r in C.event_slice_stats(e).collect()] == [("a", 4, 4 * BIG, 4, 4 * BIG, 4 * BIG)]
+
+
 def test_scheduler_times_beyond_64_bits(spark):
     rows = [(10 * t + i, t, 0, at, i % 2 ^ 1, "s") for t in range(4) for i, at in enumerate((0, BIG, BIG + BIG // 2))]
     t = spark.createDataFrame(rows, "row_id long, global_tid long, cpu long, start_ns long, is_in int, state string")
