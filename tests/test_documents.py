@@ -96,3 +96,16 @@ def test_replays_under_a_path_of_ranges(spark):
     spans = spark.createDataFrame([("graph", i, 0, 0, 1, i, 200, 210) for i in range(1, 5)], WORK)
     under = lambda glob: sorted(r["row_id"] for r in nesting.launched_under(spans, ranges, calls, contexts, lambda c: N.name_glob(c, glob)).collect())
     assert under("outer/inner*") == [1, 4] and under("inner*") == [1, 4] and under("outer/a/b") == [2] and under("*<unnamed>") == [4] and under("none") == []
+
+
+def test_reports_are_written_with_one_shuffle(spark, monkeypatch, tmp_path):
+    from pyspark.sql import DataFrameWriter
+
+    from spanloom.plans import reports
+
+    plans, write = [], DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda w, *a, **k: (plans.append(w._df._jdf.queryExecution().optimizedPlan().toString()), plans.append(w._df._jdf.queryExecution().executedPlan().toString()), write(w, *a, **k))[-1])
+    path = str(tmp_path / "t")
+    spark.sql("select 1L + id % 3 as l_suppkey, 'A' as l_returnflag, id as l_orderkey, id % 30 as l_partkey, 2.0D as l_quantity, 'O' as l_linestatus from range(200)").write.parquet(f"{path}/lineitem.parquet")
+    assert reports.report(spark, path)["launches"].count() == 30
+    assert plans[1].count("Exchange") == 1 and "Join" not in plans[0]
