@@ -47,3 +47,19 @@ def test_many_ranges_around_each_other_make_no_pairs(spark):
     )
     assert C.event_parents(e).filter("parent_id = row_id - 1").count() == n - 1
     assert C.assign_steps(e).filter(f"step_id = {n // 2 - 1} and step_no = step_id").count() == n - n // 2
+
+
+def some_events(spark):
+    return spark.range(40).select(
+        F.col("id").alias("row_id"), F.lit("t").alias("trace"), F.lit("1").alias("pid"), F.lit("1").alias("tid"), F.lit(0).cast("long").alias("rank"), F.lit("x").alias("name"), F.lit("X").alias("ph"), F.lit(None).cast("string").alias("flow_id"),
+        F.when(F.col("id") < 4, "step").otherwise("cpu_op").alias("type"), (F.col("id") % 3 == 0).alias("comm"), F.when(F.col("id") % 3 == 0, "send").alias("collective"), F.lit(1).cast("long").alias("step_no"), F.lit(0).cast("long").alias("external_id"),
+        F.lit(0).cast("long").alias("correlation"), F.col("id").alias("start_ns"), (100 - F.col("id")).alias("end_ns"), F.lit(None).cast("long").alias("python_id"), F.lit(None).cast("long").alias("python_parent"),
+    )
+
+
+def test_without_askers_or_frames_nothing_is_sorted(spark, monkeypatch):
+    e = some_events(spark)
+    monkeypatch.setattr("spanloom.operators.around._solve", lambda *a: pytest.fail("sorted"))
+    assert C.event_parents(e, F.col("type") == "python").count() == 0
+    monkeypatch.setattr(C, "contains_join", lambda *a: pytest.fail("met"))
+    assert C.python_context(e).columns == ["row_id", "python_path"] and C.python_context(e).count() == 0
