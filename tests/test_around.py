@@ -63,3 +63,14 @@ def test_without_askers_or_frames_nothing_is_sorted(spark, monkeypatch):
     assert C.event_parents(e, F.col("type") == "python").count() == 0
     monkeypatch.setattr(C, "contains_join", lambda *a: pytest.fail("met"))
     assert C.python_context(e).columns == ["row_id", "python_path"] and C.python_context(e).count() == 0
+
+
+def test_causes_and_collectives_ask_only_for_what_they_follow(spark, monkeypatch):
+    e, asked = some_events(spark), []
+    whole = C.smallest_enclosing
+    monkeypatch.setattr(C, "event_parents", lambda *a: pytest.fail("parents"))
+    monkeypatch.setattr(C, "smallest_enclosing", lambda events, *a, **k: asked.append(events) or whole(events, *a, **k))
+    links = C.event_links(e, C.CAUSAL)
+    assert len(asked) == 1 and {r["kind"] for r in links.select("kind").distinct().collect()} == {"external"}
+    found = C.collectives(e, links)
+    assert len(asked) == 2 and asked[1].filter("not comm").isEmpty() and {r["step"] for r in found.collect()} == {1}
