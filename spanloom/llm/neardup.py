@@ -343,7 +343,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     tokens = classes.select("c", F.explode(_tokens(coords)("sig")).alias("token"))
     draw = F.struct(F.xxhash64("c", F.lit(23)), "c")
     lists = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min(draw)["c"].alias("g")).filter(F.col("df") > 1)
-    own = tokens.join(stage(lists, "lists"), "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token", "g"))).alias("own"))  # ``coords`` at most
+    # Spark takes exploded rows to be as many as those they come from; the hint keeps them from being broadcast
+    own = tokens.hint("merge").join(stage(lists, "lists"), "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token", "g"))).alias("own"))  # ``coords`` at most
     prefix = F.slice("own", F.lit(1), F.greatest(F.size("own") - (match - 1), F.lit(0)))
     bit = F.array(*[F.lit(1 << k).cast("long") for k in range(coords)])
     add = lambda total, x: total + F.element_at(bit, (F.shiftright(x["token"], 32) + 1).cast("int"))

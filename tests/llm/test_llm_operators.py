@@ -371,6 +371,13 @@ def test_collisions_and_overlaps_match_plain_counts():
     assert sorted((x, y) for p, q in neardup._pairs_within(bounds, 1000) for x, y in zip(p.tolist(), q.tolist())) == [(x, y) for s, e in zip(bounds[:-1], bounds[1:]) for x in range(s, e) for y in range(x + 1, e)]
 
 
+def test_neardup_broadcasts_no_exploded_coordinates(spark, docs, monkeypatch):
+    plans, stage = {}, neardup.stage
+    monkeypatch.setattr(neardup, "stage", lambda df, label: plans.update({label: df._jdf.queryExecution().sparkPlan().toString()}) or stage(df, label))
+    neardup.components(docs.select("doc_id", "text"))
+    assert "SortMergeJoin [token" in plans["posts"] and "BroadcastHashJoin [token" not in plans["posts"]
+
+
 # -- 5 ----------------------------------------------------------------------------------------
 
 
