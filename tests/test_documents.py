@@ -109,3 +109,21 @@ def test_reports_are_written_with_one_shuffle(spark, monkeypatch, tmp_path):
     spark.sql("select 1L + id % 3 as l_suppkey, 'A' as l_returnflag, id as l_orderkey, id % 30 as l_partkey, 2.0D as l_quantity, 'O' as l_linestatus from range(200)").write.parquet(f"{path}/lineitem.parquet")
     assert reports.report(spark, path)["launches"].count() == 30
     assert plans[1].count("Exchange") == 1 and "Join" not in plans[0]
+
+
+def test_parts_of_reports_are_staged_as_rows(spark, tmp_path, monkeypatch):
+    from spanloom.sources import kernel_reports as K
+
+    pcs = [{"rel_address": i, "reasons": {"wait": 1, "lg": 2}} for i in range(500)]
+    metrics = [{"name": "m", "value": 1.0, "instances": [{"rel_address": i, "value": float(i)} for i in range(1000)]}, {"name": "none"}, {"name": "null", "instances": None}]
+    one = {"kernel_demangled": "k", "grid_size": [1, 2, 3], "metrics": metrics, "disasm": [{"address": i} for i in range(300)], "warp_stalls": {"total_samples": 9, "pcs": [*pcs, {"rel_address": 7}]}}
+    (tmp_path / "r.json").write_text(json.dumps({"launches": [one, {"kernel_demangled": "bare"}], "ranges": [{"name": "a"}]}) + "\n" + json.dumps({"graphs": [{"name": "b"}]}) + "\n")
+    staged, stage = [], K.stage
+    monkeypatch.setattr(K, "stage", lambda df, label: staged.append(stage(df, label)) or staged[-1])
+    t = K.read_kernel_report(spark, str(tmp_path / "r.json"), multi_line=False)
+    assert {k: d.count() for k, d in t.items()} == {"launches": 2, "metrics": 3, "instances": 1000, "sass": 300, "stalls": 1000, "workloads": 2}
+    assert [d.count() for d in staged] == [2 + 3 + 1000 + 300 + 1000 + 2]  # Spark reads rows by the thousand: no row holds a report
+    got = {r["name"]: r for r in t["launches"].collect()}
+    assert (got["k"]["n_metrics"], got["k"]["grid_z"], got["k"]["has_listing"], got["k"]["total_samples"]) == (3, 3, True, 9)
+    assert (got["bare"]["launch"], got["bare"]["n_metrics"], got["bare"]["grid_x"]) == (1, 0, None)
+    assert t["instances"].filter("place = 999").first()["pc"] == 999 and {r["kind"] for r in t["workloads"].collect()} == {"range", "graph"}
