@@ -358,3 +358,13 @@ def test_stored_attribution_joins_without_a_shuffle(spark, tmp_path):
         assert said(R.range_slices(ranges, stored.spans, stored.hosts)) == said(R.range_slices(ranges, spans, chains, contexts))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_collectives_take_arguments_apart_once(spark, monkeypatch):
+    from spanloom.plans import chrome as queries
+
+    plans, stage = {}, C.stage
+    monkeypatch.setattr(C, "stage", lambda df, label: plans.update({label: df._jdf.queryExecution().optimizedPlan().toString()}) or stage(df, label))
+    queries.n16_n17_collectives(spark, "/root/testdata/sf0.001")
+    assert {"narrow_events", "comm_events", "reach_steps"} <= set(plans)
+    assert [label for label, plan in plans.items() if "args#" in plan] == ["narrow_events"]
